@@ -3,7 +3,8 @@
 A draw is a function of (seed, key...) only:
     u(seed, k...) = int(first 8 hex digits of md5("seed|k1|k2...")) / 2**32      in [0, 1)
     normal        = Box-Muller on the first and second 8 hex digits of the same md5
-Keys must be integers or strings (their text form is identical in every engine).
+Keys must be integer or string columns (their text form is identical in every engine);
+a str argument names a column, a literal key is passed as F.lit(...).
 The same formulas are written in SQL by `chronoscope.plans.oracle`.
 """
 
@@ -18,8 +19,17 @@ TWO32 = 4294967296.0
 EPS_LN = 2.0 ** -33
 
 
+def _as_col(k) -> Column:
+    """Column as is; a str names a column; other values are literals (use F.lit for literal text)."""
+    if isinstance(k, Column):
+        return k
+    if isinstance(k, str):
+        return F.col(k)
+    return F.lit(str(k))
+
+
 def _key(seed, keys) -> Column:
-    parts = [F.lit(str(seed))] + [(k if isinstance(k, Column) else F.lit(str(k))).cast("string") for k in keys]
+    parts = [F.lit(str(seed))] + [_as_col(k).cast("string") for k in keys]
     return F.concat_ws("|", *parts)
 
 

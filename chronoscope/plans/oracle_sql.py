@@ -134,3 +134,141 @@ score1 AS (SELECT p.noun_id, d.pred, p.p AS s1 FROM p1 p JOIN pred d ON p.noun_i
 
 def prelude(signal: str, *parts: str) -> str:
     return "WITH " + ",".join([SIGNALS[signal]] + list(parts))
+
+
+# --- attribution ---------------------------------------------------------------------------------
+
+def _gl_values() -> str:
+    import numpy as np
+    x, w = np.polynomial.legendre.leggauss(50)
+    return ", ".join(f"({float(a)!r}, {float(g)!r})" for a, g in zip((x + 1.0) / 2.0, w / 2.0))
+
+
+BASES = f"""
+base AS (SELECT feature, t, {normal_sql("'baseline'", 'feature', 't')} AS xb FROM (SELECT DISTINCT feature, t FROM wmodel)),
+zb AS (SELECT w.class_idx, sum(b.xb * w.w) + max(bm.b) AS z FROM base b
+       JOIN wmodel w ON b.feature = w.feature AND b.t = w.t JOIN bmodel bm ON bm.class_idx = w.class_idx GROUP BY w.class_idx),
+zbc AS (SELECT class_idx, z, z - max(z) OVER () AS zc FROM zb),
+pbase AS (SELECT class_idx, z, exp(zc) / sum(exp(zc)) OVER () AS p FROM zbc),
+bsel AS (SELECT noun_id, bid FROM (
+           SELECT noun_id, row_number() OVER (ORDER BY h, noun_id) - 1 AS bid
+           FROM (SELECT DISTINCT noun_id, {key60_sql("'baseline'", 'noun_id')} AS h FROM test_cells)) WHERE bid < 50),
+bases AS (SELECT CAST(s.bid AS BIGINT) AS bid, c.feature, c.t, c.x AS xb FROM test_cells c JOIN bsel s ON c.noun_id = s.noun_id),
+zbs AS (SELECT b.bid, w.class_idx, sum(b.xb * w.w) + max(bm.b) AS z FROM bases b
+        JOIN wmodel w ON b.feature = w.feature AND b.t = w.t JOIN bmodel bm ON bm.class_idx = w.class_idx GROUP BY 1, 2),
+zbsc AS (SELECT bid, class_idx, z, z - max(z) OVER (PARTITION BY bid) AS zc FROM zbs),
+pbs AS (SELECT bid, class_idx, z, exp(zc) / sum(exp(zc)) OVER (PARTITION BY bid) AS p FROM zbsc),
+nbase AS (SELECT count(DISTINCT bid) AS nb FROM bases),
+wbar AS (SELECT feature, t, avg(w) AS wbar FROM wmodel GROUP BY feature, t)"""
+
+REL = {}
+REL["saliency"] = """
+rel AS (
+  SELECT c.noun_id, c.feature, c.t, c.x,
+         abs(max(s.s1) * (sum(CASE WHEN w.class_idx = s.pred THEN w.w ELSE 0.0 END) - sum(p.p * w.w))) AS r
+  FROM test_cells c JOIN wmodel w ON c.feature = w.feature AND c.t = w.t
+  JOIN p1 p ON p.noun_id = c.noun_id AND p.class_idx = w.class_idx JOIN score1 s ON s.noun_id = c.noun_id
+  GROUP BY c.noun_id, c.feature, c.t, c.x)"""
+
+REL["integrated_gradients"] = f"""
+nodes AS (SELECT * FROM (VALUES {_gl_values()}) v(a, g)),
+za AS (SELECT z.noun_id, n.a, n.g, z.class_idx, zb.z + n.a * (z.z - zb.z) AS z FROM p1 z JOIN zb ON z.class_idx = zb.class_idx, nodes n),
+zac AS (SELECT noun_id, a, g, class_idx, z - max(z) OVER (PARTITION BY noun_id, a) AS zc FROM za),
+pa AS (SELECT noun_id, a, g, class_idx, exp(zc) / sum(exp(zc)) OVER (PARTITION BY noun_id, a) AS p FROM zac),
+pac AS (SELECT pa.noun_id, pa.a, pa.p AS pc FROM pa JOIN score1 s ON pa.noun_id = s.noun_id AND pa.class_idx = s.pred),
+igcoef AS (SELECT pa.noun_id, pa.class_idx, sum(pa.g * pac.pc * pa.p) AS bk, sum(pa.g * pac.pc) AS acoef
+           FROM pa JOIN pac ON pa.noun_id = pac.noun_id AND pa.a = pac.a GROUP BY 1, 2),
+rel AS (
+  SELECT c.noun_id, c.feature, c.t, c.x,
+         (c.x - max(b.xb)) * (sum(CASE WHEN w.class_idx = s.pred THEN w.w * k.acoef ELSE 0.0 END) - sum(k.bk * w.w)) AS r
+  FROM test_cells c JOIN base b ON b.feature = c.feature AND b.t = c.t
+  JOIN wmodel w ON c.feature = w.feature AND c.t = w.t
+  JOIN igcoef k ON k.noun_id = c.noun_id AND k.class_idx = w.class_idx JOIN score1 s ON s.noun_id = c.noun_id
+  GROUP BY c.noun_id, c.feature, c.t, c.x)"""
+
+REL["deeplift"] = """
+dl_m AS (
+  SELECT s.noun_id, s.pred,
+         (max(CASE WHEN p.class_idx = s.pred THEN p.z END) - avg(p.z)) - (max(CASE WHEN pb.class_idx = s.pred THEN pb.z END) - avg(pb.z)) AS dzt,
+         max(CASE WHEN p.class_idx = s.pred THEN p.p END) - max(CASE WHEN pb.class_idx = s.pred THEN pb.p END) AS dp
+  FROM score1 s JOIN p1 p ON p.noun_id = s.noun_id JOIN pbase pb ON pb.class_idx = p.class_idx GROUP BY s.noun_id, s.pred),
+dl_mult AS (SELECT noun_id, pred, CASE WHEN dzt <> 0 THEN dp / dzt ELSE 0.0 END AS m FROM dl_m),
+rel AS (
+  SELECT c.noun_id, c.feature, c.t, c.x, m.m * (w.w - wb.wbar) * (c.x - b.xb) AS r
+  FROM test_cells c JOIN dl_mult m ON m.noun_id = c.noun_id
+  JOIN wmodel w ON w.feature = c.feature AND w.t = c.t AND w.class_idx = m.pred
+  JOIN wbar wb ON wb.feature = c.feature AND wb.t = c.t JOIN base b ON b.feature = c.feature AND b.t = c.t)"""
+
+REL["deepliftshap"] = """
+dls_m AS (
+  SELECT s.noun_id, s.pred, pb.bid,
+         (max(CASE WHEN p.class_idx = s.pred THEN p.z END) - avg(p.z)) - (max(CASE WHEN pb.class_idx = s.pred THEN pb.z END) - avg(pb.z)) AS dzt,
+         max(CASE WHEN p.class_idx = s.pred THEN p.p END) - max(CASE WHEN pb.class_idx = s.pred THEN pb.p END) AS dp
+  FROM score1 s JOIN p1 p ON p.noun_id = s.noun_id JOIN pbs pb ON pb.class_idx = p.class_idx GROUP BY s.noun_id, s.pred, pb.bid),
+dls_mult AS (SELECT noun_id, pred, bid, CASE WHEN dzt <> 0 THEN dp / dzt ELSE 0.0 END AS m FROM dls_m),
+rel AS (
+  SELECT c.noun_id, c.feature, c.t, c.x, (max(w.w) - max(wb.wbar)) * sum(m.m * (c.x - b.xb)) / max(nb.nb) AS r
+  FROM test_cells c JOIN dls_mult m ON m.noun_id = c.noun_id
+  JOIN bases b ON b.bid = m.bid AND b.feature = c.feature AND b.t = c.t
+  JOIN wmodel w ON w.feature = c.feature AND w.t = c.t AND w.class_idx = m.pred
+  JOIN wbar wb ON wb.feature = c.feature AND wb.t = c.t, nbase nb
+  GROUP BY c.noun_id, c.feature, c.t, c.x)"""
+
+REL["gradshap"] = f"""
+gs_draw AS (SELECT s.noun_id, s.pred, d.s, CAST(floor({u_sql("'gs_b'", 's.noun_id', 'd.s')} * nb.nb) AS BIGINT) AS bid,
+                   {u_sql("'gs_a'", 's.noun_id', 'd.s')} AS alpha
+            FROM score1 s CROSS JOIN range(5) AS d(s) CROSS JOIN nbase nb),
+gs_z AS (SELECT g.noun_id, g.s, g.bid, g.pred, p.class_idx, pb.z + g.alpha * (p.z - pb.z) AS z
+         FROM gs_draw g JOIN p1 p ON p.noun_id = g.noun_id JOIN pbs pb ON pb.bid = g.bid AND pb.class_idx = p.class_idx),
+gs_zc AS (SELECT *, z - max(z) OVER (PARTITION BY noun_id, s) AS zc FROM gs_z),
+gs_p AS (SELECT noun_id, s, bid, pred, class_idx, exp(zc) / sum(exp(zc)) OVER (PARTITION BY noun_id, s) AS p FROM gs_zc),
+gs_pc AS (SELECT noun_id, s, p AS pc FROM gs_p WHERE class_idx = pred),
+gs_term AS (
+  SELECT c.noun_id, c.feature, c.t, c.x, d.s,
+         max(pc.pc) * (sum(CASE WHEN w.class_idx = d.pred THEN w.w ELSE 0.0 END) - sum(gp.p * w.w)) * (c.x - max(b.xb)) AS term
+  FROM test_cells c JOIN gs_draw d ON d.noun_id = c.noun_id JOIN gs_pc pc ON pc.noun_id = d.noun_id AND pc.s = d.s
+  JOIN gs_p gp ON gp.noun_id = d.noun_id AND gp.s = d.s
+  JOIN wmodel w ON w.feature = c.feature AND w.t = c.t AND w.class_idx = gp.class_idx
+  JOIN bases b ON b.bid = d.bid AND b.feature = c.feature AND b.t = c.t
+  GROUP BY c.noun_id, c.feature, c.t, c.x, d.s),
+rel AS (SELECT noun_id, feature, t, x, sum(term) / 5 AS r FROM gs_term GROUP BY noun_id, feature, t, x)"""
+
+REL["shapleyvalue"] = f"""
+sv_cells AS (
+  SELECT c.noun_id, c.feature, c.t, c.x, b.xb, s.pred, pr.perm,
+         {key60_sql("'sv'", 'c.noun_id', 'pr.perm', 'c.feature', 'c.t')} AS o
+  FROM test_cells c JOIN base b ON b.feature = c.feature AND b.t = c.t JOIN score1 s ON s.noun_id = c.noun_id
+  CROSS JOIN range(25) AS pr(perm)),
+sv_z AS (
+  SELECT v.noun_id, v.perm, v.feature, v.t, v.x, v.pred, v.o, w.class_idx,
+         zb.z + sum(w.w * (v.x - v.xb)) OVER (PARTITION BY v.noun_id, v.perm, w.class_idx ORDER BY v.o, v.feature, v.t
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z
+  FROM sv_cells v JOIN wmodel w ON w.feature = v.feature AND w.t = v.t JOIN zb ON zb.class_idx = w.class_idx),
+sv_zc AS (SELECT *, z - max(z) OVER (PARTITION BY noun_id, perm, feature, t) AS zc FROM sv_z),
+sv_p AS (SELECT *, exp(zc) / sum(exp(zc)) OVER (PARTITION BY noun_id, perm, feature, t) AS p FROM sv_zc),
+sv_pc AS (SELECT noun_id, perm, feature, t, x, o, pred, p FROM sv_p WHERE class_idx = pred),
+sv_m AS (SELECT v.noun_id, v.feature, v.t, v.x,
+                v.p - coalesce(lag(v.p) OVER (PARTITION BY v.noun_id, v.perm ORDER BY v.o, v.feature, v.t), pb.p) AS dp
+         FROM sv_pc v JOIN pbase pb ON pb.class_idx = v.pred),
+rel AS (SELECT noun_id, feature, t, x, sum(dp) / 25 AS r FROM sv_m GROUP BY noun_id, feature, t, x)"""
+
+REL["lrp"] = """
+rel AS (
+  SELECT c.noun_id, c.feature, c.t, c.x,
+         c.x * w.w / (p.z + 1e-9 * CASE WHEN p.z >= 0 THEN 1.0 ELSE -1.0 END) * s.s1 AS r
+  FROM test_cells c JOIN score1 s ON s.noun_id = c.noun_id
+  JOIN wmodel w ON w.feature = c.feature AND w.t = c.t AND w.class_idx = s.pred
+  JOIN p1 p ON p.noun_id = c.noun_id AND p.class_idx = s.pred)"""
+
+EXPECTED = {
+    "single": "expv AS (SELECT s.noun_id, pb.p AS expected_value FROM score1 s JOIN pbase pb ON pb.class_idx = s.pred)",
+    "set": """expv AS (SELECT s.noun_id, m.p AS expected_value FROM score1 s
+                     JOIN (SELECT class_idx, avg(p) AS p FROM pbs GROUP BY class_idx) m ON m.class_idx = s.pred)""",
+    "none": "expv AS (SELECT noun_id, CAST(NULL AS DOUBLE) AS expected_value FROM score1)",
+}
+EXPECTED_KIND = {"deepliftshap": "set", "gradshap": "set", "saliency": "none", "lrp": "none",
+                 "integrated_gradients": "single", "deeplift": "single", "shapleyvalue": "single"}
+
+
+def rel_prelude(method: str, signal: str = "emb", *more: str) -> str:
+    return prelude(signal, SPLIT, SCALER, ENCODER, MODEL, BASES, REL[method], *more)

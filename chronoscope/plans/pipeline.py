@@ -105,3 +105,46 @@ def prepared(spark: SparkSession, sf_dir: str, signal: str = "emb") -> Prepared:
     if key not in _CACHE:
         _CACHE[key] = Prepared(spark, sf_dir, signal)
     return _CACHE[key]
+
+
+# ---- attribution -------------------------------------------------------------------------------
+
+def _state(pr: Prepared):
+    from chronoscope.operators import attribute as A
+    if "_state" not in pr.__dict__:
+        pr.__dict__["_state"] = A.sample_state(pr.p1, pr.score1)
+        pr.__dict__["_base_random"] = A.baseline_random(pr.W)
+        pr.__dict__["_base_sample"] = A.baseline_sample(pr.test_cells)
+    return pr.__dict__["_state"], pr.__dict__["_base_random"], pr.__dict__["_base_sample"]
+
+
+def relevance(pr: Prepared, method: str) -> DataFrame:
+    """(noun_id, feature, t, x, r) of the test split for one method (J18 dispatch)."""
+    from chronoscope.operators import attribute as A
+    st, brand, bsamp = _state(pr)
+    c, W, B = pr.test_cells, pr.W, pr.B
+    if method == "saliency":
+        return A.saliency(c, W, B, st)
+    if method == "integrated_gradients":
+        return A.integrated_gradients(c, W, B, st, brand)
+    if method == "deeplift":
+        return A.deeplift(c, W, B, st, brand)
+    if method == "deepliftshap":
+        return A.deepliftshap(c, W, B, st, bsamp)
+    if method == "gradshap":
+        return A.gradshap(c, W, B, st, bsamp)
+    if method == "shapleyvalue":
+        return A.shapley_sampling(c, W, B, st, brand)
+    if method == "lrp":
+        return A.lrp(c, W, B, st)
+    raise ValueError(f"unknown attribution method {method!r}")
+
+
+def expected_value(pr: Prepared, method: str) -> DataFrame:
+    from chronoscope.operators import attribute as A
+    st, brand, bsamp = _state(pr)
+    if method in ("deepliftshap", "gradshap"):
+        return A.expected_value_set(bsamp, pr.W, pr.B, st)
+    if method in ("saliency", "lrp"):
+        return st.select("noun_id", F.lit(None).cast("double").alias("expected_value"))
+    return A.expected_value_single(brand, pr.W, pr.B, st)

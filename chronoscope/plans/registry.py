@@ -157,3 +157,29 @@ FROM p1 p JOIN labelled l ON p.noun_id = l.noun_id AND p.class_idx = l.class_idx
 def q_evaluate(spark, sf_dir):
     pr = prepared(spark, sf_dir, "emb")
     return M.evaluate(pr.p1, pr.labelled).select("n", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"))
+
+
+# ---- J9-J18: attribution -----------------------------------------------------------------------
+
+from chronoscope.operators.attribute import METHODS  # noqa: E402
+from chronoscope.plans.pipeline import relevance  # noqa: E402
+
+for _m in METHODS:
+    def _mkrel(m):
+        def q(spark, sf_dir):
+            return relevance(prepared(spark, sf_dir, "emb"), m).select("noun_id", "feature", "t", r6("r").alias("r"))
+        return q
+    register(f"attr_{_m}", O.rel_prelude(_m) + "\nSELECT noun_id, feature, t, round(r, 6) AS r FROM rel")(_mkrel(_m))
+
+
+@register("completeness_delta", O.rel_prelude("deeplift") + """
+SELECT r.noun_id, round(sum(r.r), 6) AS sum_r, round(max(s.s1) - max(pb.p), 6) AS delta_p
+FROM rel r JOIN score1 s ON s.noun_id = r.noun_id JOIN pbase pb ON pb.class_idx = s.pred GROUP BY r.noun_id""")
+def q_completeness(spark, sf_dir):
+    """Sum of DeepLIFT relevance versus p(x) - p(baseline) of the predicted class."""
+    from chronoscope.plans.pipeline import expected_value
+    pr = prepared(spark, sf_dir, "emb")
+    rel = relevance(pr, "deeplift").groupBy("noun_id").agg(F.sum("r").alias("sum_r"))
+    ev = expected_value(pr, "deeplift")
+    return rel.join(pr.score1, "noun_id").join(ev, "noun_id").select(
+        "noun_id", r6("sum_r").alias("sum_r"), r6(F.col("s1") - F.col("expected_value")).alias("delta_p"))
