@@ -272,3 +272,162 @@ EXPECTED_KIND = {"deepliftshap": "set", "gradshap": "set", "saliency": "none", "
 
 def rel_prelude(method: str, signal: str = "emb", *more: str) -> str:
     return prelude(signal, SPLIT, SCALER, ENCODER, MODEL, BASES, REL[method], *more)
+
+
+# --- corruption sweep ----------------------------------------------------------------------------
+
+K_VALUES = [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95, 1.0]
+
+
+def grid_values() -> str:
+    rows = []
+    for mi, mask in enumerate(("top", "bottom")):
+        for ki, k in enumerate(K_VALUES):
+            q = (1 - k) if mask == "top" else k
+            rows.append(f"({mi * 11 + ki}, '{mask}', {k!r}, {q!r})")
+    return ", ".join(rows)
+
+
+def simpson_sql(name: str, src: str, keys: str, order: str, y: str, x: str | None = None) -> str:
+    """Two CTEs: {name}_t (terms) and {name} (keys..., simp)."""
+    w = f"(PARTITION BY {keys} ORDER BY {order})"
+    if x is None:
+        term = f"({y} + 4.0 * lead({y}, 1) OVER {w} + lead({y}, 2) OVER {w}) / 3.0"
+        trap = f"0.5 * ({y} + lead({y}, 1) OVER {w})"
+        extra = ""
+    else:
+        h0 = f"(lead({x}, 1) OVER {w} - {x})"
+        h1 = f"(lead({x}, 2) OVER {w} - lead({x}, 1) OVER {w})"
+        extra = f", {h0} AS h0, {h1} AS h1, lead({y}, 1) OVER {w} AS y1, lead({y}, 2) OVER {w} AS y2"
+        term = None
+        trap = f"0.5 * {h0} * ({y} + lead({y}, 1) OVER {w})"
+    if term is None:
+        t_cte = f"""{name}_r AS (SELECT {keys}, {y} AS y0, row_number() OVER {w} - 1 AS i,
+                    count(*) OVER (PARTITION BY {keys}) AS n, {trap} AS trap{extra} FROM {src}),
+{name}_t AS (SELECT {keys}, i, n, trap,
+   (h0 + h1) / 6.0 * (y0 * (2.0 - CASE WHEN (CASE WHEN h1 <> 0 THEN h0 / h1 ELSE 0.0 END) <> 0
+                                         THEN 1.0 / (CASE WHEN h1 <> 0 THEN h0 / h1 ELSE 0.0 END) ELSE 0.0 END)
+                    + y1 * ((h0 + h1) * CASE WHEN h0 * h1 <> 0 THEN (h0 + h1) / (h0 * h1) ELSE 0.0 END)
+                    + y2 * (2.0 - CASE WHEN h1 <> 0 THEN h0 / h1 ELSE 0.0 END)) AS term FROM {name}_r)"""
+    else:
+        t_cte = f"""{name}_t AS (SELECT {keys}, row_number() OVER {w} - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n,
+                    {term} AS term, {trap} AS trap FROM {src})"""
+    return t_cte + f""",
+{name} AS (SELECT {keys}, CASE WHEN max(n) % 2 = 1
+      THEN sum(CASE WHEN i % 2 = 0 AND i <= n - 3 THEN term ELSE 0.0 END)
+      ELSE (sum(CASE WHEN i % 2 = 0 AND i <= n - 4 THEN term ELSE 0.0 END) + sum(CASE WHEN i = n - 2 THEN trap ELSE 0.0 END)
+          + sum(CASE WHEN i % 2 = 1 AND i <= n - 3 THEN term ELSE 0.0 END) + sum(CASE WHEN i = 0 THEN trap ELSE 0.0 END)) / 2.0
+      END AS simp FROM {name}_t GROUP BY {keys})"""
+
+
+def multi_rel(methods) -> str:
+    """rel(method, ...) and expv(method, ...) over several methods."""
+    parts = []
+    for m in methods:
+        body = REL[m].replace("\nrel AS (", f"\nrel_{m} AS (")
+        parts.append(body)
+        parts.append(EXPECTED[EXPECTED_KIND[m]].replace("expv AS (", f"expv_{m} AS (", 1))
+    parts.append("rel AS (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS method, noun_id, feature, t, x, r FROM rel_{m}" for m in methods) + ")")
+    parts.append("expv AS (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS method, noun_id, expected_value FROM expv_{m}" for m in methods) + ")")
+    return ",".join(parts)
+
+
+SWEEP = f"""
+grid AS (SELECT * FROM (VALUES {grid_values()}) v(g, mask, k, q)),
+relr AS (SELECT method, noun_id, feature, t, x, round(r, 9) AS r FROM rel),
+stats AS (
+  SELECT method, noun_id, min(r) AS min_Rx, max(r) AS max_Rx, avg(r) AS mean_Rx, quantile_cont(r, 0.5) AS median_Rx,
+         coalesce(sum(CASE WHEN r < 0 THEN r END), 0.0) AS sum_rel_neg, coalesce(sum(CASE WHEN r >= 0 THEN r END), 0.0) AS sum_rel_pos,
+         count(CASE WHEN r >= 0 THEN r END) AS n_nonneg, max(t) + 1 AS n_steps, count(DISTINCT feature) AS n_feat
+  FROM relr GROUP BY method, noun_id HAVING count(CASE WHEN r >= 0 THEN r END) > 0),
+thr_l AS (SELECT method, noun_id, quantile_cont(r, [{", ".join(repr((1 - k)) for k in K_VALUES)}, {", ".join(repr(k) for k in K_VALUES)}]) AS ql
+          FROM relr WHERE r >= 0 GROUP BY method, noun_id),
+thr AS (SELECT l.method, l.noun_id, g.g, l.ql[g.g + 1] AS thr FROM thr_l l, grid g),
+kept AS (
+  SELECT r.method, r.noun_id, th.g, r.feature, r.t, r.x, r.r FROM relr r
+  JOIN thr th ON r.method = th.method AND r.noun_id = th.noun_id
+  WHERE r.r >= 0 AND ((th.g < 11 AND r.r >= th.thr - 1e-9) OR (th.g >= 11 AND r.r <= th.thr + 1e-9))),
+runs AS (
+  SELECT method, noun_id, g, feature, avg(len) AS mean_run, sum(len) AS n_kept FROM (
+    SELECT method, noun_id, g, feature, isl, count(*) AS len FROM (
+      SELECT *, t - row_number() OVER (PARTITION BY method, noun_id, g, feature ORDER BY t) AS isl FROM kept)
+    GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4),
+{simpson_sql("simp_k", "kept", "method, noun_id, g, feature", "t", "r")},
+{simpson_sql("simp_a", "(SELECT * FROM relr WHERE r >= 0)", "method, noun_id, feature", "t", "r")},
+fm AS (SELECT ru.method, ru.noun_id, ru.g, ru.feature, ru.n_kept, ru.mean_run, sk.simp / (sa.simp + 1e-12) AS tic
+       FROM runs ru JOIN simp_k sk ON ru.method = sk.method AND ru.noun_id = sk.noun_id AND ru.g = sk.g AND ru.feature = sk.feature
+       JOIN simp_a sa ON ru.method = sa.method AND ru.noun_id = sa.noun_id AND ru.feature = sa.feature),
+sm AS (
+  SELECT f.method, f.noun_id, f.g, sum(f.n_kept) / s.n_feat AS mean_n_pts_removed,
+         sum(f.n_kept) / (s.n_feat * s.n_steps) AS mean_ratio_pts_removed, sum(f.tic) / s.n_feat AS mean_tic,
+         CAST(round_even((sum(greatest(f.mean_run, 1.0)) + (s.n_feat - count(*))) / s.n_feat, 0) AS INTEGER) AS block_size,
+         sum(f.n_kept) / (s.n_feat * s.n_steps) AS drop_prob, s.n_feat, s.n_steps
+  FROM fm f JOIN stats s ON f.method = s.method AND f.noun_id = s.noun_id
+  GROUP BY f.method, f.noun_id, f.g, s.n_feat, s.n_steps),
+d2 AS (
+  SELECT k.method, k.noun_id, k.g, w.class_idx,
+         sum(w.w * ({normal_sql("'corrupt'", 'k.g', 'k.noun_id', 'k.feature', 'k.t')} - k.x)) AS d
+  FROM kept k JOIN wmodel w ON w.feature = k.feature AND w.t = k.t GROUP BY 1, 2, 3, 4),
+par AS (SELECT method, noun_id, g, drop_prob, block_size, n_steps, n_feat,
+               least(greatest(drop_prob / block_size * (n_steps / (n_steps - block_size + 1)) * 1.2, 0.0), 1.0) AS gamma FROM sm),
+rb AS (
+  SELECT r.method, r.noun_id, p.g, a.a, r.feature, r.t, r.x, p.block_size, p.n_steps,
+         {u_sql("'rb'", 'p.g', 'r.noun_id', 'a.a', 'r.feature', 'r.t')} < p.gamma AS seed
+  FROM relr r JOIN par p ON r.method = p.method AND r.noun_id = p.noun_id CROSS JOIN range(26) AS a(a)),
+rbm AS (
+  SELECT *,
+    coalesce(t - max(CASE WHEN seed THEN t END) OVER (PARTITION BY method, noun_id, g, a, feature ORDER BY t
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= floor(block_size / 2), false)
+    OR coalesce(min(CASE WHEN seed THEN t END) OVER (PARTITION BY method, noun_id, g, a, feature ORDER BY t
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - t <= block_size - 1 - floor(block_size / 2), false) AS m
+  FROM rb),
+rb_feat AS (
+  SELECT method, noun_id, g, a, feature, sum(CASE WHEN m THEN 1 ELSE 0 END) AS nm,
+         CASE WHEN max(block_size) % 2 = 0 AND max(CASE WHEN seed THEN t END) >= max(n_steps) - max(block_size) / 2 THEN 1 ELSE 0 END AS extra
+  FROM rbm GROUP BY 1, 2, 3, 4, 5),
+rb_att AS (
+  SELECT f.method, f.noun_id, f.g, f.a, abs(max(p.drop_prob) - (sum(f.nm) + sum(f.extra)) / (max(p.n_feat) * max(p.n_steps))) AS diff
+  FROM rb_feat f JOIN par p ON f.method = p.method AND f.noun_id = p.noun_id AND f.g = p.g GROUP BY 1, 2, 3, 4),
+rb_pick AS (SELECT method, noun_id, g, coalesce(min(CASE WHEN diff <= 0.05 THEN a END), first(a ORDER BY diff, a)) AS a
+            FROM rb_att GROUP BY 1, 2, 3),
+d3 AS (
+  SELECT m.method, m.noun_id, m.g, w.class_idx,
+         sum(w.w * ({normal_sql("'random'", 'm.g', 'm.noun_id', 'm.feature', 'm.t')} - m.x)) AS d
+  FROM rbm m JOIN rb_pick k ON m.method = k.method AND m.noun_id = k.noun_id AND m.g = k.g AND m.a = k.a
+  JOIN wmodel w ON w.feature = m.feature AND w.t = m.t WHERE m.m GROUP BY 1, 2, 3, 4),
+zz AS (
+  SELECT s.method, s.noun_id, s.g, p.class_idx, p.z + d2.d AS z2, p.z + coalesce(d3.d, 0.0) AS z3
+  FROM sm s JOIN p1 p ON p.noun_id = s.noun_id
+  JOIN d2 ON d2.method = s.method AND d2.noun_id = s.noun_id AND d2.g = s.g AND d2.class_idx = p.class_idx
+  LEFT JOIN d3 ON d3.method = s.method AND d3.noun_id = s.noun_id AND d3.g = s.g AND d3.class_idx = p.class_idx),
+zzc AS (SELECT *, z2 - max(z2) OVER (PARTITION BY method, noun_id, g) AS c2, z3 - max(z3) OVER (PARTITION BY method, noun_id, g) AS c3 FROM zz),
+pp AS (SELECT method, noun_id, g, class_idx, exp(c2) / sum(exp(c2)) OVER (PARTITION BY method, noun_id, g) AS p2,
+              exp(c3) / sum(exp(c3)) OVER (PARTITION BY method, noun_id, g) AS p3 FROM zzc),
+ppa AS (SELECT pp.method, pp.noun_id, pp.g, max(CASE WHEN pp.class_idx = s.pred THEN p2 END) AS s2,
+               max(CASE WHEN pp.class_idx = s.pred THEN p3 END) AS s3,
+               first(pp.class_idx ORDER BY p2 DESC, pp.class_idx) AS pred2, first(pp.class_idx ORDER BY p3 DESC, pp.class_idx) AS pred3
+        FROM pp JOIN score1 s ON s.noun_id = pp.noun_id GROUP BY 1, 2, 3),
+results AS (
+  SELECT s.method, g.mask, g.k, s.noun_id, e.target AS class_name, st.min_Rx, st.max_Rx, st.mean_Rx, st.median_Rx,
+         s.mean_n_pts_removed, s.mean_ratio_pts_removed, s.mean_tic, ev.expected_value AS sample_expected_values,
+         st.sum_rel_neg, st.sum_rel_pos, s1.s1 AS score1, a.s2 AS score2, a.s3 AS score3,
+         s1.s1 - a.s2 AS delta_score1, s1.s1 - a.s3 AS delta_score2,
+         s1.pred = l.class_idx AS initial_classification, a.pred2 = l.class_idx AS modified_classification,
+         a.pred3 = l.class_idx AS random_classification,
+         (s1.s1 - a.s2) / s1.s1 AS metric_score, (s1.s1 - a.s3) / s1.s1 AS metric_score_random, s.block_size, s.drop_prob
+  FROM sm s JOIN grid g ON g.g = s.g JOIN ppa a ON a.method = s.method AND a.noun_id = s.noun_id AND a.g = s.g
+  JOIN score1 s1 ON s1.noun_id = s.noun_id JOIN stats st ON st.method = s.method AND st.noun_id = s.noun_id
+  JOIN labelled l ON l.noun_id = s.noun_id JOIN encoder e ON e.class_idx = s1.pred
+  JOIN expv ev ON ev.method = s.method AND ev.noun_id = s.noun_id),
+resn AS (
+  SELECT r.*, ref.score2 AS score_onlyrel_neg,
+         CASE WHEN r.k <> 1.0 THEN least(greatest(
+           CASE WHEN r.score1 - ref.score2 <> 0 THEN r.delta_score1 / (r.score1 - ref.score2)
+                WHEN r.delta_score1 > 0 THEN 1.0 WHEN r.delta_score1 < 0 THEN 0.0 END, 0.0), 1.0) END AS metric_normalised
+  FROM results r LEFT JOIN results ref ON ref.method = r.method AND ref.mask = r.mask AND ref.noun_id = r.noun_id AND ref.k = 1.0)"""
+
+
+def sweep_prelude(methods, signal: str = "emb", *more: str) -> str:
+    return prelude(signal, SPLIT, SCALER, ENCODER, MODEL, BASES, multi_rel(methods), SWEEP, *more)

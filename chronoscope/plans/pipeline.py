@@ -19,9 +19,18 @@ from pyspark.sql import functions as F
 
 from chronoscope.operators import model as M
 from chronoscope.operators import prepare as P
+from chronoscope.session import checkpoint_dir
 from chronoscope.sources.signals import signal_set
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage at a stage boundary: reliable checkpoint into the cluster's shared
+    spark.checkpoint.dir (set only when the session has none). Survives executor loss,
+    and later stages stop re-running the upstream plan (scalar subqueries included)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 @dataclass
 class Prepared:
     spark: SparkSession
@@ -42,7 +51,7 @@ class Prepared:
 
     @cached_property
     def split(self) -> DataFrame:
-        return P.assign_split(self.targets)
+        return materialize(P.assign_split(self.targets))
 
     @property
     def train_ids(self) -> DataFrame:
@@ -54,7 +63,7 @@ class Prepared:
 
     @cached_property
     def scaler(self) -> DataFrame:
-        return P.fit_scaler(self.cells, self.train_ids)
+        return materialize(P.fit_scaler(self.cells, self.train_ids))
 
     @cached_property
     def std_cells(self) -> DataFrame:
@@ -62,15 +71,16 @@ class Prepared:
 
     @cached_property
     def encoder(self) -> DataFrame:
-        return P.fit_encoder(self.targets, self.train_ids)
+        return materialize(P.fit_encoder(self.targets, self.train_ids))
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return P.encode_targets(self.targets, self.encoder)
+        return materialize(P.encode_targets(self.targets, self.encoder))
 
     @cached_property
     def model(self):
-        return M.fit_centroid(self.std_cells, self.labelled, self.train_ids)
+        W, B = M.fit_centroid(self.std_cells, self.labelled, self.train_ids)
+        return materialize(W), materialize(B)
 
     @property
     def W(self) -> DataFrame:
@@ -82,12 +92,12 @@ class Prepared:
 
     @cached_property
     def test_cells(self) -> DataFrame:
-        return self.std_cells.join(self.test_ids, "noun_id", "left_semi").repartition("noun_id")
+        return materialize(self.std_cells.join(self.test_ids, "noun_id", "left_semi").repartition("noun_id"))
 
     @cached_property
     def p1(self) -> DataFrame:
         """(noun_id, class_idx, z, p) on the test split."""
-        return M.scores(self.test_cells, self.W, self.B)
+        return materialize(M.scores(self.test_cells, self.W, self.B))
 
     @cached_property
     def score1(self) -> DataFrame:
@@ -112,14 +122,21 @@ def prepared(spark: SparkSession, sf_dir: str, signal: str = "emb") -> Prepared:
 def _state(pr: Prepared):
     from chronoscope.operators import attribute as A
     if "_state" not in pr.__dict__:
-        pr.__dict__["_state"] = A.sample_state(pr.p1, pr.score1)
-        pr.__dict__["_base_random"] = A.baseline_random(pr.W)
-        pr.__dict__["_base_sample"] = A.baseline_sample(pr.test_cells)
+        pr.__dict__["_state"] = materialize(A.sample_state(pr.p1, pr.score1))
+        pr.__dict__["_base_random"] = materialize(A.baseline_random(pr.W))
+        pr.__dict__["_base_sample"] = materialize(A.baseline_sample(pr.test_cells))
     return pr.__dict__["_state"], pr.__dict__["_base_random"], pr.__dict__["_base_sample"]
 
 
 def relevance(pr: Prepared, method: str) -> DataFrame:
-    """(noun_id, feature, t, x, r) of the test split for one method (J18 dispatch)."""
+    """(noun_id, feature, t, x, r) of the test split for one method (J18 dispatch), materialized."""
+    key = ("_rel", method)
+    if key not in pr.__dict__:
+        pr.__dict__[key] = materialize(_relevance(pr, method))
+    return pr.__dict__[key]
+
+
+def _relevance(pr: Prepared, method: str) -> DataFrame:
     from chronoscope.operators import attribute as A
     st, brand, bsamp = _state(pr)
     c, W, B = pr.test_cells, pr.W, pr.B
@@ -148,3 +165,25 @@ def expected_value(pr: Prepared, method: str) -> DataFrame:
     if method in ("saliency", "lrp"):
         return st.select("noun_id", F.lit(None).cast("double").alias("expected_value"))
     return A.expected_value_single(brand, pr.W, pr.B, st)
+
+
+# ---- corruption sweep --------------------------------------------------------------------------
+
+SWEEP_METHODS = ("integrated_gradients", "deeplift", "deepliftshap", "gradshap", "shapleyvalue")
+
+
+def sweep_results(pr: Prepared, methods=SWEEP_METHODS) -> DataFrame:
+    """K3: per (method, mask, k, noun_id) result rows with metric_normalised."""
+    from chronoscope.operators import corrupt as C
+    key = ("_sweep", tuple(methods))
+    if key not in pr.__dict__:
+        st, _, _ = _state(pr)
+        parts = []
+        for m in methods:
+            res = C.corruption_results(relevance(pr, m), pr.W, st, pr.labelled, pr.encoder, expected_value(pr, m))
+            parts.append(res.select(F.lit(m).alias("method"), "*"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        pr.__dict__[key] = materialize(C.add_metric_normalised(out))
+    return pr.__dict__[key]

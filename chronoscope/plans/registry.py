@@ -183,3 +183,78 @@ def q_completeness(spark, sf_dir):
     ev = expected_value(pr, "deeplift")
     return rel.join(pr.score1, "noun_id").join(ev, "noun_id").select(
         "noun_id", r6("sum_r").alias("sum_r"), r6(F.col("s1") - F.col("expected_value")).alias("delta_p"))
+
+
+# ---- D5-D16, K2, K3: corruption sweep --------------------------------------------------------------
+
+from chronoscope.operators import corrupt as C  # noqa: E402
+from chronoscope.plans.pipeline import sweep_results  # noqa: E402
+
+_IG = ["integrated_gradients"]
+
+
+def _ig_rel(spark, sf_dir):
+    return C.prepare_rel(relevance(prepared(spark, sf_dir, "emb"), "integrated_gradients"))
+
+
+@register("rel_stats", O.sweep_prelude(_IG) + """
+SELECT noun_id, round(min_Rx, 6) AS min_Rx, round(max_Rx, 6) AS max_Rx, round(mean_Rx, 6) AS mean_Rx,
+       round(median_Rx, 6) AS median_Rx, round(sum_rel_neg, 6) AS sum_rel_neg, round(sum_rel_pos, 6) AS sum_rel_pos, n_nonneg
+FROM stats""")
+def q_rel_stats(spark, sf_dir):
+    s = C.relevance_stats(_ig_rel(spark, sf_dir))
+    return s.select("noun_id", *[r6(c).alias(c) for c in ["min_Rx", "max_Rx", "mean_Rx", "median_Rx", "sum_rel_neg", "sum_rel_pos"]], "n_nonneg")
+
+
+@register("rel_threshold", O.sweep_prelude(_IG) + "\nSELECT noun_id, CAST(g AS BIGINT) AS g, round(thr, 6) AS thr FROM thr")
+def q_rel_threshold(spark, sf_dir):
+    s = C.relevance_stats(_ig_rel(spark, sf_dir))
+    return s.select("noun_id", F.posexplode("thr").alias("g", "thr")).select(
+        "noun_id", F.col("g").cast("bigint").alias("g"), r6("thr").alias("thr"))
+
+
+@register("kept_points", O.sweep_prelude(_IG) + """
+SELECT noun_id, CAST(g AS BIGINT) AS g, feature, count(*) AS n_kept FROM kept GROUP BY noun_id, g, feature""")
+def q_kept_points(spark, sf_dir):
+    rel = _ig_rel(spark, sf_dir)
+    return C.kept_cells(rel, C.relevance_stats(rel)).groupBy("noun_id", "g", "feature").agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@register("islands", O.sweep_prelude(_IG) + """
+SELECT noun_id, CAST(g AS BIGINT) AS g, feature, round(mean_run, 6) AS mean_run, CAST(n_kept AS BIGINT) AS n_kept, round(tic, 6) AS tic FROM fm""")
+def q_islands(spark, sf_dir):
+    rel = _ig_rel(spark, sf_dir)
+    fm = C.feature_metrics(C.kept_cells(rel, C.relevance_stats(rel)), rel)
+    return fm.select("noun_id", "g", "feature", r6("mean_run").alias("mean_run"), F.col("n_kept").cast("bigint").alias("n_kept"), r6("tic").alias("tic"))
+
+
+@register("tic", O.sweep_prelude(_IG) + """
+SELECT noun_id, CAST(g AS BIGINT) AS g, round(mean_n_pts_removed, 6) AS mean_n_pts_removed,
+       round(mean_ratio_pts_removed, 6) AS mean_ratio_pts_removed, round(mean_tic, 6) AS mean_tic,
+       block_size, round(drop_prob, 6) AS drop_prob FROM sm""")
+def q_tic(spark, sf_dir):
+    rel = _ig_rel(spark, sf_dir)
+    st = C.relevance_stats(rel)
+    sm = C.sample_metrics(C.feature_metrics(C.kept_cells(rel, st), rel), st)
+    return sm.select("noun_id", "g", *[r6(c).alias(c) for c in ["mean_n_pts_removed", "mean_ratio_pts_removed", "mean_tic"]],
+                     "block_size", r6("drop_prob").alias("drop_prob"))
+
+
+_RESULT_DOUBLES = ["k", "min_Rx", "max_Rx", "mean_Rx", "median_Rx", "mean_n_pts_removed", "mean_ratio_pts_removed", "mean_tic",
+                   "sample_expected_values", "sum_rel_neg", "sum_rel_pos", "score1", "score2", "score3", "delta_score1",
+                   "delta_score2", "metric_score", "metric_score_random", "drop_prob", "score_onlyrel_neg", "metric_normalised"]
+_RESULT_OTHER = ["method", "mask", "noun_id", "class_name", "initial_classification", "modified_classification",
+                 "random_classification", "block_size"]
+
+
+def _result_select_sql(src: str) -> str:
+    return "SELECT " + ", ".join(_RESULT_OTHER + [f"round({c}, 6) AS {c}" for c in _RESULT_DOUBLES]) + f" FROM {src}"
+
+
+def _result_select(df):
+    return df.select(*_RESULT_OTHER, *[r6(c).alias(c) for c in _RESULT_DOUBLES])
+
+
+@register("corruption_sweep", O.sweep_prelude(_IG) + "\n" + _result_select_sql("resn"))
+def q_corruption_sweep(spark, sf_dir):
+    return _result_select(sweep_results(prepared(spark, sf_dir, "emb"), tuple(_IG)))
