@@ -431,3 +431,75 @@ resn AS (
 
 def sweep_prelude(methods, signal: str = "emb", *more: str) -> str:
     return prelude(signal, SPLIT, SCALER, ENCODER, MODEL, BASES, multi_rel(methods), SWEEP, *more)
+
+
+# --- summaries -----------------------------------------------------------------------------------
+
+_MEANS = ["mean_n_pts_removed", "mean_ratio_pts_removed", "mean_tic", "score1", "delta_score1", "delta_score2",
+          "metric_score", "metric_score_random"]
+_ACCS = ["initial_classification", "modified_classification", "random_classification"]
+
+SUMMARY = ("\nsumm0 AS (SELECT method, mask, k, " + ", ".join(f"avg({c}) AS {c}" for c in _MEANS)
+           + ", avg(metric_normalised) AS metric_normalised, "
+           + ", ".join(f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) AS {c}" for c in _ACCS)
+           + " FROM resn GROUP BY method, mask, k),\nsumm AS (SELECT method, mask, k, "
+           + ", ".join(c if c != "metric_score" else
+                       "CASE WHEN mask = 'bottom' THEN greatest(metric_score, 0.0) ELSE metric_score END AS metric_score"
+                       for c in _MEANS)
+           + ", metric_normalised, " + ", ".join(_ACCS) + " FROM summ0)")
+
+
+def _curve_sql(name: str, mask: str, y: str, end_y: str | None, where: str = "") -> str:
+    src = f"(SELECT * FROM summ WHERE mask = '{mask}'{where})"
+    parts = [f"SELECT method, 0 AS i, 0.0 AS x, 0.0 AS y FROM (SELECT DISTINCT method FROM {src})",
+             f"SELECT method, row_number() OVER (PARTITION BY method ORDER BY k) AS i, mean_ratio_pts_removed AS x, {y} AS y FROM {src}"]
+    if end_y:
+        parts.append(f"SELECT method, count(*) + 1 AS i, 1.0 AS x, arg_max({end_y}, k) AS y FROM {src} GROUP BY method")
+    return f"{name} AS (SELECT method, '{name}' AS curve, i, x, y FROM (" + " UNION ALL ".join(parts) + "))"
+
+
+METRICS = ",\n".join([
+    _curve_sql("c_aucse", "top", "metric_score", "metric_score"),
+    "c_aucse_f AS (SELECT method, curve, i, x, y FROM (SELECT *, lead(x) OVER (PARTITION BY method, curve ORDER BY i) - x AS gap "
+    "FROM c_aucse) WHERE gap IS NULL OR gap >= 0.01)",
+    simpson_sql("s_aucse", "c_aucse_f", "method, curve", "i", "y", "x"),
+    _curve_sql("c_top", "top", "metric_score", None),
+    simpson_sql("s_top", "c_top", "method, curve", "i", "y", "x"),
+    _curve_sql("c_bot", "bottom", "metric_score", None),
+    simpson_sql("s_bot", "c_bot", "method, curve", "i", "y", "x"),
+    _curve_sql("c_rnd", "top", "metric_score_random", "metric_score", " AND method = 'integrated_gradients'"),
+    simpson_sql("s_rnd", "c_rnd", "method, curve", "i", "y", "x"),
+    """mmetrics AS (
+  SELECT a.method, a.simp AS AUCSE_top,
+         CASE WHEN t.simp + (1 - b.simp) <> 0 THEN t.simp * (1 - b.simp) / (t.simp + (1 - b.simp)) END AS F_score
+  FROM s_aucse a JOIN s_top t ON t.method = a.method JOIN s_bot b ON b.method = a.method
+  UNION ALL SELECT 'random' AS method, simp AS AUCSE_top, CAST(NULL AS DOUBLE) AS F_score FROM s_rnd)"""])
+
+MOMENTS = """
+mom_m AS (SELECT method, k, avg(metric_score) AS m FROM resn WHERE mask = 'top' AND k <= 0.95 GROUP BY method, k),
+mom_c AS (SELECT r.method, r.k, avg(power(r.metric_score - g.m, 2)) AS m2, avg(power(r.metric_score - g.m, 3)) AS m3,
+                 avg(power(r.metric_score - g.m, 4)) AS m4
+          FROM resn r JOIN mom_m g ON r.method = g.method AND r.k = g.k WHERE r.mask = 'top' GROUP BY r.method, r.k),
+mom AS (SELECT method, k, CASE WHEN m2 <> 0 THEN m3 / power(m2, 1.5) END AS skew,
+               CASE WHEN m2 <> 0 THEN m4 / (m2 * m2) - 3.0 END AS kurt FROM mom_c),
+moments AS (SELECT method, k, skew, kurt,
+   CASE WHEN max(skew) OVER () <> min(skew) OVER () THEN (skew - min(skew) OVER ()) / (max(skew) OVER () - min(skew) OVER ()) END AS skew_norm,
+   CASE WHEN max(kurt) OVER () <> min(kurt) OVER () THEN (kurt - min(kurt) OVER ()) / (max(kurt) OVER () - min(kurt) OVER ()) END AS kurt_norm
+   FROM mom),
+aucm AS (SELECT method, 1 - coalesce(sum(sseg), 0.0) AS aucskew, coalesce(sum(kseg), 0.0) AS auckurt FROM (
+   SELECT method, (lead(k) OVER w - k) * (skew_norm + lead(skew_norm) OVER w) / 2.0 AS sseg,
+                  (lead(k) OVER w - k) * (kurt_norm + lead(kurt_norm) OVER w) / 2.0 AS kseg
+   FROM moments WINDOW w AS (PARTITION BY method ORDER BY k)) GROUP BY method),
+dauc AS (SELECT method, sum(CASE WHEN mask = 'top' THEN seg ELSE -seg END) AS diff_auc FROM (
+   SELECT method, mask, coalesce((lead(mean_ratio_pts_removed) OVER w - mean_ratio_pts_removed)
+                                 * (metric_score + lead(metric_score) OVER w) / 2.0, 0.0) AS seg
+   FROM summ WINDOW w AS (PARTITION BY method, mask ORDER BY k)) GROUP BY method),
+xp0 AS (SELECT d.method, d.diff_auc, a.aucskew, a.auckurt FROM dauc d JOIN aucm a ON a.method = d.method),
+xp1 AS (SELECT *,
+   CASE WHEN max(diff_auc) OVER () <> min(diff_auc) OVER () THEN (diff_auc - min(diff_auc) OVER ()) / (max(diff_auc) OVER () - min(diff_auc) OVER ()) END AS n_diff,
+   CASE WHEN max(aucskew) OVER () <> min(aucskew) OVER () THEN (aucskew - min(aucskew) OVER ()) / (max(aucskew) OVER () - min(aucskew) OVER ()) END AS n_skew,
+   CASE WHEN max(auckurt) OVER () <> min(auckurt) OVER () THEN (auckurt - min(auckurt) OVER ()) / (max(auckurt) OVER () - min(auckurt) OVER ()) END AS n_kurt
+   FROM xp0),
+xp2 AS (SELECT *, 0.5 * n_diff + 0.4 * n_skew + 0.1 * n_kurt AS xpower_raw FROM xp1),
+xpow AS (SELECT *, CASE WHEN max(xpower_raw) OVER () <> min(xpower_raw) OVER ()
+   THEN (xpower_raw - min(xpower_raw) OVER ()) / (max(xpower_raw) OVER () - min(xpower_raw) OVER ()) END AS xpower FROM xp2)"""

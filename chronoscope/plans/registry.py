@@ -258,3 +258,116 @@ def _result_select(df):
 @register("corruption_sweep", O.sweep_prelude(_IG) + "\n" + _result_select_sql("resn"))
 def q_corruption_sweep(spark, sf_dir):
     return _result_select(sweep_results(prepared(spark, sf_dir, "emb"), tuple(_IG)))
+
+
+# ---- K4-K9: summaries ---------------------------------------------------------------------------
+
+from chronoscope.operators import summary as S  # noqa: E402
+from chronoscope.plans.pipeline import SWEEP_METHODS  # noqa: E402
+
+_ALL = list(SWEEP_METHODS)
+_SUM_PRE = O.sweep_prelude(_ALL, "emb", O.SUMMARY)
+_SUM_DOUBLES = ["k"] + S.MEAN_COLS + ["metric_normalised"] + S.ACC_COLS
+
+
+def _res(spark, sf_dir):
+    return sweep_results(prepared(spark, sf_dir, "emb"), tuple(_ALL))
+
+
+def _summ(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "emb")
+    key = "_summary"
+    if key not in pr.__dict__:
+        from chronoscope.plans.pipeline import materialize
+        pr.__dict__[key] = materialize(S.summary(_res(spark, sf_dir)))
+    return pr.__dict__[key]
+
+
+@register("metric_normalised", O.sweep_prelude(_ALL) + """
+SELECT method, mask, round(k, 6) AS k, noun_id, round(score_onlyrel_neg, 6) AS score_onlyrel_neg,
+       round(metric_normalised, 6) AS metric_normalised FROM resn""")
+def q_metric_normalised(spark, sf_dir):
+    return _res(spark, sf_dir).select("method", "mask", r6("k").alias("k"), "noun_id", r6("score_onlyrel_neg").alias("score_onlyrel_neg"),
+                                      r6("metric_normalised").alias("metric_normalised"))
+
+
+@register("summary", _SUM_PRE + "\nSELECT method, mask, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SUM_DOUBLES) + " FROM summ")
+def q_summary(spark, sf_dir):
+    return _summ(spark, sf_dir).select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
+
+
+_MM_PRE = O.sweep_prelude(_ALL, "emb", O.SUMMARY, O.METRICS)
+
+
+def _mm(spark, sf_dir):
+    return S.method_metrics(_summ(spark, sf_dir))
+
+
+@register("method_metrics", _MM_PRE + "\nSELECT method, round(AUCSE_top, 6) AS AUCSE_top, round(F_score, 6) AS F_score FROM mmetrics")
+def q_method_metrics(spark, sf_dir):
+    return _mm(spark, sf_dir).select("method", r6("AUCSE_top").alias("AUCSE_top"), r6("F_score").alias("F_score"))
+
+
+@register("aucse", _MM_PRE + "\nSELECT method, round(AUCSE_top, 6) AS AUCSE_top FROM mmetrics WHERE method <> 'random'")
+def q_aucse(spark, sf_dir):
+    return _mm(spark, sf_dir).where(F.col("method") != "random").select("method", r6("AUCSE_top").alias("AUCSE_top"))
+
+
+@register("f_score", _MM_PRE + "\nSELECT method, round(F_score, 6) AS F_score FROM mmetrics WHERE method <> 'random'")
+def q_f_score(spark, sf_dir):
+    return _mm(spark, sf_dir).where(F.col("method") != "random").select("method", r6("F_score").alias("F_score"))
+
+
+@register("random_row", _MM_PRE + "\nSELECT method, round(AUCSE_top, 6) AS AUCSE_top FROM mmetrics WHERE method = 'random'")
+def q_random_row(spark, sf_dir):
+    return _mm(spark, sf_dir).where(F.col("method") == "random").select("method", r6("AUCSE_top").alias("AUCSE_top"))
+
+
+_X_PRE = O.sweep_prelude(_ALL, "emb", O.SUMMARY, O.MOMENTS)
+
+
+@register("moment_curves", _X_PRE + """
+SELECT method, round(k, 6) AS k, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(skew_norm, 6) AS skew_norm,
+       round(kurt_norm, 6) AS kurt_norm FROM moments""")
+def q_moment_curves(spark, sf_dir):
+    m = S.moment_curves(_res(spark, sf_dir))
+    return m.select("method", *[r6(c).alias(c) for c in ["k", "skew", "kurt", "skew_norm", "kurt_norm"]])
+
+
+@register("auc_moments", _X_PRE + "\nSELECT method, round(aucskew, 6) AS aucskew, round(auckurt, 6) AS auckurt FROM aucm")
+def q_auc_moments(spark, sf_dir):
+    a = S.auc_moments(S.moment_curves(_res(spark, sf_dir)))
+    return a.select("method", r6("aucskew").alias("aucskew"), r6("auckurt").alias("auckurt"))
+
+
+@register("diff_auc", _X_PRE + "\nSELECT method, round(diff_auc, 6) AS diff_auc FROM dauc")
+def q_diff_auc(spark, sf_dir):
+    return S.diff_auc(_summ(spark, sf_dir)).select("method", r6("diff_auc").alias("diff_auc"))
+
+
+@register("xpower", _X_PRE + """
+SELECT method, round(diff_auc, 6) AS diff_auc, round(aucskew, 6) AS aucskew, round(auckurt, 6) AS auckurt,
+       round(xpower_raw, 6) AS xpower_raw, round(xpower, 6) AS xpower FROM xpow""")
+def q_xpower(spark, sf_dir):
+    x = S.xpower(_summ(spark, sf_dir), _res(spark, sf_dir))
+    return x.select("method", *[r6(c).alias(c) for c in ["diff_auc", "aucskew", "auckurt", "xpower_raw", "xpower"]])
+
+
+@register("best_method", _MM_PRE + """
+SELECT (SELECT first(method ORDER BY AUCSE_top DESC, method DESC) FROM mmetrics WHERE method <> 'random') AS best_aucse,
+       (SELECT first(method ORDER BY F_score DESC, method DESC) FROM mmetrics WHERE method <> 'random') AS best_f,
+       round((SELECT max(metric_score) FROM summ), 6) AS max_metric_score,
+       round((SELECT max(mean_ratio_pts_removed) FROM summ), 6) AS max_ratio,
+       (SELECT first(method || '__' || mask ORDER BY mean_ratio_pts_removed DESC, method || '__' || mask DESC) FROM summ) AS series_max_ratio""")
+def q_best_method(spark, sf_dir):
+    b = S.best_method(_mm(spark, sf_dir), _summ(spark, sf_dir))
+    return b.select("best_aucse", "best_f", r6("max_metric_score").alias("max_metric_score"), r6("max_ratio").alias("max_ratio"),
+                    "series_max_ratio")
+
+
+@register("drop_histogram", O.sweep_prelude(_ALL) + """
+SELECT method, round(k, 6) AS k, CAST(CASE WHEN metric_score < -1.0 THEN 0 WHEN metric_score >= 1.0 THEN 21
+            ELSE floor((metric_score - (-1.0)) / 2.0 * 20) + 1 END AS BIGINT) AS bucket, count(*) AS n
+FROM resn WHERE mask = 'top' GROUP BY ALL""")
+def q_drop_histogram(spark, sf_dir):
+    return S.drop_histogram(_res(spark, sf_dir)).select("method", r6("k").alias("k"), "bucket", "n")
