@@ -32,3 +32,12 @@ def global_rank(df: DataFrame, order_col: str, tie_cols: list[str], rank_col: st
         .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_bucket", "_rn", "_off")
     )
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition `df` on `cols` into spark.sql.shuffle.partitions parts before a stage that
+    expands every row (grid points x attempts x permutations). A numbered repartition is not
+    coalesced by AQE, so the expansion keeps its parallelism even when its input is small;
+    only the pre-expansion rows cross the shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)

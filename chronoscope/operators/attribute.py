@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoscope.functions.rand import normal, sort_key60, uniform
+from chronoscope.functions.ranking import spread
 from chronoscope.operators.model import softmax
 
 SEED = 42
@@ -68,12 +69,25 @@ def arr_mean(a: Column) -> Column:
 
 
 def arr_softmax(z: Column) -> Column:
+    """Softmax of an array in one expression (for small, once-per-row uses)."""
     m = F.array_max(z)
     e = F.transform(z, lambda v: F.exp(v - m))
     s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
     return F.transform(e, lambda v: v / s)
 
 
+def with_softmax(df: DataFrame, z: Column, out: str) -> DataFrame:
+    """Adds `out` = softmax(z) through staged columns: each intermediate array is computed once
+    per row (a nested expression would re-evaluate the max inside every lambda call)."""
+    t = f"_{out}"
+    return (df.withColumn(f"{t}_z", z)
+            .withColumn(f"{t}_m", F.array_max(f"{t}_z"))
+            .withColumn(f"{t}_e", F.transform(f"{t}_z", lambda v: F.exp(v - F.col(f"{t}_m"))))
+            .withColumn(f"{t}_s", F.aggregate(f"{t}_e", F.lit(0.0), lambda acc, v: acc + v))
+            .withColumn(out, F.transform(f"{t}_e", lambda v: v / F.col(f"{t}_s")))
+            .drop(f"{t}_z", f"{t}_m", f"{t}_e", f"{t}_s"))
+
+
 def at(a: Column, idx: Column) -> Column:
     """0-based element access."""
     return F.element_at(a, (idx + 1).cast("int"))
@@ -134,20 +148,25 @@ def saliency(cells, W, B, st) -> DataFrame:
     return j.select("noun_id", "feature", "t", "x", F.abs(g).alias("r"))
 
 
-def integrated_gradients(cells, W, B, st, base) -> DataFrame:
-    zb, _ = single_baseline_state(base, W, B)
+def integrated_gradients(cells, W, B, st, base, p1=None) -> DataFrame:
+    """IG with the 50-node Gauss-Legendre rule. For a linear model z(b + a(x - b)) = zb + a (zx - zb),
+    so the path integral needs per sample only A = sum_s g_s p_c(a_s) and B_k = sum_s g_s p_c(a_s) p_k(a_s):
+    rows (sample, node, class) with a window softmax, then r_j = (x_j - b_j)(w[c,j] A - sum_k B_k w[k,j])."""
+    zb = baseline_logits(base, W, B).select("class_idx", F.col("z").alias("zb"))
     nodes, weights = gauss_legendre()
     node = F.explode(F.arrays_zip(F.array(*[F.lit(v) for v in nodes]).alias("a"),
                                   F.array(*[F.lit(v) for v in weights]).alias("g")))
-    rows = st.withColumn("_zb", zb).select("noun_id", "pred", "z_arr", "_zb", node.alias("nd"))
-    pa = arr_softmax(F.zip_with(F.col("_zb"), F.col("z_arr"), lambda b, x: b + F.col("nd.a") * (x - b)))
-    rows = rows.withColumn("_pa", pa).withColumn("_pc", at(F.col("_pa"), F.col("pred")))
-    # A = sum_s g_s p_c(a_s); B_k = sum_s g_s p_c(a_s) p_k(a_s): per sample, exploded over classes
-    contrib = rows.select("noun_id", F.col("nd.g").alias("g"), "_pc", F.posexplode("_pa").alias("k", "pk"))
-    coef = contrib.groupBy("noun_id", "k").agg(F.sum(F.col("g") * F.col("_pc") * F.col("pk")).alias("bk"),
-                                               F.sum(F.col("g") * F.col("_pc")).alias("a"))
+    zx = spread(st, "noun_id").select("noun_id", "pred", F.posexplode("z_arr").alias("class_idx", "z"))
+    rows = zx.join(F.broadcast(zb), "class_idx").select("noun_id", "pred", "class_idx", "z", "zb", node.alias("nd"))
+    rows = rows.select("noun_id", "pred", "class_idx", F.col("nd.a").alias("a"), F.col("nd.g").alias("g"),
+                       (F.col("zb") + F.col("nd.a") * (F.col("z") - F.col("zb"))).alias("za"))
+    pa = softmax(rows, keys=("noun_id", "a"), zcol="za", out="pa")
+    wn = Window.partitionBy("noun_id", "a")
+    pa = pa.withColumn("pc", F.max(F.when(F.col("class_idx") == F.col("pred"), F.col("pa"))).over(wn))
+    coef = pa.groupBy("noun_id", "class_idx").agg(F.sum(F.col("g") * F.col("pc") * F.col("pa")).alias("bk"),
+                                                  F.sum(F.col("g") * F.col("pc")).alias("a"))
     coef = coef.groupBy("noun_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("k", "bk"))), lambda s: s["bk"]).alias("b_arr"),
+        F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "bk"))), lambda s: s["bk"]).alias("b_arr"),
         F.first("a").alias("a_coef"))
     j = _cells_w(cells, W).join(F.broadcast(base), ["feature", "t"]).join(st.select("noun_id", "pred"), "noun_id").join(coef, "noun_id")
     r = (F.col("x") - F.col("xb")) * (at(F.col("w_arr"), F.col("pred")) * F.col("a_coef") - arr_dot(F.col("b_arr"), F.col("w_arr")))
@@ -203,8 +222,8 @@ def gradshap(cells, W, B, st, bases, n_samples: int = GRADSHAP_SAMPLES, seed: in
     draws = draws.withColumn("bid", F.floor(uniform(seed, F.lit("gs_b"), "noun_id", "s") * nb).cast("bigint")) \
                  .withColumn("alpha", uniform(seed, F.lit("gs_a"), "noun_id", "s"))
     d = draws.join(bst, "bid")
-    pa = arr_softmax(F.zip_with(F.col("zb_arr"), F.col("z_arr"), lambda b, x: b + F.col("alpha") * (x - b)))
-    d = d.withColumn("_pa", pa).select("noun_id", "s", "bid", "pred", F.col("_pa"), at(F.col("_pa"), F.col("pred")).alias("_pc"))
+    za = F.zip_with(F.col("zb_arr"), F.col("z_arr"), lambda b, x: b + F.col("alpha") * (x - b))
+    d = with_softmax(d, za, "_pa").select("noun_id", "s", "bid", "pred", F.col("_pa"), at(F.col("_pa"), F.col("pred")).alias("_pc"))
     j = _cells_w(cells, W).join(d, "noun_id").join(F.broadcast(bases), ["bid", "feature", "t"])
     g = F.col("_pc") * (at(F.col("w_arr"), F.col("pred")) - arr_dot(F.col("_pa"), F.col("w_arr")))
     return j.groupBy("noun_id", "feature", "t").agg(
@@ -213,7 +232,7 @@ def gradshap(cells, W, B, st, bases, n_samples: int = GRADSHAP_SAMPLES, seed: in
 
 def shapley_sampling(cells, W, B, st, base, n_perm: int = SHAPLEY_PERMUTATIONS, seed: int = SEED) -> DataFrame:
     zb, pb = single_baseline_state(base, W, B)
-    c = cells.join(F.broadcast(base), ["feature", "t"]).join(st.select("noun_id", "pred"), "noun_id")
+    c = spread(cells.join(F.broadcast(base), ["feature", "t"]).join(st.select("noun_id", "pred"), "noun_id"), "noun_id")
     c = c.select("noun_id", "feature", "t", "x", "xb", "pred", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     c = c.withColumn("_o", sort_key60(seed, F.lit("sv"), "noun_id", "perm", "feature", "t"))
     cw = c.join(F.broadcast(W), ["feature", "t"]).withColumn("_d", F.col("w") * (F.col("x") - F.col("xb")))

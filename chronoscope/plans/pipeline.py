@@ -92,7 +92,10 @@ class Prepared:
 
     @cached_property
     def test_cells(self) -> DataFrame:
-        return materialize(self.std_cells.join(self.test_ids, "noun_id", "left_semi").repartition("noun_id"))
+        # explicit partition count: AQE must not coalesce this partitioning away, because later
+        # stages expand each sample (grid points x attempts x permutations) inside its task
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return materialize(self.std_cells.join(self.test_ids, "noun_id", "left_semi").repartition(n, "noun_id"))
 
     @cached_property
     def p1(self) -> DataFrame:
@@ -173,17 +176,19 @@ SWEEP_METHODS = ("integrated_gradients", "deeplift", "deepliftshap", "gradshap",
 
 
 def sweep_results(pr: Prepared, methods=SWEEP_METHODS) -> DataFrame:
-    """K3: per (method, mask, k, noun_id) result rows with metric_normalised."""
+    """K3: per (method, mask, k, noun_id) result rows with metric_normalised.
+    All methods run in one plan keyed by (method, noun_id)."""
     from chronoscope.operators import corrupt as C
     key = ("_sweep", tuple(methods))
     if key not in pr.__dict__:
         st, _, _ = _state(pr)
-        parts = []
+        rel = None
+        ev = None
         for m in methods:
-            res = C.corruption_results(relevance(pr, m), pr.W, st, pr.labelled, pr.encoder, expected_value(pr, m))
-            parts.append(res.select(F.lit(m).alias("method"), "*"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        pr.__dict__[key] = materialize(C.add_metric_normalised(out))
+            r = relevance(pr, m).select(F.lit(m).alias("method"), "*")
+            e = expected_value(pr, m).select(F.lit(m).alias("method"), "*")
+            rel = r if rel is None else rel.unionByName(r)
+            ev = e if ev is None else ev.unionByName(e)
+        res = C.corruption_results(rel, pr.W, st, pr.labelled, pr.encoder, ev)
+        pr.__dict__[key] = materialize(C.add_metric_normalised(res))
     return pr.__dict__[key]

@@ -194,7 +194,8 @@ _IG = ["integrated_gradients"]
 
 
 def _ig_rel(spark, sf_dir):
-    return C.prepare_rel(relevance(prepared(spark, sf_dir, "emb"), "integrated_gradients"))
+    rel = relevance(prepared(spark, sf_dir, "emb"), "integrated_gradients").withColumn("method", F.lit("integrated_gradients"))
+    return C.prepare_rel(rel)
 
 
 @register("rel_stats", O.sweep_prelude(_IG) + """
