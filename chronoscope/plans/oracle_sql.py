@@ -503,3 +503,42 @@ xp1 AS (SELECT *,
 xp2 AS (SELECT *, 0.5 * n_diff + 0.4 * n_skew + 0.1 * n_kurt AS xpower_raw FROM xp1),
 xpow AS (SELECT *, CASE WHEN max(xpower_raw) OVER () <> min(xpower_raw) OVER ()
    THEN (xpower_raw - min(xpower_raw) OVER ()) / (max(xpower_raw) OVER () - min(xpower_raw) OVER ()) END AS xpower FROM xp2)"""
+
+
+# --- augmentation ------------------------------------------------------------------------------------
+
+def block_mask_sql(src: str, p: float, b: int, factor: float, key: str) -> str:
+    """SELECT over `src` (noun_id, feature, t, x) adding m (masked) for a fixed (p, b)."""
+    return f"""(SELECT *, coalesce(t - max(CASE WHEN sd THEN t END) OVER (PARTITION BY noun_id, feature ORDER BY t
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {b // 2}, false)
+                 OR coalesce(min(CASE WHEN sd THEN t END) OVER (PARTITION BY noun_id, feature ORDER BY t
+                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - t <= {b - 1 - b // 2}, false) AS m
+   FROM (SELECT *, {u_sql(repr(key), 'noun_id', 'feature', 't')}
+                   < least(greatest({p!r} / {b} * (nT / (nT - {b} + 1)) * {factor!r}, 0.0), 1.0) AS sd
+         FROM (SELECT *, max(t) OVER (PARTITION BY noun_id, feature) + 1 AS nT FROM {src})))"""
+
+
+def enforce_sql(p: float, b: int) -> str:
+    """Random block with enforced fraction over `cells`, all 26 draws evaluated (CTE text)."""
+    return f"""
+eb_par AS (SELECT noun_id, max(t) + 1 AS n_steps, count(DISTINCT feature) AS n_feat,
+                  least(greatest({p!r} / {b} * ((max(t) + 1) / ((max(t) + 1) - {b} + 1)) * 1.2, 0.0), 1.0) AS gamma
+           FROM cells GROUP BY noun_id),
+eb AS (SELECT c.noun_id, a.a, c.feature, c.t, c.x, p.n_steps,
+              {u_sql("'rb'", '0', 'c.noun_id', 'a.a', 'c.feature', 'c.t')} < p.gamma AS sd
+       FROM cells c JOIN eb_par p ON c.noun_id = p.noun_id CROSS JOIN range(26) AS a(a)),
+ebm AS (SELECT *,
+    coalesce(t - max(CASE WHEN sd THEN t END) OVER (PARTITION BY noun_id, a, feature ORDER BY t
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {b // 2}, false)
+    OR coalesce(min(CASE WHEN sd THEN t END) OVER (PARTITION BY noun_id, a, feature ORDER BY t
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - t <= {b - 1 - b // 2}, false) AS m FROM eb),
+eb_feat AS (SELECT noun_id, a, feature, sum(CASE WHEN m THEN 1 ELSE 0 END) AS nm,
+                   CASE WHEN {b} % 2 = 0 AND max(CASE WHEN sd THEN t END) >= max(n_steps) - {b} / 2 THEN 1 ELSE 0 END AS extra
+            FROM ebm GROUP BY 1, 2, 3),
+eb_att AS (SELECT f.noun_id, f.a, abs({p!r} - (sum(f.nm) + sum(f.extra)) / (max(p.n_feat) * max(p.n_steps))) AS diff
+           FROM eb_feat f JOIN eb_par p ON f.noun_id = p.noun_id GROUP BY 1, 2),
+eb_pick AS (SELECT noun_id, coalesce(min(CASE WHEN diff <= 0.05 THEN a END), first(a ORDER BY diff, a)) AS a FROM eb_att GROUP BY 1),
+eb_out AS (SELECT c.noun_id, c.feature, c.t,
+                  CASE WHEN m.m THEN {normal_sql("'random'", '0', 'c.noun_id', 'c.feature', 'c.t')} ELSE c.x END AS x
+           FROM cells c JOIN eb_pick k ON k.noun_id = c.noun_id
+           JOIN ebm m ON m.noun_id = c.noun_id AND m.a = k.a AND m.feature = c.feature AND m.t = c.t)"""

@@ -372,3 +372,127 @@ SELECT method, round(k, 6) AS k, CAST(CASE WHEN metric_score < -1.0 THEN 0 WHEN
 FROM resn WHERE mask = 'top' GROUP BY ALL""")
 def q_drop_histogram(spark, sf_dir):
     return S.drop_histogram(_res(spark, sf_dir)).select("method", r6("k").alias("k"), "bucket", "n")
+
+
+# ---- I2-I15, D33: augmentation on the events signal set -------------------------------------------
+
+from chronoscope.operators import augment as AG  # noqa: E402
+
+_EVT = O.prelude("evt")
+
+
+def _evt_cells(spark, sf_dir):
+    return prepared(spark, sf_dir, "evt").cells
+
+
+def _cells_out(df):
+    return df.select("noun_id", "feature", "t", r6("x").alias("x"))
+
+
+_OUT = "SELECT noun_id, feature, t, round(x, 6) AS x FROM "
+
+
+@register("jitter", _EVT + "\n" + _OUT + f"""(SELECT noun_id, feature, t,
+   x + {O.normal_sql("'jitter'", 'noun_id', 'feature', 't')} * stddev_samp(x) OVER (PARTITION BY noun_id, feature) * 0.1 AS x FROM cells)""")
+def q_jitter(spark, sf_dir):
+    return _cells_out(AG.jitter(_evt_cells(spark, sf_dir)))
+
+
+@register("scaling", _EVT + "\n" + _OUT + f"""(SELECT noun_id, feature, t,
+   x * (1.0 + 0.1 * {O.normal_sql("'scaling'", 'noun_id', 'feature')}) AS x FROM cells)""")
+def q_scaling(spark, sf_dir):
+    return _cells_out(AG.scaling(_evt_cells(spark, sf_dir)))
+
+
+@register("flip_y", _EVT + "\n" + _OUT + f"""(SELECT noun_id, feature, t,
+   x * CASE WHEN {O.u_sql("'flip'", 'noun_id', 'feature')} < 0.5 THEN -1.0 ELSE 1.0 END AS x FROM cells)""")
+def q_flip_y(spark, sf_dir):
+    return _cells_out(AG.flip_y(_evt_cells(spark, sf_dir)))
+
+
+@register("shuffle_channel", _EVT + f""",
+feats AS (SELECT DISTINCT feature FROM cells),
+perm AS (SELECT feature AS src, row_number() OVER (ORDER BY {O.u_sql("'shuffle_channel'", 'feature')}, feature) - 1 AS dst FROM feats),
+rnk AS (SELECT feature AS pos, row_number() OVER (ORDER BY feature) - 1 AS dst FROM feats),
+m AS (SELECT p.src, r.pos AS new_feature FROM perm p JOIN rnk r ON p.dst = r.dst)
+SELECT c.noun_id, m.new_feature AS feature, c.t, round(c.x, 6) AS x FROM cells c JOIN m ON c.feature = m.src""")
+def q_shuffle_channel(spark, sf_dir):
+    return _cells_out(AG.shuffle_channel(_evt_cells(spark, sf_dir)))
+
+
+@register("window_slice", _EVT + f""",
+ser AS (SELECT noun_id, feature, max(t) + 1 AS nT FROM cells GROUP BY 1, 2),
+idx AS (SELECT noun_id, feature, nT, CAST(ceil(0.8 * nT) AS BIGINT) AS L, unnest(range(nT)) AS t FROM ser),
+src AS (SELECT noun_id, feature, t, CASE WHEN L >= nT THEN t
+          ELSE CAST(floor({O.u_sql("'window_slice'")} * (nT - L)) AS BIGINT) + CAST(floor(t * L / nT) AS BIGINT) END AS s FROM idx)
+SELECT src.noun_id, src.feature, CAST(src.t AS BIGINT) AS t, round(c.x, 6) AS x FROM src
+JOIN cells c ON c.noun_id = src.noun_id AND c.feature = src.feature AND c.t = src.s""")
+def q_window_slice(spark, sf_dir):
+    return _cells_out(AG.window_slice(_evt_cells(spark, sf_dir)))
+
+
+@register("drop_block", _EVT + "\n" + _OUT + "(SELECT noun_id, feature, t, CASE WHEN m THEN 0.0 ELSE x END AS x FROM "
+          + O.block_mask_sql("cells", 0.1, 7, 1.1, "drop_block") + ")")
+def q_drop_block(spark, sf_dir):
+    return _cells_out(AG.drop_block(_evt_cells(spark, sf_dir)))
+
+
+@register("random_block", _EVT + "\n" + _OUT + f"""(SELECT noun_id, feature, t,
+   CASE WHEN m THEN {O.normal_sql("'random_block_n'", 'noun_id', 'feature', 't')} ELSE x END AS x FROM """
+          + O.block_mask_sql("cells", 0.1, 7, 1.1, "random_block") + ")")
+def q_random_block(spark, sf_dir):
+    return _cells_out(AG.random_block(_evt_cells(spark, sf_dir)))
+
+
+@register("permute_block", _EVT + f""",
+pm AS (SELECT noun_id, feature, row_number() OVER (PARTITION BY noun_id, feature
+         ORDER BY {O.u_sql("'permute'", 'noun_id', 'feature', 't')}, t, x) - 1 AS pos, x AS px FROM cells),
+mk AS """ + O.block_mask_sql("cells", 0.1, 7, 1.2, "permute_block") + """
+SELECT mk.noun_id, mk.feature, mk.t, round(CASE WHEN mk.m THEN pm.px ELSE mk.x END, 6) AS x
+FROM mk JOIN pm ON pm.noun_id = mk.noun_id AND pm.feature = mk.feature AND pm.pos = mk.t""")
+def q_permute_block(spark, sf_dir):
+    return _cells_out(AG.permute_block(_evt_cells(spark, sf_dir)))
+
+
+@register("block_enforce", _EVT + "," + O.enforce_sql(0.1, 7) + "\n" + _OUT + "eb_out")
+def q_block_enforce(spark, sf_dir):
+    return _cells_out(AG.random_block_enforce(_evt_cells(spark, sf_dir)))
+
+
+@register("signal_power", _EVT + """
+SELECT noun_id, feature, round(CASE WHEN avg(x * x) > 0 THEN 10.0 * log10(avg(x * x)) END, 6) AS power_db
+FROM cells GROUP BY noun_id, feature""")
+def q_signal_power(spark, sf_dir):
+    return AG.signal_power(_evt_cells(spark, sf_dir)).select("noun_id", "feature", r6("power_db").alias("power_db"))
+
+
+@register("add_noise_snr", _EVT + "\n" + _OUT + f"""(SELECT noun_id, feature, t,
+   x + sqrt(CASE WHEN pw > 0 THEN power(10.0, (10.0 * log10(pw) - 20.0) / 10.0) ELSE 0.0 END)
+       * {O.normal_sql("'snr'", 'noun_id', 'feature', 't')} AS x
+   FROM (SELECT *, avg(x * x) OVER (PARTITION BY noun_id, feature) AS pw FROM cells))""")
+def q_add_noise_snr(spark, sf_dir):
+    return _cells_out(AG.add_noise_snr(_evt_cells(spark, sf_dir)))
+
+
+@register("inject_pattern", _EVT + f"""
+SELECT noun_id, feature, t, round(x + CASE WHEN i >= 0 AND i < n THEN sin({2 * 3.141592653589793 * 3!r} * i / greatest(n - 1, 1)) ELSE 0.0 END, 6) AS x,
+       CAST(st AS BIGINT) AS pattern_start
+FROM (SELECT *, t - st AS i FROM (SELECT *, floor({O.u_sql("'pattern'", 'noun_id')} * (nT - n + 1)) AS st FROM (
+      SELECT *, floor(0.5 * nT) AS n FROM (SELECT *, max(t) OVER (PARTITION BY noun_id, feature) + 1 AS nT FROM cells))))""")
+def q_inject_pattern(spark, sf_dir):
+    df = AG.inject_pattern(_evt_cells(spark, sf_dir))
+    return df.select("noun_id", "feature", "t", r6("x").alias("x"), "pattern_start")
+
+
+@register("weighted_choice", _EVT + f""",
+vals AS (SELECT event_type AS value, count(*) AS weight FROM events GROUP BY event_type),
+cum AS (SELECT value, sum(weight) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS cw, sum(weight) OVER () AS tot FROM vals),
+d AS (SELECT noun_id, dr.draw, {O.u_sql("'choice'", 'noun_id', 'dr.draw')} * (SELECT max(tot) FROM cum) AS uu
+      FROM (SELECT DISTINCT noun_id FROM cells) CROSS JOIN range(3) AS dr(draw))
+SELECT d.noun_id, CAST(d.draw AS INTEGER) AS draw, first(c.value ORDER BY c.cw) AS value FROM d JOIN cum c ON c.cw > d.uu
+GROUP BY d.noun_id, d.draw""")
+def q_weighted_choice(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    vals = ev.groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
+    ids = _evt_cells(spark, sf_dir).select("noun_id").distinct()
+    return AG.weighted_choice(ids, vals, 3)
