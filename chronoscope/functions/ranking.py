@@ -17,18 +17,21 @@ DEFAULT_BUCKET_BITS = 12  # 4,096 buckets; the offsets table is broadcast (bound
 
 
 def global_rank(df: DataFrame, order_col: str, tie_cols: list[str], rank_col: str = "rank",
-                bucket_bits: int = DEFAULT_BUCKET_BITS) -> DataFrame:
-    """Add a 1-based dense position by (order_col, *tie_cols); order_col is a 60-bit hash."""
+                bucket_bits: int = DEFAULT_BUCKET_BITS, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Add a 1-based position by (order_col, *tie_cols) within each group of `group_cols` (few,
+    bounded groups such as epochs); order_col is a uniform 60-bit hash."""
+    g = list(group_cols)
     b = df.withColumn("_bucket", F.shiftright(F.col(order_col), 60 - bucket_bits))
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = b.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # counts has at most groups x 2**bucket_bits rows
     offsets = counts.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
+        *g, "_bucket",
+        (F.sum("_n").over(Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, subset=["_off"])
-    w = Window.partitionBy("_bucket").orderBy(F.col(order_col), *[F.col(c) for c in tie_cols])
+    w = Window.partitionBy(*g, "_bucket").orderBy(F.col(order_col), *[F.col(c) for c in tie_cols])
     ranked = b.withColumn("_rn", F.row_number().over(w))
     return (
-        ranked.join(F.broadcast(offsets), "_bucket")
+        ranked.join(F.broadcast(offsets), [*g, "_bucket"])
         .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_bucket", "_rn", "_off")
     )

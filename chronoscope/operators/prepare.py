@@ -152,3 +152,29 @@ def select_class(labels: DataFrame, keep: list[str]) -> DataFrame:
     kept = F.array_sort(F.array_distinct(F.array_intersect(F.col("labels"), F.array(*[F.lit(k) for k in keep]))))
     joined = F.array_join(kept, ",")
     return labels.select("noun_id", F.when(F.size(kept) == 0, F.lit("0")).otherwise(joined).alias("target"))
+
+
+# --- B19 / B18 / F6 / F7: batching, sharding, epoch order --------------------------------------------
+
+def batch_limit(ids: DataFrame, batch_size: int, seed: int = SEED) -> DataFrame:
+    """(noun_id, batch_id): shuffled order, only full batches (floor(n / b) * b rows), batch_id =
+    floor((position - 1) / b). The partial tail batch is dropped as the reference loader does."""
+    keyed = ids.select("noun_id").withColumn("_h", sort_key60(seed, F.lit("batch"), "noun_id"))
+    ranked = global_rank(keyed, "_h", ["noun_id"], "pos")
+    n = ids.select(F.count(F.lit(1))).scalar()
+    full = F.floor(n / batch_size) * batch_size
+    return ranked.where(F.col("pos") <= full).select(
+        "noun_id", F.floor((F.col("pos") - 1) / batch_size).cast("bigint").alias("batch_id"))
+
+
+def shard_assign(ids: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
+    """(noun_id, shard): reader shard of every sample, pmod of its md5 draw."""
+    from chronoscope.functions.rand import uniform_int
+    return ids.select("noun_id", F.pmod(uniform_int(seed, F.lit("shard"), "noun_id"), F.lit(n_shards)).alias("shard"))
+
+
+def epoch_order(ids: DataFrame, n_epochs: int, seed: int = SEED) -> DataFrame:
+    """(epoch, noun_id, pos): a fresh shuffle per epoch (rows repeated once per epoch)."""
+    e = ids.select("noun_id", F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))).alias("epoch"))
+    e = e.withColumn("_h", sort_key60(seed, F.lit("epoch"), "epoch", "noun_id"))
+    return global_rank(e, "_h", ["noun_id"], "pos", group_cols=("epoch",)).select("epoch", "noun_id", "pos")

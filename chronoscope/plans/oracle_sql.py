@@ -542,3 +542,18 @@ eb_out AS (SELECT c.noun_id, c.feature, c.t,
                   CASE WHEN m.m THEN {normal_sql("'random'", '0', 'c.noun_id', 'c.feature', 'c.t')} ELSE c.x END AS x
            FROM cells c JOIN eb_pick k ON k.noun_id = c.noun_id
            JOIN ebm m ON m.noun_id = c.noun_id AND m.a = k.a AND m.feature = c.feature AND m.t = c.t)"""
+
+
+def resize_sql(n: int, crop: str) -> str:
+    """Body over `cells` (noun_id, feature, t, x) cropping every sample to n steps."""
+    def norm(e):
+        return f"least(greatest(CASE WHEN ({e}) < 0 THEN L + ({e}) ELSE ({e}) END, 0), L)"
+    if crop == "end":
+        lb, ub = "0", norm(str(n))
+    elif crop == "start":
+        lb, ub = norm(f"L - {n}"), "L"
+    else:
+        lb = norm(f"CASE WHEN ((L - {n}) % 2 + 2) % 2 <> 0 THEN floor((L - {n}) / 2) + 1 ELSE floor((L - {n}) / 2) END")
+        ub = norm(f"L - floor((L - {n}) / 2)")
+    return f"""SELECT noun_id, feature, CAST(t - lb AS BIGINT) AS t, round(x, 6) AS x FROM (
+  SELECT *, {lb} AS lb, {ub} AS ub FROM (SELECT *, max(t) OVER (PARTITION BY noun_id) + 1 AS L FROM cells)) WHERE t >= lb AND t < ub"""

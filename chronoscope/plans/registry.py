@@ -496,3 +496,95 @@ def q_weighted_choice(spark, sf_dir):
     vals = ev.groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
     ids = _evt_cells(spark, sf_dir).select("noun_id").distinct()
     return AG.weighted_choice(ids, vals, 3)
+
+
+# ---- B10 / B11 / D4 / I16 / B9 / G2: cropping, quantile labels, class selection -------------------------
+
+for _crop in ("end", "start", "both"):
+    def _mkcrop(crop):
+        def q(spark, sf_dir):
+            return _cells_out(P.resize(_evt_cells(spark, sf_dir), 25, crop))
+        return q
+    register(f"resize_{_crop}", _EVT + "\n" + O.resize_sql(25, _crop))(_mkcrop(_crop))
+
+
+@register("min_length_quantile", O.prelude("sup", O.SPLIT) + """
+SELECT CAST(floor(quantile_cont(L, 1.0 - 0.9)) AS BIGINT) AS min_length FROM (
+  SELECT noun_id, max(t) + 1 AS L FROM cells WHERE noun_id IN (SELECT noun_id FROM train_ids) GROUP BY noun_id)""")
+def q_min_length_quantile(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "sup")
+    lengths = P.sample_lengths(pr.cells.join(pr.train_ids, "noun_id", "left_semi"))
+    return spark.range(1).select(P.min_length_quantile(lengths, 0.9).alias("min_length"))
+
+
+@register("label_by_quantile", O.prelude("sup") + """
+SELECT t.noun_id, round(s.total, 6) AS total, t.target FROM targets t JOIN totals s ON s.noun_id = t.noun_id""")
+def q_label_by_quantile(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "sup")
+    totals = pr.cells.groupBy("noun_id").agg(F.sum("x").alias("total"))
+    return pr.targets.join(totals, "noun_id").select("noun_id", r6("total").alias("total"), "target")
+
+
+@register("class_thresholds", O.prelude("sup") + "\nSELECT round(q[1], 6) AS q50, round(q[2], 6) AS q100 FROM thr")
+def q_class_thresholds(spark, sf_dir):
+    totals = prepared(spark, sf_dir, "sup").cells.groupBy("noun_id").agg(F.sum("x").alias("total"))
+    thr = totals.agg(F.percentile("total", F.array(F.lit(0.5), F.lit(1.0))).alias("q"))
+    return thr.select(r6(F.col("q")[0]).alias("q50"), r6(F.col("q")[1]).alias("q100"))
+
+
+_KEEP = ["A", "R"]
+
+
+def _supplier_labels(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_returnflag")
+    return li.groupBy(F.col("l_suppkey").cast("bigint").alias("noun_id")).agg(F.collect_set("l_returnflag").alias("labels"))
+
+
+@register("select_class", """
+SELECT CAST(l_suppkey AS BIGINT) AS noun_id,
+       coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) FILTER (WHERE l_returnflag IN ('A', 'R')), '0') AS target
+FROM lineitem GROUP BY l_suppkey""")
+def q_select_class(spark, sf_dir):
+    return P.select_class(_supplier_labels(spark, sf_dir), _KEEP)
+
+
+@register("label_difference", "SELECT DISTINCT l_returnflag AS label FROM lineitem WHERE l_returnflag NOT IN ('A', 'R')")
+def q_label_difference(spark, sf_dir):
+    labels = _supplier_labels(spark, sf_dir).select(F.explode("labels").alias("label")).distinct()
+    keep = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in _KEEP])).alias("label"))
+    return labels.subtract(keep)
+
+
+# ---- B19 / B18 / F6 / F7 / G1: batching, shards, epochs, union of splits --------------------------------
+
+@register("batch_limit", O.prelude("emb", O.SPLIT) + f"""
+SELECT noun_id, CAST(floor((pos - 1) / 16) AS BIGINT) AS batch_id FROM (
+  SELECT noun_id, row_number() OVER (ORDER BY {O.key60_sql("'batch'", 'noun_id')}, noun_id) AS pos FROM train_ids)
+WHERE pos <= floor((SELECT count(*) FROM train_ids) / 16) * 16""")
+def q_batch_limit(spark, sf_dir):
+    return P.batch_limit(prepared(spark, sf_dir, "emb").train_ids, 16)
+
+
+@register("shard_assign", O.prelude("emb") + f"""
+SELECT noun_id, CAST(CAST(('0x' || substr(md5(concat_ws('|', '42', 'shard', CAST(noun_id AS VARCHAR))), 1, 8)) AS BIGINT) % 4 AS INTEGER) AS shard
+FROM targets""")
+def q_shard_assign(spark, sf_dir):
+    ids = prepared(spark, sf_dir, "emb").targets.select("noun_id")
+    return P.shard_assign(ids, 4).select("noun_id", F.col("shard").cast("int").alias("shard"))
+
+
+@register("epoch_shuffle", O.prelude("emb") + f"""
+SELECT CAST(e.epoch AS INTEGER) AS epoch, t.noun_id,
+       row_number() OVER (PARTITION BY e.epoch ORDER BY {O.key60_sql("'epoch'", 'e.epoch', 't.noun_id')}, t.noun_id) AS pos
+FROM targets t CROSS JOIN range(3) AS e(epoch)""")
+def q_epoch_shuffle(spark, sf_dir):
+    ids = prepared(spark, sf_dir, "emb").targets.select("noun_id")
+    return P.epoch_order(ids, 3).select(F.col("epoch").cast("int").alias("epoch"), "noun_id", "pos")
+
+
+@register("union_splits", O.prelude("emb", O.SPLIT) + "\nSELECT split, count(*) AS n, count(DISTINCT noun_id) AS n_ids FROM split GROUP BY split")
+def q_union_splits(spark, sf_dir):
+    sp = prepared(spark, sf_dir, "emb").split
+    parts = [sp.where(F.col("split") == s) for s in P.SPLIT_NAMES]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("noun_id").alias("n_ids"))
