@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoscope.functions.rand import normal, sort_key60, uniform
+from chronoscope.functions.rand import normal, sort_key60, uniform  # noqa: F401 (re-exported)
 from chronoscope.functions.ranking import spread
 from chronoscope.operators.model import softmax
 

@@ -588,3 +588,140 @@ def q_union_splits(spark, sf_dir):
     parts = [sp.where(F.col("split") == s) for s in P.SPLIT_NAMES]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return u.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("noun_id").alias("n_ids"))
+
+
+# ---- J6-J8 / D18 / D19 / F2 / F3: baselines -------------------------------------------------------------
+
+from chronoscope.operators import attribute as A  # noqa: E402
+from chronoscope.plans.pipeline import _state, expected_value, materialize  # noqa: E402
+
+_BASE_PRE = O.prelude("emb", O.SPLIT, O.SCALER, O.ENCODER, O.MODEL, O.BASES)
+
+
+@register("baseline_mean", _BASE_PRE + "\nSELECT feature, t, round(avg(x), 6) AS xb FROM test_cells GROUP BY feature, t")
+def q_baseline_mean(spark, sf_dir):
+    return A.baseline_mean(prepared(spark, sf_dir, "emb").test_cells).select("feature", "t", r6("xb").alias("xb"))
+
+
+@register("baseline_random", _BASE_PRE + "\nSELECT feature, t, round(xb, 6) AS xb FROM base")
+def q_baseline_random(spark, sf_dir):
+    _, brand, _ = _state(prepared(spark, sf_dir, "emb"))
+    return brand.select("feature", "t", r6("xb").alias("xb"))
+
+
+@register("baseline_sample", _BASE_PRE + "\nSELECT CAST(bid AS BIGINT) AS bid, noun_id FROM bsel")
+def q_baseline_sample(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "emb")
+    ids = pr.test_cells.select("noun_id").distinct().withColumn("_h", A.sort_key60(42, F.lit("baseline"), "noun_id"))
+    from pyspark.sql import Window as _W
+    return ids.withColumn("bid", (F.row_number().over(_W.orderBy("_h", "noun_id")) - 1).cast("bigint")).where(
+        F.col("bid") < A.N_BASELINE_SAMPLES).select("bid", "noun_id")
+
+
+@register("random_single", _BASE_PRE + f"""
+SELECT noun_id FROM (SELECT DISTINCT noun_id FROM test_cells) ORDER BY {O.key60_sql("'single'", 'noun_id')}, noun_id LIMIT 1""")
+def q_random_single(spark, sf_dir):
+    ids = prepared(spark, sf_dir, "emb").test_ids
+    return ids.withColumn("_h", A.sort_key60(42, F.lit("single"), "noun_id")).orderBy("_h", "noun_id").limit(1).select("noun_id")
+
+
+@register("expected_value", _BASE_PRE + "," + ",".join(
+    O.EXPECTED[k].replace("expv AS (", f"expv_{k} AS (", 1) for k in ("single", "set")) + """
+SELECT 'single' AS kind, noun_id, round(expected_value, 6) AS expected_value FROM expv_single
+UNION ALL SELECT 'set' AS kind, noun_id, round(expected_value, 6) AS expected_value FROM expv_set""")
+def q_expected_value(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "emb")
+    a = expected_value(pr, "integrated_gradients").select(F.lit("single").alias("kind"), "noun_id", "expected_value")
+    b = expected_value(pr, "gradshap").select(F.lit("set").alias("kind"), "noun_id", "expected_value")
+    return a.unionByName(b).select("kind", "noun_id", r6("expected_value").alias("expected_value"))
+
+
+# ---- A17: long cells <-> per-sample tensor ---------------------------------------------------------------
+
+@register("pivot_cells", _EVT + """
+SELECT noun_id, feature, t, round(x, 6) AS x, max(t) OVER (PARTITION BY noun_id) + 1 AS n_steps,
+       count(DISTINCT feature) OVER (PARTITION BY noun_id) AS n_feat FROM cells""")
+def q_pivot_cells(spark, sf_dir):
+    from chronoscope.sources.signals import cells_to_tensor, tensor_to_cells
+    tens = cells_to_tensor(_evt_cells(spark, sf_dir))
+    back = tensor_to_cells(tens)
+    return back.join(tens.select("noun_id", F.size("signal").cast("bigint").alias("n_steps"),
+                                 F.size(F.col("signal")[0]).cast("bigint").alias("n_feat")), "noun_id").select(
+        "noun_id", "feature", "t", r6("x").alias("x"), "n_steps", "n_feat")
+
+
+# ---- D9 / K8: fraction of relevant points, corruption overlay ----------------------------------------------
+
+@register("frac_pts", O.sweep_prelude(_IG) + """,
+fstat AS (SELECT noun_id, feature, var_pop(r) AS v, count(*) AS nn FROM relr WHERE r >= 0 GROUP BY noun_id, feature)
+SELECT f.noun_id, CAST(f.g AS BIGINT) AS g, f.feature,
+       round(CASE WHEN s.v < 1e-8 THEN 0.0 ELSE f.n_kept / (s.nn + 1e-12) END, 6) AS frac_pts_rel
+FROM fm f JOIN fstat s ON s.noun_id = f.noun_id AND s.feature = f.feature""")
+def q_frac_pts(spark, sf_dir):
+    rel = _ig_rel(spark, sf_dir)
+    fm = C.feature_metrics(C.kept_cells(rel, C.relevance_stats(rel)), rel)
+    fs = rel.where(F.col("r") >= 0).groupBy("noun_id", "feature").agg(F.var_pop("r").alias("v"), F.count(F.lit(1)).alias("nn"))
+    return fm.join(fs, ["noun_id", "feature"]).select(
+        "noun_id", "g", "feature",
+        r6(F.when(F.col("v") < 1e-8, F.lit(0.0)).otherwise(F.col("n_kept") / (F.col("nn") + F.lit(1e-12)))).alias("frac_pts_rel"))
+
+
+@register("overlay", O.sweep_prelude(_IG) + f""",
+one AS (SELECT noun_id FROM (SELECT DISTINCT noun_id FROM relr) ORDER BY {O.key60_sql("'single'", 'noun_id')}, noun_id LIMIT 1),
+othr AS (SELECT quantile_cont(r, 0.9) AS thr FROM relr WHERE r >= 0 AND noun_id IN (SELECT noun_id FROM one))
+SELECT r.noun_id, r.feature, r.t, round(r.x, 6) AS x, round(r.r, 6) AS r, (r.r >= 0 AND r.r >= o.thr - 1e-9) AS kept,
+       round(CASE WHEN r.r >= 0 AND r.r >= o.thr - 1e-9 THEN {O.normal_sql("'overlay'", 'r.noun_id', 'r.feature', 'r.t')} ELSE r.x END, 6) AS x_corrupted
+FROM relr r, othr o WHERE r.noun_id IN (SELECT noun_id FROM one)""")
+def q_overlay(spark, sf_dir):
+    """K8: original, relevance and corrupted values of one sample (the first test sample in md5
+    order) at k = .1, top mask."""
+    rel = _ig_rel(spark, sf_dir)
+    one = rel.select("noun_id").distinct().withColumn("_h", A.sort_key60(42, F.lit("single"), "noun_id")).orderBy("_h", "noun_id").limit(1)
+    s = rel.join(one.select("noun_id"), "noun_id", "left_semi")
+    thr = s.where(F.col("r") >= 0).select(F.percentile("r", F.lit(0.9))).scalar()
+    kept = (F.col("r") >= 0) & (F.col("r") >= thr - F.lit(1e-9))
+    return s.select("noun_id", "feature", "t", r6("x").alias("x"), r6("r").alias("r"), kept.alias("kept"),
+                    r6(F.when(kept, A.normal(42, F.lit("overlay"), "noun_id", "feature", "t")).otherwise(F.col("x"))).alias("x_corrupted"))
+
+
+# ---- J4 / D32: model selection over the temperature, running best ----------------------------------------
+
+_TAUS = [1.0, 5.0, 10.0, 20.0, 50.0, 100.0]
+
+
+@register("model_select", O.prelude("emb", O.SPLIT, O.SCALER, O.ENCODER, O.MODEL) + f""",
+val_cells AS (SELECT * FROM std_cells WHERE noun_id IN (SELECT noun_id FROM split WHERE split = 'val')),
+zv AS (SELECT c.noun_id, w.class_idx, sum(c.x * w.w) + max(b.b) AS z
+       FROM val_cells c JOIN wmodel w ON c.feature = w.feature AND c.t = w.t JOIN bmodel b ON w.class_idx = b.class_idx
+       GROUP BY c.noun_id, w.class_idx),
+cand AS (SELECT * FROM (VALUES {", ".join(f"({i}, {v!r})" for i, v in enumerate(_TAUS))}) v(cand, tau)),
+zt AS (SELECT c.cand, c.tau, z.noun_id, z.class_idx, z.z * c.tau / {O.TAU!r} AS z FROM zv z, cand c),
+ztc AS (SELECT *, z - max(z) OVER (PARTITION BY cand, noun_id) AS zc FROM zt),
+pt AS (SELECT cand, tau, noun_id, class_idx, exp(zc) / sum(exp(zc)) OVER (PARTITION BY cand, noun_id) AS p FROM ztc),
+ev AS (SELECT p.cand, p.tau, p.noun_id, max(CASE WHEN p.class_idx = l.class_idx THEN p.p END) AS pl,
+              first(p.class_idx ORDER BY p.p DESC, p.class_idx) = max(l.class_idx) AS ok
+       FROM pt p JOIN labelled l ON l.noun_id = p.noun_id GROUP BY p.cand, p.tau, p.noun_id),
+sel AS (SELECT cand, tau, avg(-ln(pl)) AS loss, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS accuracy FROM ev GROUP BY cand, tau)
+SELECT CAST(cand AS INTEGER) AS cand, round(tau, 6) AS tau, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy,
+       round(max(accuracy) OVER (ORDER BY cand ROWS UNBOUNDED PRECEDING), 6) AS best_so_far FROM sel""")
+def q_model_select(spark, sf_dir):
+    """J4 + D32: validation loss / accuracy of the centroid model for each temperature candidate
+    (its logits scale linearly with the temperature) and the running best accuracy."""
+    from pyspark.sql import Window as _W
+    pr = prepared(spark, sf_dir, "emb")
+    val = pr.std_cells.join(P.split_ids(pr.split, "val"), "noun_id", "left_semi")
+    zv = M.logits(val, pr.W, pr.B)
+    cand = F.explode(F.arrays_zip(F.array(*[F.lit(i) for i in range(len(_TAUS))]).alias("cand"),
+                                  F.array(*[F.lit(v) for v in _TAUS]).alias("tau")))
+    zt = zv.select("noun_id", "class_idx", "z", cand.alias("c")).select(
+        F.col("c.cand").alias("cand"), F.col("c.tau").alias("tau"), "noun_id", "class_idx",
+        (F.col("z") * F.col("c.tau") / M.TEMPERATURE).alias("z"))
+    pt = M.softmax(zt, keys=("cand", "noun_id"))
+    lab = pr.labelled.select("noun_id", F.col("class_idx").alias("label"))
+    pred = M.argmax_class(pt, keys=("cand", "noun_id"))
+    ev = pt.join(lab, "noun_id").where(F.col("class_idx") == F.col("label")).join(pred, ["cand", "noun_id"]).select(
+        "cand", "tau", "noun_id", F.col("p").alias("pl"), (F.col("pred") == F.col("label")).alias("ok"))
+    sel = ev.groupBy("cand", "tau").agg(F.avg(-F.log("pl")).alias("loss"), F.avg(F.col("ok").cast("double")).alias("accuracy"))
+    best = F.max("accuracy").over(_W.orderBy("cand").rowsBetween(_W.unboundedPreceding, 0))  # candidates: bounded list
+    return sel.select(F.col("cand").cast("int").alias("cand"), r6("tau").alias("tau"), r6("loss").alias("loss"),
+                      r6("accuracy").alias("accuracy"), r6(best).alias("best_so_far"))

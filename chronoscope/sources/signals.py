@@ -114,3 +114,18 @@ def signal_set(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame,
         c = cells_from_lineitem(spark, sf_dir)
         return c, targets_by_quantile(c)
     raise ValueError(f"unknown signal set {name!r}")
+
+
+def cells_to_tensor(cells: DataFrame) -> DataFrame:
+    """(noun_id, signal array<array<double>> [time][feature]); one row per sample, bounded by T*F."""
+    per_t = cells.groupBy("noun_id", "t").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("feature", "x"))), lambda s: s["x"]).alias("_row"))
+    return per_t.groupBy("noun_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("t", "_row"))), lambda s: s["_row"]).alias("signal"))
+
+
+def tensor_to_cells(tensor: DataFrame) -> DataFrame:
+    """Inverse of cells_to_tensor: two posexplodes."""
+    rows = tensor.select("noun_id", F.posexplode("signal").alias("t", "_row"))
+    return rows.select("noun_id", F.col("t").cast("bigint"), F.posexplode("_row").alias("feature", "x")).select(
+        "noun_id", F.col("feature").cast("bigint"), "t", "x")
