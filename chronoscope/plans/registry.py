@@ -725,3 +725,86 @@ def q_model_select(spark, sf_dir):
     best = F.max("accuracy").over(_W.orderBy("cand").rowsBetween(_W.unboundedPreceding, 0))  # candidates: bounded list
     return sel.select(F.col("cand").cast("int").alias("cand"), r6("tau").alias("tau"), r6("loss").alias("loss"),
                       r6("accuracy").alias("accuracy"), r6(best).alias("best_so_far"))
+
+
+# ---- A5 / A6 / A2 / A3 / A10 / A11 / A14: files ------------------------------------------------------------
+
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from chronoscope.session import checkpoint_dir  # noqa: E402
+from chronoscope.sources import text_formats as TX  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder (never a machine-local path)."""
+    return _os.path.join(checkpoint_dir(spark), f"{name}-{_uuid.uuid4().hex}")
+
+
+_TEXT_ORACLE = O.prelude("evt") + """,
+ids AS (SELECT noun_id, row_number() OVER (ORDER BY noun_id) - 1 AS idx FROM (SELECT DISTINCT noun_id FROM cells))
+SELECT CAST(i.idx AS BIGINT) AS noun_id, c.feature, c.t, round(c.x, 6) AS x, t.target
+FROM cells c JOIN ids i ON i.noun_id = c.noun_id JOIN targets t ON t.noun_id = c.noun_id"""
+
+
+@register("read_arff_text", _TEXT_ORACLE)
+def q_read_arff_text(spark, sf_dir):
+    """A5: the events signals written as relational ARFF text, read back by the text job."""
+    pr = prepared(spark, sf_dir, "evt")
+    path = _scratch(spark, "arff")
+    TX.write_arff_relational(pr.cells, pr.targets, path)
+    return TX.read_arff_relational(spark, path).select("noun_id", "feature", "t", r6("x").alias("x"), "target")
+
+
+@register("read_ts_text", _TEXT_ORACLE)
+def q_read_ts_text(spark, sf_dir):
+    """The same signals as .ts text."""
+    pr = prepared(spark, sf_dir, "evt")
+    path = _scratch(spark, "ts")
+    TX.write_ts(pr.cells, pr.targets, path)
+    return TX.read_ts(spark, path).select("noun_id", "feature", "t", r6("x").alias("x"), "target")
+
+
+@register("results_roundtrip", O.sweep_prelude(_IG) + """
+SELECT method, mask, round(k, 6) AS k, noun_id, round(metric_score, 6) AS metric_score, round(mean_tic, 6) AS mean_tic FROM resn""")
+def q_results_roundtrip(spark, sf_dir):
+    """A11 + A10: sweep results written as CSV in per-(method, k) folders and per-mask
+    partitions, read back by glob with method, k and mask parsed from the file path."""
+    res = sweep_results(prepared(spark, sf_dir, "emb"), tuple(_IG))
+    root = _scratch(spark, "results")
+    run = F.concat(F.lit("interpretability_"), F.col("method"), F.lit("__"), F.format_number("k", 2))
+    (res.select(run.alias("run"), "mask", "noun_id", "metric_score", "mean_tic")
+        .write.mode("overwrite").partitionBy("run", "mask").option("header", True).csv(root))
+    back = TX.read_results_by_path(spark, root)
+    return back.select("method", "mask", r6("k").alias("k"), F.col("noun_id").cast("bigint").alias("noun_id"),
+                       r6(F.col("metric_score").cast("double")).alias("metric_score"),
+                       r6(F.col("mean_tic").cast("double")).alias("mean_tic"))
+
+
+@register("write_signals", O.prelude("emb", O.SPLIT) + """
+SELECT s.split, count(DISTINCT c.noun_id) AS n_samples, count(*) AS n_cells
+FROM cells c JOIN split s ON s.noun_id = c.noun_id GROUP BY s.split""")
+def q_write_signals(spark, sf_dir):
+    """A2 + A3: one partitioned write of the signal tensors (split column, 256 MB row groups,
+    uncompressed); 'total' is the folder read without a split filter, a split is a pruned read."""
+    from chronoscope.sources.signals import cells_to_tensor
+    pr = prepared(spark, sf_dir, "emb")
+    root = _scratch(spark, "signals")
+    tens = cells_to_tensor(pr.cells).join(pr.targets, "noun_id").join(pr.split, "noun_id")
+    (tens.withColumn("signal_length", F.size("signal")).write.mode("overwrite")
+         .option("compression", "none").option("parquet.block.size", 256 << 20).partitionBy("split").parquet(root))
+    back = spark.read.parquet(root)
+    cells = back.select("split", "noun_id", F.explode("signal").alias("_row")).select("split", "noun_id", F.explode("_row").alias("x"))
+    return cells.groupBy("split").agg(F.count_distinct("noun_id").alias("n_samples"), F.count(F.lit(1)).alias("n_cells"))
+
+
+@register("dataset_stats")
+def q_dataset_stats(spark, sf_dir):
+    """Rows and bytes of a Parquet dataset (bytes = sum of distinct file sizes) with the
+    reference's three sanity checks as a flag column."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("_metadata.file_path").alias("f"),
+                                                                     F.col("_metadata.file_size").alias("sz"))
+    per_file = df.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.first("sz").alias("sz"))
+    st = per_file.agg(F.sum("n").alias("n_rows"), F.sum("sz").alias("total_bytes"), F.count(F.lit(1)).alias("n_files"))
+    ok = (F.col("n_rows") > 0) & (F.col("total_bytes") > 0) & (F.col("n_rows") <= F.col("total_bytes"))
+    return st.withColumn("valid", ok)
