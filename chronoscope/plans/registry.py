@@ -808,3 +808,32 @@ def q_dataset_stats(spark, sf_dir):
     st = per_file.agg(F.sum("n").alias("n_rows"), F.sum("sz").alias("total_bytes"), F.count(F.lit(1)).alias("n_files"))
     ok = (F.col("n_rows") > 0) & (F.col("total_bytes") > 0) & (F.col("n_rows") <= F.col("total_bytes"))
     return st.withColumn("valid", ok)
+
+
+# ---- L1: streaming feature statistics -------------------------------------------------------------------------
+
+from chronoscope.streaming import feature_stats as ST  # noqa: E402
+
+
+@register("streaming_feature_stats", """
+SELECT event_type AS feature, count(value) AS n, round(avg(value), 6) AS mean,
+       round(CASE WHEN count(value) > 1 THEN stddev_samp(value) ELSE 0.0 END, 6) AS std,
+       round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY event_type""")
+def q_streaming_feature_stats(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    out = ST.streaming_feature_stats(spark, path, schema, "event_type", "value")
+    return out.select("feature", "n", *[r6(c).alias(c) for c in ["mean", "std", "min", "max"]])
+
+
+@register("streaming_window_stats", """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS feature, count(value) AS n, round(avg(value), 6) AS mean,
+       round(CASE WHEN count(value) > 1 THEN stddev_samp(value) ELSE 0.0 END, 6) AS std,
+       round(min(value), 6) AS min, round(max(value), 6) AS max
+FROM events GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def q_streaming_window_stats(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    out = ST.windowed_feature_stats(spark, path, schema, "ts", "event_type", "value")
+    return out.select("window_start", "feature", "n", *[r6(c).alias(c) for c in ["mean", "std", "min", "max"]])
