@@ -184,3 +184,81 @@ def weighted_choice(draw_keys: DataFrame, values: DataFrame, size: int, seed: in
     d = d.withColumn("_u", uniform(seed, F.lit("choice"), "noun_id", "draw") * tot).withColumn("_tab", tab)
     pick = F.filter("_tab", lambda s: s["_cw"] > F.col("_u"))
     return d.select("noun_id", "draw", F.element_at(pick, 1)["value"].alias("value"))
+
+
+# --- I12: RandAugment ----------------------------------------------------------------------------------
+
+# fixed values: RandAugment operation space (name, magnitude grid low, high; 11 bins)
+RAND_AUGMENT_OPS = [
+    ("Identity", None, None),
+    ("Jitter", 0.0, 0.8),
+    ("Scaling", 0.0, 0.5),
+    ("Flip_Y", None, None),
+    ("Window_slice", 1.0, 0.4),
+    ("Drop_block", 0.0, 0.8),
+    ("Random_block", 0.0, 0.8),
+]
+N_BINS = 11
+
+
+def _draw(seed: int, *keys) -> float:
+    import hashlib
+    h = hashlib.md5("|".join([str(seed)] + [str(k) for k in keys]).encode()).hexdigest()
+    return int(h[:8], 16) / 4294967296.0
+
+
+def rand_augment_choice(epoch: int, magnitude: int = 3, seed: int = SEED, ops=RAND_AUGMENT_OPS) -> tuple[str, float]:
+    """(op, magnitude) for one call: op uniform over the space, magnitude ~ U(grid[0], grid[bound]),
+    bound = int(epoch / 25 * magnitude) before epoch 15, else magnitude. Drawn from md5 (driver-side
+    scalar parameters of the plan, not data)."""
+    i = int(_draw(seed, "randaugment", epoch, "op") * len(ops))
+    name, lo, hi = ops[i]
+    if lo is None:
+        return name, 0.0
+    bound = int(epoch / 25 * magnitude) if epoch < 15 else magnitude
+    grid_b = lo + (hi - lo) * bound / (N_BINS - 1)
+    return name, lo + _draw(seed, "randaugment", epoch, "mag") * (grid_b - lo)
+
+
+def rand_augment(cells: DataFrame, epoch: int, magnitude: int = 3, seed: int = SEED) -> DataFrame:
+    name, mag = rand_augment_choice(epoch, magnitude, seed)
+    if name == "Jitter":
+        return jitter(cells, mag, seed)
+    if name == "Scaling":
+        return scaling(cells, mag, seed)
+    if name == "Flip_Y":
+        return flip_y(cells, seed)
+    if name == "Window_slice":
+        return window_slice(cells, 0.8, seed)  # the operation ignores its magnitude
+    if name == "Drop_block":
+        return drop_block(cells, mag, 7, False, seed)
+    if name == "Random_block":
+        return random_block(cells, mag, 7, seed)
+    return cells.select("noun_id", "feature", "t", "x")
+
+
+# --- I11: random block shuffle (order dependent: per series in pandas) ------------------------------------
+
+def block_shuffle(cells: DataFrame, drop_prob: float = 0.1, block_size: int = 7, seed: int = SEED) -> DataFrame:
+    """Seeds Bernoulli(gamma) per (feature, t) shared by all samples (gamma factor 1.1); at each seed
+    in time order the next b values (clipped at T) are permuted by one permutation shared by all
+    samples; overlapping blocks compound. Sequential within a series, so each (sample, feature)
+    series is one pandas group (bounded by T)."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x = pdf["x"].to_numpy().copy()
+        T = len(x)
+        f = int(pdf["feature"].iloc[0])
+        gamma = drop_prob / block_size * (T / (T - block_size + 1)) * 1.1
+        for idx in range(T):
+            if _draw(seed, "shuffle_block", f, idx) < gamma:
+                hi = min(idx + block_size, T)
+                keys = [_draw(seed, "shuffle_perm", f, idx, j) for j in range(hi - idx)]
+                x[idx:hi] = x[idx:hi][np.argsort(keys, kind="stable")]
+        return pd.DataFrame({"noun_id": pdf["noun_id"].to_numpy(), "feature": pdf["feature"].to_numpy(),
+                             "t": pdf["t"].to_numpy(), "x": x})
+
+    return cells.groupBy("noun_id", "feature").applyInPandas(fn, "noun_id long, feature long, t long, x double")

@@ -837,3 +837,68 @@ def q_streaming_window_stats(spark, sf_dir):
     schema = spark.read.parquet(path).schema
     out = ST.windowed_feature_stats(spark, path, schema, "ts", "event_type", "value")
     return out.select("window_start", "feature", "n", *[r6(c).alias(c) for c in ["mean", "std", "min", "max"]])
+
+
+# ---- I11 / I12 / J1b / J1c / J14 / J15: order-dependent and model-fitting operators (rows-only checks) ----------
+
+from chronoscope.operators import surrogate as SG  # noqa: E402
+
+
+@register("block_shuffle")
+def q_block_shuffle(spark, sf_dir):
+    return _cells_out(AG.block_shuffle(_evt_cells(spark, sf_dir)))
+
+
+_RA_EPOCH = 20
+
+
+def _rand_augment_sql() -> str:
+    name, mag = AG.rand_augment_choice(_RA_EPOCH)
+    if name == "Jitter":
+        body = f"""(SELECT noun_id, feature, t, x + {O.normal_sql("'jitter'", 'noun_id', 'feature', 't')}
+                    * stddev_samp(x) OVER (PARTITION BY noun_id, feature) * {mag!r} AS x FROM cells)"""
+    elif name == "Scaling":
+        body = f"(SELECT noun_id, feature, t, x * (1.0 + {mag!r} * {O.normal_sql(repr('scaling'), 'noun_id', 'feature')}) AS x FROM cells)"
+    elif name == "Flip_Y":
+        body = f"(SELECT noun_id, feature, t, x * CASE WHEN {O.u_sql(repr('flip'), 'noun_id', 'feature')} < 0.5 THEN -1.0 ELSE 1.0 END AS x FROM cells)"
+    elif name == "Drop_block":
+        body = "(SELECT noun_id, feature, t, CASE WHEN m THEN 0.0 ELSE x END AS x FROM " + O.block_mask_sql("cells", mag, 7, 1.1, "drop_block") + ")"
+    elif name == "Random_block":
+        body = (f"(SELECT noun_id, feature, t, CASE WHEN m THEN {O.normal_sql(repr('random_block_n'), 'noun_id', 'feature', 't')} ELSE x END AS x FROM "
+                + O.block_mask_sql("cells", mag, 7, 1.1, "random_block") + ")")
+    elif name == "Window_slice":
+        return ORACLE["window_slice"]
+    else:
+        body = "cells"
+    return _EVT + "\n" + _OUT + body
+
+
+@register("rand_augment", _rand_augment_sql())
+def q_rand_augment(spark, sf_dir):
+    """I12 at epoch 20, magnitude 3: the op and magnitude are drawn per call from md5(seed, epoch)."""
+    return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), _RA_EPOCH))
+
+
+@register("logistic_fit_score")
+def q_logistic(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "emb")
+    return SG.fit_score_ml(pr.std_cells, pr.labelled, pr.train_ids, pr.test_ids, "logistic")
+
+
+@register("mlp_fit_score")
+def q_mlp(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "emb")
+    return SG.fit_score_ml(pr.std_cells, pr.labelled, pr.train_ids, pr.test_ids, "mlp")
+
+
+def _surrogate_q(kind):
+    def q(spark, sf_dir):
+        pr = prepared(spark, sf_dir, "emb")
+        st, brand, _ = _state(pr)
+        fn = SG.kernelshap if kind == "kernelshap" else SG.lime
+        return fn(pr.test_cells, pr.W, pr.B, st, brand).select("noun_id", "feature", "t", r6("r").alias("r"))
+    return q
+
+
+register("attr_kernelshap")(_surrogate_q("kernelshap"))
+register("attr_lime")(_surrogate_q("lime"))
