@@ -178,3 +178,21 @@ def epoch_order(ids: DataFrame, n_epochs: int, seed: int = SEED) -> DataFrame:
     e = ids.select("noun_id", F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))).alias("epoch"))
     e = e.withColumn("_h", sort_key60(seed, F.lit("epoch"), "epoch", "noun_id"))
     return global_rank(e, "_h", ["noun_id"], "pos", group_cols=("epoch",)).select("epoch", "noun_id", "pos")
+
+
+# --- C11 / C12: combine entity signals ------------------------------------------------------------------
+
+def combine_entities(cells: DataFrame, layout: str = "entity") -> DataFrame:
+    """cells (noun_id = window, entity, feature, t, x) -> (noun_id, feature, t, x) with the entities'
+    features side by side: layout 'entity' numbers them e * F + f (A1 A2 A3 B1 B2 B3), layout
+    'feature' f * E + e (A1 B1 A2 B2 A3 B3). All entities must have the same shape; a window
+    whose entities differ in shape is flagged instead of combined (shape_ok = false)."""
+    w = Window.partitionBy("noun_id")
+    n_ent = F.size(F.collect_set("entity").over(w))
+    n_feat = F.size(F.collect_set("feature").over(w))
+    per_ent = Window.partitionBy("noun_id", "entity")
+    shape = F.count(F.lit(1)).over(per_ent)
+    c = cells.withColumn("_E", n_ent).withColumn("_F", n_feat).withColumn("_n", shape)
+    c = c.withColumn("shape_ok", F.min("_n").over(w) == F.max("_n").over(w))
+    new_f = (F.col("entity") * F.col("_F") + F.col("feature")) if layout == "entity" else (F.col("feature") * F.col("_E") + F.col("entity"))
+    return c.select("noun_id", new_f.cast("bigint").alias("feature"), "t", "x", "shape_ok")

@@ -902,3 +902,39 @@ def _surrogate_q(kind):
 
 register("attr_kernelshap")(_surrogate_q("kernelshap"))
 register("attr_lime")(_surrogate_q("lime"))
+
+
+# ---- C11 / C12: entity-aligned combination -------------------------------------------------------------------
+
+_ENT_SQL = """
+WITH li AS (SELECT CAST(l_suppkey AS BIGINT) AS noun_id, l_returnflag AS flag,
+                   (year(l_shipdate) * 12 + month(l_shipdate) - 1)
+                     - (SELECT min(year(l_shipdate) * 12 + month(l_shipdate) - 1) FROM lineitem) AS step,
+                   coalesce(l_quantity, 0.0) AS q FROM lineitem),
+b AS (SELECT noun_id, flag, step, sum(q) AS q, CAST(count(*) AS DOUBLE) AS n FROM li GROUP BY 1, 2, 3),
+flags AS (SELECT flag, row_number() OVER (ORDER BY flag) - 1 AS entity FROM (SELECT DISTINCT l_returnflag AS flag FROM lineitem)),
+dims AS (SELECT (SELECT max(step) + 1 FROM b) AS nT),
+grid AS (SELECT noun_id, e.entity, f.feature, unnest(range(nT)) AS t
+         FROM (SELECT DISTINCT noun_id FROM b), flags e, (SELECT unnest([0, 1]) AS feature) f, dims),
+ent AS (SELECT g.noun_id, CAST(g.entity AS BIGINT) AS entity, CAST(g.feature AS BIGINT) AS feature, CAST(g.t AS BIGINT) AS t,
+               coalesce(CASE WHEN g.feature = 0 THEN b.q ELSE b.n END, 0.0) AS x
+        FROM grid g JOIN flags fl ON fl.entity = g.entity
+        LEFT JOIN b ON b.noun_id = g.noun_id AND b.flag = fl.flag AND b.step = g.t)
+"""
+
+
+@register("combine_by_entity", _ENT_SQL + """
+SELECT noun_id, CAST(entity * 2 + feature AS BIGINT) AS feature, t, round(x, 6) AS x, true AS shape_ok FROM ent""")
+def q_combine_by_entity(spark, sf_dir):
+    from chronoscope.sources.signals import entity_cells_from_lineitem
+    out = P.combine_entities(entity_cells_from_lineitem(spark, sf_dir), "entity")
+    return out.select("noun_id", "feature", "t", r6("x").alias("x"), "shape_ok")
+
+
+@register("combine_by_feature", _ENT_SQL + """,
+ne AS (SELECT count(*) AS nE FROM flags)
+SELECT noun_id, CAST(feature * nE + entity AS BIGINT) AS feature, t, round(x, 6) AS x, true AS shape_ok FROM ent, ne""")
+def q_combine_by_feature(spark, sf_dir):
+    from chronoscope.sources.signals import entity_cells_from_lineitem
+    out = P.combine_entities(entity_cells_from_lineitem(spark, sf_dir), "feature")
+    return out.select("noun_id", "feature", "t", r6("x").alias("x"), "shape_ok")

@@ -129,3 +129,25 @@ def tensor_to_cells(tensor: DataFrame) -> DataFrame:
     rows = tensor.select("noun_id", F.posexplode("signal").alias("t", "_row"))
     return rows.select("noun_id", F.col("t").cast("bigint"), F.posexplode("_row").alias("feature", "x")).select(
         "noun_id", F.col("feature").cast("bigint"), "t", "x")
+
+
+def entity_cells_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(noun_id = supplier, entity = return flag index, feature (0 = quantity, 1 = line count), t = month, x):
+    one signal per (supplier, flag) entity, dense over all months."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_quantity")
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
+    origin = li.select(F.min(month)).scalar()
+    binned = (li.select(F.col("l_suppkey").cast("bigint").alias("noun_id"), F.col("l_returnflag").alias("flag"),
+                        (month - origin).alias("step"), F.coalesce(F.col("l_quantity"), F.lit(0.0)).alias("q"))
+              .groupBy("noun_id", "flag", "step").agg(F.sum("q").alias("q"), F.count(F.lit(1)).cast("double").alias("n")))
+    parts = []
+    for fi, col in enumerate(("q", "n")):
+        b = binned.select("noun_id", F.concat_ws("#", "flag", F.lit(str(fi))).alias("channel"), "step", F.col(col).alias("v"))
+        parts.append(b)
+    both = parts[0].unionByName(parts[1])
+    chan = both.select("channel").distinct().select(
+        "channel", (F.row_number().over(Window.orderBy("channel")) - 1).cast("bigint").alias("feature"))
+    dense = signal_from_events_generic(both, chan)
+    # channel index k = 2 * flag_index + value index (channels sort as flag#0, flag#1)
+    return dense.select("noun_id", (F.col("feature") / 2).cast("bigint").alias("entity"),
+                        (F.col("feature") % 2).cast("bigint").alias("feature"), "t", "x")
