@@ -62,3 +62,8 @@ def normal(seed, *keys) -> Column:
 def sort_key60(seed, *keys) -> Column:
     """60-bit integer from md5 (15 hex digits) for shuffles and global ranks."""
     return F.conv(F.substring(md5_key(seed, *keys), 1, 15), 16, 10).cast("bigint")
+
+
+def uniform_chunk(md5_hex: Column, chunk: Column) -> Column:
+    """The chunk-th (0..3) 32-bit draw of one md5: four uniforms per hash."""
+    return F.conv(md5_hex.substr(chunk * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(TWO32)

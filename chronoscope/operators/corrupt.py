@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoscope.functions.integrate import simpson_agg, simpson_terms
-from chronoscope.functions.rand import normal, uniform
+from chronoscope.functions.rand import md5_key, normal, uniform_chunk
 from chronoscope.functions.ranking import spread
 from chronoscope.operators.attribute import at, with_softmax
 
@@ -131,10 +131,16 @@ def _delta_logits(rows: DataFrame, W: DataFrame, keys: list[str], noise: Column)
     return d.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "_d"))), lambda s: s["_d"]).alias("d_arr"))
 
 
+def _draw_u(seed: int, a: Column) -> Column:
+    """Random-mask draw of a cell for attempt a: chunk a % 4 of md5(seed|rb|g|noun_id|feature|t|a // 4)."""
+    return uniform_chunk(md5_key(seed, F.lit("rb"), "g", "noun_id", "feature", "t", F.floor(a / 4).cast("bigint")),
+                         (a % 4).cast("int"))
+
+
 def _attempt_masks(cells: DataFrame, seed: int) -> DataFrame:
     """cells (noun_id, g, a, feature, t, x, block_size, n_steps, gamma) -> adds _seed, _m (masked)."""
     b = F.col("block_size")
-    c = cells.withColumn("_seed", uniform(seed, F.lit("rb"), "g", "noun_id", "a", "feature", "t") < F.col("gamma"))
+    c = cells.withColumn("_seed", _draw_u(seed, F.col("a")) < F.col("gamma"))
     wf = Window.partitionBy("method", "noun_id", "g", "a", "feature").orderBy("t")
     st_t = F.when(F.col("_seed"), F.col("t"))
     prev = F.max(st_t).over(wf.rowsBetween(Window.unboundedPreceding, 0))
@@ -145,16 +151,33 @@ def _attempt_masks(cells: DataFrame, seed: int) -> DataFrame:
     return c.withColumn("_m", masked)
 
 
-def _attempt_diffs(masks: DataFrame) -> DataFrame:
-    """(noun_id, g, a, _diff): |drop_prob - masked fraction| per attempt (extra column of even b counted)."""
-    per_feat = masks.groupBy("method", "noun_id", "g", "a", "feature").agg(
-        F.sum(F.col("_m").cast("int")).alias("_nm"), F.max(F.when(F.col("_seed"), F.col("t"))).alias("_last"),
-        F.first("block_size").alias("_b"), F.first("n_steps").alias("_T"), F.first("n_feat").alias("_F"),
-        F.first("drop_prob").alias("_p"))
+def _attempt_diffs(cells: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
+    """(method, noun_id, g, a, _diff): |drop_prob - masked fraction| per draw, from the seed rows only.
+
+    With seeds s_1 < s_2 < ... of a series, the dilated mask is the union of the intervals
+    [max(s_i - hi, 0), min(s_i + lo, T - 1)], whose ends are non-decreasing, so its size is
+    sum_i max(0, end_i - max(start_i, end_{i-1} + 1) + 1). Only seed rows (a gamma fraction of the
+    cells) are sorted. The extra output column of even widths counts when a seed lies in the last
+    b / 2 steps. Masked fraction = (cells + extra) / (F * T)."""
+    b = F.col("block_size")
+    T = F.col("n_steps")
+    lo = F.floor(b / 2)
+    hi = b - 1 - lo
+    sd = cells.where(F.col("_u") < F.col("gamma"))
+    # step t is masked when a seed lies in [t - lo, t + hi], so a seed s masks [s - hi, s + lo]
+    sd = sd.select("method", "noun_id", "g", "a", "feature", "t", "block_size", "n_steps",
+                   F.greatest(F.col("t") - hi, F.lit(0)).alias("_s"), F.least(F.col("t") + lo, T - 1).alias("_e"))
+    w = Window.partitionBy("method", "noun_id", "g", "a", "feature").orderBy("t")
+    prev_e = F.lag("_e", 1).over(w)
+    contrib = F.greatest(F.col("_e") - F.greatest(F.col("_s"), F.coalesce(prev_e + 1, F.lit(0))) + 1, F.lit(0))
+    per_feat = sd.withColumn("_c", contrib).groupBy("method", "noun_id", "g", "a", "feature").agg(
+        F.sum("_c").alias("_nm"), F.max("t").alias("_last"), F.first("block_size").alias("_b"), F.first("n_steps").alias("_T"))
     extra = F.when((F.col("_b") % 2 == 0) & (F.col("_last") >= F.col("_T") - F.col("_b") / 2), 1).otherwise(0)
-    per_att = per_feat.groupBy("method", "noun_id", "g", "a").agg(
-        (F.sum("_nm") + F.sum(extra)).alias("_cnt"), F.first("_p").alias("_p"), F.first("_T").alias("_T"), F.first("_F").alias("_F"))
-    return per_att.select("method", "noun_id", "g", "a", F.abs(F.col("_p") - F.col("_cnt") / (F.col("_F") * F.col("_T"))).alias("_diff"))
+    per_att = per_feat.groupBy("method", "noun_id", "g", "a").agg((F.sum("_nm") + F.sum(extra)).alias("_cnt"))
+    # draws without any seed mask nothing: every (pair, draw) of `pairs` appears, with 0 when absent
+    j = pairs.join(per_att, ["method", "noun_id", "g", "a"], "left").fillna(0, subset=["_cnt"])
+    return j.select("method", "noun_id", "g", "a",
+                    F.abs(F.col("drop_prob") - F.col("_cnt") / (F.col("n_feat") * F.col("n_steps"))).alias("_diff"))
 
 
 def random_block_mask(rel: DataFrame, sm: DataFrame, seed: int = SEED) -> DataFrame:
@@ -175,11 +198,22 @@ def random_block_mask(rel: DataFrame, sm: DataFrame, seed: int = SEED) -> DataFr
     gamma = F.least(F.greatest(p / b * (T / (T - b + 1)) * F.lit(GAMMA_FACTOR), F.lit(0.0)), F.lit(1.0))
     par = sm.select("method", "noun_id", "g", "drop_prob", "block_size", "n_steps", "n_feat", gamma.alias("gamma"))
     base = spread(rel.select("method", "noun_id", "feature", "t", "x").join(par, ["method", "noun_id"]), "noun_id")
-    d0 = _attempt_diffs(_attempt_masks(base.withColumn("a", F.lit(0)), seed))
+    pkeys = par.select("method", "noun_id", "g", "drop_prob", "n_steps", "n_feat")
+    first = base.withColumn("a", F.lit(0)).withColumn("_u", _draw_u(seed, F.col("a")))
+    d0 = _attempt_diffs(first, pkeys.withColumn("a", F.lit(0)), seed)
     miss = d0.where(F.col("_diff") > ENFORCE_TOL).select("method", "noun_id", "g")
-    rest = base.join(miss, ["method", "noun_id", "g"], "left_semi").withColumn(
-        "a", F.explode(F.sequence(F.lit(1), F.lit(MAX_ATTEMPTS - 1))))
-    diffs = d0.unionByName(_attempt_diffs(_attempt_masks(rest, seed)))
+    # draws 1..25: one md5 per (cell, block of 4 draws), exploded into its 4 chunks
+    n_blocks = (MAX_ATTEMPTS + 3) // 4
+    rest = (base.join(miss, ["method", "noun_id", "g"], "left_semi")
+            .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+            .withColumn("_h", md5_key(seed, F.lit("rb"), "g", "noun_id", "feature", "t", "_blk"))
+            .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(3))))
+            .withColumn("a", F.col("_blk") * 4 + F.col("_chunk"))
+            .where((F.col("a") >= 1) & (F.col("a") < MAX_ATTEMPTS))
+            .withColumn("_u", uniform_chunk(F.col("_h"), F.col("_chunk"))))
+    later = F.explode(F.sequence(F.lit(1), F.lit(MAX_ATTEMPTS - 1)))
+    rest_pairs = pkeys.join(miss, ["method", "noun_id", "g"], "left_semi").withColumn("a", later)
+    diffs = d0.unionByName(_attempt_diffs(rest, rest_pairs, seed))
     ok_first = F.min(F.when(F.col("_diff") <= ENFORCE_TOL, F.col("a")))
     best = F.min_by("a", F.struct(F.col("_diff"), F.col("a")))
     chosen = diffs.groupBy("method", "noun_id", "g").agg(F.coalesce(ok_first, best).alias("a"))

@@ -28,6 +28,13 @@ def normal_sql(*keys: str, seed: int = SEED) -> str:
     return f"(sqrt(-2.0 * ln({u1} + {2.0 ** -33!r})) * cos({2.0 * math.pi!r} * {u2}))"
 
 
+def chunk_u_sql(*keys: str, a: str, seed: int = SEED) -> str:
+    """Draw of attempt a: chunk a % 4 of md5(seed|keys|a // 4)."""
+    ks = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    h = f"md5(concat_ws('|', '{seed}', {ks}, CAST(({a}) // 4 AS VARCHAR)))"
+    return f"(CAST(('0x' || substr({h}, 1 + 8 * (({a}) % 4), 8)) AS BIGINT) / {TWO32})"
+
+
 def key60_sql(*keys: str, seed: int = SEED) -> str:
     ks = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
     return f"CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {ks})), 1, 15)) AS BIGINT)"
@@ -374,7 +381,7 @@ par AS (SELECT method, noun_id, g, drop_prob, block_size, n_steps, n_feat,
                least(greatest(drop_prob / block_size * (n_steps / (n_steps - block_size + 1)) * 1.2, 0.0), 1.0) AS gamma FROM sm),
 rb AS (
   SELECT r.method, r.noun_id, p.g, a.a, r.feature, r.t, r.x, p.block_size, p.n_steps,
-         {u_sql("'rb'", 'p.g', 'r.noun_id', 'a.a', 'r.feature', 'r.t')} < p.gamma AS seed
+         {chunk_u_sql("'rb'", 'p.g', 'r.noun_id', 'r.feature', 'r.t', a='a.a')} < p.gamma AS seed
   FROM relr r JOIN par p ON r.method = p.method AND r.noun_id = p.noun_id CROSS JOIN range(26) AS a(a)),
 rbm AS (
   SELECT *,
@@ -525,7 +532,7 @@ eb_par AS (SELECT noun_id, max(t) + 1 AS n_steps, count(DISTINCT feature) AS n_f
                   least(greatest({p!r} / {b} * ((max(t) + 1) / ((max(t) + 1) - {b} + 1)) * 1.2, 0.0), 1.0) AS gamma
            FROM cells GROUP BY noun_id),
 eb AS (SELECT c.noun_id, a.a, c.feature, c.t, c.x, p.n_steps,
-              {u_sql("'rb'", '0', 'c.noun_id', 'a.a', 'c.feature', 'c.t')} < p.gamma AS sd
+              {chunk_u_sql("'rb'", '0', 'c.noun_id', 'c.feature', 'c.t', a='a.a')} < p.gamma AS sd
        FROM cells c JOIN eb_par p ON c.noun_id = p.noun_id CROSS JOIN range(26) AS a(a)),
 ebm AS (SELECT *,
     coalesce(t - max(CASE WHEN sd THEN t END) OVER (PARTITION BY noun_id, a, feature ORDER BY t

@@ -94,3 +94,16 @@ def test_split_sizes(spark):
     sizes = {r["split"]: r["count"] for r in P.assign_split(ids).groupBy("split").count().collect()}
     assert sizes == {"train": 7, "val": 2, "test": 1}
     assert math.isclose(sum(sizes.values()), 10)
+
+
+def test_mask_fraction_from_seed_intervals(spark):
+    """Seeds 0 0 1 0 0 0 0 1 0: b=3 masks 6 steps; b=4 masks 7 plus the extra column of even widths."""
+    seeds = [0, 0, 1, 0, 0, 0, 0, 1, 0]
+    for b, want in [(3, 6), (4, 8), (2, 4 + 0)]:
+        rows = [("m", 1, 0, 0, 0, t, b, 9, 0.0 if s else 1.0, 0.5) for t, s in enumerate(seeds)]
+        cells = spark.createDataFrame(rows, "method string, noun_id long, g long, a int, feature long, t long, "
+                                            "block_size int, n_steps long, _u double, gamma double")
+        pairs = spark.createDataFrame([("m", 1, 0, 0, 0.0, 9, 1)],
+                                      "method string, noun_id long, g long, a int, drop_prob double, n_steps long, n_feat long")
+        diff = C._attempt_diffs(cells, pairs, 42).collect()[0]["_diff"]
+        assert diff == pytest.approx(want / 9)
