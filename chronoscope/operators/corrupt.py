@@ -204,7 +204,8 @@ def random_block_mask(rel: DataFrame, sm: DataFrame, seed: int = SEED) -> DataFr
     miss = d0.where(F.col("_diff") > ENFORCE_TOL).select("method", "noun_id", "g")
     # draws 1..25: one md5 per (cell, block of 4 draws), exploded into its 4 chunks
     n_blocks = (MAX_ATTEMPTS + 3) // 4
-    rest = (base.join(miss, ["method", "noun_id", "g"], "left_semi")
+    slim = base.select("method", "noun_id", "g", "feature", "t", "block_size", "n_steps", "gamma")
+    rest = (slim.join(miss, ["method", "noun_id", "g"], "left_semi")
             .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
             .withColumn("_h", md5_key(seed, F.lit("rb"), "g", "noun_id", "feature", "t", "_blk"))
             .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(3))))
@@ -224,14 +225,16 @@ def random_block_mask(rel: DataFrame, sm: DataFrame, seed: int = SEED) -> DataFr
 def corruption_results(rel: DataFrame, W: DataFrame, state: DataFrame, labelled: DataFrame,
                        encoder: DataFrame, expected: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per (noun_id, g) with the reference's result columns (K2 for every grid point)."""
+    from chronoscope.session import materialize
     rel = prepare_rel(rel)
-    stats = relevance_stats(rel)
-    kept = kept_cells(rel, stats)
-    sm = sample_metrics(feature_metrics(kept, rel), stats)
+    # intermediates read by several consumers are checkpointed once (bounded: per sample x grid point)
+    stats = materialize(relevance_stats(rel))
+    kept = materialize(kept_cells(rel, stats))
+    sm = materialize(sample_metrics(feature_metrics(kept, rel), stats))
     noise2 = normal(seed, F.lit("corrupt"), "g", "noun_id", "feature", "t")
     keys = ["method", "noun_id", "g"]
     d2 = _delta_logits(kept, W, keys, noise2).withColumnRenamed("d_arr", "d2")
-    masked = random_block_mask(rel, sm, seed)
+    masked = materialize(random_block_mask(rel, sm, seed))
     noise3 = normal(seed, F.lit("random"), "g", "noun_id", "feature", "t")
     d3 = _delta_logits(masked, W, keys, noise3).withColumnRenamed("d_arr", "d3")
     lab = labelled.select("noun_id", F.col("class_idx").alias("label"))

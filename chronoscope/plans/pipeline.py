@@ -19,18 +19,10 @@ from pyspark.sql import functions as F
 
 from chronoscope.operators import model as M
 from chronoscope.operators import prepare as P
-from chronoscope.session import checkpoint_dir
+from chronoscope.session import materialize
 from chronoscope.sources.signals import signal_set
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage at a stage boundary: reliable checkpoint into the cluster's shared
-    spark.checkpoint.dir (set only when the session has none). Survives executor loss,
-    and later stages stop re-running the upstream plan (scalar subqueries included)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @dataclass
 class Prepared:
     spark: SparkSession
@@ -39,7 +31,11 @@ class Prepared:
 
     @cached_property
     def raw(self):
-        return signal_set(self.spark, self.sf_dir, self.signal)
+        cells, targets = signal_set(self.spark, self.sf_dir, self.signal)
+        if self.signal == "emb":
+            return cells, targets  # a plain scan of one table: nothing to reuse
+        cells = materialize(cells)
+        return cells, materialize(targets_by_quantile_cached(cells, self.signal))
 
     @property
     def cells(self) -> DataFrame:
@@ -110,6 +106,11 @@ class Prepared:
             "noun_id", "pred", F.col("p").alias("s1"))
 
 
+def targets_by_quantile_cached(cells: DataFrame, signal: str) -> DataFrame:
+    from chronoscope.sources.signals import targets_by_quantile
+    return targets_by_quantile(cells)
+
+
 _CACHE: dict[tuple, Prepared] = {}
 
 

@@ -46,7 +46,9 @@ def signal_from_events_generic(binned: DataFrame, channels: DataFrame) -> DataFr
 
     Returns dense cells over all channels x steps 0..T-1 (T = max step + 1 over the table).
     """
-    n_steps = binned.select(F.max("step") + 1).scalar()  # scalar subquery, evaluated once
+    from chronoscope.session import materialize
+    binned = materialize(binned)  # pre-aggregated bins, reused by the subqueries and the grid below
+    n_steps = binned.select(F.max("step") + 1).scalar()
     n_feat = channels.select(F.count(F.lit(1))).scalar()
     ids = binned.select("noun_id").distinct()
     grid = (
