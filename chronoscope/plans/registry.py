@@ -938,3 +938,32 @@ def q_combine_by_feature(spark, sf_dir):
     from chronoscope.sources.signals import entity_cells_from_lineitem
     out = P.combine_entities(entity_cells_from_lineitem(spark, sf_dir), "feature")
     return out.select("noun_id", "feature", "t", r6("x").alias("x"), "shape_ok")
+
+
+# ---- A9 / A13: class table and state tables as files ----------------------------------------------------------
+
+@register("write_class_table", O.prelude("evt") + "\nSELECT noun_id, target FROM targets")
+def q_write_class_table(spark, sf_dir):
+    """(instance id, class) CSV written and read back (labels stay whole strings)."""
+    pr = prepared(spark, sf_dir, "evt")
+    path = _scratch(spark, "classes")
+    pr.targets.select("noun_id", "target").write.mode("overwrite").option("header", True).csv(path)
+    back = spark.read.schema("noun_id long, target string").option("header", True).csv(path)
+    return back.select(F.col("noun_id").cast("bigint").alias("noun_id"), "target")
+
+
+@register("state_roundtrip", O.prelude("evt", O.SPLIT, O.SCALER, O.ENCODER) + """
+SELECT 'scaler' AS state, CAST(feature AS VARCHAR) AS key, round(mean, 6) AS v1, round(std, 6) AS v2 FROM scaler
+UNION ALL SELECT 'encoder' AS state, target AS key, CAST(class_idx AS DOUBLE) AS v1, CAST(n AS DOUBLE) AS v2 FROM encoder""")
+def q_state_roundtrip(spark, sf_dir):
+    """Fitted scaler and encoder saved as Parquet tables and loaded back for use."""
+    pr = prepared(spark, sf_dir, "evt")
+    root = _scratch(spark, "state")
+    pr.scaler.write.mode("overwrite").parquet(_os.path.join(root, "scaler"))
+    pr.encoder.write.mode("overwrite").parquet(_os.path.join(root, "encoder"))
+    sc = spark.read.parquet(_os.path.join(root, "scaler"))
+    en = spark.read.parquet(_os.path.join(root, "encoder"))
+    a = sc.select(F.lit("scaler").alias("state"), F.col("feature").cast("string").alias("key"), r6("mean").alias("v1"), r6("std").alias("v2"))
+    b = en.select(F.lit("encoder").alias("state"), F.col("target").alias("key"), F.col("class_idx").cast("double").alias("v1"),
+                  F.col("n").cast("double").alias("v2"))
+    return a.unionByName(b)
