@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronoscope.operators import model as M
 from chronoscope.operators import prepare as P
-from chronoscope.session import materialize
+from chronoscope.session import materialize, materialize_bucketed
 from chronoscope.sources.signals import signal_set
 
 
@@ -90,8 +90,7 @@ class Prepared:
     def test_cells(self) -> DataFrame:
         # explicit partition count: AQE must not coalesce this partitioning away, because later
         # stages expand each sample (grid points x attempts x permutations) inside its task
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return materialize(self.std_cells.join(self.test_ids, "noun_id", "left_semi").repartition(n, "noun_id"))
+        return materialize_bucketed(self.std_cells.join(self.test_ids, "noun_id", "left_semi"), "noun_id", "test_cells")
 
     @cached_property
     def p1(self) -> DataFrame:
@@ -126,7 +125,7 @@ def prepared(spark: SparkSession, sf_dir: str, signal: str = "emb") -> Prepared:
 def _state(pr: Prepared):
     from chronoscope.operators import attribute as A
     if "_state" not in pr.__dict__:
-        pr.__dict__["_state"] = materialize(A.sample_state(pr.p1, pr.score1))
+        pr.__dict__["_state"] = materialize_bucketed(A.sample_state(pr.p1, pr.score1), "noun_id", "state")
         pr.__dict__["_base_random"] = materialize(A.baseline_random(pr.W))
         pr.__dict__["_base_sample"] = materialize(A.baseline_sample(pr.test_cells))
     return pr.__dict__["_state"], pr.__dict__["_base_random"], pr.__dict__["_base_sample"]
@@ -136,7 +135,7 @@ def relevance(pr: Prepared, method: str) -> DataFrame:
     """(noun_id, feature, t, x, r) of the test split for one method (J18 dispatch), materialized."""
     key = ("_rel", method)
     if key not in pr.__dict__:
-        pr.__dict__[key] = materialize(_relevance(pr, method))
+        pr.__dict__[key] = materialize_bucketed(_relevance(pr, method), "noun_id", f"rel_{method}")
     return pr.__dict__[key]
 
 

@@ -58,3 +58,18 @@ def materialize(df):
     and later stages stop re-running the upstream plan (scalar subqueries included)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_bucketed(df, key: str, name: str):
+    """Write `df` as a table bucketed (and sorted) by `key` under the shared checkpoint folder and
+    read it back. Later joins, windows and aggregates keyed by `key` read co-located buckets: the
+    large side never shuffles again (a plain checkpoint forgets its hash partitioning). Bucket
+    count = spark.sql.shuffle.partitions, so a small non-bucketed side is shuffled to match."""
+    import os
+    import uuid
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"chronoscope_{name}_{uuid.uuid4().hex[:12]}"
+    path = os.path.join(checkpoint_dir(spark), table)
+    (df.write.mode("overwrite").bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table))
+    return spark.table(table)
