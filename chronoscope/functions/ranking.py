@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
+
 DEFAULT_BUCKET_BITS = 12  # 4,096 buckets; the offsets table is broadcast (bounded by 2**bits rows)
 
 
@@ -31,7 +33,7 @@ def global_rank(df: DataFrame, order_col: str, tie_cols: list[str], rank_col: st
     w = Window.partitionBy(*g, "_bucket").orderBy(F.col(order_col), *[F.col(c) for c in tie_cols])
     ranked = b.withColumn("_rn", F.row_number().over(w))
     return (
-        ranked.join(F.broadcast(offsets), [*g, "_bucket"])
+        ranked.join(F.broadcast(offsets), [*g, "_bucket"])  # bounded by construction: groups x 2**bits rows
         .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_bucket", "_rn", "_off")
     )

@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.functions.rand import normal, sort_key60, uniform  # noqa: F401 (re-exported)
 from chronoscope.functions.ranking import spread
 from chronoscope.operators.model import softmax
@@ -119,14 +120,14 @@ def baseline_sample(cells: DataFrame, n: int = N_BASELINE_SAMPLES, seed: int = S
     with `rn <= n` is planned as a per-partition group limit before one small exchange."""
     ids = cells.select("noun_id").distinct().withColumn("_h", sort_key60(seed, F.lit("baseline"), "noun_id"))
     top = ids.withColumn("bid", F.row_number().over(Window.orderBy("_h", "noun_id")) - 1).where(F.col("bid") < n)
-    return cells.join(F.broadcast(top.select("noun_id", "bid")), "noun_id").select(
+    return cells.join(F.broadcast(top.select("noun_id", "bid")), "noun_id").select(  # <= n rows by the filter
         F.col("bid").cast("bigint"), "feature", "t", F.col("x").alias("xb"))
 
 
 def baseline_logits(base: DataFrame, W: DataFrame, B: DataFrame, keys=()) -> DataFrame:
     """(keys..., class_idx, z) of baseline signals."""
-    z = base.join(F.broadcast(W), ["feature", "t"]).groupBy(*keys, "class_idx").agg(F.sum(F.col("xb") * F.col("w")).alias("_z"))
-    return z.join(F.broadcast(B), "class_idx").select(*keys, "class_idx", (F.col("_z") + F.col("b")).alias("z"))
+    z = base.join(bounded_broadcast(W), ["feature", "t"]).groupBy(*keys, "class_idx").agg(F.sum(F.col("xb") * F.col("w")).alias("_z"))
+    return z.join(bounded_broadcast(B), "class_idx").select(*keys, "class_idx", (F.col("_z") + F.col("b")).alias("z"))
 
 
 def single_baseline_state(base: DataFrame, W: DataFrame, B: DataFrame):
@@ -139,7 +140,7 @@ def single_baseline_state(base: DataFrame, W: DataFrame, B: DataFrame):
 # ---- methods -----------------------------------------------------------------------------------
 
 def _cells_w(cells: DataFrame, W: DataFrame) -> DataFrame:
-    return cells.join(F.broadcast(weight_arrays(W)), ["feature", "t"])
+    return cells.join(bounded_broadcast(weight_arrays(W)), ["feature", "t"])
 
 
 def saliency(cells, W, B, st) -> DataFrame:
@@ -157,7 +158,7 @@ def integrated_gradients(cells, W, B, st, base, p1=None) -> DataFrame:
     node = F.explode(F.arrays_zip(F.array(*[F.lit(v) for v in nodes]).alias("a"),
                                   F.array(*[F.lit(v) for v in weights]).alias("g")))
     zx = spread(st, "noun_id").select("noun_id", "pred", F.posexplode("z_arr").alias("class_idx", "z"))
-    rows = zx.join(F.broadcast(zb), "class_idx").select("noun_id", "pred", "class_idx", "z", "zb", node.alias("nd"))
+    rows = zx.join(bounded_broadcast(zb), "class_idx").select("noun_id", "pred", "class_idx", "z", "zb", node.alias("nd"))
     rows = rows.select("noun_id", "pred", "class_idx", F.col("nd.a").alias("a"), F.col("nd.g").alias("g"),
                        (F.col("zb") + F.col("nd.a") * (F.col("z") - F.col("zb"))).alias("za"))
     pa = softmax(rows, keys=("noun_id", "a"), zcol="za", out="pa")
@@ -168,7 +169,7 @@ def integrated_gradients(cells, W, B, st, base, p1=None) -> DataFrame:
     coef = coef.groupBy("noun_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "bk"))), lambda s: s["bk"]).alias("b_arr"),
         F.first("a").alias("a_coef"))
-    j = _cells_w(cells, W).join(F.broadcast(base), ["feature", "t"]).join(st.select("noun_id", "pred"), "noun_id").join(coef, "noun_id")
+    j = _cells_w(cells, W).join(bounded_broadcast(base), ["feature", "t"]).join(st.select("noun_id", "pred"), "noun_id").join(coef, "noun_id")
     r = (F.col("x") - F.col("xb")) * (at(F.col("w_arr"), F.col("pred")) * F.col("a_coef") - arr_dot(F.col("b_arr"), F.col("w_arr")))
     return j.select("noun_id", "feature", "t", "x", r.alias("r"))
 
@@ -183,7 +184,7 @@ def deeplift(cells, W, B, st, base) -> DataFrame:
     zb, pb = single_baseline_state(base, W, B)
     m = st.withColumn("_zb", zb).withColumn("_pb", pb).select(
         "noun_id", "pred", _rescale_multiplier(F.col("z_arr"), F.col("p_arr"), F.col("_zb"), F.col("_pb"), F.col("pred")).alias("m"))
-    j = _cells_w(cells, W).join(F.broadcast(base), ["feature", "t"]).join(m, "noun_id")
+    j = _cells_w(cells, W).join(bounded_broadcast(base), ["feature", "t"]).join(m, "noun_id")
     wt = at(F.col("w_arr"), F.col("pred")) - arr_mean(F.col("w_arr"))
     return j.select("noun_id", "feature", "t", "x", (F.col("m") * wt * (F.col("x") - F.col("xb"))).alias("r"))
 
@@ -207,16 +208,16 @@ def deepliftshap(cells, W, B, st, bases) -> DataFrame:
     m = st.withColumn("_bs", bset).select("noun_id", "pred", "z_arr", "p_arr", F.explode("_bs").alias("bb")).select(
         "noun_id", "pred", F.col("bb.bid").alias("bid"),
         _rescale_multiplier(F.col("z_arr"), F.col("p_arr"), F.col("bb.zb_arr"), F.col("bb.pb_arr"), F.col("pred")).alias("m"))
-    j = cells.join(m, "noun_id").join(F.broadcast(bases), ["bid", "feature", "t"])
+    j = cells.join(m, "noun_id").join(bounded_broadcast(bases), ["bid", "feature", "t"])
     agg = j.groupBy("noun_id", "feature", "t").agg(F.first("x").alias("x"), F.first("pred").alias("pred"),
                                                     F.sum(F.col("m") * (F.col("x") - F.col("xb"))).alias("_s"))
-    out = agg.join(F.broadcast(weight_arrays(W)), ["feature", "t"])
+    out = agg.join(bounded_broadcast(weight_arrays(W)), ["feature", "t"])
     wt = at(F.col("w_arr"), F.col("pred")) - arr_mean(F.col("w_arr"))
     return out.select("noun_id", "feature", "t", "x", (wt * F.col("_s") / nb).alias("r"))
 
 
 def gradshap(cells, W, B, st, bases, n_samples: int = GRADSHAP_SAMPLES, seed: int = SEED) -> DataFrame:
-    bst = F.broadcast(_baseline_set_state(bases, W, B))  # <= 50 rows
+    bst = bounded_broadcast(_baseline_set_state(bases, W, B))  # <= 50 rows
     nb = bases.select(F.count_distinct("bid")).scalar()
     draws = st.select("noun_id", "pred", "z_arr", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
     draws = draws.withColumn("bid", F.floor(uniform(seed, F.lit("gs_b"), "noun_id", "s") * nb).cast("bigint")) \
@@ -224,7 +225,7 @@ def gradshap(cells, W, B, st, bases, n_samples: int = GRADSHAP_SAMPLES, seed: in
     d = draws.join(bst, "bid")
     za = F.zip_with(F.col("zb_arr"), F.col("z_arr"), lambda b, x: b + F.col("alpha") * (x - b))
     d = with_softmax(d, za, "_pa").select("noun_id", "s", "bid", "pred", F.col("_pa"), at(F.col("_pa"), F.col("pred")).alias("_pc"))
-    j = _cells_w(cells, W).join(d, "noun_id").join(F.broadcast(bases), ["bid", "feature", "t"])
+    j = _cells_w(cells, W).join(d, "noun_id").join(bounded_broadcast(bases), ["bid", "feature", "t"])
     g = F.col("_pc") * (at(F.col("w_arr"), F.col("pred")) - arr_dot(F.col("_pa"), F.col("w_arr")))
     return j.groupBy("noun_id", "feature", "t").agg(
         F.first("x").alias("x"), (F.sum(g * (F.col("x") - F.col("xb"))) / n_samples).alias("r"))
@@ -232,10 +233,10 @@ def gradshap(cells, W, B, st, bases, n_samples: int = GRADSHAP_SAMPLES, seed: in
 
 def shapley_sampling(cells, W, B, st, base, n_perm: int = SHAPLEY_PERMUTATIONS, seed: int = SEED) -> DataFrame:
     zb, pb = single_baseline_state(base, W, B)
-    c = spread(cells.join(F.broadcast(base), ["feature", "t"]).join(st.select("noun_id", "pred"), "noun_id"), "noun_id")
+    c = spread(cells.join(bounded_broadcast(base), ["feature", "t"]).join(st.select("noun_id", "pred"), "noun_id"), "noun_id")
     c = c.select("noun_id", "feature", "t", "x", "xb", "pred", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     c = c.withColumn("_o", sort_key60(seed, F.lit("sv"), "noun_id", "perm", "feature", "t"))
-    cw = c.join(F.broadcast(W), ["feature", "t"]).withColumn("_d", F.col("w") * (F.col("x") - F.col("xb")))
+    cw = c.join(bounded_broadcast(W), ["feature", "t"]).withColumn("_d", F.col("w") * (F.col("x") - F.col("xb")))
     wrun = Window.partitionBy("noun_id", "perm", "class_idx").orderBy("_o", "feature", "t").rowsBetween(Window.unboundedPreceding, 0)
     zrun = cw.withColumn("_zb", zb).select(
         "noun_id", "perm", "feature", "t", "x", "pred", "class_idx", "_o",

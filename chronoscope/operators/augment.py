@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.functions.rand import normal, uniform
 
 SEED = 42
@@ -56,7 +57,7 @@ def shuffle_channel(cells: DataFrame, seed: int = SEED) -> DataFrame:
     rank = feats.select(F.col("feature").alias("_pos"),
                         (F.row_number().over(Window.orderBy("feature")) - 1).cast("bigint").alias("_dst"))
     m = perm.join(rank, "_dst").select("_src", F.col("_pos").alias("new_feature"))
-    return cells.join(F.broadcast(m), cells["feature"] == m["_src"]).select(
+    return cells.join(bounded_broadcast(m), cells["feature"] == m["_src"]).select(
         "noun_id", F.col("new_feature").alias("feature"), "t", "x")
 
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.functions.integrate import simpson_agg, simpson_terms
 from chronoscope.functions.rand import md5_key, normal, uniform_chunk
 from chronoscope.functions.ranking import spread
@@ -126,7 +127,7 @@ def sample_metrics(fm: DataFrame, stats: DataFrame) -> DataFrame:
 
 def _delta_logits(rows: DataFrame, W: DataFrame, keys: list[str], noise: Column) -> DataFrame:
     """(keys..., d_arr): per group, sum over rows of w_c (noise - x) for every class c."""
-    d = rows.withColumn("_dx", noise - F.col("x")).join(F.broadcast(W), ["feature", "t"]).groupBy(*keys, "class_idx").agg(
+    d = rows.withColumn("_dx", noise - F.col("x")).join(bounded_broadcast(W), ["feature", "t"]).groupBy(*keys, "class_idx").agg(
         F.sum(F.col("w") * F.col("_dx")).alias("_d"))
     return d.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "_d"))), lambda s: s["_d"]).alias("d_arr"))
 
@@ -238,7 +239,7 @@ def corruption_results(rel: DataFrame, W: DataFrame, state: DataFrame, labelled:
     noise3 = normal(seed, F.lit("random"), "g", "noun_id", "feature", "t")
     d3 = _delta_logits(masked, W, keys, noise3).withColumnRenamed("d_arr", "d3")
     lab = labelled.select("noun_id", F.col("class_idx").alias("label"))
-    cls = F.broadcast(encoder.select(F.col("class_idx").alias("pred"), F.col("target").alias("class_name")))
+    cls = bounded_broadcast(encoder.select(F.col("class_idx").alias("pred"), F.col("target").alias("class_name")))
     ex = expected if "method" in expected.columns else expected.withColumn("method", F.lit("-"))
     j = (sm.join(d2, keys).join(d3, keys, "left")
          .join(state.select("noun_id", "pred", "s1", "z_arr", "p_arr"), "noun_id")

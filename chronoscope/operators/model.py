@@ -3,7 +3,7 @@
 The scoring model is linear-softmax: z_c(x) = sum_j w[c, j] * x_j + b_c, p = softmax(z).
 Weights live in a long table W (class_idx, feature, t, w) and biases in B (class_idx, b).
 W has C*F*T rows (classes x features x steps): it is independent of the number of
-samples, which is what makes broadcasting it safe; `check_broadcast_bound` enforces it.
+samples, which is what makes broadcasting it safe; `bounded_broadcast` checks it.
 
 Centroid model (J1a): mu[c, j] = mean of x_j over train samples of class c, and
 z_c = -tau * mean_j (x_j - mu[c, j])^2 up to a per-sample constant, i.e.
@@ -15,15 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TEMPERATURE = 50.0
-MAX_BROADCAST_ROWS = 5_000_000  # ~ 5M weights * 32 bytes = 160 MB upper bound for a broadcast side
+from chronoscope.functions.joins import bounded_broadcast
 
 
-def check_broadcast_bound(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, what: str = "table") -> DataFrame:
-    """Broadcast `df` only when its row count is proven below `max_rows`; else return it
-    unhinted so the planner uses a shuffle join. One cheap count of a model-sized table."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+TEMPERATURE = 50.0
 
 
 def fit_centroid(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame, tau: float = TEMPERATURE):
@@ -39,9 +34,9 @@ def fit_centroid(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame, ta
 def logits(cells: DataFrame, W: DataFrame, B: DataFrame, keys=("noun_id",), x: str = "x") -> DataFrame:
     """(keys..., class_idx, z). The join with W is broadcast; the aggregate is keyed by
     (keys, class_idx), which a noun_id partitioning already satisfies."""
-    j = cells.join(F.broadcast(W), ["feature", "t"]).groupBy(*keys, "class_idx").agg(
+    j = cells.join(bounded_broadcast(W), ["feature", "t"]).groupBy(*keys, "class_idx").agg(
         F.sum(F.col(x) * F.col("w")).alias("_zx"))
-    return j.join(F.broadcast(B), "class_idx").select(*keys, "class_idx", (F.col("_zx") + F.col("b")).alias("z"))
+    return j.join(bounded_broadcast(B), "class_idx").select(*keys, "class_idx", (F.col("_zx") + F.col("b")).alias("z"))
 
 
 def softmax(z: DataFrame, keys=("noun_id",), zcol: str = "z", out: str = "p") -> DataFrame:
@@ -75,3 +70,41 @@ def evaluate(p: DataFrame, labelled: DataFrame) -> DataFrame:
     ce = p.join(lab, "noun_id").where(F.col("class_idx") == F.col("label")).select("noun_id", (-F.log(F.col("p"))).alias("ce"))
     acc = predictions(p, labelled).select("noun_id", F.col("correct").cast("double").alias("ok"))
     return ce.join(acc, "noun_id").agg(F.count(F.lit(1)).alias("n"), F.avg("ce").alias("loss"), F.avg("ok").alias("accuracy"))
+
+
+def scores_in_batches(cells: DataFrame, W: DataFrame, B: DataFrame) -> DataFrame:
+    """The model as a scoring function over Arrow batches (mapInPandas).
+
+    Each sample's cells are gathered into one vector (bounded by F*T), the weight matrix
+    (bounded by C*F*T) ships once as a broadcast variable, and every Arrow batch is scored
+    with one matrix product. Output (noun_id, class_idx, z, p) like `scores`."""
+    import numpy as np
+    import pandas as pd
+
+    spark = cells.sparkSession
+    wp = W.toPandas().sort_values(["class_idx", "feature", "t"])
+    keys = list(wp.loc[wp["class_idx"] == wp["class_idx"].min(), ["feature", "t"]].itertuples(index=False, name=None))
+    n_cls = wp["class_idx"].nunique()
+    mat = wp["w"].to_numpy().reshape(n_cls, len(keys))
+    bias = B.toPandas().sort_values("class_idx")["b"].to_numpy()
+    bc = spark.sparkContext.broadcast((mat, bias))
+    order = {k: i for i, k in enumerate(keys)}
+    pos = spark.createDataFrame([(int(f), int(t), i) for (f, t), i in order.items()], "feature long, t long, pos int")
+    vec = cells.join(bounded_broadcast(pos), ["feature", "t"]).groupBy("noun_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("xv"))
+
+    def score(batches):
+        m, b0 = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["xv"].to_numpy())
+            z = X @ m.T + b0
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            p = e / e.sum(axis=1, keepdims=True)
+            n, c = z.shape
+            yield pd.DataFrame({"noun_id": np.repeat(pdf["noun_id"].to_numpy(), c),
+                                "class_idx": np.tile(np.arange(c, dtype=np.int64), n),
+                                "z": z.ravel(), "p": p.ravel()})
+
+    return vec.mapInPandas(score, "noun_id long, class_idx long, z double, p double")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.functions.rand import sort_key60
 from chronoscope.functions.ranking import global_rank
 
@@ -66,14 +67,14 @@ def fit_scaler(cells: DataFrame, train_ids: DataFrame | None = None) -> DataFram
 
 def standardise(cells: DataFrame, scaler: DataFrame) -> DataFrame:
     """x' = (x - mean) / std per feature; std == 0 gives 0 (the reference divides by zero)."""
-    st = F.broadcast(scaler.select("feature", "mean", "std"))
+    st = bounded_broadcast(scaler.select("feature", "mean", "std"))
     return cells.join(st, "feature").select(
         "noun_id", "feature", "t",
         F.when(F.col("std") != 0, (F.col("x") - F.col("mean")) / F.col("std")).otherwise(F.lit(0.0)).alias("x"))
 
 
 def scale_minmax(cells: DataFrame, scaler: DataFrame) -> DataFrame:
-    st = F.broadcast(scaler.select("feature", "min", "max"))
+    st = bounded_broadcast(scaler.select("feature", "min", "max"))
     rng = F.col("max") - F.col("min")
     return cells.join(st, "feature").select(
         "noun_id", "feature", "t",
@@ -81,7 +82,7 @@ def scale_minmax(cells: DataFrame, scaler: DataFrame) -> DataFrame:
 
 
 def scale_mean(cells: DataFrame, scaler: DataFrame) -> DataFrame:
-    st = F.broadcast(scaler.select("feature", "mean"))
+    st = bounded_broadcast(scaler.select("feature", "mean"))
     return cells.join(st, "feature").select("noun_id", "feature", "t", (F.col("x") - F.col("mean")).alias("x"))
 
 
@@ -102,7 +103,7 @@ def encode_targets(targets: DataFrame, encoder: DataFrame) -> DataFrame:
     """(noun_id, target, class_idx); labels unseen by the encoder have no class (inner join)."""
     lab = F.when(F.col("target") == "", F.lit("0")).otherwise(F.col("target"))
     return targets.select("noun_id", lab.alias("target")).join(
-        F.broadcast(encoder.select("target", "class_idx")), "target")
+        bounded_broadcast(encoder.select("target", "class_idx")), "target")
 
 
 # --- B10 / B11 / B2: cropping and minimum length -------------------------------------------

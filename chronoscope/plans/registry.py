@@ -967,3 +967,20 @@ def q_state_roundtrip(spark, sf_dir):
     b = en.select(F.lit("encoder").alias("state"), F.col("target").alias("key"), F.col("class_idx").cast("double").alias("v1"),
                   F.col("n").cast("double").alias("v2"))
     return a.unionByName(b)
+
+
+# ---- J2 / M3 / M5 (Arrow-batch scoring) and F4 (shape probe) ------------------------------------------------
+
+@register("score_batches_pandas", _MODEL_PRE + "\nSELECT noun_id, class_idx, round(z, 6) AS z, round(p, 6) AS p FROM p1")
+def q_score_batches_pandas(spark, sf_dir):
+    pr = prepared(spark, sf_dir, "emb")
+    return M.scores_in_batches(pr.test_cells, pr.W, pr.B).select("noun_id", "class_idx", r6("z").alias("z"), r6("p").alias("p"))
+
+
+@register("shape_probe", O.prelude("sup") + """
+SELECT max(t) + 1 AS n_steps, count(DISTINCT feature) AS n_feat FROM cells WHERE noun_id = (SELECT min(noun_id) FROM cells)""")
+def q_shape_probe(spark, sf_dir):
+    """(steps, features) of the signals read from one sample's tensor (all samples share it)."""
+    from chronoscope.sources.signals import cells_to_tensor
+    tens = cells_to_tensor(prepared(spark, sf_dir, "sup").cells).limit(1)
+    return tens.select(F.size("signal").cast("bigint").alias("n_steps"), F.size(F.col("signal")[0]).cast("bigint").alias("n_feat"))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.sources.tables import read_table
 
 CELL_COLS = ["noun_id", "feature", "t", "x"]
@@ -57,7 +58,7 @@ def signal_from_events_generic(binned: DataFrame, channels: DataFrame) -> DataFr
         .select("noun_id", (F.col("_k") / F.col("_T")).cast("bigint").alias("feature"),
                 (F.col("_k") % F.col("_T")).cast("bigint").alias("t"), F.lit(0.0).alias("x"))
     )
-    real = binned.join(F.broadcast(channels), "channel").select(
+    real = binned.join(bounded_broadcast(channels), "channel").select(
         "noun_id", F.col("feature").cast("bigint"), F.col("step").cast("bigint").alias("t"), F.col("v").alias("x"))
     return real.unionByName(grid).groupBy("noun_id", "feature", "t").agg(F.sum("x").alias("x"))
 

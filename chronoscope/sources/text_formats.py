@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 
 
+
+
 def _ordered_lines(spark: SparkSession, path: str, comment_prefixes: tuple[str, ...]) -> DataFrame:
     """(sample_idx, value) of the data lines, sample_idx = 0-based position in (file, offset) order.
 
@@ -33,7 +35,7 @@ def _ordered_lines(spark: SparkSession, path: str, comment_prefixes: tuple[str,
     blocks = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     offs = blocks.select("_f", "_b", "_m0", F.coalesce(
         F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return lines.join(F.broadcast(offs), ["_f", "_b"]).select(
+    return lines.join(F.broadcast(offs), ["_f", "_b"]).select(  # one row per file split: bounded by construction
         (F.col("_off") + F.col("_m") - F.col("_m0")).alias("sample_idx"), "_f", "value")
 
 
