@@ -63,10 +63,10 @@ cells AS (
     FROM binned b JOIN chan c ON b.channel = c.channel
     UNION ALL SELECT * FROM grid) GROUP BY noun_id, feature, t),
 totals AS (SELECT noun_id, sum(x) AS total FROM cells GROUP BY noun_id),
-thr AS (SELECT quantile_cont(total, [0.5, 1.0]) AS q FROM totals),
+cls_thr AS (SELECT quantile_cont(total, [0.5, 1.0]) AS q FROM totals),
 targets AS (
   SELECT noun_id, CAST(CASE WHEN total <= q[1] THEN 0 WHEN total <= q[2] THEN 1 ELSE 1 END AS VARCHAR) AS target
-  FROM totals, thr)"""
+  FROM totals, cls_thr)"""
 
 
 EVT = _dense(
@@ -342,7 +342,7 @@ def multi_rel(methods) -> str:
 
 
 SWEEP = f"""
-grid AS (SELECT * FROM (VALUES {grid_values()}) v(g, mask, k, q)),
+kgrid AS (SELECT * FROM (VALUES {grid_values()}) v(g, mask, k, q)),
 relr AS (SELECT method, noun_id, feature, t, x, round(r, 9) AS r FROM rel),
 stats AS (
   SELECT method, noun_id, min(r) AS min_Rx, max(r) AS max_Rx, avg(r) AS mean_Rx, quantile_cont(r, 0.5) AS median_Rx,
@@ -351,7 +351,7 @@ stats AS (
   FROM relr GROUP BY method, noun_id HAVING count(CASE WHEN r >= 0 THEN r END) > 0),
 thr_l AS (SELECT method, noun_id, quantile_cont(r, [{", ".join(repr((1 - k)) for k in K_VALUES)}, {", ".join(repr(k) for k in K_VALUES)}]) AS ql
           FROM relr WHERE r >= 0 GROUP BY method, noun_id),
-thr AS (SELECT l.method, l.noun_id, g.g, l.ql[g.g + 1] AS thr FROM thr_l l, grid g),
+thr AS (SELECT l.method, l.noun_id, g.g, l.ql[g.g + 1] AS thr FROM thr_l l, kgrid g),
 kept AS (
   SELECT r.method, r.noun_id, th.g, r.feature, r.t, r.x, r.r FROM relr r
   JOIN thr th ON r.method = th.method AND r.noun_id = th.noun_id
@@ -424,7 +424,7 @@ results AS (
          s1.pred = l.class_idx AS initial_classification, a.pred2 = l.class_idx AS modified_classification,
          a.pred3 = l.class_idx AS random_classification,
          (s1.s1 - a.s2) / s1.s1 AS metric_score, (s1.s1 - a.s3) / s1.s1 AS metric_score_random, s.block_size, s.drop_prob
-  FROM sm s JOIN grid g ON g.g = s.g JOIN ppa a ON a.method = s.method AND a.noun_id = s.noun_id AND a.g = s.g
+  FROM sm s JOIN kgrid g ON g.g = s.g JOIN ppa a ON a.method = s.method AND a.noun_id = s.noun_id AND a.g = s.g
   JOIN score1 s1 ON s1.noun_id = s.noun_id JOIN stats st ON st.method = s.method AND st.noun_id = s.noun_id
   JOIN labelled l ON l.noun_id = s.noun_id JOIN encoder e ON e.class_idx = s1.pred
   JOIN expv ev ON ev.method = s.method AND ev.noun_id = s.noun_id),

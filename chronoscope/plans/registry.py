@@ -525,7 +525,7 @@ def q_label_by_quantile(spark, sf_dir):
     return pr.targets.join(totals, "noun_id").select("noun_id", r6("total").alias("total"), "target")
 
 
-@register("class_thresholds", O.prelude("sup") + "\nSELECT round(q[1], 6) AS q50, round(q[2], 6) AS q100 FROM thr")
+@register("class_thresholds", O.prelude("sup") + "\nSELECT round(q[1], 6) AS q50, round(q[2], 6) AS q100 FROM cls_thr")
 def q_class_thresholds(spark, sf_dir):
     totals = prepared(spark, sf_dir, "sup").cells.groupBy("noun_id").agg(F.sum("x").alias("total"))
     thr = totals.agg(F.percentile("total", F.array(F.lit(0.5), F.lit(1.0))).alias("q"))
@@ -984,3 +984,17 @@ def q_shape_probe(spark, sf_dir):
     from chronoscope.sources.signals import cells_to_tensor
     tens = cells_to_tensor(prepared(spark, sf_dir, "sup").cells).limit(1)
     return tens.select(F.size("signal").cast("bigint").alias("n_steps"), F.size(F.col("signal")[0]).cast("bigint").alias("n_feat"))
+
+
+# ---- K2 / K3 on a multivariate signal set (5 channels x 30 days, 2 classes) -----------------------------------
+
+@register("corruption_sweep_evt", O.sweep_prelude(_IG, "evt") + "\n" + _result_select_sql("resn"))
+def q_corruption_sweep_evt(spark, sf_dir):
+    return _result_select(sweep_results(prepared(spark, sf_dir, "evt"), tuple(_IG)))
+
+
+@register("summary_evt", O.sweep_prelude(["integrated_gradients", "deeplift", "shapleyvalue"], "evt", O.SUMMARY)
+          + "\nSELECT method, mask, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SUM_DOUBLES) + " FROM summ")
+def q_summary_evt(spark, sf_dir):
+    res = sweep_results(prepared(spark, sf_dir, "evt"), ("integrated_gradients", "deeplift", "shapleyvalue"))
+    return S.summary(res).select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
