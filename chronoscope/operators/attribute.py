@@ -241,12 +241,17 @@ def shapley_sampling(cells, W, B, st, base, n_perm: int = SHAPLEY_PERMUTATIONS,
     zrun = cw.withColumn("_zb", zb).select(
         "noun_id", "perm", "feature", "t", "x", "pred", "class_idx", "_o",
         (at(F.col("_zb"), F.col("class_idx")) + F.sum("_d").over(wrun)).alias("z"))
-    p = softmax(zrun, keys=("noun_id", "perm", "feature", "t"))
-    pc = p.where(F.col("class_idx") == F.col("pred"))
+    # the C logits of one step gathered by a hash aggregate on the same noun_id partitioning (no sort),
+    # softmax on that small array, keep the predicted class's probability
+    steps = zrun.groupBy("noun_id", "perm", "feature", "t").agg(
+        F.first("x").alias("x"), F.first("pred").alias("pred"), F.first("_o").alias("_o"),
+        F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "z"))), lambda s: s["z"]).alias("_z"))
+    steps = with_softmax(steps, F.col("_z"), "_p").withColumn("p", at(F.col("_p"), F.col("pred")))
     wlag = Window.partitionBy("noun_id", "perm").orderBy("_o", "feature", "t")
     prev = F.lag("p", 1).over(wlag)
     first_prev = at(F.col("_pb"), F.col("pred"))  # nothing added yet: the baseline's own p_c
-    marg = pc.withColumn("_pb", pb).select("noun_id", "perm", "feature", "t", "x", (F.col("p") - F.coalesce(prev, first_prev)).alias("dp"))
+    marg = steps.withColumn("_pb", pb).select("noun_id", "perm", "feature", "t", "x",
+                                              (F.col("p") - F.coalesce(prev, first_prev)).alias("dp"))
     return marg.groupBy("noun_id", "feature", "t").agg(F.first("x").alias("x"), (F.sum("dp") / n_perm).alias("r"))
 
 
