@@ -53,7 +53,7 @@ def simpson_terms(df: DataFrame, group_cols: list[str], order_col: str, y: str,
     )
 
 
-def simpson_agg(n: Column | None = None) -> Column:
+def simpson_agg() -> Column:
     """Aggregate expression over rows produced by `simpson_terms` (one group = one curve)."""
     i = F.col("_i")
     n = F.col("_n")

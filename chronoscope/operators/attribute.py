@@ -69,14 +69,6 @@ def arr_mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / F.size(a)
 
 
-def arr_softmax(z: Column) -> Column:
-    """Softmax of an array in one expression (for small, once-per-row uses)."""
-    m = F.array_max(z)
-    e = F.transform(z, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
-
-
 def with_softmax(df: DataFrame, z: Column, out: str) -> DataFrame:
     """Adds `out` = softmax(z) through staged columns: each intermediate array is computed once
     per row (a nested expression would re-evaluate the max inside every lambda call)."""

@@ -61,11 +61,6 @@ def prepare_rel(rel: DataFrame) -> DataFrame:
     return rel.select(m.alias("method"), "noun_id", "feature", "t", "x", F.round("r", 9).alias("r"))
 
 
-def sample_dims(rel: DataFrame) -> DataFrame:
-    """(noun_id, n_feat, n_steps) of each sample."""
-    return rel.groupBy("method", "noun_id").agg((F.max("t") + 1).alias("n_steps"), F.count_distinct("feature").alias("n_feat"))
-
-
 def relevance_stats(rel: DataFrame) -> DataFrame:
     """D6, D7 and the thresholds of all 22 grid points (D5) in one aggregate per sample."""
     G = grid()
@@ -83,12 +78,10 @@ def relevance_stats(rel: DataFrame) -> DataFrame:
 
 def kept_cells(rel: DataFrame, stats: DataFrame) -> DataFrame:
     """(noun_id, g, feature, t, x, r) for every kept cell of every grid point."""
-    G = grid()
     j = spread(rel.where(F.col("r") >= 0).join(stats.select("method", "noun_id", "thr"), ["method", "noun_id"]), "noun_id")
     j = j.select("method", "noun_id", "feature", "t", "x", "r", F.posexplode("thr").alias("g", "thr"))
     is_top = F.col("g") < len(K_VALUES)
     keep = F.when(is_top, F.col("r") >= F.col("thr") - TOL).otherwise(F.col("r") <= F.col("thr") + TOL)
-    del G
     return j.where(keep).select("method", "noun_id", F.col("g").cast("bigint").alias("g"), "feature", "t", "x", "r")
 
 

@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.sources.tables import read_table
 
-CELL_COLS = ["noun_id", "feature", "t", "x"]
-
-
 def cells_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return emb.select(
