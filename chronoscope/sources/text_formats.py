@@ -115,3 +115,12 @@ def read_results_by_path(spark: SparkSession, root: str) -> DataFrame:
                      F.regexp_extract(p, r"interpretability_(.+?)__[\d.]+", 1).alias("method"),
                      F.regexp_extract(p, r"__([\d.]+)/", 1).cast("double").alias("k"),
                      F.regexp_extract(p, r"(top|bottom)", 1).alias("mask"))
+
+
+def write_wide_matrix(rel: DataFrame, path: str, value: str = "r") -> None:
+    """rows = t, one column per '{noun_id}_feature_{f}' (the reference's relevance CSV layout).
+    The column count grows with the number of samples, so this is an export for small selections;
+    the library keeps results long."""
+    col = F.concat(F.col("noun_id").cast("string"), F.lit("_feature_"), F.col("feature").cast("string"))
+    wide = rel.withColumn("col", col).groupBy("t").pivot("col").agg(F.first(value))
+    wide.orderBy("t").write.mode("overwrite").option("header", True).csv(path)

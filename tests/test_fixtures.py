@@ -107,3 +107,19 @@ def test_mask_fraction_from_seed_intervals(spark):
                                       "method string, noun_id long, g long, a int, drop_prob double, n_steps long, n_feat long")
         diff = C._attempt_diffs(cells, pairs, 42).collect()[0]["_diff"]
         assert diff == pytest.approx(want / 9)
+
+
+def test_wide_matrix_round_trip(spark, tmp_path):
+    """A7 / A8 on a three-sample slice of the embeddings signals (a small export, as the layout intends)."""
+    from chronoscope.sources.signals import cells_from_embeddings
+    from chronoscope.sources.text_formats import read_wide_matrix, write_wide_matrix
+    from conftest import SF001
+    cells = cells_from_embeddings(spark, SF001)
+    ids = [r["noun_id"] for r in cells.select("noun_id").distinct().orderBy("noun_id").limit(3).collect()]
+    part = cells.where(F.col("noun_id").isin(ids))
+    write_wide_matrix(part.withColumnRenamed("x", "r"), str(tmp_path / "wide"), "r")
+    back = read_wide_matrix(spark, str(tmp_path / "wide"))
+    a = {(int(r["noun_id"]), r["feature"], r["t"]): r["x"] for r in back.collect()}
+    b = {(r["noun_id"], r["feature"], r["t"]): r["x"] for r in part.collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) < 1e-12 for k in b)
