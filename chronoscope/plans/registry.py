@@ -527,9 +527,10 @@ def q_label_by_quantile(spark, sf_dir):
 
 @register("class_thresholds", O.prelude("sup") + "\nSELECT round(q[1], 6) AS q50, round(q[2], 6) AS q100 FROM cls_thr")
 def q_class_thresholds(spark, sf_dir):
+    from chronoscope.functions.ranking import exact_quantiles
     totals = prepared(spark, sf_dir, "sup").cells.groupBy("noun_id").agg(F.sum("x").alias("total"))
-    thr = totals.agg(F.percentile("total", F.array(F.lit(0.5), F.lit(1.0))).alias("q"))
-    return thr.select(r6(F.col("q")[0]).alias("q50"), r6(F.col("q")[1]).alias("q100"))
+    q50, q100 = exact_quantiles(totals, "total", (0.5, 1.0))
+    return spark.range(1).select(r6(F.lit(q50)).alias("q50"), r6(F.lit(q100)).alias("q100"))
 
 
 _KEEP = ["A", "R"]

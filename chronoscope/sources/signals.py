@@ -97,8 +97,9 @@ def label_rule(value: Column, thresholds: Column) -> Column:
 
 def targets_by_quantile(cells: DataFrame, quantiles=(0.5, 1.0)) -> DataFrame:
     """Label each entity by the quantile class of its total (D4 + I16)."""
+    from chronoscope.functions.ranking import exact_quantiles
     totals = cells.groupBy("noun_id").agg(F.sum("x").alias("total"))
-    thr = totals.select(F.percentile("total", F.array(*[F.lit(float(q)) for q in quantiles]))).scalar()
+    thr = F.array(*[F.lit(v) for v in exact_quantiles(totals, "total", quantiles)])  # one value per entity: distributed
     return totals.withColumn("_thr", thr).select(
         "noun_id", label_rule(F.col("total"), F.col("_thr")).cast("string").alias("target"))
 

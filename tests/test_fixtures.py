@@ -123,3 +123,14 @@ def test_wide_matrix_round_trip(spark, tmp_path):
     b = {(r["noun_id"], r["feature"], r["t"]): r["x"] for r in part.collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) < 1e-12 for k in b)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from chronoscope.functions.ranking import exact_quantiles
+    vals = [float((i * 37) % 101) / 7.0 for i in range(1000)] + [3.0] * 50  # ties included
+    df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(7)
+    qs = [0.0, 0.05, 0.5, 0.85, 0.95, 1.0]
+    got = exact_quantiles(df, "v", qs)
+    want = np.quantile(np.array(vals), qs)
+    assert got == pytest.approx(list(want), abs=1e-12)
