@@ -150,3 +150,41 @@ def sums_by_offsets(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i + 1]] (0 for empty runs); values may be a matrix."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def hashed_features(texts: Texts, sizes: tuple[int, ...], bits: int, words: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of each text, kind by kind: (bucket of every occurrence, offsets by document).
+    Kinds: whole words, and byte n-grams of each size that lie in one word together with at most one
+    separator (read as a space) at either end."""
+    shift = np.uint64(64 - bits)
+    if words:
+        yield ((texts.word_hashes() ^ MIX_1) * np.uint64(BASE) >> shift).astype(np.int32), texts.word_offsets
+    space = IS_SPACE[texts.buf]
+    flat = np.where(space, np.uint8(0x20), texts.buf)
+    ends = texts.offsets[1:]
+    for size in sizes:
+        n = len(flat) - size + 1
+        if n <= 0:
+            yield np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+            continue
+        code = np.zeros(n, np.uint64)
+        bad = np.zeros(n, bool)
+        for j in range(size):
+            code |= flat[j:j + n].astype(np.uint64) << np.uint64(8 * j)
+            if 0 < j < size - 1:
+                bad |= space[j:j + n]
+        for j in range(1, size):
+            cross = ends - j
+            bad[cross[(cross >= 0) & (cross < n)]] = True
+        at = np.flatnonzero(~bad)
+        yield ((code[at] * np.uint64(BASE) + np.uint64(size)) * MIX_2 >> shift).astype(np.int32), np.searchsorted(at, texts.offsets)
+
+
+def run_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of each run values[offsets[i]:offsets[i + 1]], each run summed by itself (so a document's
+    sum does not depend on its neighbours); 0 for empty runs."""
+    out = np.zeros(len(offsets) - 1, np.float64)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[full])
+    return out
