@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, quality
+from . import fingerprints, language, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,13 @@ def op2_subword_quality(spark, sf_dir):
 @query
 def op5_family_svm_language(spark, sf_dir):
     return language.languages_of_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_minimax_sharding(spark, sf_dir):
+    return sharding.shard_manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_pivotal_mixing(spark, sf_dir):
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
