@@ -16,7 +16,7 @@ that what is rounded last is small. No task sees more than a block.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +27,8 @@ MOST_COPIES = 3.0
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 32 << 20
 FAN_IN = 1024
+#: sources of up to so many documents go to the last level whole
+POOL_ROWS = 256
 CLASSES_PER_DOUBLING = 4
 SEED = 11
 
@@ -56,7 +58,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     free = F.min(F.when(~F.col("_capped"), F.struct(F.col("_nth"), F.col("_level").alias("at")))).over(all_rows)
     return (levelled.withColumn("_free", free["at"])
             .withColumn("target", F.when(F.col("_capped") | F.col("_free").isNull(), cap).otherwise(F.col("_free") * F.col("weight")).cast("double"))
-            .select("source", "source_size", "weight", "target"))
+            .select(*sizes.columns, "weight", "target"))
 
 
 def _draw(a: int, b: int) -> float:
@@ -72,8 +74,8 @@ def _settled(p: float) -> float:
     return float(round(p)) if abs(p - round(p)) < 1e-9 else p
 
 
-def round_pairwise(mass: list[float], words: list[float], unit: list[int]) -> int:
-    """Rounds in place; returns the place of the one unit that is left between 0 and 1, or -1."""
+def round_pairwise(mass: list[float], words: list[float], unit: list[int]) -> None:
+    """Rounds in place all but at most one unit."""
     held = -1
     for i in range(len(mass)):
         if not 0.0 < mass[i] < 1.0:
@@ -88,7 +90,6 @@ def round_pairwise(mass: list[float], words: list[float], unit: list[int]) -> in
         mass[i] = _settled(mass[i] - move / words[i])
         if not 0.0 < mass[held] < 1.0:
             held = i if 0.0 < mass[i] < 1.0 else -1
-    return held
 
 
 def round_pool(mass: list[float], words: list[float], unit: list[int]) -> None:
@@ -111,19 +112,18 @@ def round_pool(mass: list[float], words: list[float], unit: list[int]) -> None:
                 mass[j] = _settled(mass[j] - min(mass[j], 1 - mass[j]) * move / give)
 
 
-def _round_block(order: list[str], last: bool = False):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        mass, unit = rows["mass"].tolist(), rows["unit"].tolist()
-        words = [max(1.0, float(w)) for w in rows["size"].tolist()]
-        held = -1
+def _round_block(order: list[str], leaf: bool = False, last: bool = False):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        mass, unit = rows["mass"].to_pylist(), rows["unit"].to_pylist()
+        words = [max(1.0, float(w)) for w in rows["words"].to_pylist()]
         if last:
             round_pool(mass, words, unit)
-        else:
-            held = round_pairwise(mass, words, unit)
-        rows["mass"] = mass
-        rows["left"] = [i == held for i in range(len(mass))]
-        return rows
+        elif not rows["pool"][0].as_py():
+            round_pairwise(mass, words, unit)
+        rows = rows.set_column(rows.column_names.index("mass"), "mass", pa.array(mass, pa.float64()))
+        rows = rows.append_column("left", pa.array([0.0 < m < 1.0 for m in mass]))
+        return rows.append_column("at", pa.array(range(len(mass)), pa.int32())) if leaf else rows
 
     return run
 
@@ -135,68 +135,58 @@ def mix_documents(docs: DataFrame, size: Column | None = None, source: str = "so
     replaced, others pass through; an empty table stays empty."""
     work = ["size", "source_size", "target", "copies"]
     kept = docs.drop(*work)
-    names = kept.columns
-    rows = kept.withColumn("size", n_words() if size is None else size).withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * CLASSES_PER_DOUBLING).cast("int"))
-    bytes_ = F.octet_length("text") if "text" in names else F.lit(64)
-    classes = stored(rows.groupBy(F.col(source).alias("source"), "_class")
-                     .agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(bytes_, F.lit(0))).alias("b")), "mix-classes")
-    targets = source_targets(classes.groupBy("source").agg(F.sum("s").alias("source_size")))
+    words = (n_words() if size is None else size).cast("long")
+    weight = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in kept.columns else F.lit(64)
+    rows = kept.select(F.struct(*kept.columns).alias("row"), F.col(source).alias("source"), words.alias("words"), weight.alias("bytes"), F.xxhash64(F.lit(SEED), *kept.columns).alias("unit"))
+    rows = rows.withColumn("class", F.floor(F.log2(F.col("words") + 1.0) * CLASSES_PER_DOUBLING).cast("int"))
+    classes = stored(rows.groupBy("source", "class").agg(F.sum("words").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")), "mix-classes")
+    targets = source_targets(classes.groupBy("source").agg(F.sum("s").alias("source_size"), F.sum("n").alias("rows")))
     chunks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("b") / BLOCK_BYTES), F.lit(1)).cast("int")
     plan = (classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-            .select(F.col("c.source").alias("_source"), F.col("c._class").alias("_of"), chunks.alias("_chunks"), "source_size", "target"))
-    # one row per source and size class: far below the rows, and broadcast only if Spark's own size check allows
-    placed = rows.join(plan, rows[source].eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_of")))
+            .select(F.col("c.source").alias("s"), F.col("class").alias("k"), chunks.alias("chunks"), "source_size", "target", (F.col("rows") <= POOL_ROWS).alias("pool")))
+    # one row per source and size class; whether it is broadcast is left to Spark's own size check
+    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k"))).drop("s", "k", "bytes")
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_COPIES))).otherwise(F.lit(0.0))
-    unit = F.xxhash64(F.lit(SEED), *[F.col(c) for c in names if c != "text"], *([F.col("text")] if "text" in names else []))
-    leaf = (placed.withColumn("unit", unit).withColumn("_chunk", F.pmod(F.col("unit"), F.col("_chunks")).cast("int"))
-            .withColumn("_whole", F.floor(share + 1e-12)).withColumn("mass", F.greatest(share - F.col("_whole"), F.lit(0.0)))
-            .drop("_source", "_of", "_chunks"))
-    schema = T.StructType([*leaf.schema.fields, T.StructField("left", T.BooleanType())])
-    rounded = stored(leaf.groupBy(source, "_class", "_chunk").applyInPandas(_round_block(["size", "unit"]), schema), "mix-leaves")
-    tops = _reduce(rounded.where("left").select(F.col(source).alias("source"), "_class", "_chunk", "unit", "mass", "size"))
-    tops = tops.select(F.col("source").alias("_s"), F.col("_class").alias("_k"), F.col("_chunk").alias("_h"), "top")
-    same = rounded[source].eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_k")) & (F.col("_chunk") == F.col("_h")) & F.col("left")
-    return (rounded.join(tops, same, "left")
-            .withColumn("copies", (F.col("_whole") + F.when(F.col("left"), F.coalesce("top", F.lit(0))).otherwise(F.col("mass"))).cast("long"))
-            .select(*names, *work))
+    leaf = (placed.withColumn("chunk", F.pmod(F.col("unit"), F.col("chunks")).cast("int")).drop("chunks")
+            .withColumn("whole", F.floor(share + 1e-12)).withColumn("mass", F.greatest(share - F.col("whole"), F.lit(0.0))))
+    schema = T.StructType([*leaf.schema.fields, T.StructField("left", T.BooleanType()), T.StructField("at", T.IntegerType())])
+    rounded = stored(leaf.groupBy("source", "class", "chunk").applyInArrow(_round_block(["words", "unit"], leaf=True), schema), "mix-leaves")
+    tops = _reduce(rounded.where("left").select("source", "class", "chunk", "at", "pool", "unit", "mass", "words"))
+    place = [F.col("source").eqNullSafe(F.col("s")), F.col("class") == F.col("k"), F.col("chunk") == F.col("h"), F.col("at") == F.col("a"), F.col("left")]
+    copies = (F.col("whole") + F.when(F.col("left"), F.coalesce("top", F.lit(0))).otherwise(F.col("mass"))).cast("long")
+    return (rounded.join(tops.select(F.col("source").alias("s"), F.col("class").alias("k"), F.col("chunk").alias("h"), F.col("at").alias("a"), "top"), place, "left")
+            .select("row.*", F.col("words").alias("size"), "source_size", "target", copies.alias("copies")))
 
 
 def _reduce(units: DataFrame) -> DataFrame:
-    """The upper levels: units (one per leaf block) meet in groups of FAN_IN chunks of a class until a
-    class has one group, then by source. Returns source, _class, _chunk, top (0 or 1)."""
-    units = stored(units.withColumn("_node", F.col("_chunk").cast("long")), "mix-units")
+    """The upper levels: units left over by the leaf blocks meet in groups of FAN_IN chunks of a class
+    until a class has one group, then by source. Returns source, class, chunk, at, top (0 or 1)."""
+    units = stored(units.withColumn("node", F.col("chunk").cast("long")), "mix-units")
     decided: list[DataFrame] = []
     columns = units.columns
-    level_schema = T.StructType([*units.schema.fields, T.StructField("left", T.BooleanType())])
-    by_class = True
-    while True:
-        widest = units.agg(F.max("_node").alias("n")).first()["n"] or 0
-        if by_class and widest == 0:
-            by_class = False
-        if by_class:
-            units = units.withColumn("_node", F.floor(F.col("_node") / FAN_IN))
-            groups = ["source", "_class", "_node"]
-        else:
-            groups = ["source"]
-        done = stored(units.groupBy(*groups).applyInPandas(_round_block(["_class", "size", "unit"], last=not by_class), level_schema), "mix-level")
+    schema = T.StructType([*units.schema.fields, T.StructField("left", T.BooleanType())])
+    last = False
+    while not last:
+        last = not units.agg(F.max("node").alias("n")).first()["n"]
+        if not last:
+            units = units.withColumn("node", F.floor(F.col("node") / FAN_IN))
+        groups = ["source"] if last else ["source", "class", "node"]
+        done = stored(units.groupBy(*groups).applyInArrow(_round_block(["class", "words", "unit"], last=last), schema), "mix-level")
         decided.append(done.where(~F.col("left")))
-        if not by_class:
-            break
         units = done.where("left").select(*columns)
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
-    return out.select("source", "_class", "_chunk", F.col("mass").cast("int").alias("top"))
+    return out.select("source", "class", "chunk", "at", F.col("mass").cast("int").alias("top"))
 
 
 def mixed_words(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of the document)."""
-    slim = docs.select("doc_id", F.col("source").alias("source"), n_words().alias("_n"))
-    out = mix_documents(slim, F.col("_n"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    slim = docs.select("doc_id", "source", n_words().alias("n"))
+    return mix_documents(slim, F.col("n")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, each repeated as often as the mix takes it."""
-    out = mix_documents(docs)
-    return out.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    out = mix_documents(docs.select(F.struct(*docs.columns).alias("doc"), "source", "text"))
+    return out.where(F.col("copies") > 0).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

@@ -34,13 +34,13 @@ def group_key(text: str = "text"):
     return F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit(NO_TEXT))
 
 
-def sized(docs: DataFrame, text: str = "text"):
+def sized(text: str = "text"):
     """UTF-8 bytes of the text plus 16."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
 class Line:
-    """Ordered cells (key prefix, bytes, groups, largest group) as one line of bytes."""
+    """Ordered cells (hash prefix, bytes, groups) as one line of bytes."""
 
     def __init__(self, cells: list[tuple[str, int, int]]):
         self.cells = cells
@@ -117,34 +117,33 @@ def shard_bounds(groups: DataFrame, shards: int) -> tuple[list[str], int]:
     return [b if b == NO_TEXT else b.ljust(DIGITS, "f") for b in bounds], high
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds size, shard (0 .. shards - 1) and slot (gapless from 0 in each shard) to every row.
+def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Adds size, shard (0 .. shards - 1) and slot (gapless from 0 in each shard) to every row; `keep`
+    names the columns to carry along (default: all).
 
     Equal texts share a shard; null texts are one group. With few groups some shards stay empty. Slots
-    follow hash cells and then `order`; repeated rows get slots of their own. Columns named size, shard
+    follow hash cells and then `key`; repeated rows get slots of their own. Columns named size, shard
     or slot are replaced; others pass through. An empty table stays empty."""
-    kept = docs.drop("size", "shard", "slot", "_g", "_cell")
-    keyed = kept.withColumn("_g", group_key(text)).withColumn("size", sized(docs, text))
-    groups = stored(keyed.groupBy(F.col("_g").alias("g")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "shard-groups")
-    rows = groups.agg(F.sum("rows")).first()[0] or 0
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "shard", "slot")]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("k"), group_key(text).alias("g"), sized(text).alias("size"))
+    groups = stored(rows.groupBy("g").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "shard-groups")
+    n_rows = groups.agg(F.sum("rows")).first()[0] or 0
     bounds, _ = shard_bounds(groups, shards)
     shard = F.lit(0)
     if bounds:
-        shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_g")))
-    n_cells = min(MOST_SLOT_CELLS, max(64, -(-rows // (SLOT_ROWS * shards))))
-    cell = F.pmod(F.xxhash64(*order), F.lit(n_cells)).cast("int")
-    placed = keyed.withColumn("shard", shard.cast("int")).withColumn("_cell", cell)
-    counts = placed.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_cell").orderBy(*order, "_g")
-    numbered = placed.withColumn("_nth", F.row_number().over(within))
-    return (numbered.join(offsets, ["shard", "_cell"])
-            .select(*kept.columns, "size", "shard", (F.col("_before") + F.col("_nth") - 1).alias("slot")))
+        shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("g")))
+    n_cells = min(MOST_SLOT_CELLS, max(64, -(-n_rows // (SLOT_ROWS * shards))))
+    placed = rows.select("row", "k", "size", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("k"), F.lit(n_cells)).cast("int").alias("cell"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
+               .select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    nth = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("k", "size"))
+    return (placed.withColumn("nth", nth).join(offsets, ["shard", "cell"])
+            .select("row.*", "size", "shard", (F.col("before") + F.col("nth") - 1).alias("slot")))
 
 
 def shard_manifest(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Where every document goes, under the law `bytes`."""
-    slim = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    placed = shard_documents(slim.withColumn("text", F.col("text")), shards)
+    rows = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    placed = shard_documents(rows, shards, keep=["doc_id", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
