@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, mixing, quality, sharding
+from . import fingerprints, language, mixing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op1_minimax_sharding(spark, sf_dir):
 @query
 def op10_pivotal_mixing(spark, sf_dir):
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_blob_ledger_secrets(spark, sf_dir):
+    return secrets.secrets_of_documents(table(spark, sf_dir, "documents"))
