@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, mixing, quality, secrets, sharding
+from . import fingerprints, fixity, language, mixing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,35 @@ def op10_pivotal_mixing(spark, sf_dir):
 @query
 def op7_blob_ledger_secrets(spark, sf_dir):
     return secrets.secrets_of_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_merkle_fixity(spark, sf_dir):
+    """The archive of all pages against a replica with planted damage; files of 50 pages."""
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(fixity.archive(pages, file_pages=50), fixity.damaged(pages, file_pages=50))
+
+
+ORACLE["op3_merkle_fixity"] = """
+WITH recs AS (
+  SELECT page_id, page_id // 50 AS file, damaged,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+         || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html'
+         || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body
+         || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM (SELECT page_id, url, html AS body, false AS damaged FROM pages
+        UNION ALL
+        SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2) ELSE html END, true FROM pages)
+), placed AS (
+  SELECT damaged, file, page_id, sha256(record) AS sha256,
+         row_number() OVER (PARTITION BY damaged, file ORDER BY page_id) - 1 AS nth,
+         count(*) OVER (PARTITION BY damaged, file) AS n,
+         CAST(sum(strlen(record)) OVER (PARTITION BY damaged, file ORDER BY page_id) AS BIGINT) AS "end", strlen(record) AS length
+  FROM recs
+), a AS (SELECT * FROM placed WHERE NOT damaged),
+b AS (SELECT * FROM placed WHERE damaged AND NOT (file % 7 = 3 AND nth = n - 1))
+SELECT a.file, a.nth, a.page_id, a."end" - a.length AS start, a."end", a.sha256, b.sha256 AS replica_sha256,
+       CASE WHEN b.sha256 IS NULL THEN 'missing' ELSE 'changed' END AS status
+FROM a LEFT JOIN b USING (file, nth)
+WHERE a.sha256 IS DISTINCT FROM b.sha256
+"""
