@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, fixity, language, mixing, quality, secrets, sharding
+from . import decontaminate, fingerprints, fixity, language, mixing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,41 @@ SELECT a.file, a.nth, a.page_id, a."end" - a.length AS start, a."end", a.sha256,
 FROM a LEFT JOIN b USING (file, nth)
 WHERE a.sha256 IS DISTINCT FROM b.sha256
 """
+
+
+@query
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op4_benchmark_decontamination"] = r"""
+WITH item AS (
+  SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark
+), doc AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+), irun AS (
+  SELECT item_id, len(w) AS n, i AS at, array_to_string(w[i:i + 4], ' ') AS run
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item WHERE len(w) >= 5)
+), iw AS (SELECT run, 1.0 / count(DISTINCT item_id) AS weight FROM irun GROUP BY run),
+drun AS (
+  SELECT doc_id, i AS pos, array_to_string(w[i:i + 4], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)
+), proposed AS (
+  SELECT DISTINCT d.doc_id, i.item_id, greatest(0, least(d.pos - i.at, len(doc.w) - i.n)) AS first_word, i.n
+  FROM drun d JOIN irun i USING (run) JOIN doc ON doc.doc_id = d.doc_id
+), win AS (
+  SELECT p.doc_id, p.item_id, p.first_word, array_to_string(w[i:i + 4], ' ') AS run
+  FROM (SELECT p.*, doc.w, unnest(range(first_word + 1, least(first_word + n, len(doc.w)) - 3)) AS i FROM proposed p JOIN doc USING (doc_id)) p
+), wc AS (SELECT doc_id, item_id, first_word, run, count(*) AS c FROM win GROUP BY ALL),
+ic AS (SELECT item_id, run, count(*) AS c FROM irun GROUP BY ALL),
+theirs AS (
+  SELECT wc.doc_id, wc.item_id, wc.first_word, sum(wc.c * CASE WHEN ic.run IS NULL THEN 1.0 ELSE iw.weight END) AS s,
+         sum(CASE WHEN ic.run IS NULL THEN 0.0 ELSE least(wc.c, ic.c) * iw.weight END) AS common
+  FROM wc LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.run = wc.run LEFT JOIN iw ON iw.run = ic.run
+  GROUP BY ALL
+), own AS (SELECT item_id, sum(c * weight) AS s FROM ic JOIN iw USING (run) GROUP BY item_id),
+sim AS (SELECT doc_id, item_id, first_word, common / (own.s + theirs.s - common) AS similarity FROM theirs JOIN own USING (item_id))
+SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, CAST(min(first_word) FILTER (round(similarity, 9) = round(best, 9)) AS BIGINT) AS first_word
+FROM (SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS best FROM sim WHERE similarity >= 0.8 - 1e-9)
+GROUP BY doc_id, item_id
+"""
