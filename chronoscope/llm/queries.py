@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, fixity, language, mixing, quality, secrets, sharding
+from . import decontaminate, fingerprints, fixity, language, mixing, near_duplicates, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +119,8 @@ SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, CAST(min(first_
 FROM (SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS best FROM sim WHERE similarity >= 0.8 - 1e-9)
 GROUP BY doc_id, item_id
 """
+
+
+@query
+def op6_order_minhash(spark, sf_dir):
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
