@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, fixity, language, mixing, near_duplicates, quality, secrets, sharding
+from . import decontaminate, fingerprints, fixity, language, mixing, near_duplicates, passages, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +124,8 @@ GROUP BY doc_id, item_id
 @query
 def op6_order_minhash(spark, sf_dir):
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op8_suffix_automata_passages(spark, sf_dir):
+    return passages.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
