@@ -8,16 +8,19 @@ One automaton of the whole reference would have to meet every document, and so w
 automata of its shards. Instead the shards are cut by content, such that a document meets only the
 automata that can hold its words: each window is led by an anchor, the run of five words with the
 smallest hash among its sixteen. Equal windows have equal anchors, and neighbouring windows mostly share
-theirs, so a document is dealt out as segments of 20 to 35 words, one per anchor. The segments of an
-anchor, in order of their place, are streamed through the suffix automaton of the segments before them:
-where the matching statistic reaches 20, a window starts earlier; the segment then joins the automaton.
-Words are compared by one byte of their hashes, so that 20 equal words after equal anchors stand for
-160 + 64 equal bits.
-
-Anchors that a sample of the documents shows to be very frequent would make large automata. Their windows
-are dealt out singly instead, by the hash of all their words; equal windows then only need the
-first of their group, which is aggregated before the shuffle. The sample decides about the way, not about
-the result.
+theirs, so a document is dealt out as segments of 20 to 35 words, one per anchor.
+
+1. Only the anchor, the place and a hash of each segment are shuffled. An anchor that comes once holds
+   no repeat. Segments that are equal as a whole are repeats but for the first.
+2. Where an anchor has different segments, the first of each kind is looked up in its document, and
+   they are streamed in order of their place through the suffix automaton of those before them (the
+   anchor's reference shard): where the matching statistic reaches 20, a window starts earlier; the
+   segment then joins the automaton.
+
+Words are compared by 64-bit hashes. Anchors that a sample of the documents shows to be very frequent
+would make large automata. Their windows are dealt out singly instead, by the hash of all their words;
+then only the first of equal ones is needed, which is aggregated before the shuffle. The sample decides
+about the way, not about the result.
 """
 
 from __future__ import annotations
@@ -32,24 +35,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import shuffle_partitions, stored
-from .textbatch import Texts, rolling, text_parts
+from .textbatch import BASE, BASE_INV, Texts, mix64, powers, rolling, text_parts
 
 WINDOW = 20
 ANCHOR = 5
 SAMPLE = 64
 FREQUENT = 32
 MOST_FREQUENT = 100_000
-SEGMENT = "key long, doc_id long, place long, words binary"
+SEGMENT = "key long, doc_id long, place long, tag long"
+SPAN = "doc_id long, mark long, first long, last long, key long"
+LOW = 0xFFFFFFFF
+#: a segment has WINDOW to WINDOW + 15 words; the tag holds the excess in its low bits
+SIZE_BITS = 4
 
 
 class SuffixAutomaton:
-    """Of a growing set of byte strings; tells how long a suffix of what was read it contains."""
+    """Of a growing set of word sequences; tells how long a suffix of what was read it contains."""
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
 
-    def add(self, string: bytes) -> None:
+    def add(self, string: list[int]) -> None:
         nxt, link, length = self.next, self.link, self.length
         last = 0
         for c in string:
@@ -85,8 +92,8 @@ class SuffixAutomaton:
             p = link[p]
         return clone
 
-    def repeats(self, string: bytes, least: int) -> list[tuple[int, int]]:
-        """Maximal spans of the string that are covered by contained pieces of `least` bytes."""
+    def repeats(self, string: list[int], least: int) -> list[tuple[int, int]]:
+        """Maximal spans of the string that are covered by contained pieces of `least` words."""
         nxt, link, length = self.next, self.link, self.length
         at, n, spans = 0, 0, []
         for i, c in enumerate(string):
@@ -124,12 +131,12 @@ def _anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return words, whole, place[whole], value[whole]
 
 
-def segments(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
-    """docs(doc_id, text) -> key, doc_id, place, words. place: 31 bits of the text's hash (so that texts
-    under one id are told apart), then 32 bits of the segment's first word. words: a byte of each word's
-    hash. Windows led by a frequent anchor are segments of their own, with the hash of all 20 words as
-    key and `words` null."""
-    hot = np.sort(frequent) if frequent is not None else np.zeros(0, np.uint64)
+def segments(docs: DataFrame, frequent: np.ndarray, single: bool = False) -> DataFrame:
+    """docs(doc_id, text, mark) -> key (anchor), doc_id, place, tag (hash and size) of every segment. place:
+    31 bits of the text's hash, so that texts under one id are told apart, then 32 bits of the first
+    word. Windows led by a frequent anchor are left out; with `single` they are what is returned, each
+    by itself and with the hash of its words as key."""
+    hot = np.sort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,32 +145,36 @@ def segments(docs: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
                 words, first, place, value = _anchors(texts)
                 if not len(first):
                     continue
-                doc = np.searchsorted(texts.word_offsets, first, side="right") - 1
-                local = first - texts.word_offsets[doc]
                 is_hot = np.zeros(len(first), bool)
                 if len(hot):
                     is_hot = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
-                new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
-                new &= ~is_hot
-                begin = np.flatnonzero(new)
-                plain = np.flatnonzero(~is_hot)
-                # the last window of each segment: the plain window before the next beginning
-                end = plain[np.searchsorted(plain, np.concatenate([begin[1:], [len(first)]])) - 1] if len(begin) else begin
-                size = (first[end] - first[begin] + WINDOW).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                take = np.repeat(first[begin] - offsets[:-1], size) + np.arange(offsets[-1])
-                body = (words[take] >> np.uint64(56)).astype(np.uint8)
-                blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
-                single = np.flatnonzero(is_hot)
-                keys, at = value[begin], begin
-                if len(single):
-                    whole = rolling(words, WINDOW)[first[single]]
-                    keys, at = np.concatenate([keys, whole]), np.concatenate([at, single])
-                    blob = pa.concat_arrays([blob, pa.nulls(len(single), pa.binary())])
-                row = start + doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.take(pa.array(row)), pa.array((marks[row] << 32) | local[at]), blob], names=["key", "doc_id", "place", "words"])
-
-    return docs.select("doc_id", "text", _mark()).mapInArrow(run, SEGMENT)
+                if single:
+                    begin = np.flatnonzero(is_hot)
+                    keys = rolling(words, WINDOW)[first[begin]]
+                    tag = np.zeros(len(begin), np.int64)
+                else:
+                    doc = np.searchsorted(texts.word_offsets, first, side="right") - 1
+                    new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
+                    begin = np.flatnonzero(new)
+                    last = np.concatenate([begin[1:], [len(first)]]) - 1
+                    begin, last = begin[~is_hot[begin]], last[~is_hot[begin]]
+                    keys, excess = value[begin], (first[last] - first[begin]).astype(np.uint64)
+                    content = _range_hashes(words, first[begin], first[last] + WINDOW)
+                    tag = (content >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS) | excess).view(np.int64)
+                if not len(begin):
+                    continue
+                doc = np.searchsorted(texts.word_offsets, first[begin], side="right") - 1
+                local, row = first[begin] - texts.word_offsets[doc], start + doc
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.take(pa.array(row)), pa.array((marks[row] << 32) | local), pa.array(tag)], names=["key", "doc_id", "place", "tag"])
+
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, SEGMENT)
+
+
+def _range_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words start..end, the same wherever they stand."""
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(BASE, len(words)), out=total[1:])
+    return mix64((total[end] - total[start]) * powers(BASE_INV, len(words) + 1)[start])
 
 
 def _mark():
@@ -174,68 +185,129 @@ def _frequent_anchors(docs: DataFrame) -> np.ndarray:
     """Anchors that occur FREQUENT times or more in one of SAMPLE parts of the documents; the
     MOST_FREQUENT of them at most."""
     part = docs.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(SAMPLE)) == 0)
-    counts = segments(part).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    counts = segments(part, np.zeros(0, np.uint64)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
     rows = counts.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
     return np.array([r["key"] for r in rows], np.int64).view(np.uint64)
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key, doc_id, place -> doc_id, mark, first, last (words to remove)."""
-    key, seen, automaton, previous, held = None, {}, None, None, None
+def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple]:
+    """Rows sorted by key, doc_id, place: (new group?, key, doc_id, mark, first word, value), without
+    those whose key comes once inside a batch, and without rows that repeat a place."""
+    key, previous = None, None
     for batch in batches:
         keys = batch.column("key").to_numpy()
         n = len(keys)
         if not n:
             continue
         edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [n]])
-        sizes = np.diff(edges)
-        ids, places, words = batch.column("doc_id"), batch.column("place").to_numpy(), batch.column("words")
-        out: list[tuple] = []
-        wanted = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1))
-        for g in wanted.tolist():
+        several = np.diff(edges) > 1
+        several[0] = several[-1] = True  # these may go on in another batch
+        ids, places, values = batch.column("doc_id"), batch.column("place").to_numpy(), batch.column(value)
+        for g in np.flatnonzero(several).tolist():
             a, b = int(edges[g]), int(edges[g + 1])
-            if keys[a] != key:
-                key, seen, automaton, previous, held = keys[a], {}, None, None, None
-            group_ids, group_words = ids[a:b].to_pylist(), words[a:b].to_pylist()
-            for k in range(b - a):
-                here = (group_ids[k], int(places[a + k]))
-                if here == previous:  # a repeated row is the same document
+            fresh = key is None or keys[a] != key
+            key = keys[a]
+            for doc_id, place, v in zip(ids[a:b].to_pylist(), places[a:b].tolist(), values[a:b].to_pylist()):
+                if not fresh and (doc_id, place) == previous:
                     continue
-                previous, string = here, group_words[k]
-                mark, first = here[1] >> 32, here[1] & 0xFFFFFFFF
-                if string in seen:
-                    out.append((here[0], mark, first, first + len(string)))
-                    continue
-                if seen:
-                    if automaton is None:
-                        automaton = SuffixAutomaton()
-                        automaton.add(held)
-                    out += [(here[0], mark, first + x, first + y) for x, y in automaton.repeats(string, WINDOW)]
-                    automaton.add(string)
-                else:
-                    held = string
-                seen[string] = True
-        if out:
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "mark", "first", "last"])
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, mark, first, last: runs of words to remove, which may overlap."""
-    parts = shuffle_partitions(docs.sparkSession)
-    frequent = _frequent_anchors(docs)
-    rows = segments(docs, frequent)
+                previous = (doc_id, place)
+                yield fresh, int(key), doc_id, place >> 32, place & LOW, v
+                fresh = False
+
+
+def _spans(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 10_000:
+            yield _span_batch(held)
+            held = []
+    if held:
+        yield _span_batch(held)
+
+
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "mark", "first", "last", "key"])
+
+
+def _whole_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of segments that come earlier as a whole (key null); and the first segment of each kind of
+    an anchor that has several kinds (with its key)."""
+    def rows():
+        seen: set[int] = set()
+        waiting = None
+        for fresh, key, doc_id, mark, first, tag in _groups(batches, "tag"):
+            last = first + WINDOW + (tag & ((1 << SIZE_BITS) - 1))
+            if fresh:
+                seen, waiting = {tag}, (doc_id, mark, first, last, key)
+            elif tag in seen:
+                yield doc_id, mark, first, last, None
+            else:
+                seen.add(tag)
+                if waiting:
+                    yield waiting
+                    waiting = None
+                yield doc_id, mark, first, last, key
+
+    return _spans(rows())
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of each anchor in order -> spans that its automaton of the earlier ones contains."""
+    def rows():
+        automaton = None
+        for fresh, _, doc_id, mark, first, raw in _groups(batches, "words"):
+            words = np.frombuffer(raw, np.uint64).tolist()
+            if fresh:
+                automaton = SuffixAutomaton()
+            else:
+                for a, b in automaton.repeats(words, WINDOW):
+                    yield doc_id, mark, first + a, first + b, None
+            automaton.add(words)
+
+    return _spans(rows())
+
+
+def _with_texts(rows: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
+    """rows(doc_id, text, mark) joined with the lists of their spans; both uses shuffle the rows alike."""
+    lists = by_doc.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last", "key")).alias("spans")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "spans")
+    return rows.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), how).select("doc_id", "text", "mark", "spans")
+
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with wanted segments -> the segments' word hashes."""
+    for batch in batches:
+        ids, marks, spans = batch.column("doc_id"), batch.column("mark").to_pylist(), batch.column("spans")
+        for start, stop, texts in text_parts(batch.column("text")):
+            words = texts.word_hashes()
+            out = []
+            for d in range(len(texts)):
+                own = words[texts.word_offsets[d]:texts.word_offsets[d + 1]]
+                doc_id, mark = ids[start + d].as_py(), marks[start + d]
+                out += [(s["key"], doc_id, mark << 32 | s["first"], own[s["first"]:s["last"]].tobytes()) for s in spans[start + d].as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc_id", "place", "words"])
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text, mark) -> doc_id, mark, first, last, key: runs of words to remove (may overlap)."""
+    parts = shuffle_partitions(rows.sparkSession)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "place")
+
+    known = rows.where(F.col("text").isNotNull())
+    frequent = _frequent_anchors(known)
+    found = stored(dealt(segments(known, frequent)).mapInArrow(_whole_segments, SPAN), "passages-found")
+    wanted = _with_texts(rows, found.where(F.col("key").isNotNull()), "inner").mapInArrow(_look_up, "key long, doc_id long, place long, words binary")
+    spans = found.where(F.col("key").isNull()).unionByName(dealt(wanted).mapInArrow(_stream, SPAN))
     if not len(frequent):
-        dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "place")
-        return dealt.mapInArrow(_stream, "doc_id long, mark long, first long, last long")
-    rows = stored(rows, "passages-segments")
-    dealt = rows.where(F.col("words").isNotNull()).repartition(parts, "key").sortWithinPartitions("key", "doc_id", "place")
-    spans = dealt.mapInArrow(_stream, "doc_id long, mark long, first long, last long")
-    single = rows.where(F.col("words").isNull()).select("key", F.struct("doc_id", "place").alias("at"))
+        return spans
+    single = segments(known, frequent, single=True).select("key", F.struct("doc_id", "place").alias("at"))
     earliest = single.groupBy("key").agg(F.min("at").alias("earliest"))
     later = single.join(earliest, "key").where(~F.col("at").eqNullSafe(F.col("earliest")))
-    first = F.col("at.place").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    return spans.unionByName(later.select(F.col("at.doc_id").alias("doc_id"), F.shiftrightunsigned("at.place", 32).alias("mark"), first.alias("first"), (first + WINDOW).alias("last")))
+    first = F.col("at.place").bitwiseAND(F.lit(LOW).cast("bigint"))
+    later = later.select(F.col("at.doc_id").alias("doc_id"), F.shiftrightunsigned("at.place", 32).alias("mark"), first.alias("first"), (first + WINDOW).alias("last"), F.lit(None).cast("long").alias("key"))
+    return spans.unionByName(later)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -243,12 +315,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     every row. Null and empty texts have no words. Rows that repeat an id and text are one document and
     get the same result; different texts under one id are ordered by their hash. Other columns are
     ignored; an empty table gives an empty result."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(slim.where(F.col("text").isNotNull()))
-    by_doc = (spans.groupBy("doc_id", "mark").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-              .select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "first", "last"))
-    rows = slim.select("doc_id", "text", _mark())
-    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "text", "first", "last")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mark())
+    joined = _with_texts(rows, repeated_spans(rows), "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,8 +32,9 @@ ACCEPT = 0.7
 class Model:
     """Class log-odds per bucket after folding the output layer into the vectors, and the bias."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, bias: float, untrained: bool = False):
+        """untrained: there were no labels of both kinds to learn from."""
+        self.weights, self.bias, self.untrained = weights, bias, untrained
 
     def scores(self, texts) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
@@ -50,7 +51,7 @@ def train(ids: list[np.ndarray], freq: list[np.ndarray], labels: list[int], coun
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
     prior = np.log((ones + 0.5) / (zeros + 0.5))
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS), float(prior))
+        return Model(np.zeros(1 << BITS), float(prior), untrained=True)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (1 << BITS, DIMENSION)).astype(np.float32)
     layer, bias = np.zeros((2, DIMENSION), np.float32), np.zeros(2, np.float32)
