@@ -129,3 +129,44 @@ def op6_order_minhash(spark, sf_dir):
 @query
 def op8_suffix_automata_passages(spark, sf_dir):
     return passages.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def _secret_spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a,
+         length(m[i]) AS n, {rank} AS rank, '{kind}' AS kind
+  FROM (SELECT doc_id, m, c, g, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS c, string_split_regex(t, '{p}') AS g FROM d))
+  WHERE length(c[i]) >= {least}"""
+
+
+ORACLE["op7_blob_ledger_secrets"] = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (" + " UNION ALL ".join(
+    _secret_spans(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(secrets.RULES)) + """
+), f AS (
+  SELECT doc_id, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) AS spans,
+         count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex
+  FROM s GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+ORACLE["op8_suffix_automata_passages"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later),
+lost AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text
+  FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
