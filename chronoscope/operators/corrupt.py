@@ -6,8 +6,10 @@ relevance. One grid row per (mask, k): k in .05, .15, ..., .95, 1.0 and mask in
 
   threshold  top: quantile(r >= 0, 1 - k); bottom: quantile(r >= 0, k) (linear interpolation),
              pooled over all features; kept = non-negative cells with r >= thr (top) / r <= thr
-             (bottom). Relevance is rounded to 9 decimals and the test has a 1e-9 tolerance so
-             both engines keep the same boundary cells.
+             (bottom). A value is on the kept side of an interpolated quantile exactly if it is on
+             that side of the sorted value next to it, so cells are tested against the value at
+             position ceil(q (n - 1)) (top) or floor(q (n - 1)) (bottom), with the position taken
+             from k in whole percent: no rounding and no tolerance.
   metrics    mean_n_pts_removed, mean_ratio_pts_removed, mean_tic (Simpson over kept values in
              time order, gaps closed, over Simpson of all non-negative values of the feature),
              run lengths of consecutive kept steps -> block_size, drop_prob.
@@ -35,7 +37,6 @@ SEED = 42
 # fixed values: the corruption grid of the reference evaluation
 K_VALUES = [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95, 1.0]
 MASKS = ["top", "bottom"]
-TOL = 1e-9
 MAX_ATTEMPTS = 26      # random block mask: draws until |p - drop_prob| <= .05, at most 26
 ENFORCE_TOL = 0.05
 GAMMA_FACTOR = 1.2
@@ -55,10 +56,26 @@ def _lits(vals) -> Column:
 
 
 def prepare_rel(rel: DataFrame) -> DataFrame:
-    """(method, noun_id, feature, t, x, r) with r rounded to 9 decimals; a missing method column
-    becomes a constant so single-method inputs work the same way."""
+    """(method, noun_id, feature, t, x, r); a missing method column becomes a constant so
+    single-method inputs work the same way. NaN relevance becomes null: neither positive nor
+    negative, and in no mask. Relevance is kept to 12 digits of the sample's largest absolute value,
+    which is the noise of summing doubles in another order: the sign of a sum that cancels to zero
+    does not depend on the partitioning, and no scale of relevance is cut off."""
     m = F.col("method") if "method" in rel.columns else F.lit("-")
-    return rel.select(m.alias("method"), "noun_id", "feature", "t", "x", F.round("r", 9).alias("r"))
+    rows = rel.select(m.alias("method"), "noun_id", "feature", "t", "x", F.nanvl("r", F.lit(None).cast("double")).alias("r"))
+    top = F.max(F.abs("r")).over(Window.partitionBy("method", "noun_id"))
+    return rows.withColumn("_top", top).withColumn(
+        "r", F.when(F.col("_top") > 0, F.round(F.col("r") / F.col("_top"), 12) * F.col("_top")).otherwise(F.col("r"))).drop("_top")
+
+
+def rank_bounds(ranked: Column) -> Column:
+    """Per grid point, the sorted non-negative value that decides about keeping a cell."""
+    last = F.size(ranked) - 1
+    out = []
+    for _, mask, k, _ in grid():
+        below = F.floor(F.lit(round(k * 100)) * last / 100).cast("int")
+        out.append(F.element_at(ranked, (last - below if mask == "top" else below) + 1))
+    return F.array(*out)
 
 
 def relevance_stats(rel: DataFrame) -> DataFrame:
@@ -72,16 +89,18 @@ def relevance_stats(rel: DataFrame) -> DataFrame:
         F.coalesce(F.sum(nonneg), F.lit(0.0)).alias("sum_rel_pos"),
         F.count(nonneg).alias("n_nonneg"),
         F.percentile(nonneg, _lits([q for _, _, _, q in G])).alias("thr"),
+        F.sort_array(F.collect_list(nonneg)).alias("_ranked"),
         (F.max("t") + 1).alias("n_steps"), F.count_distinct("feature").alias("n_feat"),
-    ).where(F.col("n_nonneg") > 0)  # B8: samples without non-negative relevance are skipped
+    ).where(F.col("n_nonneg") > 0).withColumn(  # B8: samples without non-negative relevance are skipped
+        "bound", rank_bounds(F.col("_ranked"))).drop("_ranked")
 
 
 def kept_cells(rel: DataFrame, stats: DataFrame) -> DataFrame:
     """(noun_id, g, feature, t, x, r) for every kept cell of every grid point."""
-    j = spread(rel.where(F.col("r") >= 0).join(stats.select("method", "noun_id", "thr"), ["method", "noun_id"]), "noun_id")
-    j = j.select("method", "noun_id", "feature", "t", "x", "r", F.posexplode("thr").alias("g", "thr"))
+    j = spread(rel.where(F.col("r") >= 0).join(stats.select("method", "noun_id", "bound"), ["method", "noun_id"]), "noun_id")
+    j = j.select("method", "noun_id", "feature", "t", "x", "r", F.posexplode("bound").alias("g", "bound"))
     is_top = F.col("g") < len(K_VALUES)
-    keep = F.when(is_top, F.col("r") >= F.col("thr") - TOL).otherwise(F.col("r") <= F.col("thr") + TOL)
+    keep = F.when(is_top, F.col("r") >= F.col("bound")).otherwise(F.col("r") <= F.col("bound"))
     return j.where(keep).select("method", "noun_id", F.col("g").cast("bigint").alias("g"), "feature", "t", "x", "r")
 
 
@@ -236,7 +255,7 @@ def corruption_results(rel: DataFrame, W: DataFrame, state: DataFrame, labelled:
     ex = expected if "method" in expected.columns else expected.withColumn("method", F.lit("-"))
     j = (sm.join(d2, keys).join(d3, keys, "left")
          .join(state.select("noun_id", "pred", "s1", "z_arr", "p_arr"), "noun_id")
-         .join(stats.drop("thr", "n_steps", "n_feat", "n_nonneg"), ["method", "noun_id"]).join(lab, "noun_id")
+         .join(stats.drop("thr", "bound", "n_steps", "n_feat", "n_nonneg"), ["method", "noun_id"]).join(lab, "noun_id")
          .join(ex, ["method", "noun_id"]).join(cls, "pred"))
     z3 = F.when(F.col("d3").isNull(), F.col("z_arr")).otherwise(F.zip_with("z_arr", "d3", lambda a, d: a + d))
     j = with_softmax(with_softmax(j, F.zip_with("z_arr", "d2", lambda a, d: a + d), "_p2"), z3, "_p3")
@@ -263,11 +282,11 @@ def corruption_results(rel: DataFrame, W: DataFrame, state: DataFrame, labelled:
 
 
 def add_metric_normalised(res: DataFrame, keys=("method",)) -> DataFrame:
-    """C1 + D15: join the k = 1 row of the same (method, mask, sample): score_onlyrel_neg = its
-    score2; metric_normalised = clip(delta_score1 / (score1 - score_onlyrel_neg), 0, 1), k != 1.
+    """C1 + D15: the k = 1 row of the same (method, mask, sample), by a window over its grid points
+    (one pass, no self-join): score_onlyrel_neg = its score2; metric_normalised = clip(delta_score1 / (score1 - score_onlyrel_neg), 0, 1), k != 1.
     x / 0 follows the reference's float rules: +inf -> 1, -inf -> 0, 0/0 -> null."""
-    ref = res.where(F.col("k") == 1.0).select(*keys, "mask", "noun_id", F.col("score2").alias("score_onlyrel_neg"))
-    j = res.join(ref, [*keys, "mask", "noun_id"], "left")
+    every_k = Window.partitionBy(*keys, "mask", "noun_id")
+    j = res.withColumn("score_onlyrel_neg", F.max(F.when(F.col("k") == 1.0, F.col("score2"))).over(every_k))
     den = F.col("score1") - F.col("score_onlyrel_neg")
     num = F.col("delta_score1")
     raw = F.when(den != 0, num / den).when(num > 0, F.lit(1.0)).when(num < 0, F.lit(0.0))

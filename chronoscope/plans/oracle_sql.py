@@ -343,19 +343,22 @@ def multi_rel(methods) -> str:
 
 SWEEP = f"""
 kgrid AS (SELECT * FROM (VALUES {grid_values()}) v(g, mask, k, q)),
-relr AS (SELECT method, noun_id, feature, t, x, round(r, 9) AS r FROM rel),
+relr AS (SELECT method, noun_id, feature, t, x, CASE WHEN top > 0 THEN round(r / top, 12) * top ELSE r END AS r
+         FROM (SELECT *, max(abs(r)) OVER (PARTITION BY method, noun_id) AS top FROM rel)),
 stats AS (
   SELECT method, noun_id, min(r) AS min_Rx, max(r) AS max_Rx, avg(r) AS mean_Rx, quantile_cont(r, 0.5) AS median_Rx,
          coalesce(sum(CASE WHEN r < 0 THEN r END), 0.0) AS sum_rel_neg, coalesce(sum(CASE WHEN r >= 0 THEN r END), 0.0) AS sum_rel_pos,
          count(CASE WHEN r >= 0 THEN r END) AS n_nonneg, max(t) + 1 AS n_steps, count(DISTINCT feature) AS n_feat
   FROM relr GROUP BY method, noun_id HAVING count(CASE WHEN r >= 0 THEN r END) > 0),
-thr_l AS (SELECT method, noun_id, quantile_cont(r, [{", ".join(repr((1 - k)) for k in K_VALUES)}, {", ".join(repr(k) for k in K_VALUES)}]) AS ql
+thr_l AS (SELECT method, noun_id, quantile_cont(r, [{", ".join(repr((1 - k)) for k in K_VALUES)}, {", ".join(repr(k) for k in K_VALUES)}]) AS ql, list(r ORDER BY r) AS rs
           FROM relr WHERE r >= 0 GROUP BY method, noun_id),
-thr AS (SELECT l.method, l.noun_id, g.g, l.ql[g.g + 1] AS thr FROM thr_l l, kgrid g),
+thr AS (SELECT l.method, l.noun_id, g.g, l.ql[g.g + 1] AS thr,
+               l.rs[CASE WHEN g.g < 11 THEN len(l.rs) - CAST(round(g.k * 100) AS BIGINT) * (len(l.rs) - 1) // 100
+                    ELSE CAST(round(g.k * 100) AS BIGINT) * (len(l.rs) - 1) // 100 + 1 END] AS bound FROM thr_l l, kgrid g),
 kept AS (
   SELECT r.method, r.noun_id, th.g, r.feature, r.t, r.x, r.r FROM relr r
   JOIN thr th ON r.method = th.method AND r.noun_id = th.noun_id
-  WHERE r.r >= 0 AND ((th.g < 11 AND r.r >= th.thr - 1e-9) OR (th.g >= 11 AND r.r <= th.thr + 1e-9))),
+  WHERE r.r >= 0 AND ((th.g < 11 AND r.r >= th.bound) OR (th.g >= 11 AND r.r <= th.bound))),
 runs AS (
   SELECT method, noun_id, g, feature, avg(len) AS mean_run, sum(len) AS n_kept FROM (
     SELECT method, noun_id, g, feature, isl, count(*) AS len FROM (

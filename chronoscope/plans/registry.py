@@ -669,9 +669,9 @@ def q_frac_pts(spark, sf_dir):
 
 @register("overlay", O.sweep_prelude(_IG) + f""",
 one AS (SELECT noun_id FROM (SELECT DISTINCT noun_id FROM relr) ORDER BY {O.key60_sql("'single'", 'noun_id')}, noun_id LIMIT 1),
-othr AS (SELECT quantile_cont(r, 0.9) AS thr FROM relr WHERE r >= 0 AND noun_id IN (SELECT noun_id FROM one))
-SELECT r.noun_id, r.feature, r.t, round(r.x, 6) AS x, round(r.r, 6) AS r, (r.r >= 0 AND r.r >= o.thr - 1e-9) AS kept,
-       round(CASE WHEN r.r >= 0 AND r.r >= o.thr - 1e-9 THEN {O.normal_sql("'overlay'", 'r.noun_id', 'r.feature', 'r.t')} ELSE r.x END, 6) AS x_corrupted
+othr AS (SELECT list(r ORDER BY r)[count(*) - 10 * (count(*) - 1) // 100] AS thr FROM relr WHERE r >= 0 AND noun_id IN (SELECT noun_id FROM one))
+SELECT r.noun_id, r.feature, r.t, round(r.x, 6) AS x, round(r.r, 6) AS r, (r.r >= 0 AND r.r >= o.thr) AS kept,
+       round(CASE WHEN r.r >= 0 AND r.r >= o.thr THEN {O.normal_sql("'overlay'", 'r.noun_id', 'r.feature', 'r.t')} ELSE r.x END, 6) AS x_corrupted
 FROM relr r, othr o WHERE r.noun_id IN (SELECT noun_id FROM one)""")
 def q_overlay(spark, sf_dir):
     """K8: original, relevance and corrupted values of one sample (the first test sample in md5
@@ -679,8 +679,9 @@ def q_overlay(spark, sf_dir):
     rel = _ig_rel(spark, sf_dir)
     one = rel.select("noun_id").distinct().withColumn("_h", A.sort_key60(42, F.lit("single"), "noun_id")).orderBy("_h", "noun_id").limit(1)
     s = rel.join(one.select("noun_id"), "noun_id", "left_semi")
-    thr = s.where(F.col("r") >= 0).select(F.percentile("r", F.lit(0.9))).scalar()
-    kept = (F.col("r") >= 0) & (F.col("r") >= thr - F.lit(1e-9))
+    ranked = F.sort_array(F.collect_list("r"))  # one sample
+    thr = s.where(F.col("r") >= 0).select(F.element_at(ranked, (F.size(ranked) - F.floor(F.lit(10) * (F.size(ranked) - 1) / 100)).cast("int"))).scalar()
+    kept = (F.col("r") >= 0) & (F.col("r") >= thr)
     return s.select("noun_id", "feature", "t", r6("x").alias("x"), r6("r").alias("r"), kept.alias("kept"),
                     r6(F.when(kept, A.normal(42, F.lit("overlay"), "noun_id", "feature", "t")).otherwise(F.col("x"))).alias("x_corrupted"))
 
