@@ -17,10 +17,12 @@ theirs, so a document is dealt out as segments of 20 to 35 words, one per anchor
    anchor's reference shard): where the matching statistic reaches 20, a window starts earlier; the
    segment then joins the automaton.
 
-Words are compared by 64-bit hashes. Anchors that a sample of the documents shows to be very frequent
-would make large automata. Their windows are dealt out singly instead, by the hash of all their words;
-then only the first of equal ones is needed, which is aggregated before the shuffle. The sample decides
-about the way, not about the result.
+Words are compared by 64-bit hashes. Two cases are treated apart, with the same result. Texts of which
+there are very many copies (counted exactly; at most COPY_SHARE can be so frequent) are dealt out once,
+and the later copies are repeats as a whole. Anchors with very many different segments, as a sample of
+the documents shows, would make large automata; their windows are dealt out singly instead, by the hash
+of all their words, and then only the first of equal ones is needed, which is aggregated before the
+shuffle.
 """
 
 from __future__ import annotations
@@ -40,11 +42,14 @@ from .textbatch import BASE, BASE_INV, Texts, mix64, powers, rolling, text_parts
 WINDOW = 20
 ANCHOR = 5
 SAMPLE = 64
-FREQUENT = 32
+FREQUENT = 128
 MOST_FREQUENT = 100_000
+#: a text is treated as very frequent from COPIES copies and a share of 1 / COPY_SHARE of the rows
+COPIES = 64
+COPY_SHARE = 100_000
 SEGMENT = "key long, doc_id long, place long, tag long"
 SPAN = "doc_id long, mark long, first long, last long, key long"
-LOW = 0xFFFFFFFF
+LOW = WHOLE = 0xFFFFFFFF
 #: a segment has WINDOW to WINDOW + 15 words; the tag holds the excess in its low bits
 SIZE_BITS = 4
 
@@ -177,17 +182,25 @@ def _range_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix64((total[end] - total[start]) * powers(BASE_INV, len(words) + 1)[start])
 
 
-def _mark():
-    return F.shiftrightunsigned(F.xxhash64("text"), 33).alias("mark")
+def _frequent_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors that lead FREQUENT or more different segments in one of SAMPLE parts of the documents;
+    the MOST_FREQUENT of them at most."""
+    part = rows.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(SAMPLE)) == 0)
+    kinds = segments(part, np.zeros(0, np.uint64)).select("key", "tag").distinct()
+    counts = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
+    return np.array([r["key"] for r in found], np.int64).view(np.uint64)
 
 
-def _frequent_anchors(docs: DataFrame) -> np.ndarray:
-    """Anchors that occur FREQUENT times or more in one of SAMPLE parts of the documents; the
-    MOST_FREQUENT of them at most."""
-    part = docs.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(SAMPLE)) == 0)
-    counts = segments(part, np.zeros(0, np.uint64)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    rows = counts.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
-    return np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, mark (31 bits of the text's hash) and copy: whether it is a later copy of a very
+    frequent text. At most COPY_SHARE texts are that frequent, so they are broadcast."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    copies = stored(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("at")).where(F.col("n") >= COPIES), "passages-copies")
+    total = rows.count()
+    often = copies.where(F.col("n") * COPY_SHARE >= total).select(F.col("hash").alias("h"), F.lit(True).alias("often"), F.col("at.doc_id").alias("earliest"))
+    copy = F.coalesce("often", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("earliest"))
+    return rows.join(F.broadcast(often), F.col("hash") == F.col("h"), "left").select("doc_id", "text", F.shiftrightunsigned("hash", 33).alias("mark"), copy.alias("copy"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple]:
@@ -289,17 +302,19 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, text, mark) -> doc_id, mark, first, last, key: runs of words to remove (may overlap)."""
+    """marked() rows -> doc_id, mark, first, last, key: runs of words to remove. They may overlap; one
+    that ends at WHOLE stands for the whole text if that has a window at all."""
     parts = shuffle_partitions(rows.sparkSession)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "place")
 
-    known = rows.where(F.col("text").isNotNull())
+    known = rows.where(F.col("text").isNotNull() & ~F.col("copy"))
     frequent = _frequent_anchors(known)
     found = stored(dealt(segments(known, frequent)).mapInArrow(_whole_segments, SPAN), "passages-found")
     wanted = _with_texts(rows, found.where(F.col("key").isNotNull()), "inner").mapInArrow(_look_up, "key long, doc_id long, place long, words binary")
-    spans = found.where(F.col("key").isNull()).unionByName(dealt(wanted).mapInArrow(_stream, SPAN))
+    copies = rows.where("copy").select("doc_id", "mark", F.lit(0).cast("long").alias("first"), F.lit(WHOLE).cast("long").alias("last"), F.lit(None).cast("long").alias("key"))
+    spans = found.where(F.col("key").isNull()).unionByName(dealt(wanted).mapInArrow(_stream, SPAN)).unionByName(copies)
     if not len(frequent):
         return spans
     single = segments(known, frequent, single=True).select("key", F.struct("doc_id", "place").alias("at"))
@@ -315,7 +330,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     every row. Null and empty texts have no words. Rows that repeat an id and text are one document and
     get the same result; different texts under one id are ordered by their hash. Other columns are
     ignored; an empty table gives an empty result."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mark())
+    rows = marked(docs)
     joined = _with_texts(rows, repeated_spans(rows), "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +344,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     n = len(words)
                     if firsts[i].is_valid:
                         change = np.zeros(n + 1, np.int64)
-                        np.add.at(change, np.asarray(firsts[i].values), 1)
-                        np.add.at(change, np.asarray(lasts[i].values), -1)
+                        if n >= WINDOW:
+                            np.add.at(change, np.asarray(firsts[i].values), 1)
+                            np.add.at(change, np.minimum(np.asarray(lasts[i].values), n), -1)
                         words = list(compress(words, (np.cumsum(change[:n]) == 0).tolist()))
                     text = b" ".join(words)
                     total.append(n)

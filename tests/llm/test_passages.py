@@ -48,12 +48,14 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [10**9, 3])
-def test_planted_against_brute_force(spark, monkeypatch, frequent):
-    """By the automata alone, and with most anchors taken as frequent."""
+@pytest.mark.parametrize("frequent, copies", [(10**9, 10**9), (3, 10**9), (10**9, 2), (3, 2)])
+def test_planted_against_brute_force(spark, monkeypatch, frequent, copies):
+    """By the automata alone, with most anchors taken as frequent, and with all copies as such."""
     monkeypatch.setattr(passages, "SAMPLE", 1)
     monkeypatch.setattr(passages, "FREQUENT", frequent)
+    monkeypatch.setattr(passages, "COPIES", copies)
     rows = planted()
+    rows += [(1000 + k, rows[k % 20][1]) for k in range(50)] + [(2000 + k, "ten words only") for k in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(docs) == brute(rows)
 
