@@ -8,6 +8,13 @@ Data model (long form, one row per cell):
 All randomness is md5-seeded per key so results do not depend on partitioning.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from chronoscope.session import get_session, checkpoint_dir  # noqa: F401
 
 __all__ = ["get_session", "checkpoint_dir"]
+
+# functions that Spark sends to Python workers travel by value: the workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

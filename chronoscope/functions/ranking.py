@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 
 
+RANGES = 256
 DEFAULT_BUCKET_BITS = 12  # 4,096 buckets; the offsets table is broadcast (bounded by 2**bits rows)
 
 
@@ -48,37 +49,34 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols)
 
 
-SINGLE_BUFFER_MAX_ROWS = 1_000_000  # 8 MB of doubles in one percentile buffer
-
-
 def exact_quantiles(df: DataFrame, col: str, qs) -> list[float | None]:
     """Linearly interpolated quantiles (numpy's default rule) of a column of any size.
 
-    `percentile` keeps all values of a group in one aggregation buffer: used only below a proven
-    row bound. Beyond it the column is range-partitioned and sorted, every partition is counted (a table bounded by the partition
-    count), offsets give each value its global position, and only the <= 2 rows around each
-    quantile position are fetched."""
+    `percentile` would keep all values of a group in one aggregation buffer. Here the values are
+    materialised once, range bounds are taken from approximate quantiles (their number is RANGES), the
+    values of each range are counted, and only the ranges that hold a wanted position are sorted, each
+    by itself, for the <= 2 values around it. The bounds decide about the work, not about the result."""
     import math
-    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    n = vals.count()
-    if n == 0:
+    from chronoscope.session import materialize
+    vals = materialize(df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
+    cuts = vals.select(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("c")).first()["c"]
+    if not cuts:
         return [None for _ in qs]
-    if n <= SINGLE_BUFFER_MAX_ROWS:
-        # proven small: one exact aggregation buffer is cheaper than the sort below
-        row = vals.select(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias("_q")).first()
-        return [float(v) for v in row["_q"]]
-    want = {}
-    for q in qs:
-        pos = float(q) * (n - 1)
-        want[q] = (math.floor(pos), math.ceil(pos), pos - math.floor(pos))
-    ranks = sorted({r for lo, hi, _ in want.values() for r in (lo, hi)})
-    srt = (vals.orderBy("_v").withColumn("_pid", F.spark_partition_id())
-           .withColumn("_m", F.monotonically_increasing_id()))
-    parts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    offs = parts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    picked = (srt.join(F.broadcast(offs), "_pid")  # one row per partition: bounded by construction
-              .select((F.col("_off") + F.col("_m") - F.col("_m0")).alias("_i"), "_v")
-              .where(F.col("_i").isin(ranks)).collect())  # at most 2 rows per quantile
-    at = {int(r["_i"]): float(r["_v"]) for r in picked}
-    return [at[lo] + frac * (at[hi] - at[lo]) for lo, hi, frac in (want[q] for q in qs)]
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_v")))
+    dealt = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_k")).withColumn("_p", part)  # equal values: one row
+    counts = {r["_p"]: r["_n"] for r in dealt.groupBy("_p").agg(F.sum("_k").alias("_n")).collect()}
+    before, n = {}, 0
+    for p in sorted(counts):
+        before[p] = n
+        n += counts[p]
+    want = {float(q): (math.floor(float(q) * (n - 1)), math.ceil(float(q) * (n - 1))) for q in qs}
+    ranks = sorted({r for pair in want.values() for r in pair})
+    holding = {p for p in counts for r in ranks if before[p] <= r < before[p] + counts[p]}
+    below = F.create_map(*[F.lit(x) for p in holding for x in (p, before[p])])
+    upto = F.sum("_k").over(Window.partitionBy("_p").orderBy("_v")) + below[F.col("_p")]
+    placed = dealt.where(F.col("_p").isin(sorted(holding))).select("_v", "_k", upto.alias("_e"))
+    hit = F.exists(F.array(*[F.lit(r) for r in ranks]), lambda r: (r < F.col("_e")) & (r >= F.col("_e") - F.col("_k")))
+    rows = placed.where(hit).collect()  # at most two values per quantile
+    at = {r: next(x["_v"] for x in rows if x["_e"] - x["_k"] <= r < x["_e"]) for r in ranks}
+    return [at[lo] + (float(q) * (n - 1) - lo) * (at[hi] - at[lo]) for q, (lo, hi) in ((q, want[float(q)]) for q in qs)]

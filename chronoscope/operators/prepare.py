@@ -99,41 +99,46 @@ def fit_encoder(targets: DataFrame, train_ids: DataFrame | None = None) -> DataF
                          F.col("n").cast("bigint"))
 
 
-def encode_targets(targets: DataFrame, encoder: DataFrame) -> DataFrame:
-    """(noun_id, target, class_idx); labels unseen by the encoder have no class (inner join)."""
+def encode_targets(targets: DataFrame, encoder: DataFrame, unseen: str = "error") -> DataFrame:
+    """(noun_id, target, class_idx). A label that the encoder has not seen is an error, raised when the
+    row is read; unseen="drop" leaves such samples out instead."""
     lab = F.when(F.col("target") == "", F.lit("0")).otherwise(F.col("target"))
-    return targets.select("noun_id", lab.alias("target")).join(
-        bounded_broadcast(encoder.select("target", "class_idx")), "target")
+    side = bounded_broadcast(encoder.select("target", "class_idx"))
+    named = targets.select("noun_id", lab.alias("target"))
+    if unseen == "drop":
+        return named.join(side, "target")
+    message = F.concat(F.lit("label not seen by the encoder: "), F.coalesce("target", F.lit("null")))
+    return named.join(side, "target", "left").withColumn("class_idx", F.coalesce("class_idx", F.raise_error(message).cast("bigint")))
 
 
 # --- B10 / B11 / B2: cropping and minimum length -------------------------------------------
 
-def _np_index(i: Column, length: Column) -> Column:
-    """numpy slice bound normalisation: negative -> from the end, clamped to [0, length]."""
-    j = F.when(i < 0, length + i).otherwise(i)
-    return F.least(F.greatest(j, F.lit(0)), length)
-
-
 def resize(cells: DataFrame, new_len: int, cropping: str = "end") -> DataFrame:
-    """Crop every sample to `new_len` steps: end keeps the first n, start the last n, both
-    drops d//2 at each side with the odd step taken at the front. Steps are renumbered from 0."""
-    L = F.max("t").over(Window.partitionBy("noun_id")) + 1
-    n = F.lit(new_len)
-    d = L - n
-    if cropping == "end":
-        lb, ub = F.lit(0), _np_index(n, L)
-    elif cropping == "start":
-        lb, ub = _np_index(d, L), L
-    elif cropping == "both":
-        splits = F.floor(d / 2)
-        res = F.pmod(d, F.lit(2))
-        lb = _np_index(F.when(res != 0, splits + 1).otherwise(splits), L)
-        ub = _np_index(L - splits, L)
-    else:
+    """Crop every sample to `new_len` steps: end keeps the first ones, start the last ones, both drops
+    ceil(d / 2) of the d surplus steps at the front and floor(d / 2) at the back. Steps are renumbered
+    from 0. Bounds outside a shorter sample follow array slicing: negative ones count from its end."""
+    length = F.max("t").over(Window.partitionBy("noun_id")) + 1
+    d = length - F.lit(new_len)
+    bounds = {"end": (F.lit(0), F.lit(new_len)), "start": (d, length), "both": (F.ceil(d / 2), length - F.floor(d / 2))}
+    if cropping not in bounds:
         raise ValueError(cropping)
-    return (cells.withColumn("_lb", lb).withColumn("_ub", ub)
-            .where((F.col("t") >= F.col("_lb")) & (F.col("t") < F.col("_ub")))
-            .select("noun_id", "feature", (F.col("t") - F.col("_lb")).cast("bigint").alias("t"), "x"))
+    first, stop = (F.greatest(F.least(F.when(b < 0, b + length).otherwise(b), length), F.lit(0)) for b in bounds[cropping])
+    return (cells.withColumn("_first", first).withColumn("_stop", stop)
+            .where((F.col("t") >= F.col("_first")) & (F.col("t") < F.col("_stop")))
+            .select("noun_id", "feature", (F.col("t") - F.col("_first")).cast("bigint").alias("t"), "x"))
+
+
+def at_least_long(cells: DataFrame, lengths: DataFrame, least) -> DataFrame:
+    """B2: cells of the samples with signal_length >= least. `lengths` (one row per sample) is filtered
+    first, so a stored length column prunes before the cells are read."""
+    return cells.join(lengths.where(F.col("signal_length") >= least).select("noun_id"), "noun_id", "left_semi")
+
+
+def binary_target(labels: DataFrame, positive: str) -> DataFrame:
+    """H6: labels (noun_id, labels array<string>) -> (noun_id, target): "1" if `positive` is among a
+    sample's labels, else "0" (also for null or no labels)."""
+    has = F.coalesce(F.array_contains("labels", positive), F.lit(False))
+    return labels.select("noun_id", F.when(has, "1").otherwise("0").alias("target"))
 
 
 def sample_lengths(cells: DataFrame) -> DataFrame:

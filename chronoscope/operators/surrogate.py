@@ -1,14 +1,21 @@
 """Surrogate-model attributions (J14 KernelSHAP, J15 LIME) and Spark ML classifiers.
 
-KernelSHAP and LIME fit a weighted linear model per sample on perturbed copies of it; the
-fit is a small dense solve, so each sample (its F*T cells, bounded) is one pandas group in
-`applyInPandas`, with the linear-softmax model shipped once as a broadcast variable.
-Coalitions are md5-seeded per (sample, draw) so results do not depend on partitioning.
+KernelSHAP and LIME fit a weighted linear model per sample on perturbed copies of it; the fit is a small
+dense solve, so each sample (its F*T cells, bounded) is one pandas group in `applyInPandas`, with the
+linear-softmax model shipped once as a broadcast variable. The coalitions depend on the seed and the
+number of cells D alone: all samples share them, and the number of draws grows with D, so the fit never
+has fewer draws than unknowns.
+
+KernelSHAP draws coalition sizes evenly and coalitions evenly within a size, in complementary pairs. The
+draw carries the factor 1 / C(D, k) of the Shapley kernel already, so the weight left is
+(D - 1) / (k (D - k)). Empty and full coalition hold exactly: the values of one cell are eliminated by
+sum(phi) = p(x) - p(b). If all 2^D - 2 coalitions are no more than the draws they are enumerated, with
+the full kernel weight, and the values are the exact Shapley values.
 """
 
 from __future__ import annotations
 
-import hashlib
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -16,19 +23,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
-KERNELSHAP_SAMPLES = 200
-LIME_SAMPLES = 200
+LEAST_DRAWS = 1024
+DRAWS_PER_CELL = 16
 LIME_KERNEL_WIDTH = 1.0
 LIME_RIDGE = 0.01
-
-
-def _u(seed, *keys) -> float:
-    h = hashlib.md5("|".join([str(seed)] + [str(k) for k in keys]).encode()).hexdigest()
-    return int(h[:8], 16) / 4294967296.0
+MODEL_ROWS = 5_000_000
+
+
+def coalitions(n_cells: int, n_draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(masks of 0 and 1, kernel weights) for KernelSHAP."""
+    d = n_cells
+    if d <= 20 and 2 ** d - 2 <= n_draws:
+        masks = ((np.arange(1, 2 ** d - 1)[:, None] >> np.arange(d)) & 1).astype(float)
+        k = masks.sum(axis=1)
+        return masks, np.array([(d - 1) / (comb(d, int(x)) * x * (d - x)) for x in k])
+    rng = np.random.default_rng(seed)
+    size = rng.integers(1, d, n_draws // 2)
+    order = rng.random((n_draws // 2, d)).argsort(axis=1).argsort(axis=1)
+    half = (order < size[:, None]).astype(float)
+    masks = np.concatenate([half, 1 - half])
+    k = masks.sum(axis=1)
+    return masks, (d - 1) / (k * (d - k))
+
+
+def kernel_values(masks: np.ndarray, weights: np.ndarray, y: np.ndarray, v0: float, v1: float) -> np.ndarray:
+    """Weighted least squares under sum(phi) = v1 - v0, from the coalition values y."""
+    total = v1 - v0
+    if masks.shape[1] == 1:
+        return np.array([total])
+    a = masks[:, :-1] - masks[:, -1:]
+    b = y - v0 - masks[:, -1] * total
+    aw = a * weights[:, None]
+    phi = np.linalg.lstsq(aw.T @ a, aw.T @ b, rcond=None)[0]
+    return np.append(phi, total - phi.sum())
 
 
 def _model_arrays(W: DataFrame, B: DataFrame):
     """(keys (feature, t) list, C x D weight matrix, bias) collected once: the model is bounded by C*F*T."""
+    if W.count() > MODEL_ROWS:
+        raise ValueError("the model is too large to be shipped to the workers")
     w = W.toPandas().sort_values(["class_idx", "feature", "t"])
     keys = list(w.loc[w["class_idx"] == w["class_idx"].min(), ["feature", "t"]].itertuples(index=False, name=None))
     C = w["class_idx"].nunique()
@@ -44,58 +77,55 @@ def _softmax(z):
 
 
 def _surrogate(cells: DataFrame, state: DataFrame, base: DataFrame, W: DataFrame, B: DataFrame, kind: str,
-               n_samples: int, seed: int) -> DataFrame:
+               n_samples: int | None, seed: int) -> DataFrame:
     spark = cells.sparkSession
     keys, mat, bias = _model_arrays(W, B)
     pos = {k: i for i, k in enumerate(keys)}
-    bvals = base.toPandas()
-    xb = np.zeros(len(keys))
-    for r in bvals.itertuples(index=False):
+    d = len(keys)
+    draws = n_samples or max(LEAST_DRAWS, DRAWS_PER_CELL * d)
+    xb = np.zeros(d)
+    for r in base.toPandas().itertuples(index=False):  # one row per cell of the model
         xb[pos[(r.feature, r.t)]] = r.xb
     bc = spark.sparkContext.broadcast((pos, mat, bias, xb))
     data = cells.join(state.select("noun_id", "pred"), "noun_id")
+    shared: dict = {}  # the masks, made once per worker
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pos_, m, b0, xb_ = bc.value
-        nid = int(pdf["noun_id"].iloc[0])
-        c = int(pdf["pred"].iloc[0])
-        D = len(pos_)
+        if not shared:
+            if kind == "kernelshap":
+                shared["masks"], shared["weights"] = coalitions(d, draws, seed)
+            else:
+                shared["masks"] = (np.random.default_rng(seed).random((draws, d)) < 0.5).astype(float)
+        masks, c = shared["masks"], int(pdf["pred"].iloc[0])
         x = xb_.copy()
         idx = np.array([pos_[(f, t)] for f, t in zip(pdf["feature"], pdf["t"])])
         x[idx] = pdf["x"].to_numpy()
-        Z = np.zeros((n_samples, D))
-        for s in range(n_samples):
-            if kind == "kernelshap":
-                k = 1 + int(_u(seed, "ks_size", nid, s) * (D - 1))  # coalition size in 1..D-1
-                order = np.argsort([_u(seed, "ks", nid, s, j) for j in range(D)], kind="stable")
-                Z[s, order[:k]] = 1.0
-            else:
-                Z[s] = np.array([_u(seed, "lime", nid, s, j) < 0.5 for j in range(D)], dtype=float)
-        Xs = Z * x + (1 - Z) * xb_
-        y = _softmax(Xs @ m.T + b0)[:, c]
+
+        def value(inputs):
+            return _softmax(inputs @ m.T + b0)[:, c]
+
+        inputs = xb_ + masks * (x - xb_)
+        y = value(inputs)
         if kind == "kernelshap":
-            k = Z.sum(axis=1)
-            from math import comb
-            wts = np.array([(D - 1) / (comb(D, int(kk)) * kk * (D - kk)) for kk in k])
+            v0, v1 = value(np.stack([xb_, x]))
+            r = kernel_values(masks, shared["weights"], y, v0, v1)
         else:
-            cos = (Xs @ x) / (np.linalg.norm(Xs, axis=1) * np.linalg.norm(x) + 1e-12)
-            wts = np.exp(-((1 - cos) ** 2) / (LIME_KERNEL_WIDTH ** 2))
-        A = np.hstack([np.ones((n_samples, 1)), Z])
-        sw = np.sqrt(wts)[:, None]
-        reg = LIME_RIDGE * np.eye(D + 1) if kind == "lime" else 0.0
-        coef = np.linalg.lstsq((A * sw).T @ (A * sw) + reg, (A * sw).T @ (y * sw[:, 0]), rcond=None)[0]
-        r = coef[1:][idx]
-        return pd.DataFrame({"noun_id": pdf["noun_id"].to_numpy(), "feature": pdf["feature"].to_numpy(),
-                             "t": pdf["t"].to_numpy(), "x": pdf["x"].to_numpy(), "r": r})
+            cos = (inputs @ x) / (np.linalg.norm(inputs, axis=1) * np.linalg.norm(x) + 1e-12)
+            w = np.exp(-((1 - cos) ** 2) / (LIME_KERNEL_WIDTH ** 2))
+            a = np.hstack([np.ones((len(masks), 1)), masks])
+            aw = a * w[:, None]
+            r = np.linalg.solve(aw.T @ a + LIME_RIDGE * np.eye(d + 1), aw.T @ y)[1:]
+        return pd.DataFrame({"noun_id": pdf["noun_id"], "feature": pdf["feature"], "t": pdf["t"], "x": pdf["x"], "r": r[idx]})
 
     return data.groupBy("noun_id").applyInPandas(fn, "noun_id long, feature long, t long, x double, r double")
 
 
-def kernelshap(cells, W, B, state, base, n_samples: int = KERNELSHAP_SAMPLES, seed: int = SEED) -> DataFrame:
+def kernelshap(cells, W, B, state, base, n_samples: int | None = None, seed: int = SEED) -> DataFrame:
     return _surrogate(cells, state, base, W, B, "kernelshap", n_samples, seed)
 
 
-def lime(cells, W, B, state, base, n_samples: int = LIME_SAMPLES, seed: int = SEED) -> DataFrame:
+def lime(cells, W, B, state, base, n_samples: int | None = None, seed: int = SEED) -> DataFrame:
     return _surrogate(cells, state, base, W, B, "lime", n_samples, seed)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chronoscope.operators import model as M
 from chronoscope.operators import prepare as P
 from chronoscope.session import materialize, materialize_bucketed
-from chronoscope.sources.signals import signal_set
+from chronoscope.sources.signals import signal_set, targets_by_quantile
 
 
 @dataclass
@@ -35,7 +35,7 @@ class Prepared:
         if self.signal == "emb":
             return cells, targets  # a plain scan of one table: nothing to reuse
         cells = materialize(cells)
-        return cells, materialize(targets_by_quantile_cached(cells, self.signal))
+        return cells, materialize(targets_by_quantile(cells))
 
     @property
     def cells(self) -> DataFrame:
@@ -88,8 +88,7 @@ class Prepared:
 
     @cached_property
     def test_cells(self) -> DataFrame:
-        # explicit partition count: AQE must not coalesce this partitioning away, because later
-        # stages expand each sample (grid points x attempts x permutations) inside its task
+        # bucketed by sample: later stages expand each sample (grid points x attempts x permutations)
         return materialize_bucketed(self.std_cells.join(self.test_ids, "noun_id", "left_semi"), "noun_id", "test_cells")
 
     @cached_property
@@ -105,16 +104,11 @@ class Prepared:
             "noun_id", "pred", F.col("p").alias("s1"))
 
 
-def targets_by_quantile_cached(cells: DataFrame, signal: str) -> DataFrame:
-    from chronoscope.sources.signals import targets_by_quantile
-    return targets_by_quantile(cells)
-
-
 _CACHE: dict[tuple, Prepared] = {}
 
 
 def prepared(spark: SparkSession, sf_dir: str, signal: str = "emb") -> Prepared:
-    key = (id(spark), sf_dir, signal)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, signal)
     if key not in _CACHE:
         _CACHE[key] = Prepared(spark, sf_dir, signal)
     return _CACHE[key]
@@ -157,6 +151,9 @@ def _relevance(pr: Prepared, method: str) -> DataFrame:
         return A.shapley_sampling(c, W, B, st, brand)
     if method == "lrp":
         return A.lrp(c, W, B, st)
+    if method in ("kernelshap", "lime"):
+        from chronoscope.operators import surrogate
+        return getattr(surrogate, method)(c, W, B, st, brand)
     raise ValueError(f"unknown attribution method {method!r}")
 
 
@@ -172,7 +169,9 @@ def expected_value(pr: Prepared, method: str) -> DataFrame:
 
 # ---- corruption sweep --------------------------------------------------------------------------
 
+# fixed values: the methods of the default evaluation; kernelshap, which has no SQL form, comes on top
 SWEEP_METHODS = ("integrated_gradients", "deeplift", "deepliftshap", "gradshap", "shapleyvalue")
+DEFAULT_METHODS = (*SWEEP_METHODS, "kernelshap")
 
 
 def sweep_results(pr: Prepared, methods=SWEEP_METHODS) -> DataFrame:

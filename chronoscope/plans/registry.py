@@ -16,6 +16,7 @@ from chronoscope.operators import model as M
 from chronoscope.operators import prepare as P
 from chronoscope.plans import oracle_sql as O
 from chronoscope.plans.pipeline import prepared
+from chronoscope.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -517,6 +518,24 @@ def q_min_length_quantile(spark, sf_dir):
     return spark.range(1).select(P.min_length_quantile(lengths, 0.9).alias("min_length"))
 
 
+@register("at_least_long", O.prelude("evt") + """
+SELECT noun_id, feature, t, round(x, 6) AS x FROM cells
+WHERE noun_id IN (SELECT CAST(user_id AS BIGINT) FROM events GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) >= 5)""")
+def q_at_least_long(spark, sf_dir):
+    """B2: samples whose length (here: days with events, a stored column of the entity) reaches a minimum."""
+    events = read_table(spark, sf_dir, "events")
+    lengths = events.groupBy(F.col("user_id").cast("bigint").alias("noun_id")).agg(F.count_distinct(F.to_date("ts")).alias("signal_length"))
+    return _cells_out(P.at_least_long(prepared(spark, sf_dir, "evt").cells, lengths, 5))
+
+
+@register("binary_target", """
+SELECT CAST(l_suppkey AS BIGINT) AS noun_id, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 0 THEN '1' ELSE '0' END AS target
+FROM lineitem GROUP BY l_suppkey""")
+def q_binary_target(spark, sf_dir):
+    """H6: multi-label samples to one against the rest."""
+    return P.binary_target(_supplier_labels(spark, sf_dir), "R")
+
+
 @register("label_by_quantile", O.prelude("sup") + """
 SELECT t.noun_id, round(s.total, 6) AS total, t.target FROM targets t JOIN totals s ON s.noun_id = t.noun_id""")
 def q_label_by_quantile(spark, sf_dir):
@@ -881,6 +900,26 @@ def q_rand_augment(spark, sf_dir):
     return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), _RA_EPOCH))
 
 
+def _default_run(spark, sf_dir):
+    from chronoscope.plans.pipeline import DEFAULT_METHODS
+    pr = prepared(spark, sf_dir, "emb")
+    if "_summary_default" not in pr.__dict__:
+        pr.__dict__["_summary_default"] = materialize(S.summary(sweep_results(pr, DEFAULT_METHODS)))
+    return pr.__dict__["_summary_default"], sweep_results(pr, DEFAULT_METHODS)
+
+
+@register("summary_default_methods")
+def q_summary_default(spark, sf_dir):
+    """K4 over all six methods of the default evaluation (KernelSHAP has no SQL form)."""
+    return _default_run(spark, sf_dir)[0].select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
+
+
+@register("xpower_default_methods")
+def q_xpower_default(spark, sf_dir):
+    """K7 over all six methods of the default evaluation."""
+    return S.xpower(*_default_run(spark, sf_dir)).select("method", *[r6(c).alias(c) for c in ["diff_auc", "aucskew", "auckurt", "xpower_raw", "xpower"]])
+
+
 @register("logistic_fit_score")
 def q_logistic(spark, sf_dir):
     pr = prepared(spark, sf_dir, "emb")

@@ -39,14 +39,16 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8) -> Spark
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session has none (tests, local runs) do we set our own, under a
-    fresh scratch folder.
+    Only where none is set, and only on a local master (tests, local runs), a scratch folder is made:
+    on a cluster the executors could not read a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             current = tempfile.mkdtemp(prefix="chronoscope-ckpt-")
         sc.setCheckpointDir(current)
     return current
@@ -64,12 +66,13 @@ def materialize_bucketed(df, key: str, name: str):
     """Write `df` as a table bucketed (and sorted) by `key` under the shared checkpoint folder and
     read it back. Later joins, windows and aggregates keyed by `key` read co-located buckets: the
     large side never shuffles again (a plain checkpoint forgets its hash partitioning). Bucket
-    count = spark.sql.shuffle.partitions, so a small non-bucketed side is shuffled to match."""
+    count = spark.sql.shuffle.partitions, so a small non-bucketed side is shuffled to match. The rows are
+    dealt by the key first, so that each bucket is one file."""
     import os
     import uuid
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"chronoscope_{name}_{uuid.uuid4().hex[:12]}"
     path = os.path.join(checkpoint_dir(spark), table)
-    (df.write.mode("overwrite").bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table))
+    (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table))
     return spark.table(table)

@@ -71,7 +71,7 @@ def cells_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = ev.select(F.min(F.to_date("ts"))).scalar()
     binned = (
         ev.select(F.col("user_id").cast("bigint").alias("noun_id"), F.col("event_type").alias("channel"),
-                F.datediff(F.to_date("ts"), origin).alias("step"), F.coalesce(F.col("value"), F.lit(0.0)).alias("v"))
+                F.datediff(F.to_date("ts"), origin).alias("step"), F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)).alias("v"))
         .groupBy("noun_id", "channel", "step").agg(F.sum("v").alias("v"))
     )
     return signal_from_events_generic(binned, _channel_index(ev, "event_type"))
@@ -83,7 +83,7 @@ def cells_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = li.select(F.min(month)).scalar()
     binned = (
         li.select(F.col("l_suppkey").cast("bigint").alias("noun_id"), F.col("l_returnflag").alias("channel"),
-                (month - origin).alias("step"), F.coalesce(F.col("l_quantity"), F.lit(0.0)).alias("v"))
+                (month - origin).alias("step"), F.coalesce(F.nanvl(F.col("l_quantity").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("v"))
         .groupBy("noun_id", "channel", "step").agg(F.sum("v").alias("v"))
     )
     return signal_from_events_generic(binned, _channel_index(li, "l_returnflag"))
@@ -98,7 +98,9 @@ def label_rule(value: Column, thresholds: Column) -> Column:
 def targets_by_quantile(cells: DataFrame, quantiles=(0.5, 1.0)) -> DataFrame:
     """Label each entity by the quantile class of its total (D4 + I16)."""
     from chronoscope.functions.ranking import exact_quantiles
-    totals = cells.groupBy("noun_id").agg(F.sum("x").alias("total"))
+    from chronoscope.session import materialize
+    # summed once: a second sum in another order could move an entity across a threshold it defines
+    totals = materialize(cells.groupBy("noun_id").agg(F.sum("x").alias("total")))
     thr = F.array(*[F.lit(v) for v in exact_quantiles(totals, "total", quantiles)])  # one value per entity: distributed
     return totals.withColumn("_thr", thr).select(
         "noun_id", label_rule(F.col("total"), F.col("_thr")).cast("string").alias("target"))

@@ -134,9 +134,33 @@ def test_exact_quantiles_match_numpy(spark):
     want = np.quantile(np.array(vals), qs)
     import chronoscope.functions.ranking as R
     assert exact_quantiles(df, "v", qs) == pytest.approx(list(want), abs=1e-12)
-    bound = R.SINGLE_BUFFER_MAX_ROWS
-    R.SINGLE_BUFFER_MAX_ROWS = 10  # force the distributed path
+    ranges = R.RANGES
     try:
-        assert exact_quantiles(df, "v", qs) == pytest.approx(list(want), abs=1e-12)
+        for R.RANGES in (2, 7):  # many values in a range
+            assert exact_quantiles(df, "v", qs) == pytest.approx(list(want), abs=1e-12)
     finally:
-        R.SINGLE_BUFFER_MAX_ROWS = bound
+        R.RANGES = ranges
+    assert exact_quantiles(df.limit(0), "v", qs) == [None] * len(qs)
+
+
+def test_masks_do_not_depend_on_the_scale_of_relevance(spark):
+    """Tiny relevance keeps its signs and its order; NaN is in no mask."""
+    from chronoscope.operators import corrupt as C
+    for scale in (1.0, 4e-10, 1e-30):
+        rows = [(1, 0, t, 0.0, scale * (1 + t) * (-1 if t % 2 else 1)) for t in range(64)] + [(2, 0, t, 0.0, float("nan") if t < 10 else scale) for t in range(64)]
+        rel = C.prepare_rel(spark.createDataFrame(rows, "noun_id long, feature long, t long, x double, r double"))
+        stats = C.relevance_stats(rel)
+        kept = C.kept_cells(rel, stats)
+        n = {(r["noun_id"], r["g"]): r["count"] for r in kept.groupBy("noun_id", "g").count().collect()}
+        assert {r["noun_id"]: r["n_nonneg"] for r in stats.collect()} == {1: 32, 2: 54}
+        assert n[1, 0] == 2 and n[1, 10] == 32 and n[1, 11] == 2  # top .05, top 1.0, bottom .05 of 32 values
+        assert all(n[2, g] == 54 for g in range(22))  # all tied
+
+
+def test_unseen_label_is_an_error(spark):
+    from chronoscope.operators import prepare as P
+    enc = P.fit_encoder(spark.createDataFrame([(1, "a"), (2, "b")], "noun_id long, target string"))
+    new = spark.createDataFrame([(3, "a"), (4, "c")], "noun_id long, target string")
+    with pytest.raises(Exception, match="not seen"):
+        P.encode_targets(new, enc).collect()
+    assert [r["noun_id"] for r in P.encode_targets(new, enc, unseen="drop").collect()] == [3]
