@@ -520,12 +520,12 @@ def q_min_length_quantile(spark, sf_dir):
 
 @register("at_least_long", O.prelude("evt") + """
 SELECT noun_id, feature, t, round(x, 6) AS x FROM cells
-WHERE noun_id IN (SELECT CAST(user_id AS BIGINT) FROM events GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) >= 5)""")
+WHERE noun_id IN (SELECT CAST(user_id AS BIGINT) FROM events GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) >= 27)""")
 def q_at_least_long(spark, sf_dir):
     """B2: samples whose length (here: days with events, a stored column of the entity) reaches a minimum."""
     events = read_table(spark, sf_dir, "events")
     lengths = events.groupBy(F.col("user_id").cast("bigint").alias("noun_id")).agg(F.count_distinct(F.to_date("ts")).alias("signal_length"))
-    return _cells_out(P.at_least_long(prepared(spark, sf_dir, "evt").cells, lengths, 5))
+    return _cells_out(P.at_least_long(prepared(spark, sf_dir, "evt").cells, lengths, 27))
 
 
 @register("binary_target", """
