@@ -107,13 +107,17 @@ def baseline_mean(cells: DataFrame) -> DataFrame:
     return cells.groupBy("feature", "t").agg(F.avg("x").alias("xb"))
 
 
-def baseline_sample(cells: DataFrame, n: int = N_BASELINE_SAMPLES, seed: int = SEED) -> DataFrame:
-    """(bid, feature, t, xb): the first n samples in md5 order. The unpartitioned row_number
-    with `rn <= n` is planned as a per-partition group limit before one small exchange."""
+def baseline_ids(cells: DataFrame, n: int = N_BASELINE_SAMPLES, seed: int = SEED) -> DataFrame:
+    """(bid, noun_id): the first n samples in md5 order. An ordered limit keeps n rows per task; only
+    those are ranked."""
     ids = cells.select("noun_id").distinct().withColumn("_h", sort_key60(seed, F.lit("baseline"), "noun_id"))
-    top = ids.withColumn("bid", F.row_number().over(Window.orderBy("_h", "noun_id")) - 1).where(F.col("bid") < n)
-    return cells.join(F.broadcast(top.select("noun_id", "bid")), "noun_id").select(  # <= n rows by the filter
-        F.col("bid").cast("bigint"), "feature", "t", F.col("x").alias("xb"))
+    top = ids.orderBy("_h", "noun_id").limit(n)
+    return top.select((F.row_number().over(Window.orderBy("_h", "noun_id")) - 1).cast("bigint").alias("bid"), "noun_id")
+
+
+def baseline_sample(cells: DataFrame, n: int = N_BASELINE_SAMPLES, seed: int = SEED) -> DataFrame:
+    """(bid, feature, t, xb): the cells of the first n samples in md5 order."""
+    return cells.join(F.broadcast(baseline_ids(cells, n, seed)), "noun_id").select("bid", "feature", "t", F.col("x").alias("xb"))  # <= n rows
 
 
 def baseline_logits(base: DataFrame, W: DataFrame, B: DataFrame, keys=()) -> DataFrame:
@@ -193,22 +197,30 @@ def _baseline_set_array(bases: DataFrame, W: DataFrame, B: DataFrame) -> Column:
     return bst.select(F.sort_array(F.collect_list(F.struct("bid", "zb_arr", "pb_arr")))).scalar()
 
 
+def _baseline_arrays(bases: DataFrame) -> DataFrame:
+    """(feature, t, xbs): values of all baselines ordered by bid (bounded: <= 50 per row)."""
+    return bases.groupBy("feature", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("bid", "xb"))), lambda s: s["xb"]).alias("xbs"))
+
+
+def _model_and_baselines(W: DataFrame, bases: DataFrame) -> DataFrame:
+    return weight_arrays(W).join(_baseline_arrays(bases), ["feature", "t"])
+
+
 def deepliftshap(cells, W, B, st, bases) -> DataFrame:
+    """Mean over the baselines b of m_b w (x - xb_b): x sum(m) - sum(m_b xb_b), by arrays in the cell's
+    row; no row per baseline."""
     bset = _baseline_set_array(bases, W, B)
-    nb = bases.select(F.count_distinct("bid")).scalar()
-    # per (sample, baseline) multiplier: the baseline set (<= 50) is exploded per sample row
-    m = st.withColumn("_bs", bset).select("noun_id", "pred", "z_arr", "p_arr", F.explode("_bs").alias("bb")).select(
-        "noun_id", "pred", F.col("bb.bid").alias("bid"),
-        _rescale_multiplier(F.col("z_arr"), F.col("p_arr"), F.col("bb.zb_arr"), F.col("bb.pb_arr"), F.col("pred")).alias("m"))
-    j = cells.join(m, "noun_id").join(bounded_broadcast(bases), ["bid", "feature", "t"])
-    agg = j.groupBy("noun_id", "feature", "t").agg(F.first("x").alias("x"), F.first("pred").alias("pred"),
-                                                    F.sum(F.col("m") * (F.col("x") - F.col("xb"))).alias("_s"))
-    out = agg.join(bounded_broadcast(weight_arrays(W)), ["feature", "t"])
+    m = st.withColumn("_bs", bset).select("noun_id", "pred", F.transform(
+        "_bs", lambda b: _rescale_multiplier(F.col("z_arr"), F.col("p_arr"), b["zb_arr"], b["pb_arr"], F.col("pred"))).alias("ms"))
+    j = cells.join(m, "noun_id").join(bounded_broadcast(_model_and_baselines(W, bases)), ["feature", "t"])
+    s = F.aggregate(F.zip_with("ms", "xbs", lambda mb, xb: mb * (F.col("x") - xb)), F.lit(0.0), lambda acc, v: acc + v)
     wt = at(F.col("w_arr"), F.col("pred")) - arr_mean(F.col("w_arr"))
-    return out.select("noun_id", "feature", "t", "x", (wt * F.col("_s") / nb).alias("r"))
+    return j.select("noun_id", "feature", "t", "x", (wt * s / F.size("xbs")).alias("r"))
 
 
 def gradshap(cells, W, B, st, bases, n_samples: int = GRADSHAP_SAMPLES, seed: int = SEED) -> DataFrame:
+    """Mean over the draws s of gradient(point of s) (x - xb of s). A sample's draws are an array of
+    n_samples in its row; no row per draw and cell."""
     bst = bounded_broadcast(_baseline_set_state(bases, W, B))  # <= 50 rows
     nb = bases.select(F.count_distinct("bid")).scalar()
     draws = st.select("noun_id", "pred", "z_arr", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
@@ -216,11 +228,16 @@ def gradshap(cells, W, B, st, bases, n_samples: int = GRADSHAP_SAMPLES, seed: in
                  .withColumn("alpha", uniform(seed, F.lit("gs_a"), "noun_id", "s"))
     d = draws.join(bst, "bid")
     za = F.zip_with(F.col("zb_arr"), F.col("z_arr"), lambda b, x: b + F.col("alpha") * (x - b))
-    d = with_softmax(d, za, "_pa").select("noun_id", "s", "bid", "pred", F.col("_pa"), at(F.col("_pa"), F.col("pred")).alias("_pc"))
-    j = _cells_w(cells, W).join(d, "noun_id").join(bounded_broadcast(bases), ["bid", "feature", "t"])
-    g = F.col("_pc") * (at(F.col("w_arr"), F.col("pred")) - arr_dot(F.col("_pa"), F.col("w_arr")))
-    return j.groupBy("noun_id", "feature", "t").agg(
-        F.first("x").alias("x"), (F.sum(g * (F.col("x") - F.col("xb"))) / n_samples).alias("r"))
+    d = with_softmax(d, za, "_pa").select("noun_id", "pred", F.struct("s", "bid", F.col("_pa").alias("pa"), at(F.col("_pa"), F.col("pred")).alias("pc")).alias("d"))
+    d = d.groupBy("noun_id", "pred").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    j = cells.join(d, "noun_id").join(bounded_broadcast(_model_and_baselines(W, bases)), ["feature", "t"])
+
+    def term(s):
+        g = s["pc"] * (at(F.col("w_arr"), F.col("pred")) - arr_dot(s["pa"], F.col("w_arr")))
+        return g * (F.col("x") - at(F.col("xbs"), s["bid"]))
+
+    total = F.aggregate(F.transform("ds", term), F.lit(0.0), lambda acc, v: acc + v)
+    return j.select("noun_id", "feature", "t", "x", (total / n_samples).alias("r"))
 
 
 def shapley_sampling(cells, W, B, st, base, n_perm: int = SHAPLEY_PERMUTATIONS, seed: int = SEED) -> DataFrame:

@@ -198,6 +198,8 @@ RAND_AUGMENT_OPS = [
     ("Window_slice", 1.0, 0.4),
     ("Drop_block", 0.0, 0.8),
     ("Random_block", 0.0, 0.8),
+    ("Permute_block", 0.0, 0.8),
+    ("Shuffle_block", 0.0, 0.8),
 ]
 N_BINS = 11
 
@@ -208,58 +210,63 @@ def _draw(seed: int, *keys) -> float:
     return int(h[:8], 16) / 4294967296.0
 
 
-def rand_augment_choice(epoch: int, magnitude: int = 3, seed: int = SEED, ops=RAND_AUGMENT_OPS) -> tuple[str, float]:
-    """(op, magnitude) for one call: op uniform over the space, magnitude ~ U(grid[0], grid[bound]),
-    bound = int(epoch / 25 * magnitude) before epoch 15, else magnitude. Drawn from md5 (driver-side
-    scalar parameters of the plan, not data)."""
-    i = int(_draw(seed, "randaugment", epoch, "op") * len(ops))
-    name, lo, hi = ops[i]
+def rand_augment_choice(epoch: int, magnitude: int = 3, seed: int = SEED, ops=None, nth: int = 0) -> tuple[str, float]:
+    """(op, magnitude) of the nth operation of one call: op uniform over the space (`ops`: names to
+    choose from, default all), magnitude ~ U(grid[0], grid[bound]), bound = int(epoch / 25 *
+    magnitude) before epoch 15, else magnitude. Drawn from md5 (driver-side scalar parameters of the
+    plan, not data)."""
+    space = [o for o in RAND_AUGMENT_OPS if ops is None or o[0] in ops]
+    key = ("randaugment", epoch) if not nth else ("randaugment", epoch, nth)
+    name, lo, hi = space[int(_draw(seed, *key, "op") * len(space))]
     if lo is None:
         return name, 0.0
     bound = int(epoch / 25 * magnitude) if epoch < 15 else magnitude
     grid_b = lo + (hi - lo) * bound / (N_BINS - 1)
-    return name, lo + _draw(seed, "randaugment", epoch, "mag") * (grid_b - lo)
+    return name, lo + _draw(seed, *key, "mag") * (grid_b - lo)
+
+
+def rand_augment(cells: DataFrame, epoch: int, magnitude: int = 3, seed: int = SEED, ops=None, n_ops: int = 1) -> DataFrame:
+    """`n_ops` drawn operations, one after the other."""
+    apply = {
+        "Jitter": lambda c, m: jitter(c, m, seed), "Scaling": lambda c, m: scaling(c, m, seed), "Flip_Y": lambda c, m: flip_y(c, seed),
+        "Window_slice": lambda c, m: window_slice(c, 0.8, seed),  # the operation ignores its magnitude
+        "Drop_block": lambda c, m: drop_block(c, m, 7, False, seed), "Random_block": lambda c, m: random_block(c, m, 7, seed),
+        "Permute_block": lambda c, m: permute_block(c, m, 7, seed), "Shuffle_block": lambda c, m: block_shuffle(c, m, 7, seed),
+        "Identity": lambda c, m: c,
+    }
+    out = cells.select("noun_id", "feature", "t", "x")
+    for nth in range(n_ops):
+        name, mag = rand_augment_choice(epoch, magnitude, seed, ops, nth)
+        out = apply[name](out, mag)
+    return out
+
+
+# --- I11: random block shuffle: one permutation per (feature, length) -------------------------------------
+
+def shuffle_map(feature: int, length: int, drop_prob: float, block_size: int, seed: int) -> list[int]:
+    """Source step of every step after all block permutations, which compound in time order."""
+    gamma = drop_prob / block_size * (length / (length - block_size + 1)) * 1.1
+    source = list(range(length))
+    for step in range(length):
+        if _draw(seed, "shuffle_block", feature, step) < gamma:
+            block = source[step:step + block_size]
+            order = sorted(range(len(block)), key=lambda j: (_draw(seed, "shuffle_perm", feature, step, j), j))
+            source[step:step + block_size] = [block[j] for j in order]
+    return source
 
 
-def rand_augment(cells: DataFrame, epoch: int, magnitude: int = 3, seed: int = SEED) -> DataFrame:
-    name, mag = rand_augment_choice(epoch, magnitude, seed)
-    if name == "Jitter":
-        return jitter(cells, mag, seed)
-    if name == "Scaling":
-        return scaling(cells, mag, seed)
-    if name == "Flip_Y":
-        return flip_y(cells, seed)
-    if name == "Window_slice":
-        return window_slice(cells, 0.8, seed)  # the operation ignores its magnitude
-    if name == "Drop_block":
-        return drop_block(cells, mag, 7, False, seed)
-    if name == "Random_block":
-        return random_block(cells, mag, 7, seed)
-    return cells.select("noun_id", "feature", "t", "x")
-
-
-# --- I11: random block shuffle (order dependent: per series in pandas) ------------------------------------
-
 def block_shuffle(cells: DataFrame, drop_prob: float = 0.1, block_size: int = 7, seed: int = SEED) -> DataFrame:
     """Seeds Bernoulli(gamma) per (feature, t) shared by all samples (gamma factor 1.1); at each seed
     in time order the next b values (clipped at T) are permuted by one permutation shared by all
-    samples; overlapping blocks compound. Sequential within a series, so each (sample, feature)
-    series is one pandas group (bounded by T)."""
-    import numpy as np
+    samples; overlapping blocks compound. The draws depend on feature and length alone, so the steps
+    are composed once per (feature, length) into a map, and the cells are joined with it."""
     import pandas as pd
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = pdf["x"].to_numpy().copy()
-        T = len(x)
-        f = int(pdf["feature"].iloc[0])
-        gamma = drop_prob / block_size * (T / (T - block_size + 1)) * 1.1
-        for idx in range(T):
-            if _draw(seed, "shuffle_block", f, idx) < gamma:
-                hi = min(idx + block_size, T)
-                keys = [_draw(seed, "shuffle_perm", f, idx, j) for j in range(hi - idx)]
-                x[idx:hi] = x[idx:hi][np.argsort(keys, kind="stable")]
-        return pd.DataFrame({"noun_id": pdf["noun_id"].to_numpy(), "feature": pdf["feature"].to_numpy(),
-                             "t": pdf["t"].to_numpy(), "x": x})
-
-    return cells.groupBy("noun_id", "feature").applyInPandas(fn, "noun_id long, feature long, t long, x double")
+        f, length = int(pdf["feature"].iloc[0]), int(pdf["_T"].iloc[0])
+        return pd.DataFrame({"feature": f, "_T": length, "_to": range(length), "_from": shuffle_map(f, length, drop_prob, block_size, seed)})
+
+    sized = cells.withColumn("_T", (F.max("t").over(Window.partitionBy("noun_id", "feature")) + 1).cast("bigint"))
+    maps = sized.select("feature", "_T").distinct().groupBy("feature", "_T").applyInPandas(fn, "feature long, _T long, _to long, _from long")
+    return (sized.join(maps.withColumnRenamed("_from", "t"), ["feature", "_T", "t"])
+            .select("noun_id", "feature", F.col("_to").alias("t"), "x"))

@@ -632,10 +632,13 @@ def q_baseline_random(spark, sf_dir):
 @register("baseline_sample", _BASE_PRE + "\nSELECT CAST(bid AS BIGINT) AS bid, noun_id FROM bsel")
 def q_baseline_sample(spark, sf_dir):
     pr = prepared(spark, sf_dir, "emb")
-    ids = pr.test_cells.select("noun_id").distinct().withColumn("_h", A.sort_key60(42, F.lit("baseline"), "noun_id"))
-    from pyspark.sql import Window as _W
-    return ids.withColumn("bid", (F.row_number().over(_W.orderBy("_h", "noun_id")) - 1).cast("bigint")).where(
-        F.col("bid") < A.N_BASELINE_SAMPLES).select("bid", "noun_id")
+    return A.baseline_ids(pr.test_cells)
+
+
+@register("baseline_zeros", _BASE_PRE + "\nSELECT DISTINCT feature, t, 0.0::DOUBLE AS xb FROM wmodel")
+def q_baseline_zeros(spark, sf_dir):
+    """J5."""
+    return A.baseline_zeros(prepared(spark, sf_dir, "emb").W)
 
 
 @register("random_single", _BASE_PRE + f"""
@@ -870,11 +873,8 @@ def q_block_shuffle(spark, sf_dir):
     return _cells_out(AG.block_shuffle(_evt_cells(spark, sf_dir)))
 
 
-_RA_EPOCH = 20
-
-
-def _rand_augment_sql() -> str:
-    name, mag = AG.rand_augment_choice(_RA_EPOCH)
+def _rand_augment_sql(epoch: int) -> str:
+    name, mag = AG.rand_augment_choice(epoch)
     if name == "Jitter":
         body = f"""(SELECT noun_id, feature, t, x + {O.normal_sql("'jitter'", 'noun_id', 'feature', 't')}
                     * stddev_samp(x) OVER (PARTITION BY noun_id, feature) * {mag!r} AS x FROM cells)"""
@@ -889,15 +889,31 @@ def _rand_augment_sql() -> str:
                 + O.block_mask_sql("cells", mag, 7, 1.1, "random_block") + ")")
     elif name == "Window_slice":
         return ORACLE["window_slice"]
+    elif name == "Permute_block":
+        return ORACLE["permute_block"].replace(O.block_mask_sql("cells", 0.1, 7, 1.2, "permute_block"), O.block_mask_sql("cells", mag, 7, 1.2, "permute_block"))
+    elif name == "Shuffle_block":
+        raise ValueError("no SQL form")
     else:
         body = "cells"
     return _EVT + "\n" + _OUT + body
 
 
-@register("rand_augment", _rand_augment_sql())
-def q_rand_augment(spark, sf_dir):
-    """I12 at epoch 20, magnitude 3: the op and magnitude are drawn per call from md5(seed, epoch)."""
-    return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), _RA_EPOCH))
+def _rand_augment_query(epoch):
+    def q(spark, sf_dir):
+        """I12 at magnitude 3: the op and its magnitude are drawn per call from md5(seed, epoch)."""
+        return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), epoch))
+    return q
+
+
+# random block, permute block, scaling, jitter and drop block
+for _name, _epoch in (("rand_augment", 22), ("rand_augment_17", 17), ("rand_augment_21", 21), ("rand_augment_27", 27), ("rand_augment_28", 28)):
+    register(_name, _rand_augment_sql(_epoch))(_rand_augment_query(_epoch))
+
+
+@register("rand_augment_two")
+def q_rand_augment_two(spark, sf_dir):
+    """Two operations after each other, out of three (rows only)."""
+    return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), 19, ops=("Shuffle_block", "Flip_Y", "Scaling"), n_ops=2))
 
 
 def _default_run(spark, sf_dir):
@@ -1023,7 +1039,9 @@ SELECT max(t) + 1 AS n_steps, count(DISTINCT feature) AS n_feat FROM cells WHERE
 def q_shape_probe(spark, sf_dir):
     """(steps, features) of the signals read from one sample's tensor (all samples share it)."""
     from chronoscope.sources.signals import cells_to_tensor
-    tens = cells_to_tensor(prepared(spark, sf_dir, "sup").cells).limit(1)
+    cells = prepared(spark, sf_dir, "sup").cells
+    first = cells.select(F.min("noun_id")).scalar()  # the id first: one tensor is built
+    tens = cells_to_tensor(cells.where(F.col("noun_id") == first))
     return tens.select(F.size("signal").cast("bigint").alias("n_steps"), F.size(F.col("signal")[0]).cast("bigint").alias("n_feat"))
 
 

@@ -24,11 +24,14 @@ def _stats(col: str):
 
 
 def _source(spark: SparkSession, path: str, schema, **opts) -> DataFrame:
-    """A streaming file source over a folder; a single file is read as its folder + name filter."""
+    """A streaming file source over a folder; a single file is read as its folder + name filter. Which
+    of the two a path is, is asked of the store that Spark reads."""
     reader = spark.readStream.schema(schema)
     for k, v in opts.items():
         reader = reader.option(k, v)
-    if path.endswith(".parquet") and not os.path.isdir(path):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     return reader.parquet(path)
 

@@ -164,3 +164,21 @@ def test_unseen_label_is_an_error(spark):
     with pytest.raises(Exception, match="not seen"):
         P.encode_targets(new, enc).collect()
     assert [r["noun_id"] for r in P.encode_targets(new, enc, unseen="drop").collect()] == [3]
+
+
+def test_block_shuffle_is_a_shared_permutation(spark):
+    """Against applying the block permutations to the values one after the other."""
+    from chronoscope.operators import augment as AG
+    cells = spark.createDataFrame([(n, f, t, float(100 * n + t)) for n in (1, 2) for f in (0, 1) for t in range(60)], "noun_id long, feature long, t long, x double")
+    got = {}
+    for r in AG.block_shuffle(cells, 0.4, 7).collect():
+        got.setdefault((r["noun_id"], r["feature"]), {})[r["t"]] = r["x"]
+    gamma = 0.4 / 7 * (60 / 54) * 1.1
+    for (n, f), values in got.items():
+        x = [float(100 * n + t) for t in range(60)]
+        for t in range(60):
+            if AG._draw(AG.SEED, "shuffle_block", f, t) < gamma:
+                part = x[t:t + 7]
+                keys = [AG._draw(AG.SEED, "shuffle_perm", f, t, j) for j in range(len(part))]
+                x[t:t + 7] = [v for _, v in sorted(zip(keys, part))]
+        assert [values[t] for t in range(60)] == x and x != sorted(x)
