@@ -108,3 +108,60 @@ def scores_in_batches(cells: DataFrame, W: DataFrame, B: DataFrame) -> DataFrame
                                 "z": z.ravel(), "p": p.ravel()})
 
     return vec.mapInPandas(score, "noun_id long, class_idx long, z double, p double")
+
+
+# --- A15: prediction table with one score column per class --------------------------------------------------
+
+def prediction_table(p: DataFrame, labelled: DataFrame, n_classes: int) -> DataFrame:
+    """(noun_id, label, pred, score_0 .. score_{C-1}); null for a class without a score. One hash
+    aggregate with a bounded number of columns; no pivot over unknown values."""
+    columns = [F.max(F.when(F.col("class_idx") == c, F.col("p"))).alias(f"score_{c}") for c in range(n_classes)]
+    return predictions(p, labelled).select("noun_id", "label", "pred").join(p.groupBy("noun_id").agg(*columns), "noun_id")
+
+
+# --- J4: selection among shrunken centroid models -------------------------------------------------------------
+
+def fit_shrinkable(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame) -> DataFrame:
+    """(class_idx, feature, t, g, delta): mean of all training samples, and how far each class's mean is
+    from it. Shrinking by s moves the class means to g + s * delta."""
+    tr = cells.join(train_ids, "noun_id", "left_semi").join(labelled.select("noun_id", "class_idx"), "noun_id")
+    sums = tr.groupBy("class_idx", "feature", "t").agg(F.sum("x").alias("sx"), F.count("x").alias("n"))
+    at_cell = Window.partitionBy("feature", "t")
+    g = F.sum("sx").over(at_cell) / F.sum("n").over(at_cell)
+    return sums.withColumn("g", g).select("class_idx", "feature", "t", "g", (F.col("sx") / F.col("n") - F.col("g")).alias("delta"))
+
+
+def shrunken_logits(cells: DataFrame, fitted: DataFrame, shrinkage: list[float], tau: float = TEMPERATURE) -> DataFrame:
+    """(cand, shrink, noun_id, class_idx, z) for every candidate. -|x - g - s delta|^2 is, but for a term
+    that all classes share, 2 s (x - g) delta - s^2 delta^2: the sums over cells are taken once, and a
+    candidate only scales them."""
+    j = cells.join(bounded_broadcast(fitted), ["feature", "t"]).groupBy("noun_id", "class_idx").agg(
+        F.sum((F.col("x") - F.col("g")) * F.col("delta")).alias("a"), F.sum(F.col("delta") * F.col("delta")).alias("d"), F.count(F.lit(1)).alias("k"))
+    s = F.explode(F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(float(v)).alias("shrink")) for i, v in enumerate(shrinkage)]))
+    return j.select("noun_id", "class_idx", "a", "d", "k", s.alias("s")).select(
+        "s.cand", "s.shrink", "noun_id", "class_idx",
+        (F.lit(tau) / F.col("k") * (F.lit(2.0) * F.col("s.shrink") * F.col("a") - F.col("s.shrink") * F.col("s.shrink") * F.col("d"))).alias("z"))
+
+
+def select_model(val: DataFrame, test: DataFrame, labelled: DataFrame, fitted: DataFrame, shrinkage: list[float]) -> DataFrame:
+    """(cand, shrink, val_loss, val_accuracy, best_so_far, chosen, test_accuracy): the candidate with the
+    best validation accuracy (ties: smaller loss, then first) is chosen and only it scores the test split."""
+    lab = labelled.select("noun_id", F.col("class_idx").alias("label"))
+
+    def evaluated(cells: DataFrame, candidates: list[float]) -> DataFrame:
+        p = softmax(shrunken_logits(cells, fitted, candidates), keys=("cand", "noun_id"))
+        pred = argmax_class(p, keys=("cand", "noun_id"))
+        rows = p.join(lab, "noun_id").where(F.col("class_idx") == F.col("label")).join(pred, ["cand", "noun_id"])
+        return rows.groupBy("cand", "shrink").agg(F.avg(-F.log("p")).alias("loss"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
+
+    tried = evaluated(val, shrinkage).collect()  # one row per candidate
+    best = min(tried, key=lambda r: (-r["accuracy"], r["loss"], r["cand"]))
+    restored = evaluated(test, [best["shrink"]]).select(F.lit(best["cand"]).alias("cand"), F.col("accuracy").alias("test_accuracy"))
+    rows = _candidate_rows(val.sparkSession, tried)
+    so_far = F.max("val_accuracy").over(Window.orderBy("cand").rowsBetween(Window.unboundedPreceding, 0))  # bounded list
+    return (rows.withColumn("best_so_far", so_far).withColumn("chosen", F.col("cand") == best["cand"])
+            .join(F.broadcast(restored), "cand", "left"))
+
+
+def _candidate_rows(spark, tried) -> DataFrame:
+    return spark.createDataFrame([(r["cand"], r["shrink"], r["loss"], r["accuracy"]) for r in tried], "cand int, shrink double, val_loss double, val_accuracy double")

@@ -1057,3 +1057,77 @@ def q_corruption_sweep_evt(spark, sf_dir):
 def q_summary_evt(spark, sf_dir):
     res = sweep_results(prepared(spark, sf_dir, "evt"), ("integrated_gradients", "deeplift", "shapleyvalue"))
     return S.summary(res).select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
+
+
+# ---- A1 / A12 / A15 / J4: stored signals, id lists, prediction table, model selection -------------------------
+
+@register("read_signals", O.prelude("emb", O.SPLIT) + """
+SELECT s.noun_id, s.target, e.e AS epoch FROM targets s, (SELECT unnest([0, 1, 2]) AS e) e
+WHERE s.noun_id IN (SELECT noun_id FROM cells GROUP BY noun_id HAVING max(t) + 1 >= 64) AND s.noun_id % 3 = 0""")
+def q_read_signals(spark, sf_dir):
+    """A1: two fields of the stored signals that meet a predicate, for three epochs."""
+    from chronoscope.sources.signals import cells_to_tensor, read_signals
+    pr = prepared(spark, sf_dir, "emb")
+    root = _scratch(spark, "signals")
+    rows = cells_to_tensor(pr.cells).join(pr.targets, "noun_id")
+    rows.withColumn("signal_length", F.size("signal")).write.mode("overwrite").parquet(root)
+    return read_signals(spark, root, ["noun_id", "target"], (F.col("signal_length") >= 64) & (F.col("noun_id") % 3 == 0), epochs=3)
+
+
+@register("id_lists", O.prelude("emb", O.SPLIT) + "\nSELECT noun_id, split FROM split WHERE split <> 'val'")
+def q_id_lists(spark, sf_dir):
+    """Split ids written as lists and read back one by one."""
+    from chronoscope.sources.signals import read_id_list, write_id_lists
+    root = _scratch(spark, "ids")
+    write_id_lists(prepared(spark, sf_dir, "emb").split, root)
+    train, test = (read_id_list(spark, root, n).withColumn("split", F.lit(n)) for n in ("train", "test"))
+    return train.unionByName(test)
+
+
+@register("prediction_table", _MODEL_PRE + """
+SELECT s.noun_id, any_value(l.class_idx) AS label, any_value(s.pred) AS pred, """ + ", ".join(
+    f"round(max(CASE WHEN p.class_idx = {c} THEN p.p END), 6) AS score_{c}" for c in range(10)) + """
+FROM score1 s JOIN labelled l ON s.noun_id = l.noun_id JOIN p1 p ON p.noun_id = s.noun_id GROUP BY s.noun_id""")
+def q_prediction_table(spark, sf_dir):
+    """One score column per class, written and read back."""
+    pr = prepared(spark, sf_dir, "emb")
+    root = _scratch(spark, "predictions")
+    M.prediction_table(pr.p1, pr.labelled, 10).write.mode("overwrite").parquet(root)
+    return spark.read.parquet(root).select("noun_id", "label", "pred", *[r6(f"score_{c}").alias(f"score_{c}") for c in range(10)])
+
+
+_SHRINK = [0.05, 0.2, 0.5, 0.8, 1.0, 1.5]
+
+
+def _shrink_eval_sql(split: str, name: str) -> str:
+    return f"""
+a_{name} AS (SELECT c.noun_id, f.class_idx, sum((c.x - f.g) * f.delta) AS a, sum(f.delta * f.delta) AS d, count(*) AS k
+  FROM std_cells c JOIN fitted f ON f.feature = c.feature AND f.t = c.t
+  WHERE c.noun_id IN (SELECT noun_id FROM split WHERE split = '{split}') GROUP BY 1, 2),
+z_{name} AS (SELECT v.cand, v.shrink, a.noun_id, a.class_idx, {O.TAU!r} / a.k * (2.0 * v.shrink * a.a - v.shrink * v.shrink * a.d) AS z FROM a_{name} a, shr v),
+c_{name} AS (SELECT *, z - max(z) OVER (PARTITION BY cand, noun_id) AS zc FROM z_{name}),
+p_{name} AS (SELECT *, exp(zc) / sum(exp(zc)) OVER (PARTITION BY cand, noun_id) AS p FROM c_{name}),
+e_{name} AS (SELECT p.cand, p.shrink, p.noun_id, max(CASE WHEN p.class_idx = l.class_idx THEN p.p END) AS pl,
+    first(p.class_idx ORDER BY p.p DESC, p.class_idx) = max(l.class_idx) AS ok
+  FROM p_{name} p JOIN labelled l ON l.noun_id = p.noun_id GROUP BY 1, 2, 3),
+s_{name} AS (SELECT cand, shrink, avg(-ln(pl)) AS loss, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS accuracy FROM e_{name} GROUP BY 1, 2)"""
+
+
+@register("model_select_shrinkage", O.prelude("emb", O.SPLIT, O.SCALER, O.ENCODER) + f""",
+shr AS (SELECT * FROM (VALUES {", ".join(f"({i}, {v!r})" for i, v in enumerate(_SHRINK))}) v(cand, shrink)),
+tr AS (SELECT l.class_idx, c.feature, c.t, sum(c.x) AS sx, count(*) AS n FROM std_cells c JOIN labelled l ON l.noun_id = c.noun_id
+       WHERE c.noun_id IN (SELECT noun_id FROM train_ids) GROUP BY 1, 2, 3),
+fitted AS (SELECT class_idx, feature, t, sum(sx) OVER w / sum(n) OVER w AS g, sx / n - sum(sx) OVER w / sum(n) OVER w AS delta
+           FROM tr WINDOW w AS (PARTITION BY feature, t)),""" + _shrink_eval_sql("val", "v") + "," + _shrink_eval_sql("test", "t") + """,
+pick AS (SELECT cand FROM s_v ORDER BY accuracy DESC, loss, cand LIMIT 1)
+SELECT CAST(v.cand AS INTEGER) AS cand, round(v.shrink, 6) AS shrink, round(v.loss, 6) AS val_loss, round(v.accuracy, 6) AS val_accuracy,
+       round(max(v.accuracy) OVER (ORDER BY v.cand ROWS UNBOUNDED PRECEDING), 6) AS best_so_far, v.cand = (SELECT cand FROM pick) AS chosen,
+       round(CASE WHEN v.cand = (SELECT cand FROM pick) THEN t.accuracy END, 6) AS test_accuracy
+FROM s_v v JOIN s_t t USING (cand)""")
+def q_model_select_shrinkage(spark, sf_dir):
+    """J4 with candidates that change the decisions: centroids shrunk to the common mean; the best on the
+    validation split is restored and scores the test split."""
+    pr = prepared(spark, sf_dir, "emb")
+    val, test = (pr.std_cells.join(P.split_ids(pr.split, n), "noun_id", "left_semi") for n in ("val", "test"))
+    out = M.select_model(val, test, pr.labelled, materialize(M.fit_shrinkable(pr.std_cells, pr.labelled, pr.train_ids)), _SHRINK)
+    return out.select("cand", *[r6(c).alias(c) for c in ("shrink", "val_loss", "val_accuracy", "best_so_far", "test_accuracy")], "chosen")

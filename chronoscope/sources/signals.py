@@ -154,3 +154,26 @@ def entity_cells_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     # channel index k = 2 * flag_index + value index (channels sort as flag#0, flag#1)
     return dense.select("noun_id", (F.col("feature") / 2).cast("bigint").alias("entity"),
                         (F.col("feature") % 2).cast("bigint").alias("feature"), "t", "x")
+
+
+# --- A1 / A12: reading stored signals, id lists -------------------------------------------------------------
+
+def read_signals(spark: SparkSession, path: str, fields: list[str] | None = None, predicate=None, epochs: int = 1) -> DataFrame:
+    """Stored signal rows: the named fields of the rows that meet the predicate (both reach the scan),
+    each once per epoch, with the epoch as a column if there are several."""
+    rows = spark.read.parquet(path)
+    if predicate is not None:
+        rows = rows.where(predicate)
+    if fields is not None:
+        rows = rows.select(*fields)
+    return rows if epochs == 1 else rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+
+
+def write_id_lists(split: DataFrame, path: str) -> None:
+    """split (noun_id, split): one folder of id files per split."""
+    split.select("noun_id", "split").write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def read_id_list(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The ids of one split; reads its folder only."""
+    return spark.read.parquet(path).where(F.col("split") == name).select("noun_id")
