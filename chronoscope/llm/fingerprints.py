@@ -29,7 +29,9 @@ SECOND = np.uint64(0xD6E8FEB86659FD93)
 VOTE_BLOCK = 256
 TERMS_AT_ONCE = 1 << 16
 #: range bounds are compared one by one, so their number is held; a part is streamed, whatever its size
-MOST_PARTS = 1000
+MOST_PARTS = 2000
+#: several parts a task, so that tasks come out even though the parts are dealt by a hash
+PARTS_PER_TASK = 6
 
 
 def _term_weights(texts: Texts, k: int) -> np.ndarray:
@@ -95,9 +97,10 @@ def with_successor_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows in ascending order of `key`, range-partitioned, such that each partition also ends with the
     first row of the next one (the last partition: with the first row of all), marked guest = true.
     Then a pass over one partition sees every row's successor. One shuffle of the rows; the range
-    bounds (as many as shuffle partitions) and the first keys are all that reaches the driver."""
+    bounds (PARTS_PER_TASK times the shuffle partitions) and the first keys are all that reaches the driver."""
     spark = docs.sparkSession
-    parts = min(shuffle_partitions(spark), MOST_PARTS)
+    tasks = shuffle_partitions(spark)
+    parts = min(PARTS_PER_TASK * tasks, MOST_PARTS)
     cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     part = F.lit(0)
@@ -122,7 +125,7 @@ def with_successor_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         is_head = is_head & (F.xxhash64("text") == hashes[F.col("part")])
         guests = dealt.where(is_head).withColumn("part", head[F.col("part")]).withColumn("guest", F.lit(True))
         rows = rows.unionByName(guests)
-    return (rows.repartition(parts, "part")
+    return (rows.repartition(tasks, "part")
             .sortWithinPartitions("part", "guest", F.col(key).isNotNull(), key, F.xxhash64("text")))
 
 
