@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored
+from .storage import broadcast_if_small, stored
 
 MOST_COPIES = 3.0
 BLOCK_ROWS = 4096
@@ -144,7 +144,7 @@ def mix_documents(docs: DataFrame, size: Column | None = None, source: str = "so
     chunks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("b") / BLOCK_BYTES), F.lit(1)).cast("int")
     plan = (classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
             .select(F.col("c.source").alias("s"), F.col("class").alias("k"), chunks.alias("chunks"), "source_size", "target", (F.col("rows") <= POOL_ROWS).alias("pool")))
-    # one row per source and size class; whether it is broadcast is left to Spark's own size check
+    plan = broadcast_if_small(plan, classes.count())  # one row per source and size class
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k"))).drop("s", "k", "bytes")
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_COPIES))).otherwise(F.lit(0.0))
     leaf = (placed.withColumn("chunk", F.pmod(F.col("unit"), F.col("chunks")).cast("int")).drop("chunks")
@@ -154,7 +154,9 @@ def mix_documents(docs: DataFrame, size: Column | None = None, source: str = "so
     tops = _reduce(rounded.where("left").select("source", "class", "chunk", "at", "pool", "unit", "mass", "words"))
     place = [F.col("source").eqNullSafe(F.col("s")), F.col("class") == F.col("k"), F.col("chunk") == F.col("h"), F.col("at") == F.col("a"), F.col("left")]
     copies = (F.col("whole") + F.when(F.col("left"), F.coalesce("top", F.lit(0))).otherwise(F.col("mass"))).cast("long")
-    return (rounded.join(tops.select(F.col("source").alias("s"), F.col("class").alias("k"), F.col("chunk").alias("h"), F.col("at").alias("a"), "top"), place, "left")
+    tops = tops.select(F.col("source").alias("s"), F.col("class").alias("k"), F.col("chunk").alias("h"), F.col("at").alias("a"), "top")
+    tops = broadcast_if_small(tops, tops.count())  # one row per block, or per unit of a small source
+    return (rounded.join(tops, place, "left")
             .select("row.*", F.col("words").alias("size"), "source_size", "target", copies.alias("copies")))
 
 
