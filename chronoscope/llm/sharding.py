@@ -129,14 +129,13 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", key:
     groups = stored(rows.groupBy("g").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "shard-groups")
     n_rows = groups.agg(F.sum("rows")).first()[0] or 0
     bounds, _ = shard_bounds(groups, shards)
-    shard = F.lit(0)
-    if bounds:
-        shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("g")))
+    # how many bounds lie before the hash; plain comparisons, of which the optimiser can infer filters
+    shard = sum(((F.col("g") > F.lit(b)).cast("int") for b in bounds), F.lit(0))
     n_cells = min(MOST_SLOT_CELLS, max(64, -(-n_rows // (SLOT_ROWS * shards))))
     placed = rows.select("row", "k", "size", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("k"), F.lit(n_cells)).cast("int").alias("cell"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
-               .select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    counts = stored(placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")), "shard-cells")  # at most shards x cells rows
+    offsets = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     nth = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("k", "size"))
     return (placed.withColumn("nth", nth).join(offsets, ["shard", "cell"])
             .select("row.*", "size", "shard", (F.col("before") + F.col("nth") - 1).alias("slot")))
