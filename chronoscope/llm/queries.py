@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, fixity, language, mixing, near_duplicates, passages, quality, secrets, sharding
+from . import decontaminate, fingerprints, fixity, language, mixing, near_duplicates, passages, quality, secrets, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -170,3 +170,29 @@ kept AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op11_url_range_join(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA))
+
+
+ORACLE["op11_url_range_join"] = r"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES """ + ", ".join(map(str, URL_RULES)) + r"""),
+rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS t, row_number() OVER () AS nth FROM pages
+), parts AS (
+  SELECT nth, page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), fits AS (
+  SELECT nth, arg_max(rhost || rpath, (length(rhost) + length(rpath)) * 1000 + length(rhost)) AS rule,
+         arg_max(rverdict, (length(rhost) + length(rpath)) * 1000 + length(rhost)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY nth
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (nth)
+"""
