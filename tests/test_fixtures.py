@@ -113,7 +113,7 @@ def test_wide_matrix_round_trip(spark, tmp_path):
     """A7 / A8 on a three-sample slice of the embeddings signals (a small export, as the layout intends)."""
     from chronoscope.sources.signals import cells_from_embeddings
     from chronoscope.sources.text_formats import read_wide_matrix, write_wide_matrix
-    from conftest import SF001
+    from paths import SF001
     cells = cells_from_embeddings(spark, SF001)
     ids = [r["noun_id"] for r in cells.select("noun_id").distinct().orderBy("noun_id").limit(3).collect()]
     part = cells.where(F.col("noun_id").isin(ids))

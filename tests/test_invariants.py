@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from chronoscope.plans.pipeline import expected_value, prepared, relevance, sweep_results
 
 

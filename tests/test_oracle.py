@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 
 import __spark_entry__ as E
 from oracle_harness import compare
