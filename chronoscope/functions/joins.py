@@ -2,24 +2,56 @@
 
 Every broadcast side in the library is bounded by construction (model weights: classes x
 features x steps; scaler / encoder: one row per feature / class; baselines: <= 50 samples;
-grids and offset tables). The hint is still given only after a proof: the row count, taken
-with `limit(max_rows + 1)` so a large input stops early, and cached per plan. Beyond the
-bound the side is returned unhinted and the planner uses a shuffle join.
+grids and offset tables). The hint is still given only after a proof: rows and bytes of the
+side, counted by a distributed aggregate and kept per plan. Beyond a bound the side is
+returned unhinted and the planner uses a shuffle join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 5_000_000
-_CHECKED: dict[tuple[int, int], bool] = {}
+MAX_BROADCAST_BYTES = 512 << 20
+POINTER = 16
+_CHECKED: dict[tuple, list[tuple[DataFrame, bool]]] = {}
+
+
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory; 0 for null."""
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [value_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(POINTER).cast("bigint"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType, T.StringType, T.BinaryType)):
+            each = F.aggregate(value, F.lit(POINTER).cast("bigint"), lambda n, x: n + value_bytes(x, kind.elementType))
+            return F.coalesce(each, F.lit(0).cast("bigint"))
+        return F.coalesce(F.size(value) * 8 + POINTER, F.lit(0)).cast("bigint")
+    if isinstance(kind, T.MapType):
+        return value_bytes(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + POINTER
+    return F.lit(8).cast("bigint")
+
+
+def _small(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    sizes = [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(lambda a, b: a + b, sizes)), F.lit(0))).first()
+    return n <= max_rows and total <= max_bytes
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    key = (df.semanticHash(), max_rows)
-    ok = _CHECKED.get(key)
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most max_rows rows and max_bytes bytes. Plans are told apart by
+    their semantics, not by a hash alone; what was found out in an application that has ended is dropped."""
+    application = df.sparkSession.sparkContext.applicationId
+    for key in [k for k in _CHECKED if k[0] != application]:
+        del _CHECKED[key]
+    known = _CHECKED.setdefault((application, df.semanticHash(), max_rows, max_bytes), [])
+    ok = next((found for other, found in known if other.sameSemantics(df)), None)
     if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
-        _CHECKED[key] = ok
+        ok = _small(df, max_rows, max_bytes)
+        known.append((df, ok))
     return F.broadcast(df) if ok else df

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoscope.functions.joins import bounded_broadcast
-from chronoscope.functions.rand import normal, uniform
+from chronoscope.functions.rand import normal, sort_key60, uniform
 
 SEED = 42
 
@@ -129,7 +129,7 @@ def permute_block(cells: DataFrame, drop_prob: float = 0.1, block_size: int = 7,
 def random_block_enforce(cells: DataFrame, drop_prob: float = 0.1, block_size: int = 7, seed: int = SEED) -> DataFrame:
     """Random blocks with the drawn fraction enforced (best of up to 26 draws); the same
     operator as the random corruption of the sweep, with fixed (p, b) for every sample."""
-    from chronoscope.operators.corrupt import random_block_mask
+    from chronoscope.operators.blocks import random_block_mask
     dims = cells.groupBy("noun_id").agg((F.max("t") + 1).alias("n_steps"), F.count_distinct("feature").alias("n_feat"))
     sm = dims.select(F.lit("-").alias("method"), "noun_id", F.lit(0).cast("bigint").alias("g"),
                      F.lit(float(drop_prob)).alias("drop_prob"), F.lit(block_size).alias("block_size"), "n_steps", "n_feat")
@@ -173,6 +173,53 @@ def inject_pattern(cells: DataFrame, wave: str = "sin", freq: int = 3, length_ra
                         start.cast("bigint").alias("pattern_start"))
 
 
+def pattern_plan(cells: DataFrame, n_support: int, f_support: tuple[int, int], f_base: tuple[float, float], n_sine: int = 2, seed: int = SEED) -> DataFrame:
+    """(noun_id, feature, place, wave, f_support, f_base, start): one row per series. A sample's features are
+    put in a random order without replacement; the first n_sine carry a sine, each other one a line or a
+    square wave. f_support is a whole number of [low, high), f_base of a continuous range, start such that
+    n_support steps fit."""
+    series = cells.groupBy("noun_id", "feature").agg((F.max("t") + 1).alias("_T")).withColumn("_o", sort_key60(seed, F.lit("pat_o"), "noun_id", "feature"))
+    place = F.row_number().over(Window.partitionBy("noun_id").orderBy("_o", "feature")) - 1
+
+    def draw(name):
+        return uniform(seed, F.lit(name), "noun_id", "feature")
+
+    rows = series.withColumn("place", place.cast("bigint"))
+    wave = F.when(F.col("place") < n_sine, "sine").when(draw("pat_w") < 0.5, "line").otherwise("square")
+    return rows.select("noun_id", "feature", "place", wave.alias("wave"),
+                       (F.floor(draw("pat_f") * (f_support[1] - f_support[0])) + f_support[0]).cast("bigint").alias("f_support"),
+                       (draw("pat_b") * (f_base[1] - f_base[0]) + f_base[0]).alias("f_base"),
+                       F.floor(draw("pat_s") * (F.greatest(F.col("_T") - n_support, F.lit(0)) + 1)).cast("bigint").alias("start"))
+
+
+def inject_patterns(cells: DataFrame, plan: DataFrame, n_support: int) -> DataFrame:
+    """The cells with each series' wave added on [start, start + n_support), always from its own t = 0."""
+    i = F.col("t") - F.col("start")
+    phase = F.lit(2.0 * math.pi) * F.col("f_support") * i / F.lit(max(n_support - 1, 1))
+    value = F.when(F.col("wave") == "sine", F.sin(phase)).when(F.col("wave") == "square", F.signum(F.sin(phase))).otherwise(F.lit(0.0))
+    j = cells.join(plan, ["noun_id", "feature"])
+    return j.select("noun_id", "feature", "t", (F.col("x") + F.when((i >= 0) & (i < n_support), value).otherwise(F.lit(0.0))).alias("x"))
+
+
+def pattern_truth(plan: DataFrame) -> DataFrame:
+    """(noun_id, pos_sin_wave, feature_idx_sin_wave, f_sine_sum, f_sine_ratio): where a sample's sines are, in
+    the drawn order, and what its labels are made of."""
+    sines = plan.where(F.col("wave") == "sine").groupBy("noun_id").agg(F.sort_array(F.collect_list(F.struct("place", "start", "feature", "f_support", "f_base"))).alias("s"))
+    ratio = F.aggregate("s", F.lit(0.0), lambda acc, s: acc + s["f_support"] / s["f_base"])
+    return sines.select("noun_id", F.transform("s", lambda s: s["start"]).alias("pos_sin_wave"), F.transform("s", lambda s: s["feature"]).alias("feature_idx_sin_wave"),
+                        F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, s: acc + s["f_support"]).alias("f_sine_sum"), ratio.alias("f_sine_ratio"))
+
+
+def pattern_labels(truth: DataFrame, quantiles=(0.5, 1.0)) -> DataFrame:
+    """(noun_id, target_sum, target_ratio): the quantile classes of both sums over all samples."""
+    from chronoscope.functions.ranking import exact_quantiles
+    from chronoscope.session import materialize
+    from chronoscope.sources.signals import label_rule
+    kept = materialize(truth.select("noun_id", "f_sine_sum", "f_sine_ratio"))
+    named = [label_rule(F.col(c), F.array(*[F.lit(v) for v in exact_quantiles(kept, c, quantiles)])).cast("string").alias(out) for c, out in (("f_sine_sum", "target_sum"), ("f_sine_ratio", "target_ratio"))]
+    return kept.select("noun_id", *named)
+
+
 def weighted_choice(draw_keys: DataFrame, values: DataFrame, size: int, seed: int = SEED) -> DataFrame:
     """`size` draws with replacement per key from `values` (value, weight) (bounded table):
     the first value whose cumulative weight exceeds u * total."""

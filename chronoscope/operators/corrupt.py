@@ -14,12 +14,11 @@ relevance. One grid row per (mask, k): k in .05, .15, ..., .95, 1.0 and mask in
              time order, gaps closed, over Simpson of all non-negative values of the feature),
              run lengths of consecutive kept steps -> block_size, drop_prob.
   scores     kept cells replaced by N(0,1) -> score2; a random block mask with the same
-             drop_prob / block_size (best of up to 26 draws) replaced by N(0,1) -> score3.
-             For the linear-softmax model the corrupted logits are z + sum_kept w (noise - x):
-             no corrupted signal is materialised.
+             drop_prob / block_size (best of up to 26 draws) replaced by N(0,1) -> score3
+             (`blocks.corrupted_logits`, for any network).
 
 Partitioning: every step is keyed by noun_id (grid points and features are sub-keys), so
-the sweep runs on the noun_id partitioning of the test cells; W is broadcast.
+the sweep runs on the noun_id partitioning of the test cells.
 """
 
 from __future__ import annotations
@@ -27,19 +26,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.functions.integrate import simpson_agg, simpson_terms
-from chronoscope.functions.rand import md5_key, normal, uniform_chunk
-from chronoscope.functions.ranking import spread
+from chronoscope.functions.joins import bounded_broadcast
+from chronoscope.functions.ranking import SORTED_ROWS, grouped_order_stats, interpolated, spread
 from chronoscope.operators.attribute import at, with_softmax
+from chronoscope.operators.blocks import corrupted_logits
+from chronoscope.operators.network import Network
 
 SEED = 42
 # fixed values: the corruption grid of the reference evaluation
 K_VALUES = [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95, 1.0]
 MASKS = ["top", "bottom"]
-MAX_ATTEMPTS = 26      # random block mask: draws until |p - drop_prob| <= .05, at most 26
-ENFORCE_TOL = 0.05
-GAMMA_FACTOR = 1.2
 
 
 def grid() -> list[tuple[int, str, float, float]]:
@@ -58,41 +55,40 @@ def _lits(vals) -> Column:
 def prepare_rel(rel: DataFrame) -> DataFrame:
     """(method, noun_id, feature, t, x, r); a missing method column becomes a constant so
     single-method inputs work the same way. NaN relevance becomes null: neither positive nor
-    negative, and in no mask. Relevance is kept to 12 digits of the sample's largest absolute value,
-    which is the noise of summing doubles in another order: the sign of a sum that cancels to zero
-    does not depend on the partitioning, and no scale of relevance is cut off."""
+    negative, and in no mask. Values are taken as they are."""
     m = F.col("method") if "method" in rel.columns else F.lit("-")
-    rows = rel.select(m.alias("method"), "noun_id", "feature", "t", "x", F.nanvl("r", F.lit(None).cast("double")).alias("r"))
-    top = F.max(F.abs("r")).over(Window.partitionBy("method", "noun_id"))
-    return rows.withColumn("_top", top).withColumn(
-        "r", F.when(F.col("_top") > 0, F.round(F.col("r") / F.col("_top"), 12) * F.col("_top")).otherwise(F.col("r"))).drop("_top")
-
-
-def rank_bounds(ranked: Column) -> Column:
-    """Per grid point, the sorted non-negative value that decides about keeping a cell."""
-    last = F.size(ranked) - 1
-    out = []
-    for _, mask, k, _ in grid():
-        below = F.floor(F.lit(round(k * 100)) * last / 100).cast("int")
-        out.append(F.element_at(ranked, (last - below if mask == "top" else below) + 1))
-    return F.array(*out)
+    return rel.select(m.alias("method"), "noun_id", "feature", "t", "x", F.nanvl("r", F.lit(None).cast("double")).alias("r"))
 
 
-def relevance_stats(rel: DataFrame) -> DataFrame:
-    """D6, D7 and the thresholds of all 22 grid points (D5) in one aggregate per sample."""
-    G = grid()
+def relevance_stats(rel: DataFrame, sorted_rows: int = SORTED_ROWS) -> DataFrame:
+    """D6, D7 and the thresholds of all 22 grid points (D5): sums by one aggregate per sample, and the
+    sorted values around every quantile by `grouped_order_stats` (no sample's values in one buffer). The
+    non-negative values are the last n_nonneg of all sorted ones, so one order serves them and the median.
+    `bound` has, per grid point, the sorted value that decides about keeping a cell."""
+    from chronoscope.session import materialize
+    keys = ["method", "noun_id"]
     nonneg = F.when(F.col("r") >= 0, F.col("r"))
-    return rel.groupBy("method", "noun_id").agg(
+    sums = rel.groupBy(*keys).agg(
         F.min("r").alias("min_Rx"), F.max("r").alias("max_Rx"), F.avg("r").alias("mean_Rx"),
-        F.percentile("r", F.lit(0.5)).alias("median_Rx"),
         F.coalesce(F.sum(F.when(F.col("r") < 0, F.col("r"))), F.lit(0.0)).alias("sum_rel_neg"),
         F.coalesce(F.sum(nonneg), F.lit(0.0)).alias("sum_rel_pos"),
-        F.count(nonneg).alias("n_nonneg"),
-        F.percentile(nonneg, _lits([q for _, _, _, q in G])).alias("thr"),
-        F.sort_array(F.collect_list(nonneg)).alias("_ranked"),
+        F.count(nonneg).alias("n_nonneg"), F.count("r").alias("n"),
         (F.max("t") + 1).alias("n_steps"), F.count_distinct("feature").alias("n_feat"),
-    ).where(F.col("n_nonneg") > 0).withColumn(  # B8: samples without non-negative relevance are skipped
-        "bound", rank_bounds(F.col("_ranked"))).drop("_ranked")
+    ).where(F.col("n_nonneg") > 0)  # B8: samples without non-negative relevance are skipped
+    below, last = F.col("n") - F.col("n_nonneg"), F.col("n_nonneg") - 1
+    thr = [below + F.lit(q) * last for _, _, _, q in grid()]
+    bound = []
+    for _, mask, k, _ in grid():
+        down = F.floor(F.lit(round(k * 100)) * last / 100)
+        bound.append(below + (last - down if mask == "top" else down))
+    median = (F.col("n") - 1) / 2
+    want = F.array_distinct(F.array(*[f(p).cast("bigint") for p in [*thr, median] for f in (F.floor, F.ceil)], *[b.cast("bigint") for b in bound]))
+    sums = materialize(sums.withColumn("want", want))
+    at = grouped_order_stats(rel, keys, "r", sums.select(*keys, "n", "want"), sorted_rows)
+    found = sums.join(at, keys)
+    return found.select(*keys, "min_Rx", "max_Rx", "mean_Rx", interpolated(F.col("at"), median).alias("median_Rx"), "sum_rel_neg", "sum_rel_pos", "n_nonneg",
+                        F.array(*[interpolated(F.col("at"), p) for p in thr]).alias("thr"), "n_steps", "n_feat",
+                        F.array(*[F.element_at("at", b.cast("bigint")) for b in bound]).alias("bound"))
 
 
 def kept_cells(rel: DataFrame, stats: DataFrame) -> DataFrame:
@@ -105,17 +101,16 @@ def kept_cells(rel: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def feature_metrics(kept: DataFrame, rel: DataFrame) -> DataFrame:
-    """Per (noun_id, g, feature): kept count, mean run length (E1), TIC."""
+    """Per (noun_id, g, feature): kept count, mean run length (E1), TIC (D10). Runs and Simpson terms come from
+    one ordered pass over the kept cells: a run starts where the step before is not kept."""
     k3 = ["method", "noun_id", "g", "feature"]
-    w = Window.partitionBy(*k3).orderBy("t")
-    runs = (kept.withColumn("_isl", F.col("t") - F.row_number().over(w))
-            .groupBy(*k3, "_isl").agg(F.count(F.lit(1)).alias("_len"))
-            .groupBy(*k3).agg(F.avg("_len").alias("mean_run"), F.sum("_len").alias("n_kept")))
-    num = simpson_terms(kept, k3, "t", "r").groupBy(*k3).agg(simpson_agg().alias("simp_kept"))
+    ordered = simpson_terms(kept, k3, "t", "r").withColumn("_step", F.col("t") - F.lag("t").over(Window.partitionBy(*k3).orderBy("t")))
+    starts = F.count_if(F.col("_step").isNull() | (F.col("_step") != 1))
+    num = ordered.groupBy(*k3).agg(simpson_agg().alias("simp_kept"), F.count(F.lit(1)).alias("n_kept"), starts.alias("n_runs"))
     den = simpson_terms(rel.where(F.col("r") >= 0), ["method", "noun_id", "feature"], "t", "r").groupBy(
         "method", "noun_id", "feature").agg(simpson_agg().alias("simp_all"))
-    return runs.join(num, k3).join(den, ["method", "noun_id", "feature"]).select(
-        "method", "noun_id", "g", "feature", "n_kept", "mean_run",
+    return num.join(den, ["method", "noun_id", "feature"]).select(
+        "method", "noun_id", "g", "feature", "n_kept", (F.col("n_kept") / F.col("n_runs")).alias("mean_run"),
         (F.col("simp_kept") / (F.col("simp_all") + F.lit(1e-12))).alias("tic"))
 
 
@@ -137,128 +132,27 @@ def sample_metrics(fm: DataFrame, stats: DataFrame) -> DataFrame:
         "n_feat", "n_steps")
 
 
-def _delta_logits(rows: DataFrame, W: DataFrame, keys: list[str], noise: Column) -> DataFrame:
-    """(keys..., d_arr): per group, sum over rows of w_c (noise - x) for every class c."""
-    d = rows.withColumn("_dx", noise - F.col("x")).join(bounded_broadcast(W), ["feature", "t"]).groupBy(*keys, "class_idx").agg(
-        F.sum(F.col("w") * F.col("_dx")).alias("_d"))
-    return d.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "_d"))), lambda s: s["_d"]).alias("d_arr"))
-
-
-def _draw_u(seed: int, a: Column) -> Column:
-    """Random-mask draw of a cell for attempt a: chunk a % 4 of md5(seed|rb|g|noun_id|feature|t|a // 4)."""
-    return uniform_chunk(md5_key(seed, F.lit("rb"), "g", "noun_id", "feature", "t", F.floor(a / 4).cast("bigint")),
-                         (a % 4).cast("int"))
-
-
-def _attempt_masks(cells: DataFrame, seed: int) -> DataFrame:
-    """cells (noun_id, g, a, feature, t, x, block_size, n_steps, gamma) -> adds _seed, _m (masked)."""
-    b = F.col("block_size")
-    c = cells.withColumn("_seed", _draw_u(seed, F.col("a")) < F.col("gamma"))
-    wf = Window.partitionBy("method", "noun_id", "g", "a", "feature").orderBy("t")
-    st_t = F.when(F.col("_seed"), F.col("t"))
-    prev = F.max(st_t).over(wf.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.min(st_t).over(wf.rowsBetween(0, Window.unboundedFollowing))
-    lo = F.floor(b / 2)
-    hi = b - 1 - lo
-    masked = F.coalesce((F.col("t") - prev) <= lo, F.lit(False)) | F.coalesce((nxt - F.col("t")) <= hi, F.lit(False))
-    return c.withColumn("_m", masked)
-
-
-def _attempt_diffs(cells: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """(method, noun_id, g, a, _diff): |drop_prob - masked fraction| per draw, from the seed rows only.
-
-    With seeds s_1 < s_2 < ... of a series, the dilated mask is the union of the intervals
-    [max(s_i - hi, 0), min(s_i + lo, T - 1)], whose ends are non-decreasing, so its size is
-    sum_i max(0, end_i - max(start_i, end_{i-1} + 1) + 1). Only seed rows (a gamma fraction of the
-    cells) are sorted. The extra output column of even widths counts when a seed lies in the last
-    b / 2 steps. Masked fraction = (cells + extra) / (F * T)."""
-    b = F.col("block_size")
-    T = F.col("n_steps")
-    lo = F.floor(b / 2)
-    hi = b - 1 - lo
-    sd = cells.where(F.col("_u") < F.col("gamma"))
-    # step t is masked when a seed lies in [t - lo, t + hi], so a seed s masks [s - hi, s + lo]
-    sd = sd.select("method", "noun_id", "g", "a", "feature", "t", "block_size", "n_steps",
-                   F.greatest(F.col("t") - hi, F.lit(0)).alias("_s"), F.least(F.col("t") + lo, T - 1).alias("_e"))
-    w = Window.partitionBy("method", "noun_id", "g", "a", "feature").orderBy("t")
-    prev_e = F.lag("_e", 1).over(w)
-    contrib = F.greatest(F.col("_e") - F.greatest(F.col("_s"), F.coalesce(prev_e + 1, F.lit(0))) + 1, F.lit(0))
-    per_feat = sd.withColumn("_c", contrib).groupBy("method", "noun_id", "g", "a", "feature").agg(
-        F.sum("_c").alias("_nm"), F.max("t").alias("_last"), F.first("block_size").alias("_b"), F.first("n_steps").alias("_T"))
-    extra = F.when((F.col("_b") % 2 == 0) & (F.col("_last") >= F.col("_T") - F.col("_b") / 2), 1).otherwise(0)
-    per_att = per_feat.groupBy("method", "noun_id", "g", "a").agg((F.sum("_nm") + F.sum(extra)).alias("_cnt"))
-    # draws without any seed mask nothing: every (pair, draw) of `pairs` appears, with 0 when absent
-    j = pairs.join(per_att, ["method", "noun_id", "g", "a"], "left").fillna(0, subset=["_cnt"])
-    return j.select("method", "noun_id", "g", "a",
-                    F.abs(F.col("drop_prob") - F.col("_cnt") / (F.col("n_feat") * F.col("n_steps"))).alias("_diff"))
-
-
-def random_block_mask(rel: DataFrame, sm: DataFrame, seed: int = SEED) -> DataFrame:
-    """(noun_id, g, feature, t, x) of the cells masked by the random block draw.
-
-    Seed mask Bernoulli(gamma) per (attempt, feature, t), gamma = clip(p / b * T / (T - b + 1) * 1.2, 0, 1),
-    dilated by a max-pool of width b (b // 2 steps before, b - 1 - b // 2 after: the nearest seed
-    before / after each step decides). Masked fraction counts the extra column of even b and
-    divides by F*T. Chosen draw: the first with |p - fraction| <= .05, else the closest (first on ties).
-
-    Exact two-phase search: attempt 0 for every (sample, grid point); attempts 1..25 only for
-    the pairs whose attempt 0 missed the tolerance; then the chosen attempt is re-drawn for
-    its masked cells (draws are md5-keyed, so a re-draw is identical).
-    """
-    p = F.col("drop_prob")
-    b = F.col("block_size")
-    T = F.col("n_steps")
-    gamma = F.least(F.greatest(p / b * (T / (T - b + 1)) * F.lit(GAMMA_FACTOR), F.lit(0.0)), F.lit(1.0))
-    par = sm.select("method", "noun_id", "g", "drop_prob", "block_size", "n_steps", "n_feat", gamma.alias("gamma"))
-    base = spread(rel.select("method", "noun_id", "feature", "t", "x").join(par, ["method", "noun_id"]), "noun_id")
-    pkeys = par.select("method", "noun_id", "g", "drop_prob", "n_steps", "n_feat")
-    first = base.withColumn("a", F.lit(0)).withColumn("_u", _draw_u(seed, F.col("a")))
-    d0 = _attempt_diffs(first, pkeys.withColumn("a", F.lit(0)), seed)
-    miss = d0.where(F.col("_diff") > ENFORCE_TOL).select("method", "noun_id", "g")
-    # draws 1..25: one md5 per (cell, block of 4 draws), exploded into its 4 chunks
-    n_blocks = (MAX_ATTEMPTS + 3) // 4
-    slim = base.select("method", "noun_id", "g", "feature", "t", "block_size", "n_steps", "gamma")
-    rest = (slim.join(miss, ["method", "noun_id", "g"], "left_semi")
-            .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-            .withColumn("_h", md5_key(seed, F.lit("rb"), "g", "noun_id", "feature", "t", "_blk"))
-            .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(3))))
-            .withColumn("a", F.col("_blk") * 4 + F.col("_chunk"))
-            .where((F.col("a") >= 1) & (F.col("a") < MAX_ATTEMPTS))
-            .withColumn("_u", uniform_chunk(F.col("_h"), F.col("_chunk"))))
-    later = F.explode(F.sequence(F.lit(1), F.lit(MAX_ATTEMPTS - 1)))
-    rest_pairs = pkeys.join(miss, ["method", "noun_id", "g"], "left_semi").withColumn("a", later)
-    diffs = d0.unionByName(_attempt_diffs(rest, rest_pairs, seed))
-    ok_first = F.min(F.when(F.col("_diff") <= ENFORCE_TOL, F.col("a")))
-    best = F.min_by("a", F.struct(F.col("_diff"), F.col("a")))
-    chosen = diffs.groupBy("method", "noun_id", "g").agg(F.coalesce(ok_first, best).alias("a"))
-    final = _attempt_masks(base.join(chosen, ["method", "noun_id", "g"]), seed)
-    return final.where(F.col("_m")).select("method", "noun_id", "g", "feature", "t", "x")
-
-
-def corruption_results(rel: DataFrame, W: DataFrame, state: DataFrame, labelled: DataFrame,
+def corruption_results(rel: DataFrame, model: Network, state: DataFrame, labelled: DataFrame,
                        encoder: DataFrame, expected: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per (noun_id, g) with the reference's result columns (K2 for every grid point)."""
-    from chronoscope.session import materialize
+    """One row per (noun_id, g) with the reference's result columns (K2 for every grid point), materialised.
+    C2: the rows of metrics, of scores and of the result are counted by the jobs that make them; a sample that
+    is in one and not in the others is an error."""
+    from chronoscope.session import materialize, materialize_counted
     rel = prepare_rel(rel)
     # intermediates read by several consumers are checkpointed once (bounded: per sample x grid point)
     stats = materialize(relevance_stats(rel))
-    kept = materialize(kept_cells(rel, stats))
-    sm = materialize(sample_metrics(feature_metrics(kept, rel), stats))
-    noise2 = normal(seed, F.lit("corrupt"), "g", "noun_id", "feature", "t")
+    kept = kept_cells(rel, stats)
+    sm, n_metrics = materialize_counted(sample_metrics(feature_metrics(kept, rel), stats), "metrics")
     keys = ["method", "noun_id", "g"]
-    d2 = _delta_logits(kept, W, keys, noise2).withColumnRenamed("d_arr", "d2")
-    masked = materialize(random_block_mask(rel, sm, seed))
-    noise3 = normal(seed, F.lit("random"), "g", "noun_id", "feature", "t")
-    d3 = _delta_logits(masked, W, keys, noise3).withColumnRenamed("d_arr", "d3")
+    z, n_scores = materialize_counted(corrupted_logits(rel, stats, sm, model, len(K_VALUES), seed), "scores")
     lab = labelled.select("noun_id", F.col("class_idx").alias("label"))
     cls = bounded_broadcast(encoder.select(F.col("class_idx").alias("pred"), F.col("target").alias("class_name")))
     ex = expected if "method" in expected.columns else expected.withColumn("method", F.lit("-"))
-    j = (sm.join(d2, keys).join(d3, keys, "left")
+    j = (sm.join(z, keys)
          .join(state.select("noun_id", "pred", "s1", "z_arr", "p_arr"), "noun_id")
          .join(stats.drop("thr", "bound", "n_steps", "n_feat", "n_nonneg"), ["method", "noun_id"]).join(lab, "noun_id")
          .join(ex, ["method", "noun_id"]).join(cls, "pred"))
-    z3 = F.when(F.col("d3").isNull(), F.col("z_arr")).otherwise(F.zip_with("z_arr", "d3", lambda a, d: a + d))
-    j = with_softmax(with_softmax(j, F.zip_with("z_arr", "d2", lambda a, d: a + d), "_p2"), z3, "_p3")
+    j = with_softmax(with_softmax(j, F.col("z2"), "_p2"), F.col("z3"), "_p3")
 
     def argmax(a):
         return F.array_position(a, F.array_max(a)) - 1
@@ -267,7 +161,7 @@ def corruption_results(rel: DataFrame, W: DataFrame, state: DataFrame, labelled:
     gi = F.col("g")
     n_k = len(K_VALUES)
     k_col = F.element_at(_lits(K_VALUES), (gi % n_k + 1).cast("int"))
-    return j.select(
+    out = j.select(
         "method", F.when(gi < n_k, F.lit("top")).otherwise(F.lit("bottom")).alias("mask"), k_col.alias("k"), "noun_id", "class_name",
         "min_Rx", "max_Rx", "mean_Rx", "median_Rx", "mean_n_pts_removed", "mean_ratio_pts_removed", "mean_tic",
         F.col("expected_value").alias("sample_expected_values"), "sum_rel_neg", "sum_rel_pos",
@@ -279,6 +173,10 @@ def corruption_results(rel: DataFrame, W: DataFrame, state: DataFrame, labelled:
         ((F.col("s1") - s2) / F.col("s1")).alias("metric_score"),
         ((F.col("s1") - s3) / F.col("s1")).alias("metric_score_random"),
         "block_size", "drop_prob")
+    out, n_rows = materialize_counted(out, "results")
+    if not n_metrics == n_scores == n_rows:
+        raise ValueError(f"{n_metrics} rows of metrics, {n_scores} of scores and {n_rows} of both with the samples' state and labels")
+    return out
 
 
 def add_metric_normalised(res: DataFrame, keys=("method",)) -> DataFrame:

@@ -73,41 +73,14 @@ def evaluate(p: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def scores_in_batches(cells: DataFrame, W: DataFrame, B: DataFrame) -> DataFrame:
-    """The model as a scoring function over Arrow batches (mapInPandas).
-
-    Each sample's cells are gathered into one vector (bounded by F*T), the weight matrix
-    (bounded by C*F*T) ships once as a broadcast variable, and every Arrow batch is scored
-    with one matrix product. Output (noun_id, class_idx, z, p) like `scores`."""
-    import numpy as np
-    import pandas as pd
-
-    spark = cells.sparkSession
-    wp = W.toPandas().sort_values(["class_idx", "feature", "t"])
-    keys = list(wp.loc[wp["class_idx"] == wp["class_idx"].min(), ["feature", "t"]].itertuples(index=False, name=None))
-    n_cls = wp["class_idx"].nunique()
-    mat = wp["w"].to_numpy().reshape(n_cls, len(keys))
-    bias = B.toPandas().sort_values("class_idx")["b"].to_numpy()
-    bc = spark.sparkContext.broadcast((mat, bias))
-    order = {k: i for i, k in enumerate(keys)}
-    pos = spark.createDataFrame([(int(f), int(t), i) for (f, t), i in order.items()], "feature long, t long, pos int")
-    vec = cells.join(bounded_broadcast(pos), ["feature", "t"]).groupBy("noun_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("xv"))
-
-    def score(batches):
-        m, b0 = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["xv"].to_numpy())
-            z = X @ m.T + b0
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            p = e / e.sum(axis=1, keepdims=True)
-            n, c = z.shape
-            yield pd.DataFrame({"noun_id": np.repeat(pdf["noun_id"].to_numpy(), c),
-                                "class_idx": np.tile(np.arange(c, dtype=np.int64), n),
-                                "z": z.ravel(), "p": p.ravel()})
-
-    return vec.mapInPandas(score, "noun_id long, class_idx long, z double, p double")
+    """The model as a scoring function over Arrow batches, one matrix product for each.
+
+    Each sample's cells are gathered into one row (bounded by F*T); the weights (limited by
+    `network.MODEL_CELLS`) ship once as a broadcast variable. Output (noun_id, class_idx, z, p) like `scores`."""
+    from chronoscope.operators.network import Network, states
+    scored = states(cells, Network.linear(W, B))
+    return scored.select("noun_id", F.posexplode(F.arrays_zip("z_arr", "p_arr")).alias("class_idx", "c")).select(
+        "noun_id", F.col("class_idx").cast("bigint"), F.col("c.z_arr").alias("z"), F.col("c.p_arr").alias("p"))
 
 
 # --- A15: prediction table with one score column per class --------------------------------------------------

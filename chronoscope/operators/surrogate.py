@@ -1,10 +1,9 @@
 """Surrogate-model attributions (J14 KernelSHAP, J15 LIME) and Spark ML classifiers.
 
-KernelSHAP and LIME fit a weighted linear model per sample on perturbed copies of it; the fit is a small
-dense solve, so each sample (its F*T cells, bounded) is one pandas group in `applyInPandas`, with the
-linear-softmax model shipped once as a broadcast variable. The coalitions depend on the seed and the
-number of cells D alone: all samples share them, and the number of draws grows with D, so the fit never
-has fewer draws than unknowns.
+KernelSHAP and LIME fit a weighted linear model per sample on perturbed copies of it (`fitted_values`, run
+over batches of samples by `network.attribute`). The coalitions depend on the seed and the number of cells D
+alone: all samples share them, and the number of draws grows with D, so the fit never has fewer draws than
+unknowns. They are kept as one byte a cell and worked on in blocks.
 
 KernelSHAP draws coalition sizes evenly and coalitions evenly within a size, in complementary pairs. The
 draw carries the factor 1 / C(D, k) of the Shapley kernel already, so the weight left is
@@ -18,7 +17,6 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +25,8 @@ LEAST_DRAWS = 1024
 DRAWS_PER_CELL = 16
 LIME_KERNEL_WIDTH = 1.0
 LIME_RIDGE = 0.01
-MODEL_ROWS = 5_000_000
+HIDDEN = 8
+BLOCK_CELLS = 1 << 22
 
 
 def coalitions(n_cells: int, n_draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,75 +57,84 @@ def kernel_values(masks: np.ndarray, weights: np.ndarray, y: np.ndarray, v0: flo
     return np.append(phi, total - phi.sum())
 
 
-def _model_arrays(W: DataFrame, B: DataFrame):
-    """(keys (feature, t) list, C x D weight matrix, bias) collected once: the model is bounded by C*F*T."""
-    if W.count() > MODEL_ROWS:
-        raise ValueError("the model is too large to be shipped to the workers")
-    w = W.toPandas().sort_values(["class_idx", "feature", "t"])
-    keys = list(w.loc[w["class_idx"] == w["class_idx"].min(), ["feature", "t"]].itertuples(index=False, name=None))
-    C = w["class_idx"].nunique()
-    mat = w["w"].to_numpy().reshape(C, len(keys))
-    b = B.toPandas().sort_values("class_idx")["b"].to_numpy()
-    return keys, mat, b
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
-def _softmax(z):
-    z = z - z.max(axis=-1, keepdims=True)
-    e = np.exp(z)
-    return e / e.sum(axis=-1, keepdims=True)
+_SHARED: dict = {}  # coalitions and what depends on them alone, made once per worker
 
 
-def _surrogate(cells: DataFrame, state: DataFrame, base: DataFrame, W: DataFrame, B: DataFrame, kind: str,
-               n_samples: int | None, seed: int) -> DataFrame:
-    spark = cells.sparkSession
-    keys, mat, bias = _model_arrays(W, B)
-    pos = {k: i for i, k in enumerate(keys)}
-    d = len(keys)
-    draws = n_samples or max(LEAST_DRAWS, DRAWS_PER_CELL * d)
-    xb = np.zeros(d)
-    for r in base.toPandas().itertuples(index=False):  # one row per cell of the model
-        xb[pos[(r.feature, r.t)]] = r.xb
-    bc = spark.sparkContext.broadcast((pos, mat, bias, xb))
-    data = cells.join(state.select("noun_id", "pred"), "noun_id")
-    shared: dict = {}  # the masks, made once per worker
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos_, m, b0, xb_ = bc.value
-        if not shared:
-            if kind == "kernelshap":
-                shared["masks"], shared["weights"] = coalitions(d, draws, seed)
-            else:
-                shared["masks"] = (np.random.default_rng(seed).random((draws, d)) < 0.5).astype(float)
-        masks, c = shared["masks"], int(pdf["pred"].iloc[0])
-        x = xb_.copy()
-        idx = np.array([pos_[(f, t)] for f, t in zip(pdf["feature"], pdf["t"])])
-        x[idx] = pdf["x"].to_numpy()
-
-        def value(inputs):
-            return _softmax(inputs @ m.T + b0)[:, c]
-
-        inputs = xb_ + masks * (x - xb_)
-        y = value(inputs)
-        if kind == "kernelshap":
-            v0, v1 = value(np.stack([xb_, x]))
-            r = kernel_values(masks, shared["weights"], y, v0, v1)
+def shared_coalitions(n_cells: int, n_draws: int, seed: int, kind: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """(masks of one byte a cell, kernel weights, inverse of the normal matrix): all samples share them, so
+    the dense solve of KernelSHAP is done once. The normal matrix is summed over blocks of coalitions."""
+    key = (n_cells, n_draws, seed, kind)
+    if key not in _SHARED:
+        _SHARED.clear()
+        if kind == "lime":
+            _SHARED[key] = ((np.random.default_rng(seed).random((n_draws, n_cells)) < 0.5), None, None)
+        elif n_cells == 1:
+            _SHARED[key] = (np.zeros((0, 1), bool), np.zeros(0), None)
         else:
-            cos = (inputs @ x) / (np.linalg.norm(inputs, axis=1) * np.linalg.norm(x) + 1e-12)
-            w = np.exp(-((1 - cos) ** 2) / (LIME_KERNEL_WIDTH ** 2))
-            a = np.hstack([np.ones((len(masks), 1)), masks])
-            aw = a * w[:, None]
-            r = np.linalg.solve(aw.T @ a + LIME_RIDGE * np.eye(d + 1), aw.T @ y)[1:]
-        return pd.DataFrame({"noun_id": pdf["noun_id"], "feature": pdf["feature"], "t": pdf["t"], "x": pdf["x"], "r": r[idx]})
-
-    return data.groupBy("noun_id").applyInPandas(fn, "noun_id long, feature long, t long, x double, r double")
+            masks, weights = coalitions(n_cells, n_draws, seed)
+            masks = masks.astype(bool)
+            normal = np.zeros((n_cells - 1, n_cells - 1))
+            for at in blocks(masks):
+                a = masks[at, :-1].astype(float) - masks[at, -1:]
+                normal += (a * weights[at, None]).T @ a
+            _SHARED[key] = (masks, weights, np.linalg.pinv(normal, hermitian=True))
+    return _SHARED[key]
+
+
+def blocks(masks: np.ndarray):
+    step = max(1, BLOCK_CELLS // max(1, masks.shape[1]))
+    return [slice(i, i + step) for i in range(0, len(masks), step)]
+
+
+def fitted_values(net, x: np.ndarray, xb: np.ndarray, target: int, kind: str, n_samples: int | None, seed: int) -> np.ndarray:
+    """The coefficients of the weighted linear fit for one sample and baseline. A coalition keeps the cells
+    of x where its mask is set and those of xb elsewhere; only the first layer's sums of it are formed."""
+    d = len(x)
+    masks, weights, inverse = shared_coalitions(d, n_samples or max(LEAST_DRAWS, DRAWS_PER_CELL * d), seed, kind)
+    w, b = net.layers[0]
+    own, rest = w * (x - xb), w @ xb + b
+
+    def values(m):
+        first = m @ own.T + rest
+        return softmax(net.onward(first, first)[1][-1])[:, target]
+
+    if kind == "kernelshap":
+        v0, v1 = values(np.array([np.zeros(d), np.ones(d)]))
+        if d == 1:
+            return np.array([v1 - v0])
+        right = np.zeros(d - 1)
+        for at in blocks(masks):
+            m = masks[at].astype(float)
+            right += ((m[:, :-1] - m[:, -1:]) * weights[at, None]).T @ (values(m) - v0 - m[:, -1] * (v1 - v0))
+        phi = inverse @ right
+        return np.append(phi, v1 - v0 - phi.sum())
+    # LIME: kernel of the cosine distance to x, ridge regression with an intercept
+    normal, right = LIME_RIDGE * np.eye(d + 1), np.zeros(d + 1)
+    size = np.linalg.norm(x)
+    for at in blocks(masks):
+        m = masks[at].astype(float)
+        norm = np.sqrt(np.maximum(xb @ xb + m @ (x * x - xb * xb), 0.0))
+        cos = (xb @ x + m @ ((x - xb) * x)) / (norm * size + 1e-12)
+        a = np.hstack([np.ones((len(m), 1)), m])
+        aw = a * np.exp(-((1 - cos) ** 2) / (LIME_KERNEL_WIDTH ** 2))[:, None]
+        normal += aw.T @ a
+        right += aw.T @ values(m)
+    return np.linalg.solve(normal, right)[1:]
 
 
 def kernelshap(cells, W, B, state, base, n_samples: int | None = None, seed: int = SEED) -> DataFrame:
-    return _surrogate(cells, state, base, W, B, "kernelshap", n_samples, seed)
+    from chronoscope.operators.network import attribute
+    return attribute("kernelshap", cells, (W, B), base, state, n_samples=n_samples, seed=seed)
 
 
 def lime(cells, W, B, state, base, n_samples: int | None = None, seed: int = SEED) -> DataFrame:
-    return _surrogate(cells, state, base, W, B, "lime", n_samples, seed)
+    from chronoscope.operators.network import attribute
+    return attribute("lime", cells, (W, B), base, state, n_samples=n_samples, seed=seed)
 
 
 # --- J1b / J1c: Spark ML classifiers ------------------------------------------------------------------
@@ -138,8 +146,8 @@ def _vectors(cells: DataFrame) -> DataFrame:
     return arr.select("noun_id", array_to_vector("_a").alias("features"))
 
 
-def fit_score_ml(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame, test_ids: DataFrame, kind: str = "logistic") -> DataFrame:
-    """Fit on the train split, score the test split: (noun_id, pred, p_pred)."""
+def fit_ml(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame, kind: str = "logistic"):
+    """(fitted Spark ML classifier, labelled vectors of all samples)."""
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.functions import vector_to_array
     vec = _vectors(cells).join(labelled.select("noun_id", F.col("class_idx").cast("double").alias("label")), "noun_id")
@@ -149,9 +157,59 @@ def fit_score_ml(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame, te
     else:
         n_in = train.select(F.size(vector_to_array("features"))).first()[0]
         n_cls = labelled.select(F.max("class_idx")).first()[0] + 1
-        est = MultilayerPerceptronClassifier(layers=[n_in, 8, n_cls], maxIter=100, seed=SEED)
-    model = est.fit(train)
+        est = MultilayerPerceptronClassifier(layers=[n_in, HIDDEN, n_cls], maxIter=100, seed=SEED)
+    return est.fit(train), vec
+
+
+def fit_score_ml(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame, test_ids: DataFrame, kind: str = "logistic") -> DataFrame:
+    """Fit on the train split, score the test split: (noun_id, pred, p_pred)."""
+    from pyspark.ml.functions import vector_to_array
+    model, vec = fit_ml(cells, labelled, train_ids, kind)
     out = model.transform(vec.join(test_ids, "noun_id", "left_semi"))
     prob = vector_to_array("probability")
     return out.select("noun_id", F.col("prediction").cast("bigint").alias("pred"),
                       F.array_max(prob).alias("p_pred"), F.col("label").cast("bigint").alias("label"))
+
+
+def fit_network(cells: DataFrame, labelled: DataFrame, train_ids: DataFrame):
+    """A perceptron with one hidden layer, fitted on the train split, as a `Network`."""
+    from chronoscope.operators.network import Network
+    model, _ = fit_ml(cells, labelled, train_ids, "mlp")
+    keys = sorted((r["feature"], r["t"]) for r in cells.select("feature", "t").distinct().collect())  # the model's inputs
+    return Network.perceptron(model, [f for f, _ in keys], [t for _, t in keys])
+
+
+# --- J4: model selection by cross-validation ---------------------------------------------------------------
+
+N_FOLDS = 3
+GRID_REG = (0.001, 0.05, 0.5)
+GRID_NET = (0.0, 0.5)
+
+
+def select_classifier(cells: DataFrame, labelled: DataFrame, fit_ids: DataFrame, test_ids: DataFrame, path: str, seed: int = SEED) -> DataFrame:
+    """(cand, regParam, elasticNetParam, val_accuracy, best_so_far, chosen, test_accuracy): logistic models of a
+    grid, judged by the mean accuracy over N_FOLDS folds. Folds are md5 draws of the id, so they do not depend
+    on the partitioning. The best model, fitted on all folds, is stored at `path` (shared storage), loaded
+    again and alone scores the test samples; the first of equally good candidates counts."""
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from chronoscope.functions.rand import uniform_int
+
+    spark = cells.sparkSession
+    vec = _vectors(cells).join(labelled.select("noun_id", F.col("class_idx").cast("double").alias("label")), "noun_id")
+    fold = F.pmod(uniform_int(seed, F.lit("fold"), "noun_id"), F.lit(N_FOLDS)).cast("int")
+    train = vec.join(fit_ids, "noun_id", "left_semi").withColumn("fold", fold)
+    est = LogisticRegression(maxIter=30)
+    grid = ParamGridBuilder().addGrid(est.regParam, GRID_REG).addGrid(est.elasticNetParam, GRID_NET).build()
+    judge = MulticlassClassificationEvaluator(metricName="accuracy")
+    found = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=N_FOLDS, foldCol="fold", parallelism=2).fit(train)
+    best = max(range(len(grid)), key=lambda i: (found.avgMetrics[i], -i))
+    found.bestModel.write().overwrite().save(path)
+    test = judge.evaluate(LogisticRegressionModel.load(path).transform(vec.join(test_ids, "noun_id", "left_semi")))
+    rows, so_far = [], 0.0
+    for i, (params, metric) in enumerate(zip(grid, found.avgMetrics)):  # one row per candidate
+        so_far = max(so_far, metric)
+        rows.append((i, params[est.regParam], params[est.elasticNetParam], float(metric), float(so_far), i == best, float(test) if i == best else None))
+    return spark.createDataFrame(rows, "cand int, regParam double, elasticNetParam double, val_accuracy double, best_so_far double, chosen boolean, test_accuracy double")

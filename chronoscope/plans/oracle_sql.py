@@ -343,8 +343,7 @@ def multi_rel(methods) -> str:
 
 SWEEP = f"""
 kgrid AS (SELECT * FROM (VALUES {grid_values()}) v(g, mask, k, q)),
-relr AS (SELECT method, noun_id, feature, t, x, CASE WHEN top > 0 THEN round(r / top, 12) * top ELSE r END AS r
-         FROM (SELECT *, max(abs(r)) OVER (PARTITION BY method, noun_id) AS top FROM rel)),
+relr AS (SELECT method, noun_id, feature, t, x, r FROM rel),
 stats AS (
   SELECT method, noun_id, min(r) AS min_Rx, max(r) AS max_Rx, avg(r) AS mean_Rx, quantile_cont(r, 0.5) AS median_Rx,
          coalesce(sum(CASE WHEN r < 0 THEN r END), 0.0) AS sum_rel_neg, coalesce(sum(CASE WHEN r >= 0 THEN r END), 0.0) AS sum_rel_pos,
@@ -567,3 +566,74 @@ def resize_sql(n: int, crop: str) -> str:
         ub = norm(f"L - floor((L - {n}) / 2)")
     return f"""SELECT noun_id, feature, CAST(t - lb AS BIGINT) AS t, round(x, 6) AS x FROM (
   SELECT *, {lb} AS lb, {ub} AS ub FROM (SELECT *, max(t) OVER (PARTITION BY noun_id) + 1 AS L FROM cells)) WHERE t >= lb AND t < ub"""
+
+
+# --- I11 / I12: block shuffle and RandAugment, with the draws in SQL --------------------------------------------
+
+class Raw(str):
+    """An SQL expression where a number may stand."""
+
+    def __repr__(self) -> str:
+        return str(self)
+
+
+def shuffle_walk(name: str, src: str, p: str, b: int = 7) -> str:
+    """Recursive CTE `name`(feature, nT, step, src): the order of steps after the blocks of 0 .. step - 1."""
+    u_seed, u_perm = u_sql("'shuffle_block'", "feature", "step"), u_sql("'shuffle_perm'", "feature", "step", "j")
+    return f"""{name} AS (
+  SELECT feature, nT, CAST(0 AS BIGINT) AS step, range(nT) AS src
+  FROM (SELECT DISTINCT feature, nT FROM (SELECT feature, max(t) OVER (PARTITION BY noun_id, feature) + 1 AS nT FROM {src}))
+  UNION ALL
+  SELECT feature, nT, step + 1,
+         CASE WHEN {u_seed} < {p} / {b} * (nT / (nT - {b} + 1)) * 1.1
+              THEN src[1:step] || list_transform(list_sort(list_transform(range(least({b}, nT - step)), lambda j: {{'k': {u_perm}, 'j': j}})), lambda s: src[step + s.j + 1]) || src[step + {b} + 1:]
+              ELSE src END
+  FROM {name} WHERE step < nT)"""
+
+
+def shuffled(name: str, src: str) -> str:
+    """SELECT of `src` with its steps in the final order of the walk `name`."""
+    return f"""(SELECT c.noun_id, c.feature, m.t, c.x FROM (SELECT feature, nT, unnest(src) AS s, generate_subscripts(src, 1) - 1 AS t FROM {name} WHERE step = nT) m
+   JOIN (SELECT *, max(t) OVER (PARTITION BY noun_id, feature) + 1 AS nT FROM {src}) c ON c.feature = m.feature AND c.nT = m.nT AND c.t = m.s)"""
+
+
+# fixed values: operations in order, with the ends of their magnitude grid (none: no magnitude)
+AUGMENT_SPACE = [("Identity", None, None), ("Jitter", 0.0, 0.8), ("Scaling", 0.0, 0.5), ("Flip_Y", None, None), ("Window_slice", 1.0, 0.4),
+                 ("Drop_block", 0.0, 0.8), ("Random_block", 0.0, 0.8), ("Permute_block", 0.0, 0.8), ("Shuffle_block", 0.0, 0.8)]
+
+
+def augment_stage(src: str, out: str, epoch: int, nth: int = 0, ops: tuple[str, ...] | None = None, magnitude: int = 3) -> str:
+    """CTEs that apply the operation that SQL draws for (epoch, nth) to `src` and end in `out`."""
+    space = [o for o in AUGMENT_SPACE if ops is None or o[0] in ops]
+    key = ["'randaugment'", str(epoch)] + ([str(nth)] if nth else [])
+    bound = int(epoch / 25 * magnitude) if epoch < 15 else magnitude
+    rows = ", ".join(f"({i}, '{n}', {lo or 0.0}, {hi or 0.0})" for i, (n, lo, hi) in enumerate(space))
+    m = Raw(f"(SELECT m FROM {out}_op)")
+    normal3, flat = normal_sql("'jitter'", "s.noun_id", "s.feature", "s.t"), ("noun_id", "feature", "t")
+
+    def mask(kind, factor):
+        return f"{out}_{kind} AS " + block_mask_sql(src, m, 7, factor, kind)
+
+    on = " AND ".join(f"%s.{c} = s.{c}" for c in flat)
+    return f"""{out}_op AS (SELECT name, lo + {u_sql(*key, "'mag'")} * (hi - lo) * {bound} / 10.0 AS m FROM (VALUES {rows}) v(i, name, lo, hi) WHERE i = CAST(floor({u_sql(*key, "'op'")} * {len(space)}) AS INTEGER)),
+{mask("drop_block", 1.1)}, {mask("random_block", 1.1)}, {mask("permute_block", 1.2)},
+{out}_pm AS (SELECT noun_id, feature, row_number() OVER (PARTITION BY noun_id, feature ORDER BY {u_sql("'permute'", 'noun_id', 'feature', 't')}, t, x) - 1 AS t, x FROM {src}),
+{out}_sl AS (SELECT i.noun_id, i.feature, i.t, c.x FROM (
+    SELECT noun_id, feature, t, CASE WHEN L >= nT THEN t ELSE CAST(floor({u_sql("'window_slice'")} * (nT - L)) AS BIGINT) + CAST(floor(t * L / nT) AS BIGINT) END AS f
+    FROM (SELECT noun_id, feature, nT, CAST(ceil(0.8 * nT) AS BIGINT) AS L, unnest(range(nT)) AS t FROM (SELECT noun_id, feature, max(t) + 1 AS nT FROM {src} GROUP BY 1, 2))) i
+    JOIN {src} c ON c.noun_id = i.noun_id AND c.feature = i.feature AND c.t = i.f),
+{shuffle_walk(out + "_walk", src, m)},
+{out}_sh AS {shuffled(out + "_walk", src)},
+{out} AS (SELECT s.noun_id, s.feature, s.t, CASE (SELECT name FROM {out}_op)
+    WHEN 'Identity' THEN s.x
+    WHEN 'Jitter' THEN s.x + {normal3} * s.sd * {m}
+    WHEN 'Scaling' THEN s.x * (1.0 + {m} * {normal_sql("'scaling'", 's.noun_id', 's.feature')})
+    WHEN 'Flip_Y' THEN s.x * CASE WHEN {u_sql("'flip'", 's.noun_id', 's.feature')} < 0.5 THEN -1.0 ELSE 1.0 END
+    WHEN 'Window_slice' THEN sl.x
+    WHEN 'Drop_block' THEN CASE WHEN db.m THEN 0.0 ELSE s.x END
+    WHEN 'Random_block' THEN CASE WHEN rb.m THEN {normal_sql("'random_block_n'", 's.noun_id', 's.feature', 's.t')} ELSE s.x END
+    WHEN 'Permute_block' THEN CASE WHEN pb.m THEN pm.x ELSE s.x END
+    WHEN 'Shuffle_block' THEN sh.x END AS x
+  FROM (SELECT *, stddev_samp(x) OVER (PARTITION BY noun_id, feature) AS sd FROM {src}) s
+  JOIN {out}_sl sl ON {on % (("sl",) * 3)} JOIN {out}_drop_block db ON {on % (("db",) * 3)} JOIN {out}_random_block rb ON {on % (("rb",) * 3)}
+  JOIN {out}_permute_block pb ON {on % (("pb",) * 3)} JOIN {out}_pm pm ON {on % (("pm",) * 3)} JOIN {out}_sh sh ON {on % (("sh",) * 3)})"""

@@ -8,10 +8,12 @@ value hashes compare equal across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoscope.functions.rand import sort_key60
 from chronoscope.operators import model as M
 from chronoscope.operators import prepare as P
 from chronoscope.plans import oracle_sql as O
@@ -126,6 +128,52 @@ def q_onehot_target(spark, sf_dir):
         "noun_id", F.col("k").alias("class_idx"), F.when(F.col("k") == F.col("_lab"), 1).otherwise(0).cast("int").alias("onehot"))
 
 
+# ---- K0: whole samples through one fitted transform ---------------------------------------
+
+from chronoscope.operators import rows as R  # noqa: E402
+from chronoscope.sources import signals as SG_SRC  # noqa: E402
+
+_KEPT_TYPES = ("click", "purchase", "view")
+
+
+@register("prepare_rows", O.prelude("emb", O.SPLIT, O.SCALER, O.ENCODER) + """
+SELECT s.noun_id, l.class_idx, s.feature, s.t, round(s.x, 6) AS x FROM std_cells s JOIN labelled l ON l.noun_id = s.noun_id""")
+def q_prepare_rows(spark, sf_dir):
+    ready = prepared(spark, sf_dir, "emb").ready
+    return R.prepared_cells(ready, ("noun_id", "encoded")).select("noun_id", F.col("encoded").alias("class_idx"), "feature", "t", r6("x").alias("x"))
+
+
+def _ragged(spark, sf_dir):
+    """Signals of unequal length: the transform fitted on the training users, and all users' rows."""
+    rows = SG_SRC.rows_from_events(spark, sf_dir)
+    train = rows.join(prepared(spark, sf_dir, "evt").train_ids, "noun_id", "left_semi")
+    least = rows.select(F.col("noun_id"), F.size("signal").alias("signal_length")).select(P.min_length_quantile_of("signal_length", 0.75)).first()[0]
+    asked = R.RowTransform(min_length=least, length=least, cropping="both", keep=_KEPT_TYPES, encoding="onehot")
+    return rows, R.fit(train, asked)
+
+
+@register("prepare_rows_ragged", O.prelude("evt", O.SPLIT) + f"""
+, span AS (SELECT noun_id, min(step) AS d0, max(step) AS d1 FROM binned GROUP BY noun_id),
+least AS (SELECT CAST(floor(quantile_cont(d1 - d0 + 1, 0.25)) AS BIGINT) AS n FROM span),
+long AS (SELECT noun_id, d0, d1, d1 - d0 + 1 AS len FROM span, least WHERE d1 - d0 + 1 >= least.n),
+own AS (SELECT c.noun_id, c.feature, c.t - l.d0 AS t, c.x, l.len FROM cells c JOIN long l ON l.noun_id = c.noun_id AND c.t BETWEEN l.d0 AND l.d1),
+sc AS (SELECT feature, avg(x) AS mean, CASE WHEN count(x) > 1 THEN stddev_samp(x) ELSE 0.0 END AS std
+       FROM own WHERE noun_id IN (SELECT noun_id FROM train_ids) GROUP BY feature),
+lab AS (SELECT l.noun_id, coalesce(string_agg(b.channel, ',' ORDER BY b.channel), '0') AS target
+        FROM long l LEFT JOIN binned b ON b.noun_id = l.noun_id AND b.step = l.d1 AND b.channel IN {_KEPT_TYPES} GROUP BY l.noun_id),
+enc AS (SELECT target, row_number() OVER (ORDER BY target) - 1 AS class_idx
+        FROM (SELECT DISTINCT target FROM lab WHERE noun_id IN (SELECT noun_id FROM train_ids)))
+SELECT o.noun_id, lab.target, CAST(enc.class_idx AS BIGINT) AS class_idx, o.feature, CAST(o.t - ceil((o.len - least.n) / 2.0) AS BIGINT) AS t,
+       round(CASE WHEN sc.std <> 0 THEN (o.x - sc.mean) / sc.std ELSE 0.0 END, 6) AS x
+FROM own o JOIN sc ON sc.feature = o.feature JOIN lab ON lab.noun_id = o.noun_id JOIN enc ON enc.target = lab.target, least
+WHERE o.t >= ceil((o.len - least.n) / 2.0) AND o.t < o.len - floor((o.len - least.n) / 2.0)""")
+def q_prepare_rows_ragged(spark, sf_dir):
+    rows, transform = _ragged(spark, sf_dir)
+    ready = R.prepare_rows(rows, transform)
+    cells = R.prepared_cells(ready, ("noun_id", "target", "encoded"))
+    return cells.select("noun_id", "target", (F.array_position("encoded", 1) - 1).alias("class_idx"), "feature", "t", r6("x").alias("x"))
+
+
 # ---- J1 / J2 / J3 / D31: centroid model ----------------------------------------------------
 
 _MODEL_PRE = O.prelude("emb", O.SPLIT, O.SCALER, O.ENCODER, O.MODEL)
@@ -257,17 +305,20 @@ def _result_select(df):
     return df.select(*_RESULT_OTHER, *[r6(c).alias(c) for c in _RESULT_DOUBLES])
 
 
-@register("corruption_sweep", O.sweep_prelude(_IG) + "\n" + _result_select_sql("resn"))
+from chronoscope.plans.pipeline import SWEEP_METHODS  # noqa: E402
+
+_ALL = list(SWEEP_METHODS)
+
+
+@register("corruption_sweep", O.sweep_prelude(_ALL) + "\n" + _result_select_sql("resn"))
 def q_corruption_sweep(spark, sf_dir):
-    return _result_select(sweep_results(prepared(spark, sf_dir, "emb"), tuple(_IG)))
+    return _result_select(sweep_results(prepared(spark, sf_dir, "emb"), tuple(_ALL)))
 
 
 # ---- K4-K9: summaries ---------------------------------------------------------------------------
 
 from chronoscope.operators import summary as S  # noqa: E402
-from chronoscope.plans.pipeline import SWEEP_METHODS  # noqa: E402
 
-_ALL = list(SWEEP_METHODS)
 _SUM_PRE = O.sweep_prelude(_ALL, "emb", O.SUMMARY)
 _SUM_DOUBLES = ["k"] + S.MEAN_COLS + ["metric_normalised"] + S.ACC_COLS
 
@@ -485,6 +536,45 @@ def q_inject_pattern(spark, sf_dir):
     return df.select("noun_id", "feature", "t", r6("x").alias("x"), "pattern_start")
 
 
+_SUPPORT, _F_SUPPORT, _F_BASE = 10, (1, 5), (2.0, 4.0)
+_PLAN_SQL = _EVT + f""",
+pat AS (
+  SELECT *, CASE WHEN place < 2 THEN 'sine' WHEN {O.u_sql("'pat_w'", 'noun_id', 'feature')} < 0.5 THEN 'line' ELSE 'square' END AS wave,
+         CAST(floor({O.u_sql("'pat_f'", 'noun_id', 'feature')} * {_F_SUPPORT[1] - _F_SUPPORT[0]}) AS BIGINT) + {_F_SUPPORT[0]} AS fs,
+         {O.u_sql("'pat_b'", 'noun_id', 'feature')} * {_F_BASE[1] - _F_BASE[0]} + {_F_BASE[0]} AS fb,
+         CAST(floor({O.u_sql("'pat_s'", 'noun_id', 'feature')} * (greatest(nT - {_SUPPORT}, 0) + 1)) AS BIGINT) AS st
+  FROM (SELECT noun_id, feature, max(t) + 1 AS nT, row_number() OVER (PARTITION BY noun_id ORDER BY {O.key60_sql("'pat_o'", 'noun_id', 'feature')}, feature) - 1 AS place
+        FROM cells GROUP BY noun_id, feature))"""
+
+
+def _pattern_plan(spark, sf_dir):
+    return AG.pattern_plan(_evt_cells(spark, sf_dir), _SUPPORT, _F_SUPPORT, _F_BASE)
+
+
+@register("inject_patterns", _PLAN_SQL + f"""
+SELECT noun_id, feature, t, wave, round(x + CASE WHEN i < 0 OR i >= {_SUPPORT} OR wave = 'line' THEN 0.0 WHEN wave = 'sine' THEN sin(ph) ELSE sign(sin(ph)) END, 6) AS x
+FROM (SELECT c.*, p.wave, c.t - p.st AS i, {2 * 3.141592653589793!r} * p.fs * (c.t - p.st) / {_SUPPORT - 1} AS ph FROM cells c JOIN pat p ON p.noun_id = c.noun_id AND p.feature = c.feature)""")
+def q_inject_patterns(spark, sf_dir):
+    """Sine, square and line on the given signals."""
+    plan = _pattern_plan(spark, sf_dir)
+    out = AG.inject_patterns(_evt_cells(spark, sf_dir), plan, _SUPPORT)
+    return out.join(plan.select("noun_id", "feature", "wave"), ["noun_id", "feature"]).select("noun_id", "feature", "t", "wave", r6("x").alias("x"))
+
+
+@register("pattern_truth", _PLAN_SQL + """,
+truth AS (SELECT noun_id, string_agg(st, ',' ORDER BY place) AS pos_sin_wave, string_agg(feature, ',' ORDER BY place) AS feature_idx_sin_wave,
+                 CAST(sum(fs) AS BIGINT) AS f_sine_sum, sum(fs / fb) AS f_sine_ratio FROM pat WHERE wave = 'sine' GROUP BY noun_id),
+thr AS (SELECT quantile_cont(CAST(f_sine_sum AS DOUBLE), [0.5, 1.0]) AS qs, quantile_cont(f_sine_ratio, [0.5, 1.0]) AS qr FROM truth)
+SELECT noun_id, pos_sin_wave, feature_idx_sin_wave, f_sine_sum, round(f_sine_ratio, 6) AS f_sine_ratio,
+       CASE WHEN f_sine_sum <= qs[1] THEN '0' ELSE '1' END AS target_sum, CASE WHEN f_sine_ratio <= qr[1] THEN '0' ELSE '1' END AS target_ratio
+FROM truth, thr""")
+def q_pattern_truth(spark, sf_dir):
+    """Where the sines are, the sums of their frequencies, and the labels made of them."""
+    truth = AG.pattern_truth(_pattern_plan(spark, sf_dir))
+    listed = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("pos_sin_wave", "feature_idx_sin_wave")]
+    return truth.join(AG.pattern_labels(truth), "noun_id").select("noun_id", *listed, "f_sine_sum", r6("f_sine_ratio").alias("f_sine_ratio"), "target_sum", "target_ratio")
+
+
 @register("weighted_choice", _EVT + f""",
 vals AS (SELECT event_type AS value, count(*) AS weight FROM events GROUP BY event_type),
 cum AS (SELECT value, sum(weight) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS cw, sum(weight) OVER () AS tot FROM vals),
@@ -867,52 +957,34 @@ def q_streaming_window_stats(spark, sf_dir):
 from chronoscope.operators import surrogate as SG  # noqa: E402
 
 
-@register("block_shuffle")
-def q_block_shuffle(spark, sf_dir):
-    return _cells_out(AG.block_shuffle(_evt_cells(spark, sf_dir)))
+_EVT_REC = _EVT.replace("WITH", "WITH RECURSIVE", 1)
 
 
-def _rand_augment_sql(epoch: int) -> str:
-    name, mag = AG.rand_augment_choice(epoch)
-    if name == "Jitter":
-        body = f"""(SELECT noun_id, feature, t, x + {O.normal_sql("'jitter'", 'noun_id', 'feature', 't')}
-                    * stddev_samp(x) OVER (PARTITION BY noun_id, feature) * {mag!r} AS x FROM cells)"""
-    elif name == "Scaling":
-        body = f"(SELECT noun_id, feature, t, x * (1.0 + {mag!r} * {O.normal_sql(repr('scaling'), 'noun_id', 'feature')}) AS x FROM cells)"
-    elif name == "Flip_Y":
-        body = f"(SELECT noun_id, feature, t, x * CASE WHEN {O.u_sql(repr('flip'), 'noun_id', 'feature')} < 0.5 THEN -1.0 ELSE 1.0 END AS x FROM cells)"
-    elif name == "Drop_block":
-        body = "(SELECT noun_id, feature, t, CASE WHEN m THEN 0.0 ELSE x END AS x FROM " + O.block_mask_sql("cells", mag, 7, 1.1, "drop_block") + ")"
-    elif name == "Random_block":
-        body = (f"(SELECT noun_id, feature, t, CASE WHEN m THEN {O.normal_sql(repr('random_block_n'), 'noun_id', 'feature', 't')} ELSE x END AS x FROM "
-                + O.block_mask_sql("cells", mag, 7, 1.1, "random_block") + ")")
-    elif name == "Window_slice":
-        return ORACLE["window_slice"]
-    elif name == "Permute_block":
-        return ORACLE["permute_block"].replace(O.block_mask_sql("cells", 0.1, 7, 1.2, "permute_block"), O.block_mask_sql("cells", mag, 7, 1.2, "permute_block"))
-    elif name == "Shuffle_block":
-        raise ValueError("no SQL form")
-    else:
-        body = "cells"
-    return _EVT + "\n" + _OUT + body
+@register("block_shuffle", _EVT_REC + "," + O.shuffle_walk("walk", "cells", "0.1") + "\n" + _OUT + O.shuffled("walk", "cells"))
+def q_block_shuffle(spark, sf_dir):
+    """I11; in the SQL the blocks compound by recursion over the steps."""
+    return _cells_out(AG.block_shuffle(_evt_cells(spark, sf_dir)))
 
 
 def _rand_augment_query(epoch):
     def q(spark, sf_dir):
-        """I12 at magnitude 3: the op and its magnitude are drawn per call from md5(seed, epoch)."""
+        """I12 at magnitude 3: the op and its magnitude are drawn per call from md5(seed, epoch), in the SQL too."""
         return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), epoch))
     return q
 
 
-# random block, permute block, scaling, jitter and drop block
-for _name, _epoch in (("rand_augment", 22), ("rand_augment_17", 17), ("rand_augment_21", 21), ("rand_augment_27", 27), ("rand_augment_28", 28)):
-    register(_name, _rand_augment_sql(_epoch))(_rand_augment_query(_epoch))
+# random block, permute block, scaling, jitter, drop block; block shuffle, flip, window slice and identity
+for _name, _epoch in (("rand_augment", 22), ("rand_augment_17", 17), ("rand_augment_21", 21), ("rand_augment_27", 27), ("rand_augment_28", 28),
+                      ("rand_augment_33", 33), ("rand_augment_26", 26), ("rand_augment_18", 18), ("rand_augment_24", 24)):
+    register(_name, _EVT_REC + "," + O.augment_stage("cells", "aug", _epoch) + "\n" + _OUT + "aug")(_rand_augment_query(_epoch))
+
+_TWO_OPS = ("Shuffle_block", "Flip_Y", "Scaling")
 
 
-@register("rand_augment_two")
+@register("rand_augment_two", _EVT_REC + "," + O.augment_stage("cells", "one", 19, 0, _TWO_OPS) + "," + O.augment_stage("one", "two", 19, 1, _TWO_OPS) + "\n" + _OUT + "two")
 def q_rand_augment_two(spark, sf_dir):
-    """Two operations after each other, out of three (rows only)."""
-    return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), 19, ops=("Shuffle_block", "Flip_Y", "Scaling"), n_ops=2))
+    """Two operations after each other, out of three."""
+    return _cells_out(AG.rand_augment(_evt_cells(spark, sf_dir), 19, ops=_TWO_OPS, n_ops=2))
 
 
 def _default_run(spark, sf_dir):
@@ -960,6 +1032,45 @@ register("attr_kernelshap")(_surrogate_q("kernelshap"))
 register("attr_lime")(_surrogate_q("lime"))
 
 
+# ---- J20 / J2: a network with a hidden layer (training has no SQL form: rows-only, tests in test_network) ---------
+
+from chronoscope.operators import network as N  # noqa: E402
+from chronoscope.plans.pipeline import DEFAULT_METHODS, expected_value  # noqa: E402
+
+
+@register("attr_perceptron")
+def q_attr_perceptron(spark, sf_dir):
+    """Every method of the contract on a perceptron, with the method's own kind of baseline."""
+    pr = prepared(spark, sf_dir, "emb", "perceptron")
+    rows = [relevance(pr, m).select(F.lit(m).alias("method"), "noun_id", "feature", "t", r6("r").alias("r")) for m in N.RULES]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register("perceptron_sweep")
+def q_perceptron_sweep(spark, sf_dir):
+    """K3 for the perceptron, all default methods."""
+    return _result_select(sweep_results(prepared(spark, sf_dir, "emb", "perceptron"), DEFAULT_METHODS))
+
+
+def _completeness(pr, methods):
+    state = _state(pr)[0]
+    rows = [N.completeness(relevance(pr, m), state, expected_value(pr, m)).select(F.lit(m).alias("method"), "noun_id", r6("sum_r").alias("sum_r"), r6("delta_p").alias("delta_p"), "complete") for m in methods]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register("completeness_all", O.sweep_prelude(_ALL) + """
+SELECT r.method, r.noun_id, round(sum(r.r), 6) AS sum_r, round(max(s.s1) - max(e.expected_value), 6) AS delta_p, abs(sum(r.r) - (max(s.s1) - max(e.expected_value))) <= 1e-6 AS complete
+FROM rel r JOIN score1 s ON s.noun_id = r.noun_id JOIN expv e ON e.method = r.method AND e.noun_id = r.noun_id GROUP BY r.method, r.noun_id""")
+def q_completeness_all(spark, sf_dir):
+    """J19 for all methods with a baseline, flagged."""
+    return _completeness(prepared(spark, sf_dir, "emb"), _ALL)
+
+
+@register("completeness_perceptron")
+def q_completeness_perceptron(spark, sf_dir):
+    return _completeness(prepared(spark, sf_dir, "emb", "perceptron"), DEFAULT_METHODS)
+
+
 # ---- C11 / C12: entity-aligned combination -------------------------------------------------------------------
 
 _ENT_SQL = """
@@ -1046,41 +1157,64 @@ def q_shape_probe(spark, sf_dir):
 
 # ---- K2 / K3 on a multivariate signal set (5 channels x 30 days, 2 classes) -----------------------------------
 
-@register("corruption_sweep_evt", O.sweep_prelude(_IG, "evt") + "\n" + _result_select_sql("resn"))
+@register("corruption_sweep_evt", O.sweep_prelude(_ALL, "evt") + "\n" + _result_select_sql("resn"))
 def q_corruption_sweep_evt(spark, sf_dir):
-    return _result_select(sweep_results(prepared(spark, sf_dir, "evt"), tuple(_IG)))
+    return _result_select(sweep_results(prepared(spark, sf_dir, "evt"), tuple(_ALL)))
 
 
-@register("summary_evt", O.sweep_prelude(["integrated_gradients", "deeplift", "shapleyvalue"], "evt", O.SUMMARY)
+@register("summary_evt", O.sweep_prelude(_ALL, "evt", O.SUMMARY)
           + "\nSELECT method, mask, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SUM_DOUBLES) + " FROM summ")
 def q_summary_evt(spark, sf_dir):
-    res = sweep_results(prepared(spark, sf_dir, "evt"), ("integrated_gradients", "deeplift", "shapleyvalue"))
-    return S.summary(res).select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
+    return S.summary(sweep_results(prepared(spark, sf_dir, "evt"), tuple(_ALL))).select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
 
 
 # ---- A1 / A12 / A15 / J4: stored signals, id lists, prediction table, model selection -------------------------
 
-@register("read_signals", O.prelude("emb", O.SPLIT) + """
-SELECT s.noun_id, s.target, e.e AS epoch FROM targets s, (SELECT unnest([0, 1, 2]) AS e) e
-WHERE s.noun_id IN (SELECT noun_id FROM cells GROUP BY noun_id HAVING max(t) + 1 >= 64) AND s.noun_id % 3 = 0""")
+_SPAN_SQL = """
+, span AS (SELECT noun_id, min(step) AS d0, max(step) AS d1, max(step) - min(step) + 1 AS len FROM binned GROUP BY noun_id),
+least AS (SELECT CAST(floor(quantile_cont(len, 0.25)) AS BIGINT) AS n FROM span)"""
+
+
+@register("read_signals", O.prelude("evt") + _SPAN_SQL + """
+SELECT noun_id, CAST(len AS INTEGER) AS signal_length, e.e AS epoch FROM span, least, (SELECT unnest([0, 1, 2]) AS e) e WHERE len >= least.n""")
 def q_read_signals(spark, sf_dir):
-    """A1: two fields of the stored signals that meet a predicate, for three epochs."""
-    from chronoscope.sources.signals import cells_to_tensor, read_signals
-    pr = prepared(spark, sf_dir, "emb")
+    """A1: two fields of the stored signals that are long enough (B2, B11), for three epochs."""
     root = _scratch(spark, "signals")
-    rows = cells_to_tensor(pr.cells).join(pr.targets, "noun_id")
-    rows.withColumn("signal_length", F.size("signal")).write.mode("overwrite").parquet(root)
-    return read_signals(spark, root, ["noun_id", "target"], (F.col("signal_length") >= 64) & (F.col("noun_id") % 3 == 0), epochs=3)
+    SG_SRC.rows_from_events(spark, sf_dir).withColumn("signal_length", F.size("signal")).write.mode("overwrite").parquet(root)
+    least = spark.read.parquet(root).select(P.min_length_quantile_of("signal_length", 0.75)).first()[0]
+    return SG_SRC.read_signals(spark, root, ["noun_id", "signal_length"], F.col("signal_length") >= least, epochs=3)
+
+
+@register("point_lookup", O.prelude("emb", O.SPLIT) + f""",
+one AS (SELECT noun_id FROM targets ORDER BY {O.key60_sql("'lookup'", 'noun_id')}, noun_id LIMIT 1)
+SELECT c.noun_id, c.feature, c.t, round(c.x, 6) AS x, t.target FROM cells c JOIN targets t ON t.noun_id = c.noun_id WHERE c.noun_id IN (SELECT noun_id FROM one)""")
+def q_point_lookup(spark, sf_dir):
+    """One sample (the first in md5 order) out of the stored signals, by its bucket."""
+    pr = prepared(spark, sf_dir, "emb")
+    if "_stored_rows" not in pr.__dict__:
+        pr.__dict__["_stored_rows"] = SG_SRC.store_for_lookup(SG_SRC.rows_from_embeddings(spark, sf_dir))
+    one = pr.targets.select("noun_id", sort_key60(P.SEED, F.lit("lookup"), "noun_id").alias("_h")).orderBy("_h", "noun_id").first()["noun_id"]
+    found = SG_SRC.point_lookup(pr.__dict__["_stored_rows"], one)
+    return SG_SRC.tensor_to_cells(found).join(found.select("noun_id", F.get("labels", F.lit(0)).alias("target")), "noun_id").select("noun_id", "feature", "t", r6("x").alias("x"), "target")
 
 
-@register("id_lists", O.prelude("emb", O.SPLIT) + "\nSELECT noun_id, split FROM split WHERE split <> 'val'")
+@register("id_lists", O.prelude("emb", O.SPLIT) + "\nSELECT noun_id, split FROM split")
 def q_id_lists(spark, sf_dir):
     """Split ids written as lists and read back one by one."""
     from chronoscope.sources.signals import read_id_list, write_id_lists
     root = _scratch(spark, "ids")
     write_id_lists(prepared(spark, sf_dir, "emb").split, root)
-    train, test = (read_id_list(spark, root, n).withColumn("split", F.lit(n)) for n in ("train", "test"))
-    return train.unionByName(test)
+    return reduce(DataFrame.unionByName, [read_id_list(spark, root, n).withColumn("split", F.lit(n)) for n in P.SPLIT_NAMES])
+
+
+@register("split_two_way", O.prelude("emb", O.SPLIT) + f""",
+rest AS (SELECT noun_id, row_number() OVER (ORDER BY {O.key60_sql('noun_id')}, noun_id) AS rnk, count(*) OVER () AS n FROM split WHERE split <> 'test')
+SELECT noun_id, CASE WHEN rnk <= ceil(CAST(0.85 AS DOUBLE) * n) THEN 'train' ELSE 'val' END AS split FROM rest
+UNION ALL SELECT noun_id, 'test' AS split FROM test_ids""")
+def q_split_two_way(spark, sf_dir):
+    """An archive with its own test part: the other samples in two slices, the test part kept."""
+    pr = prepared(spark, sf_dir, "emb")
+    return P.split_keeping_test(pr.split.where(F.col("split") != "test"), pr.test_ids)
 
 
 @register("prediction_table", _MODEL_PRE + """
@@ -1091,8 +1225,20 @@ def q_prediction_table(spark, sf_dir):
     """One score column per class, written and read back."""
     pr = prepared(spark, sf_dir, "emb")
     root = _scratch(spark, "predictions")
-    M.prediction_table(pr.p1, pr.labelled, 10).write.mode("overwrite").parquet(root)
-    return spark.read.parquet(root).select("noun_id", "label", "pred", *[r6(f"score_{c}").alias(f"score_{c}") for c in range(10)])
+    classes = range(pr.encoder.count())  # one row per class
+    M.prediction_table(pr.p1, pr.labelled, len(classes)).write.mode("overwrite").parquet(root)
+    return spark.read.parquet(root).select("noun_id", "label", "pred", *[r6(f"score_{c}").alias(f"score_{c}") for c in classes])
+
+
+@register("model_select_ml")
+def q_model_select_ml(spark, sf_dir):
+    """J4 by ml.tuning: a cross-validated grid, the best model stored, loaded again and scored on the test
+    split (rows-only: the optimiser has no SQL form)."""
+    from chronoscope.operators import surrogate
+    pr = prepared(spark, sf_dir, "emb")
+    fitted = pr.split.where(F.col("split") != "test").select("noun_id")
+    out = surrogate.select_classifier(pr.std_cells, pr.labelled, fitted, pr.test_ids, _scratch(spark, "model"))
+    return out.select("cand", "regParam", "elasticNetParam", r6("val_accuracy").alias("val_accuracy"), r6("best_so_far").alias("best_so_far"), "chosen", r6("test_accuracy").alias("test_accuracy"))
 
 
 _SHRINK = [0.05, 0.2, 0.5, 0.8, 1.0, 1.5]

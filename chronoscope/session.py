@@ -62,6 +62,16 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def materialize_counted(df, name: str):
+    """`materialize`, with the number of rows as observed by the job itself. The metric stands at the top of
+    the plan, in the stage that writes, so a stage that runs again does not count twice."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    seen = Observation(name)
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def materialize_bucketed(df, key: str, name: str):
     """Write `df` as a table bucketed (and sorted) by `key` under the shared checkpoint folder and
     read it back. Later joins, windows and aggregates keyed by `key` read co-located buckets: the
@@ -75,4 +85,6 @@ def materialize_bucketed(df, key: str, name: str):
     table = f"chronoscope_{name}_{uuid.uuid4().hex[:12]}"
     path = os.path.join(checkpoint_dir(spark), table)
     (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table))
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalogue forgets the name; files and the resolved relation stay
+    return out

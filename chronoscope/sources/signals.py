@@ -11,10 +11,8 @@ targets: (noun_id bigint, target string)
 * lineitem:   entity = l_suppkey, channel = l_returnflag, step = month since the first
   month, x = sum(l_quantity).
 
-Dense grids are generated per entity with explode(sequence(...)) (bounded by F*T per
-entity) and filled by one aggregation over the union of real and zero bins: events are
-pre-aggregated per (entity, channel, step) map-side before any shuffle, so a hot entity
-sends at most F*T partial rows per map task.
+Events are pre-aggregated per (entity, channel, step) map-side before any shuffle, so a hot
+entity sends at most F*T partial rows per map task; gaps are filled by `dense_cells`.
 """
 
 from __future__ import annotations
@@ -22,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoscope.functions.joins import bounded_broadcast
 from chronoscope.sources.tables import read_table
 
 def cells_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,54 +36,76 @@ def targets_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select(F.col("vec_id").cast("bigint").alias("noun_id"), F.col("label").cast("string").alias("target"))
 
 
-def signal_from_events_generic(binned: DataFrame, channels: DataFrame) -> DataFrame:
-    """binned: (noun_id, channel, step, v) already reduced per bin; channels: (channel, feature).
-
-    Returns dense cells over all channels x steps 0..T-1 (T = max step + 1 over the table).
-    """
+def rows_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(noun_id, signal [step][feature], labels) of each vector: one row per sample, as stored."""
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return emb.select(F.col("vec_id").cast("bigint").alias("noun_id"), F.transform("embedding", lambda x: F.array(x.cast("double"))).alias("signal"),
+                      F.array_compact(F.array(F.col("label").cast("string"))).alias("labels"))
+
+
+def rows_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(noun_id, signal [step][feature], labels): a user's days from the first to the last with an event, so
+    signals differ in length; one feature per event type, NaN where a day has none of it; labels: the types
+    of the user's last day. A user has at most days x types bins, which are summed before the shuffle."""
+    bins = _event_bins(spark, sf_dir, keep_nan=True).where(F.col("channel").isNotNull() & F.col("step").isNotNull())
+    names = bins.select(F.array_sort(F.collect_set("channel"))).scalar()  # one name per channel
+    placed = bins.withColumn("_names", names).withColumn("_F", F.size("_names"))
+    k = F.col("step") * F.col("_F") + F.array_position("_names", F.col("channel")).cast("int") - 1
+    users = placed.groupBy("noun_id").agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), "v"))).alias("_bins"), F.min("step").alias("_first"), F.max("step").alias("_last"), F.first("_names").alias("_names"))
+    n, nan = F.size("_names"), F.lit(float("nan"))
+    after = F.concat(F.transform(F.slice("_bins", F.lit(2), F.size("_bins")), lambda b: b["k"]), F.array((F.col("_last") + 1) * n))
+    filled = F.flatten(F.zip_with("_bins", after, lambda b, end: F.concat(F.array(b["v"]), F.array_repeat(nan, end - b["k"] - 1))))
+    dense = F.concat(F.array_repeat(nan, F.get("_bins", F.lit(0))["k"] - F.col("_first") * n), filled)
+    users = users.select("noun_id", dense.alias("_dense"), (F.col("_last") - F.col("_first")).alias("_days"), F.filter("_bins", lambda b: b["k"] >= F.col("_last") * n).alias("_today"), "_last", "_names")
+    return users.select("noun_id", F.transform(F.sequence(F.lit(0), F.col("_days")), lambda d: F.slice("_dense", d * n + 1, n)).alias("signal"),
+                        F.transform("_today", lambda b: F.get("_names", b["k"] - F.col("_last") * n)).alias("labels"))
+
+
+def dense_cells(binned: DataFrame) -> DataFrame:
+    """binned: (noun_id, channel, step, v), one row per bin -> cells (noun_id, feature, t, x) of all channels
+    (sorted by name) x steps, counted from the first step in the table; bins without a row are 0, rows
+    without a channel or a step are left out.
+
+    A bin fills the places from its own to the next one of its entity, so the grid comes out of one window
+    over the bins; it is not made apart and joined."""
     from chronoscope.session import materialize
-    binned = materialize(binned)  # pre-aggregated bins, reused by the subqueries and the grid below
-    n_steps = binned.select(F.max("step") + 1).scalar()
-    n_feat = channels.select(F.count(F.lit(1))).scalar()
-    ids = binned.select("noun_id").distinct()
-    grid = (
-        ids.select("noun_id", F.explode(F.sequence(F.lit(0), n_feat * n_steps - 1)).alias("_k"),
-                   n_steps.alias("_T"))
-        .select("noun_id", (F.col("_k") / F.col("_T")).cast("bigint").alias("feature"),
-                (F.col("_k") % F.col("_T")).cast("bigint").alias("t"), F.lit(0.0).alias("x"))
-    )
-    real = binned.join(bounded_broadcast(channels), "channel").select(
-        "noun_id", F.col("feature").cast("bigint"), F.col("step").cast("bigint").alias("t"), F.col("v").alias("x"))
-    return real.unionByName(grid).groupBy("noun_id", "feature", "t").agg(F.sum("x").alias("x"))
-
-
-def _channel_index(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct channel names -> 0-based feature index (a bounded table)."""
-    d = df.select(F.col(col).alias("channel")).distinct()
-    return d.select("channel", (F.row_number().over(Window.orderBy("channel")) - 1).cast("bigint").alias("feature"))
+    # the source is read once: origin, steps and channels come from the bins
+    binned = materialize(binned.where(F.col("channel").isNotNull() & F.col("step").isNotNull()))
+    whole = binned.select(F.min("step").alias("first"), (F.max("step") - F.min("step") + 1).alias("n_steps"), F.array_sort(F.collect_set("channel")).alias("names"))  # one row
+    first, n_steps, names = (whole.select(c).scalar() for c in ("first", "n_steps", "names"))
+    rows = binned.withColumn("_T", n_steps).withColumn("_names", names).select(
+        "noun_id", "v", "_T", (F.size("_names") * F.col("_T")).cast("bigint").alias("_size"),
+        ((F.array_position("_names", F.col("channel")) - 1) * F.col("_T") + F.col("step") - first).cast("bigint").alias("_k"))
+    w = Window.partitionBy("noun_id").orderBy("_k")
+    start = F.when(F.row_number().over(w) == 1, F.lit(0).cast("bigint")).otherwise(F.col("_k"))
+    runs = rows.select("noun_id", "v", "_k", "_T", start.alias("_from"), (F.coalesce(F.lead("_k").over(w), F.col("_size")) - 1).alias("_to"))
+    places = runs.select("noun_id", "v", "_k", "_T", F.explode(F.sequence("_from", "_to")).alias("_at"))
+    return places.select("noun_id", F.floor(F.col("_at") / F.col("_T")).cast("bigint").alias("feature"), (F.col("_at") % F.col("_T")).cast("bigint").alias("t"),
+                         F.when(F.col("_at") == F.col("_k"), F.col("v")).otherwise(F.lit(0.0)).alias("x"))
+
+
+def _event_bins(spark: SparkSession, sf_dir: str, keep_nan: bool = False) -> DataFrame:
+    """(noun_id, channel, step, v) by absolute day, reduced map-side before the shuffle."""
+    ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    value = F.col("value") if keep_nan else F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0))
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    return ev.select(F.col("user_id").cast("bigint").alias("noun_id"), F.col("event_type").alias("channel"), day.alias("step"), value.alias("v")).groupBy("noun_id", "channel", "step").agg(F.sum("v").alias("v"))
 
 
 def cells_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
-    origin = ev.select(F.min(F.to_date("ts"))).scalar()
-    binned = (
-        ev.select(F.col("user_id").cast("bigint").alias("noun_id"), F.col("event_type").alias("channel"),
-                F.datediff(F.to_date("ts"), origin).alias("step"), F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)).alias("v"))
-        .groupBy("noun_id", "channel", "step").agg(F.sum("v").alias("v"))
-    )
-    return signal_from_events_generic(binned, _channel_index(ev, "event_type"))
+    return dense_cells(_event_bins(spark, sf_dir))
 
 
-def cells_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lineitem_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(noun_id, flag, step, q) of every line item, by absolute month."""
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_quantity")
     month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
-    origin = li.select(F.min(month)).scalar()
-    binned = (
-        li.select(F.col("l_suppkey").cast("bigint").alias("noun_id"), F.col("l_returnflag").alias("channel"),
-                (month - origin).alias("step"), F.coalesce(F.nanvl(F.col("l_quantity").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("v"))
-        .groupBy("noun_id", "channel", "step").agg(F.sum("v").alias("v"))
-    )
-    return signal_from_events_generic(binned, _channel_index(li, "l_returnflag"))
+    return li.select(F.col("l_suppkey").cast("bigint").alias("noun_id"), F.col("l_returnflag").alias("flag"), month.alias("step"),
+                     F.coalesce(F.nanvl(F.col("l_quantity").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("q"))
+
+
+def cells_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_cells(_lineitem_months(spark, sf_dir).groupBy("noun_id", F.col("flag").alias("channel"), "step").agg(F.sum("q").alias("v")))
 
 
 def label_rule(value: Column, thresholds: Column) -> Column:
@@ -137,20 +156,9 @@ def tensor_to_cells(tensor: DataFrame) -> DataFrame:
 def entity_cells_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(noun_id = supplier, entity = return flag index, feature (0 = quantity, 1 = line count), t = month, x):
     one signal per (supplier, flag) entity, dense over all months."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_quantity")
-    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
-    origin = li.select(F.min(month)).scalar()
-    binned = (li.select(F.col("l_suppkey").cast("bigint").alias("noun_id"), F.col("l_returnflag").alias("flag"),
-                        (month - origin).alias("step"), F.coalesce(F.col("l_quantity"), F.lit(0.0)).alias("q"))
-              .groupBy("noun_id", "flag", "step").agg(F.sum("q").alias("q"), F.count(F.lit(1)).cast("double").alias("n")))
-    parts = []
-    for fi, col in enumerate(("q", "n")):
-        b = binned.select("noun_id", F.concat_ws("#", "flag", F.lit(str(fi))).alias("channel"), "step", F.col(col).alias("v"))
-        parts.append(b)
-    both = parts[0].unionByName(parts[1])
-    chan = both.select("channel").distinct().select(
-        "channel", (F.row_number().over(Window.orderBy("channel")) - 1).cast("bigint").alias("feature"))
-    dense = signal_from_events_generic(both, chan)
+    binned = _lineitem_months(spark, sf_dir).where(F.col("flag").isNotNull()).groupBy("noun_id", "flag", "step").agg(F.sum("q").alias("q"), F.count(F.lit(1)).cast("double").alias("n"))
+    both = F.explode(F.array(*[F.struct(F.concat_ws("#", "flag", F.lit(str(i))).alias("channel"), F.col(c).alias("v")) for i, c in enumerate(("q", "n"))]))
+    dense = dense_cells(binned.select("noun_id", "step", both.alias("b")).select("noun_id", "b.channel", "step", "b.v"))
     # channel index k = 2 * flag_index + value index (channels sort as flag#0, flag#1)
     return dense.select("noun_id", (F.col("feature") / 2).cast("bigint").alias("entity"),
                         (F.col("feature") % 2).cast("bigint").alias("feature"), "t", "x")
@@ -177,3 +185,17 @@ def write_id_lists(split: DataFrame, path: str) -> None:
 def read_id_list(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The ids of one split; reads its folder only."""
     return spark.read.parquet(path).where(F.col("split") == name).select("noun_id")
+
+
+# --- B5: one sample by its id -------------------------------------------------------------------------------
+
+def store_for_lookup(rows: DataFrame, name: str = "lookup") -> DataFrame:
+    """The rows as a table bucketed and sorted by noun_id: a lookup reads one bucket, and in it the row groups
+    whose range holds the id."""
+    from chronoscope.session import materialize_bucketed
+    return materialize_bucketed(rows, "noun_id", name)
+
+
+def point_lookup(stored: DataFrame, noun_id: int) -> DataFrame:
+    """The rows of one sample (bucket pruning needs the id as a literal)."""
+    return stored.where(F.col("noun_id") == F.lit(noun_id).cast("bigint"))

@@ -72,7 +72,7 @@ def _committed(spark: SparkSession, state: str) -> dict[str, list[int]]:
             m = re.fullmatch(r"(base|delta)=(\d+)", entry.getPath().getName())
             if m and fs.exists(_store(spark, f"{state}/{m[0]}/_SUCCESS")[1]):
                 found[m[1]].append(int(m[2]))
-    return found
+    return {kind: sorted(ids) for kind, ids in found.items()}
 
 
 def _blocks(spark: SparkSession, state: str, upto: int | None = None) -> DataFrame | None:

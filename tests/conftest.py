@@ -8,7 +8,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 
-
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

@@ -2,8 +2,8 @@
 
 import math
 
+import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoscope.functions.integrate import simpson, trapezoid
@@ -65,21 +65,17 @@ def test_threshold_kept_runs_tic(spark):
         assert sm[g]["block_size"] == block
 
 
-def test_block_dilation(spark):
-    """Seed mask 0 0 1 0 0 0 0 1 0: b=3 -> 0 1 1 1 0 0 1 1 1; b=4 -> 0 1 1 1 1 0 1 1 1."""
-    seeds = [0, 0, 1, 0, 0, 0, 0, 1, 0]
-    want = {3: [0, 1, 1, 1, 0, 0, 1, 1, 1], 4: [0, 1, 1, 1, 1, 0, 1, 1, 1]}
-    for b, exp in want.items():
-        df = spark.createDataFrame([(t, bool(s)) for t, s in enumerate(seeds)], "t long, _seed boolean")
-        w = Window.orderBy("t")
-        st_t = F.when(F.col("_seed"), F.col("t"))
-        prev = F.max(st_t).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        nxt = F.min(st_t).over(w.rowsBetween(0, Window.unboundedFollowing))
-        lo = b // 2
-        hi = b - 1 - lo
-        m = F.coalesce((F.col("t") - prev) <= lo, F.lit(False)) | F.coalesce((nxt - F.col("t")) <= hi, F.lit(False))
-        got = [int(r["m"]) for r in df.select("t", m.alias("m")).orderBy("t").collect()]
-        assert got == exp
+def test_block_dilation():
+    """Seed mask 0 0 1 0 0 0 0 1 0: b=3 -> 0 1 1 1 0 0 1 1 1; b=4 -> 0 1 1 1 1 0 1 1 1, plus an extra column."""
+    from chronoscope.operators.blocks import dilated
+    seeds = np.array([[0, 0, 1, 0, 0, 0, 0, 1, 0]], bool)
+    for b, want, count in [(3, [0, 1, 1, 1, 0, 0, 1, 1, 1], 6), (4, [0, 1, 1, 1, 1, 0, 1, 1, 1], 8), (2, [0, 0, 1, 1, 0, 0, 0, 1, 1], 4), (1, [0, 0, 1, 0, 0, 0, 0, 1, 0], 2)]:
+        masked, n = dilated(seeds, b)
+        # step t is masked if a seed lies in [t - b // 2, t + b - 1 - b // 2]
+        brute = [any(seeds[0, s] for s in range(max(0, t - b // 2), min(9, t + b - b // 2))) for t in range(9)]
+        assert masked[0].tolist() == brute and n[0] == count
+        if b > 2:
+            assert masked[0].astype(int).tolist() == want
 
 
 def test_resize(spark):
@@ -96,17 +92,18 @@ def test_split_sizes(spark):
     assert math.isclose(sum(sizes.values()), 10)
 
 
-def test_mask_fraction_from_seed_intervals(spark):
-    """Seeds 0 0 1 0 0 0 0 1 0: b=3 masks 6 steps; b=4 masks 7 plus the extra column of even widths."""
-    seeds = [0, 0, 1, 0, 0, 0, 0, 1, 0]
-    for b, want in [(3, 6), (4, 8), (2, 4 + 0)]:
-        rows = [("m", 1, 0, 0, 0, t, b, 9, 0.0 if s else 1.0, 0.5) for t, s in enumerate(seeds)]
-        cells = spark.createDataFrame(rows, "method string, noun_id long, g long, a int, feature long, t long, "
-                                            "block_size int, n_steps long, _u double, gamma double")
-        pairs = spark.createDataFrame([("m", 1, 0, 0, 0.0, 9, 1)],
-                                      "method string, noun_id long, g long, a int, drop_prob double, n_steps long, n_feat long")
-        diff = C._attempt_diffs(cells, pairs, 42).collect()[0]["_diff"]
-        assert diff == pytest.approx(want / 9)
+def test_draws_are_those_of_the_column_functions(spark):
+    from chronoscope.functions.rand import md5_key, normal, uniform_chunk
+    from chronoscope.operators.blocks import Draws, normals
+    names = [f"{f}|{t}" for f in (0, 1) for t in range(5)]
+    rows = spark.createDataFrame([(3, 77, f, t) for f in (0, 1) for t in range(5)], "g long, noun_id long, feature long, t long")
+    want = [r[0] for r in rows.orderBy("feature", "t").select(normal(42, F.lit("random"), "g", "noun_id", "feature", "t")).collect()]
+    assert np.allclose(normals(42, "random", 3, 77, names), want, atol=1e-14)
+    draws = Draws(42, 3, 77, names)
+    for a in (0, 3, 9, 25):
+        key = md5_key(42, F.lit("rb"), "g", "noun_id", "feature", "t", F.lit(a // 4))
+        want = [r[0] for r in rows.orderBy("feature", "t").select(uniform_chunk(key, F.lit(a % 4))).collect()]
+        assert draws.four(a // 4)[a % 4].tolist() == want
 
 
 def test_wide_matrix_round_trip(spark, tmp_path):
@@ -182,3 +179,54 @@ def test_block_shuffle_is_a_shared_permutation(spark):
                 keys = [AG._draw(AG.SEED, "shuffle_perm", f, t, j) for j in range(len(part))]
                 x[t:t + 7] = [v for _, v in sorted(zip(keys, part))]
         assert [values[t] for t in range(60)] == x and x != sorted(x)
+
+
+def test_no_rounding_of_relevance(spark):
+    """One cell of 1, five of .5 and four that are barely negative: the four are in no mask."""
+    values = [1.0] + [-4e-13] * 4 + [0.5] * 5
+    rel = C.prepare_rel(spark.createDataFrame([(1, 0, t, 0.0, r) for t, r in enumerate(values)], "noun_id long, feature long, t long, x double, r double"))
+    stats = C.relevance_stats(rel)
+    n = {r["g"]: r["count"] for r in C.kept_cells(rel, stats).groupBy("g").count().collect()}
+    assert stats.first()["n_nonneg"] == 6 and n[10] == 6 and n[0] == 1
+
+
+@pytest.mark.parametrize("sorted_rows", [5, 40, 1 << 18])
+def test_order_statistics_of_a_large_group(spark, sorted_rows):
+    """One group with most of the values (many of them equal, some far away), next to small ones."""
+    from chronoscope.functions.ranking import grouped_order_stats
+    rng = np.random.default_rng(3)
+    groups = {0: np.concatenate([rng.normal(size=3000), np.full(500, 0.25), [1e300, -1e300, 1e-300]]), 1: rng.normal(size=7), 2: np.full(300, 2.0), 3: np.array([5.0]),
+              4: np.array([0.0, -0.0] * 30 + [1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(1, None), (5, None)]
+    want = {g: sorted({int(p * (len(v) - 1)) for p in (0, 0.1, 0.5, 0.51, 0.9, 1)}) for g, v in groups.items()}
+    asked = spark.createDataFrame([(g, len(groups[g]), w) for g, w in want.items()], "g long, n long, want array<long>")
+    got = grouped_order_stats(spark.createDataFrame(rows, "g long, v double").repartition(4), ["g"], "v", asked, sorted_rows).collect()
+    assert {r["g"]: r["at"] for r in got} == {g: {p: float(np.sort(groups[g])[p]) for p in w} for g, w in want.items()}
+
+
+def test_thresholds_as_percentiles(spark):
+    """Against Spark's own percentile, with buffers of all sizes."""
+    rng = np.random.default_rng(4)
+    rows = [(i, 0, t, 0.0, float(rng.normal())) for i, n in ((1, 900), (2, 64), (3, 1)) for t in range(n)] + [(3, 0, 5, 0.0, 1.0), (4, 0, 0, 0.0, -1.0)]
+    rel = C.prepare_rel(spark.createDataFrame(rows, "noun_id long, feature long, t long, x double, r double"))
+    nonneg = F.when(F.col("r") >= 0, F.col("r"))
+    want = {r["noun_id"]: r for r in rel.groupBy("noun_id").agg(F.percentile(nonneg, F.array(*[F.lit(q) for _, _, _, q in C.grid()])).alias("thr"), F.percentile("r", F.lit(0.5)).alias("median_Rx"), F.count(nonneg).alias("n")).where("n > 0").collect()}
+    for sorted_rows in (10, 1 << 18):
+        got = {r["noun_id"]: r for r in C.relevance_stats(rel, sorted_rows).collect()}
+        assert got.keys() == want.keys()
+        for i in want:
+            assert got[i]["thr"] == pytest.approx(want[i]["thr"]) and got[i]["median_Rx"] == pytest.approx(want[i]["median_Rx"])
+
+
+def test_a_lost_sample_is_an_error(spark):
+    from paths import SF001
+    from chronoscope.plans import pipeline as PL
+    pr = PL.prepared(spark, SF001, "emb")
+    state = PL._state(pr)[0]
+    rel = PL.relevance(pr, "saliency")
+    ev = PL.expected_value(pr, "saliency").withColumn("method", F.lit("-"))
+    one = state.select(F.min("noun_id")).first()[0]
+    with pytest.raises(ValueError, match="rows of metrics"):
+        C.corruption_results(rel, pr.network, state.where(F.col("noun_id") != one), pr.labelled, pr.encoder, ev)
+    n = rel.select("noun_id").distinct().count()
+    assert C.corruption_results(rel, pr.network, state, pr.labelled, pr.encoder, ev).count() == 22 * n
