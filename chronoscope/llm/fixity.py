@@ -1,10 +1,12 @@
 """Merkle fixity audit of WARC archives.
 
 Pages become WARC records, files hold the records of a range of page ids in order, and each replica of
-the archive gets a hash tree: leaves are the SHA-256 of a record with its offset range, inner nodes the
-SHA-256 of up to FAN_OUT children in order with the range they cover, over the records of a file and
-then over the files up to one root. Two replicas are compared from the root, and only the children of
-nodes that differ are looked at, down to the records that are damaged or missing.
+the archive gets a hash tree: leaves are the SHA-256 of a record with its length, inner nodes the SHA-256
+of up to FAN_OUT children in order with the ranges they cover, counted from the start of the node's own
+range; over the records of a file and then over the files up to one root. Two replicas are compared from
+the root, and only the children of nodes that differ are looked at, down to the records. A record that is
+lost or added in the middle of a file moves all later ones of that file, so the records below unequal nodes
+are aligned by page id and digest before any is called damaged: those that only moved are sound.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from .storage import stored
 FAN_OUT = 16
 FILE_PAGES = 1000
 #: the `file` of the tree's nodes above the files
-ARCHIVE = -2
+ARCHIVE = -(1 << 62)
+#: pages without id are dealt to so many files by a hash of the record
+NAMELESS_FILES = 4096
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -32,11 +36,13 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 def archive(pages: DataFrame, html: Column | None = None, file_pages: int = FILE_PAGES) -> DataFrame:
     """The index of an archive: file, nth (record in the file), page_id, start and end (bytes in the
     file) and sha256 of every record. Records of a file stand by page id, then by digest (repeated
-    rows: next to each other); pages without id are in a file of their own, -1. A file holds the
-    pages of FILE_PAGES consecutive ids, so the windows are small."""
+    rows: next to each other); pages without id are in files of their own, -1 and below, by a hash of
+    the record. A file holds the pages of FILE_PAGES consecutive ids, so the windows are small."""
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html") if html is None else html)
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / file_pages), F.lit(-1)).cast("long").alias("file"), "page_id", record.alias("record"))
-    rows = rows.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"))
+    rows = pages.select("page_id", record.alias("record"))
+    nameless = -1 - F.pmod(F.xxhash64("record"), F.lit(NAMELESS_FILES))
+    file = F.when(F.col("page_id").isNull(), nameless).otherwise(F.floor(F.col("page_id") / file_pages)).cast("long")
+    rows = rows.select(file.alias("file"), "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"))
     order = Window.partitionBy("file").orderBy(F.col("page_id").isNotNull(), "page_id", "sha256")
     return (rows.withColumn("nth", (F.row_number().over(order) - 1).cast("long"))
             .withColumn("end", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -58,7 +64,7 @@ def hash_tree(index: DataFrame, steps: list[str], low: int) -> list[DataFrame]:
     """Levels from the records to the single root, each (file, node, parent_file, parent, start, end,
     hash). steps: how each level finds its parents: "file" (by place in the file), "archive" (the one
     node of a file by the file's place) or "top" (by place among the archive's nodes)."""
-    level = index.select("file", F.col("nth").alias("node"), "start", "end", _hash(F.col("start"), F.col("end"), F.col("sha256")).alias("hash"))
+    level = index.select("file", F.col("nth").alias("node"), "start", "end", _hash(F.col("end") - F.col("start"), F.col("sha256")).alias("hash"))
     levels = []
     for step in steps:
         place = F.col("file") - low if step == "archive" else F.col("node")
@@ -66,9 +72,10 @@ def hash_tree(index: DataFrame, steps: list[str], low: int) -> list[DataFrame]:
                  .withColumn("parent", F.floor(place / FAN_OUT)))
         levels.append(level)
         child = F.struct(place.alias("place"), "start", "end", "hash")
-        text = F.transform("c", lambda x: F.concat_ws(":", x["place"].cast("string"), x["start"].cast("string"), x["end"].cast("string"), x["hash"]))
+        first = F.array_min("c.start") if step == "file" else F.lit(0)  # ranges of different files have no common start
+        text = F.transform("c", lambda x: F.concat_ws(":", x["place"].cast("string"), (x["start"] - F.col("first")).cast("string"), (x["end"] - F.col("first")).cast("string"), x["hash"]))
         level = (level.groupBy(F.col("parent_file").alias("file"), F.col("parent").alias("node"))
-                 .agg(F.array_sort(F.collect_list(child)).alias("c"))
+                 .agg(F.array_sort(F.collect_list(child)).alias("c")).withColumn("first", first)
                  .select("file", "node", F.array_min("c.start").alias("start"), F.array_max("c.end").alias("end"), _hash(F.array_join(text, ",")).alias("hash")))
         level = stored(level, "fixity-level")
     return [*levels, level.withColumn("parent_file", F.lit(None).cast("long")).withColumn("parent", F.lit(None).cast("long"))]
@@ -76,7 +83,8 @@ def hash_tree(index: DataFrame, steps: list[str], low: int) -> list[DataFrame]:
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Records in which two archive indexes differ: file, nth, page_id, start, end, sha256 in either
-    replica (null: no such record), and status changed, missing or extra. Equal roots leave nothing to
+    replica (null: no such record), and status changed (another content under the same id), missing or
+    extra. Of repeated records each counts. Equal roots leave nothing to
     compare below and give no rows. The indexes and inner levels are stored; each step of the descent
     joins only the children of nodes that differ."""
     primary, replica = stored(primary, "fixity-index"), stored(replica, "fixity-index")
@@ -95,14 +103,22 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def _report(primary: DataFrame, replica: DataFrame, keys: DataFrame) -> DataFrame:
-    def pick(x: DataFrame, tag: str) -> DataFrame:
-        return x.join(keys, ["file", "nth"], "left_semi").select("file", "nth", *[F.col(c).alias(f"{c}_{tag}") for c in ("page_id", "start", "end", "sha256")])
-
-    status = F.when(F.col("sha256_b").isNull(), "missing").when(F.col("sha256_a").isNull(), "extra").otherwise("changed")
-    return (pick(primary, "a").join(pick(replica, "b"), ["file", "nth"], "full_outer")
-            .select("file", "nth", *[F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("page_id", "start", "end")],
-                    F.col("sha256_a").alias("sha256"), F.col("sha256_b").alias("replica_sha256"), status.alias("status"))
-            .where(~F.col("sha256").eqNullSafe(F.col("replica_sha256"))))
+    """The records below unequal nodes, aligned within their file: first those of equal id and digest (the
+    n-th with the n-th) drop out, then what is left pairs by id. A page of one id has few records, so the
+    windows are small."""
+    def numbered(x: DataFrame, *by: str) -> DataFrame:
+        return x.withColumn("n", F.row_number().over(Window.partitionBy("file", "page_id", *by).orderBy("nth")))
+
+    def same(*by: str) -> list[Column]:
+        return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("file", "page_id", "n", *by)]
+
+    a, b = (numbered(x.join(keys, ["file", "nth"], "left_semi"), "sha256") for x in (primary, replica))
+    lost = numbered(a.alias("a").join(b.alias("b"), same("sha256"), "left_anti").drop("n"))
+    new = numbered(b.alias("b").join(a.alias("a"), same("sha256"), "left_anti").drop("n"))
+    status = F.when(F.col("b.sha256").isNull(), "missing").when(F.col("a.sha256").isNull(), "extra").otherwise("changed")
+    return (lost.alias("a").join(new.alias("b"), same(), "full_outer")
+            .select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("file", "nth", "page_id", "start", "end")],
+                    F.col("a.sha256").alias("sha256"), F.col("b.sha256").alias("replica_sha256"), status.alias("status")))
 
 
 def damaged(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
