@@ -48,7 +48,7 @@ def op10_pivotal_mixing(spark, sf_dir):
 
 @query
 def op7_blob_ledger_secrets(spark, sf_dir):
-    return secrets.secrets_of_documents(table(spark, sf_dir, "documents"))
+    return secrets.secrets_by_deliveries(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -55,7 +55,27 @@ def test_ledger_is_incremental(spark):
     assert found == {1: "assign:0:14", 3: "assign:0:16", 4: "assign:0:14"}
 
 
+def test_deliveries_scan_each_blob_once(documents, texts, monkeypatch):
+    """The second delivery touches only blobs that the first has not held; together they give the same."""
+    ledgers, real = [], secrets.scanned
+
+    def counted(*args):
+        ledgers.append(real(*args))
+        return ledgers[-1]
+
+    monkeypatch.setattr(secrets, "scanned", counted)
+    copies = documents.unionByName(documents.withColumn("doc_id", documents["doc_id"] + 100_000))
+    check(secrets.secrets_by_deliveries(copies).collect(), texts | {k + 100_000: t for k, t in texts.items()})
+    n = [x.count() for x in ledgers]
+    first, second = ({t or "" for (t,) in d.select("text").collect()} for d in secrets.deliveries(copies))
+    assert n == [len(secrets.RULES) * len(first), len(secrets.RULES) * len(first | second)] and first & second and second - first
+    assert ledgers[1].select("blob", "kind").distinct().count() == n[1]
+
+
 def test_edges(edge_docs, no_docs):
+    by_ledger = {(r["doc_id"], r["spans"]) for r in secrets.secrets_by_deliveries(edge_docs).collect()}
+    assert by_ledger == {(r["doc_id"], r["spans"]) for r in secrets.secrets_of_documents(edge_docs).collect()}
+    assert secrets.secrets_by_deliveries(no_docs).collect() == []
     rows = secrets.secrets_of_documents(edge_docs).collect()
     assert len(rows) == edge_docs.count()
     eleven = next(r for r in rows if r["doc_id"] == 11)
