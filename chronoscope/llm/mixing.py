@@ -27,8 +27,6 @@ MOST_COPIES = 3.0
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 32 << 20
 FAN_IN = 1024
-#: sources of up to so many documents go to the last level whole
-POOL_ROWS = 256
 CLASSES_PER_DOUBLING = 4
 SEED = 11
 
@@ -119,7 +117,7 @@ def _round_block(order: list[str], leaf: bool = False, last: bool = False):
         words = [max(1.0, float(w)) for w in rows["words"].to_pylist()]
         if last:
             round_pool(mass, words, unit)
-        elif not rows["pool"][0].as_py():
+        else:
             round_pairwise(mass, words, unit)
         rows = rows.set_column(rows.column_names.index("mass"), "mass", pa.array(mass, pa.float64()))
         rows = rows.append_column("left", pa.array([0.0 < m < 1.0 for m in mass]))
@@ -140,10 +138,10 @@ def mix_documents(docs: DataFrame, size: Column | None = None, source: str = "so
     rows = kept.select(F.struct(*kept.columns).alias("row"), F.col(source).alias("source"), words.alias("words"), weight.alias("bytes"), F.xxhash64(F.lit(SEED), *kept.columns).alias("unit"))
     rows = rows.withColumn("class", F.floor(F.log2(F.col("words") + 1.0) * CLASSES_PER_DOUBLING).cast("int"))
     classes = stored(rows.groupBy("source", "class").agg(F.sum("words").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")), "mix-classes")
-    targets = source_targets(classes.groupBy("source").agg(F.sum("s").alias("source_size"), F.sum("n").alias("rows")))
+    targets = source_targets(classes.groupBy("source").agg(F.sum("s").alias("source_size")))
     chunks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("b") / BLOCK_BYTES), F.lit(1)).cast("int")
     plan = (classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-            .select(F.col("c.source").alias("s"), F.col("class").alias("k"), chunks.alias("chunks"), "source_size", "target", (F.col("rows") <= POOL_ROWS).alias("pool")))
+            .select(F.col("c.source").alias("s"), F.col("class").alias("k"), chunks.alias("chunks"), "source_size", "target"))
     plan = broadcast_if_small(plan, classes.count())  # one row per source and size class
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k"))).drop("s", "k", "bytes")
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_COPIES))).otherwise(F.lit(0.0))
@@ -151,11 +149,11 @@ def mix_documents(docs: DataFrame, size: Column | None = None, source: str = "so
             .withColumn("whole", F.floor(share + 1e-12)).withColumn("mass", F.greatest(share - F.col("whole"), F.lit(0.0))))
     schema = T.StructType([*leaf.schema.fields, T.StructField("left", T.BooleanType()), T.StructField("at", T.IntegerType())])
     rounded = stored(leaf.groupBy("source", "class", "chunk").applyInArrow(_round_block(["words", "unit"], leaf=True), schema), "mix-leaves")
-    tops = _reduce(rounded.where("left").select("source", "class", "chunk", "at", "pool", "unit", "mass", "words"))
+    tops = _reduce(rounded.where("left").select("source", "class", "chunk", "at", "unit", "mass", "words"))
     place = [F.col("source").eqNullSafe(F.col("s")), F.col("class") == F.col("k"), F.col("chunk") == F.col("h"), F.col("at") == F.col("a"), F.col("left")]
     copies = (F.col("whole") + F.when(F.col("left"), F.coalesce("top", F.lit(0))).otherwise(F.col("mass"))).cast("long")
     tops = tops.select(F.col("source").alias("s"), F.col("class").alias("k"), F.col("chunk").alias("h"), F.col("at").alias("a"), "top")
-    tops = broadcast_if_small(tops, tops.count())  # one row per block, or per unit of a small source
+    tops = broadcast_if_small(tops, tops.count())  # one row per block at most
     return (rounded.join(tops, place, "left")
             .select("row.*", F.col("words").alias("size"), "source_size", "target", copies.alias("copies")))
 

@@ -55,7 +55,6 @@ def test_many_blocks_and_levels(spark, monkeypatch):
     """Small blocks: leaves, two class levels and the pool; a source is off by less than one document."""
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
     monkeypatch.setattr(mixing, "FAN_IN", 4)
-    monkeypatch.setattr(mixing, "POOL_ROWS", 10)
     r = random.Random(5)
     rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}", " ".join(["w"] * r.choice([1, 2, 3, 40, 41, 300]))) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -64,6 +63,18 @@ def test_many_blocks_and_levels(spark, monkeypatch):
         assert abs(taken[s] - expected[s]) <= 300, s  # the largest document
 
 
+def test_small_sources_go_through_pairs(spark):
+    """Sources of fifty documents: leaves leave one unit each at most, and the source is off by less than one
+    document."""
+    rows = [(i, f"s{i % 5}", " ".join(["w"] * (10 + i % 3))) for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, expected = check(mixing.mixed_words(docs).collect(), rows)
+    assert all(abs(taken[s] - expected[s]) <= 12 for s in expected)
+    mass, words = [0.3] * 50, [10.0] * 50
+    mixing.round_pairwise(mass, words, list(range(50)))
+    assert sum(0 < m < 1 for m in mass) <= 1 and abs(sum(mass) - 15) < 1e-6
+
+
 def test_one_capped_source(spark):
     rows = [(1, "a", "x " * 5), (2, "b", "x " * 1000), (3, "c", "x " * 1000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
