@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import hashed_features, run_sums, text_parts
-from .training import bounded_sample, held_out, sample_features
+from .training import bounded_sample, held_out, named_once, sample_features
 
 BITS = 16
 SIZES = (1, 2, 3)
@@ -135,9 +135,10 @@ def train(ids, freq, labels: list[str]) -> Model:
 
 
 def fit_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learns from text and non-null lang of the documents that are not held out."""
+    """Learns from text and non-null lang of the documents that are not held out and whose id stands in one
+    row only."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    sample, _ = bounded_sample(known, "lang", per_language)
+    sample, _ = bounded_sample(known.select("doc_id", "lang").join(named_once(docs), "doc_id", "left_semi"), "lang", per_language)
     return train(*sample_features(known, sample, "lang", SIZES, BITS))
 
 

@@ -1,6 +1,6 @@
 """Quality classifier: learned subword embeddings, averaged per document, softmax output.
 
-Features are hashed words and byte n-grams (3 and 4 bytes, case kept). Each bucket has a learned
+Features are hashed words and character n-grams (3 and 4 code points, case kept). Each bucket has a learned
 vector; a document is the mean vector of its features, and a softmax layer gives the class
 probabilities. Vectors and layer are trained together by stochastic gradient descent in numpy, on a
 bounded sample of labelled documents (SAMPLE_PER_CLASS of each label, a documented parameter).
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import hashed_features, run_sums, text_parts
-from .training import bounded_sample, held_out, sample_features
+from .training import bounded_sample, held_out, named_once, sample_features
 
 BITS = 17
 SIZES = (3, 4)
@@ -38,7 +38,7 @@ class Model:
 
     def scores(self, texts) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
-        for bucket, offsets in hashed_features(texts, SIZES, BITS):
+        for bucket, offsets in hashed_features(texts, SIZES, BITS, characters=True):
             total += run_sums(self.weights[bucket], offsets)
             n += np.diff(offsets)
         return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(n, 1), -40, 40)))
@@ -78,12 +78,13 @@ def train(ids: list[np.ndarray], freq: list[np.ndarray], labels: list[int], coun
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learns from the documents whose id is not held out and that have a label 0 or 1. A document
-    labelled twice counts with its lowest label; null ids, null labels and null texts teach nothing."""
+    labelled twice counts with its lowest label; null ids, ids of several rows, null labels and null texts
+    teach nothing."""
     known = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id")
+    known = known.join(named_once(docs), "doc_id")
     sample, counts = bounded_sample(known, "quality", per_class)
-    return train(*sample_features(docs.where(F.col("text").isNotNull()), sample, "quality", SIZES, BITS), counts)
+    return train(*sample_features(docs.where(F.col("text").isNotNull()), sample, "quality", SIZES, BITS, characters=True), counts)
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

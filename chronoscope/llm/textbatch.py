@@ -152,16 +152,31 @@ def sums_by_offsets(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def hashed_features(texts: Texts, sizes: tuple[int, ...], bits: int, words: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def code_points(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of every code point as one number, whether it is a separator, and the offsets of the
+    documents in code points."""
+    starts = np.flatnonzero((texts.buf & 0xC0) != 0x80)
+    length = np.diff(np.append(starts, len(texts.buf)))
+    value = texts.buf[starts].astype(np.uint64)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(length > k)
+        value[longer] = (value[longer] << np.uint64(8)) | texts.buf[starts[longer] + k]
+    return value, IS_SPACE[texts.buf[starts]], np.searchsorted(starts, texts.offsets)
+
+
+def hashed_features(texts: Texts, sizes: tuple[int, ...], bits: int, words: bool = True, characters: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashed features of each text, kind by kind: (bucket of every occurrence, offsets by document).
-    Kinds: whole words, and byte n-grams of each size that lie in one word together with at most one
-    separator (read as a space) at either end."""
+    Kinds: whole words, and n-grams of each size, of bytes or of characters (code points), that lie in one
+    word together with at most one separator (read as a space) at either end."""
     shift = np.uint64(64 - bits)
     if words:
         yield ((texts.word_hashes() ^ MIX_1) * np.uint64(BASE) >> shift).astype(np.int32), texts.word_offsets
-    space = IS_SPACE[texts.buf]
-    flat = np.where(space, np.uint8(0x20), texts.buf)
-    ends = texts.offsets[1:]
+    if characters:
+        units, space, offsets = code_points(texts)
+    else:
+        units, space, offsets = texts.buf, IS_SPACE[texts.buf], texts.offsets
+    flat = np.where(space, units.dtype.type(0x20), units)
+    ends = offsets[1:]
     for size in sizes:
         n = len(flat) - size + 1
         if n <= 0:
@@ -170,14 +185,15 @@ def hashed_features(texts: Texts, sizes: tuple[int, ...], bits: int, words: bool
         code = np.zeros(n, np.uint64)
         bad = np.zeros(n, bool)
         for j in range(size):
-            code |= flat[j:j + n].astype(np.uint64) << np.uint64(8 * j)
+            part = flat[j:j + n].astype(np.uint64)
+            code = mix64(code ^ part) if characters else code | part << np.uint64(8 * j)
             if 0 < j < size - 1:
                 bad |= space[j:j + n]
         for j in range(1, size):
             cross = ends - j
             bad[cross[(cross >= 0) & (cross < n)]] = True
         at = np.flatnonzero(~bad)
-        yield ((code[at] * np.uint64(BASE) + np.uint64(size)) * MIX_2 >> shift).astype(np.int32), np.searchsorted(at, texts.offsets)
+        yield ((code[at] * np.uint64(BASE) + np.uint64(size)) * MIX_2 >> shift).astype(np.int32), np.searchsorted(at, offsets)
 
 
 def run_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

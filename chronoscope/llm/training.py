@@ -19,6 +19,12 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def named_once(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The keys that stand in one row only: another names no one text, and would bring all of its rows to the
+    sample for each of them."""
+    return docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).select(key)
+
+
 def bounded_sample(keys: DataFrame, label: str, per_class: int, key: str = "doc_id") -> tuple[DataFrame, dict]:
     """At most `per_class` rows (key, label) of each label, chosen by a hash of the key; and the counts of
     all rows by label. A class is first thinned by the hash to about three times the bound, so that no
@@ -34,7 +40,7 @@ def bounded_sample(keys: DataFrame, label: str, per_class: int, key: str = "doc_
     return keys.where(keep).select(key, label).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class).drop("_nth"), counts
 
 
-def sample_features(docs: DataFrame, sample: DataFrame, label: str, sizes: tuple[int, ...], bits: int, words: bool = True, key: str = "doc_id") -> tuple[list[np.ndarray], list[np.ndarray], list]:
+def sample_features(docs: DataFrame, sample: DataFrame, label: str, sizes: tuple[int, ...], bits: int, words: bool = True, characters: bool = False, key: str = "doc_id") -> tuple[list[np.ndarray], list[np.ndarray], list]:
     """Bucket ids, relative frequencies and label of each sampled document, in an order that depends
     on the ids alone. The sample has a proven bound, so it is broadcast to the texts, and its sparse
     vectors (at most 2**bits entries each) come to the driver."""
@@ -43,7 +49,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, label: str, sizes: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, texts in text_parts(batch.column("text")):
-                kinds = list(hashed_features(texts, sizes, bits, words))
+                kinds = list(hashed_features(texts, sizes, bits, words, characters))
                 ids, freq = [], []
                 for d in range(len(texts)):
                     bucket, n = np.unique(np.concatenate([b[o[d]:o[d + 1]] for b, o in kinds]), return_counts=True)
