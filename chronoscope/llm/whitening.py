@@ -25,6 +25,7 @@ from math import ceil, comb, log2, prod
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,21 +45,46 @@ LONG = (1 << 63) - 1
 
 # --- integer vectors -------------------------------------------------------------------------------------------
 
-def _encoded(x: np.ndarray) -> bytes:
-    """Little-endian integers in the narrowest of 2, 4 and 8 bytes, after a byte with that width; zeros at
-    the end are left out. Equal vectors have equal bytes."""
-    full = np.flatnonzero(x)
-    x = x[:full[-1] + 1] if len(full) else x[:0]
-    most = int(max(x.max(), -(x.min() + 1))) if len(x) else 0
-    width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
-    return bytes([width]) + x.astype(f"<i{width}").tobytes()
+def _encoded(x: np.ndarray) -> pa.Array:
+    """Rows of integers as binary: little-endian in the narrowest of 2, 4 and 8 bytes, after a byte with that
+    width; zeros at the end are left out. Equal vectors have equal bytes, whatever their padding."""
+    rows, dims = x.shape
+    most = np.maximum(x.max(axis=1), -(x.min(axis=1) + 1)) if dims else np.zeros(rows, np.int64)
+    width = np.select([most < 1 << 15, most < 1 << 31], [2, 4], 8)
+    used = np.where(x.any(axis=1), dims - (x[:, ::-1] != 0).argmax(axis=1), 0) if dims else np.zeros(rows, np.int64)
+    parts, order = [], []
+    for w, n in sorted(set(zip(width.tolist(), used.tolist()))):  # most rows are of one kind
+        at = np.flatnonzero((width == w) & (used == n))
+        raw = np.empty((len(at), 1 + w * n), np.uint8)
+        raw[:, 0] = w
+        raw[:, 1:] = np.ascontiguousarray(x[at, :n].astype(f"<i{w}")).view(np.uint8).reshape(len(at), w * n)
+        offsets = np.arange(len(at) + 1, dtype=np.int32) * raw.shape[1]
+        parts.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
+        order.append(at)
+    if not parts:
+        return pa.array([], pa.binary())
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order), kind="stable")))
+
+
+def _decoded(keys: list[bytes], dims: int) -> np.ndarray:
+    """The rows of `_encoded` again, padded to `dims`."""
+    out = np.zeros((len(keys), dims), np.int64)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(keys):
+        kinds.setdefault((key[0], len(key)), []).append(i)
+    for (width, length), at in kinds.items():
+        raw = np.frombuffer(b"".join([keys[i] for i in at]), np.uint8).reshape(len(at), length)
+        out[at, :(length - 1) // width] = np.ascontiguousarray(raw[:, 1:]).view(f"<i{width}")
+    return out
 
 
-def _decoded(key: bytes, dims: int) -> np.ndarray:
-    out = np.zeros(dims, np.int64)
-    x = np.frombuffer(key, f"<i{key[0]}", offset=1)
-    out[:len(x)] = x
-    return out
+def _scaled(c: np.ndarray) -> np.ndarray:
+    """floor(SCALE * c) as long; what is beyond a long becomes its end."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(c * SCALE)
+    x = np.clip(scaled, -2.0 ** 63, 2.0 ** 62).astype(np.int64)
+    x[scaled >= 2.0 ** 62] = [min(int(v), LONG) if np.isfinite(v) else LONG for v in scaled[scaled >= 2.0 ** 62]]
+    return x
 
 
 def integer_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -68,27 +94,18 @@ def integer_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, keys, lengths = [], [], []
-            vectors = batch.column("v")
-            for i in range(len(vectors)):
-                if not vectors[i].is_valid:
-                    continue
-                entries = vectors[i].values
-                if entries.null_count:
-                    continue
-                c = entries.to_numpy(zero_copy_only=False).astype(np.float64)
-                with np.errstate(over="ignore"):
-                    if not np.isfinite(c).all():
-                        continue
-                    scaled = np.floor(c * SCALE)
-                x = np.where(scaled >= 2.0 ** 63, LONG, np.where(scaled < -2.0 ** 63, -LONG - 1, np.clip(scaled, -2.0 ** 62, 2.0 ** 62).astype(np.int64)))
-                inside = np.abs(scaled) < 2.0 ** 63
-                x[inside] = scaled[inside].astype(np.int64)
-                at.append(i)
-                keys.append(_encoded(x))
-                lengths.append(len(x))
-            ids = batch.column("vec_id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(lengths, pa.int32())], names=["vec_id", "x", "length"])
+            whole = batch.filter(pc.is_valid(batch.column("v")))
+            lengths = np.asarray(pc.list_value_length(whole.column("v")))
+            flat = whole.column("v").flatten()
+            finite = np.isfinite(np.asarray(flat.cast(pa.float64()).fill_null(np.nan)))
+            ends = np.cumsum(lengths)
+            bad = np.concatenate([[0], np.cumsum(~finite)])
+            good = bad[ends] == bad[ends - lengths]
+            values = np.asarray(flat.cast(pa.float64()).fill_null(np.nan))
+            for n in sorted(set(lengths[good].tolist())):
+                at = np.flatnonzero(good & (lengths == n))
+                x = _scaled(values[(ends[at] - n)[:, None] + np.arange(n)])
+                yield pa.RecordBatch.from_arrays([whole.column("vec_id").take(pa.array(at)), _encoded(x), pa.array(np.full(len(at), n, np.int32))], names=["vec_id", "x", "length"])
 
     return named.mapInArrow(run, f"vec_id {named.schema['vec_id'].dataType.simpleString()}, x binary, length int")
 
@@ -122,8 +139,9 @@ def scatter(fit: DataFrame, dims: int) -> tuple[int, list[int], list[list[int]]]
         for batch in batches:
             keys = batch.column("x").to_pylist()
             for start in range(0, len(keys), 4096):
-                block = np.array([_decoded(k, dims) for k in keys[start:start + 4096]])
-                sums[:dims] += block.astype(object).sum(axis=0) if abs(block).max() >= 1 << 50 else block.sum(axis=0).astype(object)
+                block = _decoded(keys[start:start + 4096], dims)
+                wide = max(int(block.max()), -int(block.min())) >= 1 << 50
+                sums[:dims] += block.astype(object).sum(axis=0) if wide else block.sum(axis=0).astype(object)
                 sums[dims] += len(block)
                 products += _exact_products(block)
         i, j = np.triu_indices(dims)
@@ -365,7 +383,7 @@ def _projected(rows: DataFrame, dims: int, n: int, s: list[int], found: list[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("x").to_pylist()
-            x = np.array([_decoded(k, dims) for k in keys], np.int64).reshape(len(keys), dims)
+            x = _decoded(keys, dims)
             most = n * max(int(x.max()), -int(x.min())) + most_s if x.size else 0
             centred = n * x - sums.astype(np.int64) if most < 1 << 62 else n * x.astype(object) - sums
             exact = (centred * centred).sum(axis=1) if most * most * dims < 1 << 62 else (centred.astype(object) ** 2).sum(axis=1)
