@@ -84,7 +84,11 @@ SUP = _dense(
                 coalesce(l_quantity, 0.0) AS v FROM lineitem) GROUP BY noun_id, channel, step""",
     "SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS feature FROM (SELECT DISTINCT l_returnflag AS channel FROM lineitem)")
 
-SIGNALS = {"emb": EMB, "evt": EVT, "sup": SUP}
+# events summed over either half of the days
+TOT = EVT.replace("cells AS (", "daily AS (").replace("FROM cells", "FROM daily") + """,
+cells AS (SELECT noun_id, feature, CAST(t * 2 // nT AS BIGINT) AS t, sum(x) AS x FROM daily, dims GROUP BY 1, 2, 3)"""
+
+SIGNALS = {"emb": EMB, "evt": EVT, "sup": SUP, "tot": TOT}
 
 
 # --- preparation ---------------------------------------------------------------------------
@@ -267,6 +271,24 @@ rel AS (
   JOIN wmodel w ON w.feature = c.feature AND w.t = c.t AND w.class_idx = s.pred
   JOIN p1 p ON p.noun_id = c.noun_id AND p.class_idx = s.pred)"""
 
+def kernelshap_sql(n: int) -> str:
+    """Shapley values of n cells from all 2**n coalitions, which KernelSHAP gives if it has them all."""
+    weights = ", ".join(f"({k}, {math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n)!r})" for k in range(n))
+    return f"""
+ks_cell AS (SELECT noun_id, feature, t, x, CAST(row_number() OVER (PARTITION BY noun_id ORDER BY feature, t) - 1 AS INTEGER) AS j FROM test_cells),
+ks_z AS (SELECT c.noun_id, CAST(s.s AS INTEGER) AS s, w.class_idx, sum(w.w * CASE WHEN (CAST(s.s AS INTEGER) >> c.j) & 1 = 1 THEN c.x ELSE b.xb END) + max(bm.b) AS z
+         FROM ks_cell c JOIN base b ON b.feature = c.feature AND b.t = c.t JOIN wmodel w ON w.feature = c.feature AND w.t = c.t
+         JOIN bmodel bm ON bm.class_idx = w.class_idx CROSS JOIN range({2 ** n}) AS s(s) GROUP BY 1, 2, 3),
+ks_zc AS (SELECT *, z - max(z) OVER (PARTITION BY noun_id, s) AS zc FROM ks_z),
+ks_p AS (SELECT noun_id, s, class_idx, exp(zc) / sum(exp(zc)) OVER (PARTITION BY noun_id, s) AS p FROM ks_zc),
+ks_v AS (SELECT p.noun_id, p.s, p.p AS v FROM ks_p p JOIN score1 s ON s.noun_id = p.noun_id AND s.pred = p.class_idx),
+rel AS (SELECT c.noun_id, c.feature, c.t, c.x, sum((b.v - a.v) * k.k) AS r
+        FROM ks_cell c JOIN ks_v a ON a.noun_id = c.noun_id AND (a.s >> c.j) & 1 = 0 JOIN ks_v b ON b.noun_id = a.noun_id AND b.s = a.s + (1 << c.j)
+        JOIN (VALUES {weights}) k(n, k) ON k.n = bit_count(a.s) GROUP BY c.noun_id, c.feature, c.t, c.x)"""
+
+
+REL["kernelshap"] = kernelshap_sql(10)
+
 EXPECTED = {
     "single": "expv AS (SELECT s.noun_id, pb.p AS expected_value FROM score1 s JOIN pbase pb ON pb.class_idx = s.pred)",
     "set": """expv AS (SELECT s.noun_id, m.p AS expected_value FROM score1 s
@@ -274,7 +296,7 @@ EXPECTED = {
     "none": "expv AS (SELECT noun_id, CAST(NULL AS DOUBLE) AS expected_value FROM score1)",
 }
 EXPECTED_KIND = {"deepliftshap": "set", "gradshap": "set", "saliency": "none", "lrp": "none",
-                 "integrated_gradients": "single", "deeplift": "single", "shapleyvalue": "single"}
+                 "integrated_gradients": "single", "deeplift": "single", "shapleyvalue": "single", "kernelshap": "single"}
 
 
 def rel_prelude(method: str, signal: str = "emb", *more: str) -> str:

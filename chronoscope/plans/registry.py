@@ -1168,6 +1168,36 @@ def q_summary_evt(spark, sf_dir):
     return S.summary(sweep_results(prepared(spark, sf_dir, "evt"), tuple(_ALL))).select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
 
 
+# ---- all six default methods with an oracle: ten cells a sample, so KernelSHAP has every coalition --------------
+
+_SIX = list(DEFAULT_METHODS)
+
+
+def _totals_run(spark, sf_dir):
+    return sweep_results(prepared(spark, sf_dir, "tot"), DEFAULT_METHODS)
+
+
+@register("attr_kernelshap_totals", O.rel_prelude("kernelshap", "tot") + "\nSELECT noun_id, feature, t, round(r, 6) AS r FROM rel")
+def q_kernelshap_totals(spark, sf_dir):
+    """J14 on signals of ten cells: the exact Shapley values."""
+    return relevance(prepared(spark, sf_dir, "tot"), "kernelshap").select("noun_id", "feature", "t", r6("r").alias("r"))
+
+
+@register("corruption_sweep_totals", O.sweep_prelude(_SIX, "tot") + "\n" + _result_select_sql("resn"))
+def q_corruption_sweep_totals(spark, sf_dir):
+    return _result_select(_totals_run(spark, sf_dir))
+
+
+@register("summary_totals", O.sweep_prelude(_SIX, "tot", O.SUMMARY) + "\nSELECT method, mask, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SUM_DOUBLES) + " FROM summ")
+def q_summary_totals(spark, sf_dir):
+    return S.summary(_totals_run(spark, sf_dir)).select("method", "mask", *[r6(c).alias(c) for c in _SUM_DOUBLES])
+
+
+@register("method_metrics_totals", O.sweep_prelude(_SIX, "tot", O.SUMMARY, O.METRICS) + "\nSELECT method, round(AUCSE_top, 6) AS AUCSE_top, round(F_score, 6) AS F_score FROM mmetrics")
+def q_method_metrics_totals(spark, sf_dir):
+    return S.method_metrics(S.summary(_totals_run(spark, sf_dir))).select("method", r6("AUCSE_top").alias("AUCSE_top"), r6("F_score").alias("F_score"))
+
+
 # ---- A1 / A12 / A15 / J4: stored signals, id lists, prediction table, model selection -------------------------
 
 _SPAN_SQL = """

@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 from chronoscope.sources.tables import read_table
 
 def cells_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and NaN entries count as 0."""
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return emb.select(
-        F.col("vec_id").cast("bigint").alias("noun_id"),
-        F.posexplode("embedding").alias("t", "x"),
-    ).select("noun_id", F.lit(0).cast("bigint").alias("feature"), F.col("t").cast("bigint"),
-             F.col("x").cast("double"))
+    cells = emb.select(F.col("vec_id").cast("bigint").alias("noun_id"), F.posexplode("embedding").alias("t", "x"))
+    return cells.select("noun_id", F.lit(0).cast("bigint").alias("feature"), F.col("t").cast("bigint"),
+                        F.coalesce(F.nanvl(F.col("x").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("x"))
 
 
 def targets_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +125,7 @@ def targets_by_quantile(cells: DataFrame, quantiles=(0.5, 1.0)) -> DataFrame:
 
 
 def signal_set(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, targets) for one of: emb, evt, sup."""
+    """(cells, targets) for one of: emb, evt, sup, tot (events, summed over either half of the days)."""
     if name == "emb":
         return cells_from_embeddings(spark, sf_dir), targets_from_embeddings(spark, sf_dir)
     if name == "evt":
@@ -135,9 +134,18 @@ def signal_set(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame,
     if name == "sup":
         c = cells_from_lineitem(spark, sf_dir)
         return c, targets_by_quantile(c)
+    if name == "tot":
+        c = halves(cells_from_events(spark, sf_dir))
+        return c, targets_by_quantile(c)
     raise ValueError(f"unknown signal set {name!r}")
 
 
+def halves(cells: DataFrame) -> DataFrame:
+    """The cells with their steps summed into two: few enough that every coalition of cells can be tried."""
+    n_steps = cells.select(F.max("t") + 1).scalar()
+    return cells.withColumn("_T", n_steps).groupBy("noun_id", "feature", F.floor(F.col("t") * 2 / F.col("_T")).cast("bigint").alias("t")).agg(F.sum("x").alias("x"))
+
+
 def cells_to_tensor(cells: DataFrame) -> DataFrame:
     """(noun_id, signal array<array<double>> [time][feature]); one row per sample, bounded by T*F."""
     per_t = cells.groupBy("noun_id", "t").agg(

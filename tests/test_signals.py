@@ -65,3 +65,37 @@ def test_selection_among_classifiers(spark, tmp_path):
     assert len(chosen) == 1 and chosen[0].val_accuracy == best and chosen[0].cand == min(r.cand for r in rows if r.val_accuracy == best)
     assert [r.best_so_far for r in rows] == [max(x.val_accuracy for x in rows[:i + 1]) for i in range(6)]
     assert 0 <= chosen[0].test_accuracy <= 1 and all(r.test_accuracy is None for r in rows if not r.chosen)
+
+
+def test_dataset_stats_against_the_files(spark):
+    import os
+
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as E
+    r = E.queries()["dataset_stats"](spark, SF001).first()
+    path = f"{SF001}/embeddings.parquet"
+    assert (r.n_rows, r.total_bytes, r.n_files, r.valid) == (pq.read_metadata(path).num_rows, os.path.getsize(path), 1, True)
+
+
+def test_exports_are_in_order(spark, tmp_path):
+    """lines of a text archive stand by sample, rows of a wide matrix by step."""
+    from chronoscope.sources import text_formats as TX
+    pr = PL.prepared(spark, SF001, "evt")
+    TX.write_ts(pr.cells, pr.targets, str(tmp_path / "ts"))
+    by_line = {(r.noun_id, r.target) for r in TX.read_ts(spark, str(tmp_path / "ts")).select("noun_id", "target").distinct().collect()}
+    ids = sorted((r.noun_id, r.target) for r in pr.targets.collect())
+    assert by_line == {(n, target) for n, (_, target) in enumerate(ids)}
+    rel = spark.createDataFrame([(i, 0, t, float(i + t)) for i in (1, 2) for t in range(30)], "noun_id long, feature long, t long, r double").repartition(5)
+    TX.write_wide_matrix(rel, str(tmp_path / "wide"))
+    rows = [line.split(",") for part in sorted((tmp_path / "wide").glob("part-*.csv")) for line in part.read_text().splitlines()[1:]]
+    assert [int(r[0]) for r in rows] == list(range(30))
+
+
+def test_nan_and_null_entries_count_as_zero(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, float("nan"), None], 0), (2, [2.0, 3.0, 4.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.noun_id, r.t): r.x for r in S.cells_from_embeddings(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): 1.0, (1, 1): 0.0, (1, 2): 0.0, (2, 0): 2.0, (2, 1): 3.0, (2, 2): 4.0}
+    from chronoscope.operators import rows as R
+    ready = R.prepare_rows(S.rows_from_embeddings(spark, str(tmp_path)), R.RowTransform(classes=("0", "1")), 1)
+    assert {(r.noun_id, r.t): r.x for r in R.prepared_cells(ready).collect()} == got
