@@ -51,7 +51,7 @@ def test_near_duplicates_keep_what_the_result_reads(spark):
     before = tables(spark)
     found = nd.near_duplicate_classes(docs).select("doc_id", "class_id")
     left = names(tables(spark) - before)
-    assert not left & {f"near-{x}" for x in "sketches nodes members holders pairs texts first families differences recentred common".split()}
+    assert not left & {f"near-{x}" for x in "sketches nodes members holders pairs texts first families differences recentred common common-elements".split()}
     assert {tuple(r) for r in found.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 4), (5, 0)}
     assert found.count() == 6  # again
 
